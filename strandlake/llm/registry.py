@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from . import sharding
+from . import packing, sharding
 
-MODULES = (sharding,)
+MODULES = (sharding, packing)
 
 
 def queries() -> dict:
