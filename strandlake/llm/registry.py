@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from . import packing, sharding
+from . import language, packing, sharding
 
-MODULES = (sharding, packing)
+MODULES = (sharding, packing, language)
 
 
 def queries() -> dict:
