@@ -111,7 +111,7 @@ def fit(docs: DataFrame, per_language: int = FIT_DOCUMENTS) -> Model:
     kept = shares.where(F.col("share") >= MIN_SHARE).join(best, "gram").where(F.col("share") >= RATIO * F.col("best"))
     rows = kept.select("lang", "gram").toPandas()  # at most 1 / MIN_SHARE rows for each language
     counts.unpersist()
-    languages = sorted(sizes)
+    languages = sorted(sizes, key=lambda x: (-sizes[x], x))
     size = 1 << max(8, int(np.ceil(np.log2(max(1, rows.gram.nunique()) * SLOTS_EACH))))
     slots = np.zeros(((len(languages) + 63) // 64, size), np.uint64)
     for k, lang in enumerate(languages):
@@ -143,7 +143,7 @@ def predict(docs: DataFrame, model: Model, keep: list[str] | None = None) -> Dat
     """Add lang_pred and score to the columns ``keep`` (doc_id) of the documents; only the text decides.
 
     A null text or one without a letter is ``und`` with score 0; so is every text if there was nothing to learn from.
-    Ties go to the first language by name; letters without a known n-gram give that with score 0.
+    Ties go to the language with most training documents; letters without a known n-gram give that with score 0.
     """
     keep = keep or ["doc_id"]
     schema = ", ".join([*(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in keep), "lang_pred string", "score double"])

@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from . import language, packing, sharding
+from . import language, packing, secrets, sharding
 
-MODULES = (sharding, packing, language)
+MODULES = (sharding, packing, language, secrets)
 
 
 def queries() -> dict:

@@ -41,7 +41,7 @@ def test_learns_and_ignores_labels(spark):
     extra = [(9000, None, "en"), (9001, "", "en"), (9002, "12 !! 3", "de"), (9003, "the", None), (9003, "the", None), (9004, "漢字", None), (None, "wheringer therther", "en"), (9005, "therwher " * 50_000, None)]
     df = spark.createDataFrame([(*r, "s", 0.5, 7, 1) for r in rows + extra], SCHEMA)
     model = fit(df)
-    assert model.languages == ["de", "en", "fr"]
+    assert sorted(model.languages) == ["de", "en", "fr"]
     got = {r.doc_id: r for r in predict(df, model).collect()}
     right = [got[i].lang_pred == lang for i, _, lang in rows if zlib.crc32(str(i).encode()) % 4 == 2]
     assert np.mean(right) > 0.98
