@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from . import language, packing, secrets, sharding
+from . import language, packing, secrets, sharding, simhash
 
-MODULES = (sharding, packing, language, secrets)
+MODULES = (sharding, packing, language, secrets, simhash)
 
 
 def queries() -> dict:
