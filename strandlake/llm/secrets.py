@@ -35,18 +35,17 @@ def find_spans(blobs: DataFrame, rules: tuple = RULES) -> DataFrame:
     positions; rows are matches, and a window holds those of one pattern in one text.
     """
     hit = blobs.where(reduce(lambda a, b: a | b, [F.col("text").rlike(pattern) for _, pattern, _, _ in rules]))
-    found = []
+    each = []
     for rank, (_, pattern, group, least) in enumerate(rules):
         matches = F.regexp_extract_all("text", F.lit(pattern), F.lit(0))
         decides = F.regexp_extract_all("text", F.lit(pattern), F.lit(group)) if group else matches
-        gaps = F.slice(F.split("text", pattern, -1), F.lit(1), F.size(matches))
-        sized = F.arrays_zip(
-            F.transform(gaps, F.length).alias("gap"),
+        widths = F.arrays_zip(
+            F.transform(F.slice(F.split("text", pattern, -1), F.lit(1), F.size(matches)), F.length).alias("gap"),
             F.transform(matches, F.length).alias("width"),
             F.transform(decides, lambda x: F.length(x) >= least).alias("kept"),  # noqa: B023
         )
-        found.append(hit.where(F.col("text").rlike(pattern)).select("blob_id", F.lit(rank).alias("rank"), F.posexplode(sized).alias("at", "m")).select("blob_id", "rank", "at", "m.*"))
-    rows = reduce(DataFrame.unionByName, found).distinct().selectExpr(
+        each.append(F.transform(widths, lambda m, i: F.struct(F.lit(rank).alias("rank"), i.alias("at"), m["gap"].alias("gap"), m["width"].alias("width"), m["kept"].alias("kept"))))  # noqa: B023
+    rows = hit.select("blob_id", F.explode(F.concat(*each)).alias("m")).select("blob_id", "m.*").distinct().selectExpr(
         "blob_id", "rank", "kept", "width", "sum(cast(gap + width AS bigint)) OVER (PARTITION BY blob_id, rank ORDER BY at ROWS UNBOUNDED PRECEDING) AS end"
     )
     spans = rows.where("kept").select("blob_id", F.struct((F.col("end") - F.col("width")).alias("start"), "rank", "end").alias("span"))
@@ -68,7 +67,9 @@ def scan_versions(versions: DataFrame, path: list[str], ledger: DataFrame | None
     # one version of each unseen blob brings its text; the small side is the hash table, texts are not sorted
     same = reduce(lambda a, b: a & b, [F.col(f"_one.{c}").eqNullSafe(F.col(f"v.{c}")) for c in path])
     keyed = named.alias("v").join(one.hint("shuffle_hash"), same & (F.sha2(F.col("v.text").cast("binary"), 256) == F.col("blob_id")))
-    found = materialize(find_spans(keyed.select("blob_id", "text"), rules))
+    # as it seems to need both sides, the scan isn't pushed below the join, where it would read seen blobs and copies
+    unseen = keyed.select("blob_id", F.when(F.col("blob_id").isNotNull(), F.col("text")).alias("text"))
+    found = materialize(find_spans(unseen, rules))
     added = one.select("blob_id").join(found, "blob_id", "left").select("blob_id", F.lit(rule_version).alias("rule_version"), F.coalesce("spans", no_spans()).alias("spans"))
     known = found
     if ledger is not None:
