@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from . import language, packing, secrets, sharding, simhash
+from . import decontamination, language, packing, secrets, sharding, simhash
 
-MODULES = (sharding, packing, language, secrets, simhash)
+MODULES = (sharding, packing, language, secrets, simhash, decontamination)
 
 
 def queries() -> dict:
