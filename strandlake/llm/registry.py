@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from . import decontamination, language, packing, secrets, sharding, simhash
+from . import decontamination, embeddings, language, packing, secrets, sharding, simhash
 
-MODULES = (sharding, packing, language, secrets, simhash, decontamination)
+MODULES = (sharding, packing, language, secrets, simhash, decontamination, embeddings)
 
 
 def queries() -> dict:
