@@ -30,6 +30,8 @@ MIN_SHARE, RATIO = 2e-6, 0.3
 #: Filter slots for each kept n-gram, rounded up to a power of two.
 SLOTS_EACH = 16
 UNKNOWN = "und"
+#: A text with at least ENOUGH n-grams is in no learned language if none holds the share ACCEPT of them.
+ENOUGH, ACCEPT = 20, 0.2
 LETTER = regex.compile(r"\p{L}")
 
 
@@ -121,8 +123,8 @@ def fit(docs: DataFrame, per_language: int = FIT_DOCUMENTS) -> Model:
     return Model(languages, slots, np.array(fill) ** HASHES)
 
 
-def shares(model: Model, texts: pa.Array) -> np.ndarray:
-    """For each text and language, the corrected share of n-grams that the language's filter holds."""
+def shares(model: Model, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """For each text and language, the corrected share of n-grams that the language's filter holds; n-grams of each text."""
     codes, ends = grams(texts)
     starts = np.concatenate([[0], ends[:-1]])
     count = np.maximum(1, ends - starts)
@@ -136,7 +138,7 @@ def shares(model: Model, texts: pa.Array) -> np.ndarray:
             sums = np.concatenate([[0], np.cumsum(mask >> np.uint64(k % 64) & np.uint64(1), dtype=np.int64)])
             hits = sums[ends] - sums[starts]
             out[:, k] = np.clip((hits / count - model.false_rate[k]) / (1 - model.false_rate[k]), 0, 1)
-    return out
+    return out, ends - starts
 
 
 def predict(docs: DataFrame, model: Model, keep: list[str] | None = None) -> DataFrame:
@@ -151,7 +153,7 @@ def predict(docs: DataFrame, model: Model, keep: list[str] | None = None) -> Dat
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in chunks(batches, "_text"):
             texts = batch.column("_text")
-            table = shares(model, texts) if model.languages else np.zeros((len(texts), 1))
+            table = shares(model, texts)[0] if model.languages else np.zeros((len(texts), 1))
             best = table.argmax(axis=1)
             known = [bool(model.languages and t and LETTER.search(t)) for t in texts.to_pylist()]
             names = [model.languages[b] if k else UNKNOWN for b, k in zip(best, known, strict=True)]
@@ -161,6 +163,25 @@ def predict(docs: DataFrame, model: Model, keep: list[str] | None = None) -> Dat
     return docs.select(*keep, F.col("text").alias("_text")).mapInArrow(run, schema)
 
 
+def accepted(docs: DataFrame, model: Model) -> DataFrame:
+    """The documents, all columns as they are, in which a learned language is recognised.
+
+    Those without a letter go, and those with ENOUGH n-grams of which no language holds the share ACCEPT. If there was
+    nothing to learn from, only the letters count.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in chunks(batches, "text"):
+            texts = batch.column("text")
+            keep = np.array([bool(t and LETTER.search(t)) for t in texts.to_pylist()])
+            if model.languages:
+                table, n = shares(model, texts)
+                keep &= (n < ENOUGH) | (table.max(axis=1) >= ACCEPT)
+            yield batch.filter(pa.array(keep))
+
+    return docs.mapInArrow(run, docs.schema)
+
+
 def op7_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     return predict(docs, fit(docs)).select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "lang_pred", "score")

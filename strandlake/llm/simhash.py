@@ -243,6 +243,22 @@ def near_duplicates(docs: DataFrame, words: int = WORDS, **how) -> DataFrame:
     )
 
 
+def deduplicate(docs: DataFrame, words: int = WORDS, **how) -> DataFrame:
+    """The documents, all columns as they are, that are the first of their component; one of repeated rows.
+
+    Rows without a doc_id stay: there is no telling which of them to keep. Only (doc_id, fp) pairs are gathered to
+    find the components; a text moves at most once, to meet the ids that stay.
+    """
+    parts = near_duplicates(docs, words, **how).where("doc_id IS NOT NULL")
+    kept = parts.where("doc_id = component_id").select(F.col("doc_id").alias("_kept")).distinct()
+    named = docs.join(kept.hint("shuffle_hash"), docs["doc_id"] == F.col("_kept"), "left_semi")
+    again = parts.groupBy("doc_id").count().where("count > 1").select(F.col("doc_id").alias("_again"))
+    if not again.isEmpty():
+        twice = named.join(again, named["doc_id"] == F.col("_again"), "left_semi").dropDuplicates(["doc_id"])
+        named = named.join(again, named["doc_id"] == F.col("_again"), "left_anti").unionByName(twice)
+    return named.unionByName(docs.where("doc_id IS NULL"))
+
+
 def op3_simhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"))
 

@@ -5,7 +5,7 @@ import zlib
 import numpy as np
 import pyarrow as pa
 from strandlake.llm import language
-from strandlake.llm.language import fit, grams, held_out, op7_language_id, predict, shares, slots_of
+from strandlake.llm.language import accepted, fit, grams, held_out, op7_language_id, predict, shares, slots_of
 
 SCHEMA = "doc_id long, text string, lang string, source string, score double, lang_pred long, _text int"
 
@@ -48,6 +48,11 @@ def test_learns_and_ignores_labels(spark):
     assert [got[i].lang_pred for i in (9000, 9001, 9002, 9005)] == ["und", "und", "und", "en"]
     assert got[9004].score < 0.01 and got[9000].score == 0 and all(0 <= r.score <= 1 for r in got.values())
     assert predict(df, model).count() == len(rows) + len(extra)
+    noise = spark.createDataFrame([(9500, "zqxj kvvq xxzq wwjk " * 9, None, "s", 0.5, 7, 1)], SCHEMA)
+    kept = accepted(df.unionByName(noise), model)
+    assert kept.columns == df.columns
+    gone = {9000, 9001, 9002, 9500}
+    assert sorted(str(r.doc_id) for r in kept.collect()) == sorted(str(r[0]) for r in rows + extra if r[0] not in gone)
     # labels and sources of what is predicted don't matter, nor do held-out labels
     other = df.selectExpr("doc_id", "text", "CASE WHEN crc32(cast(doc_id AS string)) % 4 = 2 THEN 'xx' ELSE lang END AS lang", "'q' AS source")
     assert sorted(map(str, predict(other, fit(other)).collect())) == sorted(map(str, predict(df, model).collect()))
@@ -67,7 +72,7 @@ def test_masks_hold_every_kept_gram(spark):
         for g, x in share[lang].items():
             if x >= language.RATIO * max(v.get(g, 0) for v in share.values()):
                 assert all(model.slots[0, a[0]] >> np.uint64(k) & np.uint64(1) for a in slots_of(np.array([g]), model.slots.shape[1]))
-    assert shares(model, pa.array(["zzzz qqqq"])).max() < 0.2
+    assert shares(model, pa.array(["zzzz qqqq"]))[0].max() < 0.2
 
 
 def test_nothing_to_learn(spark):

@@ -4,7 +4,7 @@ import re
 import numpy as np
 import pytest
 import xxhash
-from strandlake.llm.simhash import SEGMENTS, fingerprints, hamming_components, near_duplicates
+from strandlake.llm.simhash import SEGMENTS, deduplicate, fingerprints, hamming_components, near_duplicates
 
 SCHEMA = "doc_id long, text string, fp string, node long, component string"
 
@@ -71,6 +71,9 @@ def test_documents(spark):
         else:
             assert (r.fingerprint, r.component_id) == (f"{fps[r.doc_id]:016x}", want[r.doc_id])
     assert near_duplicates(df.limit(0)).collect() == []
+    kept = deduplicate(df)
+    assert kept.columns == df.columns
+    assert sorted(str(r.doc_id) for r in kept.collect()) == sorted([str(i) for i in want if want[i] == i] + ["None"])
 
 
 @pytest.mark.parametrize("bucket", [4096, 60, 5])
