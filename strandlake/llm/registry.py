@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from . import decontamination, embeddings, language, packing, secrets, sharding, simhash
+from . import decontamination, embeddings, language, licenses, packing, secrets, sharding, simhash
 
-MODULES = (sharding, packing, language, secrets, simhash, decontamination, embeddings)
+MODULES = (sharding, packing, language, secrets, simhash, decontamination, embeddings, licenses)
 
 
 def queries() -> dict:
