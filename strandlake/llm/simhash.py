@@ -28,6 +28,13 @@ WORDS, RADIUS, SEED = 4, 4, 42
 #: (lowest bit, bits, allowance) of each segment: allowances sum to RADIUS - 2, one less than segments need to miss a pair.
 SEGMENTS = ((42, 22, 1), (21, 21, 1), (0, 21, 0))
 BUCKET, BALL = 4096, RADIUS // 2
+#: For similarity: a sketch has SKETCH fingerprints; its first bits are PARTS segments of PART_BITS, looked up with up to FLIPS
+#: of their WEAK least certain bits changed.
+SKETCH, PARTS, PART_BITS, WEAK, FLIPS = 16, 12, 21, 6, 2
+#: Two texts with a Jaccard similarity of 0.8 have 15.15 % differing bits (the angle between their count vectors). In the
+#: first 64 bits that is 9.7, so 19 keep all but one in a thousand; pairs within 8 are linked by a forest. In all bits
+#: 15.15 % and a standard deviation decide.
+NEAR, FAR, COMPLETE = 8, 19, 167
 LOWER = bytes.maketrans(bytes(range(65, 91)), bytes(range(97, 123)))
 LANES = np.uint64(0x0101010101010101)
 
@@ -43,27 +50,37 @@ def shingle_hashes(text: str, words: int = WORDS) -> bytes:
     return b"".join([digest(b" ".join(s), SEED) for s in zip(*(found[k:] for k in range(words)), strict=False)])
 
 
-def fingerprints(texts: list[str], words: int = WORDS) -> np.ndarray:
-    """Majority of the hashes in each bit; bits are counted in byte lanes, 255 hashes at a time."""
-    each = [shingle_hashes(t, words) for t in texts]
-    counts = np.array([len(b) // 8 for b in each], np.int64)
-    values = np.frombuffer(b"".join(each), ">u8").astype(np.uint64)
-    ends = np.cumsum(counts)
+def bit_counts(values: np.ndarray, counts: np.ndarray) -> np.ndarray:
+    """How many of each text's hashes have each bit: bits are counted in byte lanes, 255 hashes at a time."""
+    out, ends = np.zeros((len(counts), 64), np.int64), np.cumsum(counts)
     blocks = [np.arange(end - n, end, 255) for n, end in zip(counts, ends, strict=True) if n]
-    out = np.zeros(len(texts), np.uint64)
     if not blocks:
         return out
-    per_text, starts = [len(b) for b in blocks], np.concatenate(blocks)
-    first = np.concatenate([[0], np.cumsum(per_text)[:-1]])
+    starts, first = np.concatenate(blocks), np.concatenate([[0], np.cumsum([len(b) for b in blocks])[:-1]])
     filled = np.flatnonzero(counts)
     for bit in range(8):
         lanes = np.add.reduceat((values >> np.uint64(bit)) & LANES, starts)
-        ones = np.add.reduceat(lanes.astype("<u8").view(np.uint8).reshape(-1, 8).astype(np.int64), first, axis=0)
-        major = (2 * ones > counts[filled, None]).astype(np.uint64)
-        out[filled] |= (major << (np.arange(8, dtype=np.uint64) * np.uint64(8) + np.uint64(bit))).sum(axis=1, dtype=np.uint64)
+        out[filled, bit::8] = np.add.reduceat(lanes.astype("<u8").view(np.uint8).reshape(-1, 8).astype(np.int64), first, axis=0)
     return out
 
 
+def packed(ones: np.ndarray, counts: np.ndarray) -> np.ndarray:
+    """Majorities as numbers, bit 0 lowest."""
+    return np.packbits(2 * ones > counts[:, None], axis=1, bitorder="little").view("<u8").astype(np.uint64)[:, 0]
+
+
+def hashes_of(texts: list[str], words: int) -> tuple[np.ndarray, np.ndarray]:
+    """All shingles' hashes, and how many each text has."""
+    each = [shingle_hashes(t, words) for t in texts]
+    return np.frombuffer(b"".join(each), ">u8").astype(np.uint64), np.array([len(b) // 8 for b in each], np.int64)
+
+
+def fingerprints(texts: list[str], words: int = WORDS) -> np.ndarray:
+    """Majority of the hashes in each bit."""
+    values, counts = hashes_of(texts, words)
+    return packed(bit_counts(values, counts), counts) if len(texts) else np.zeros(0, np.uint64)
+
+
 def fingerprint_table(docs: DataFrame, words: int = WORDS) -> DataFrame:
     """(doc_id, fp long) of every row of (doc_id, text); a text without words, or null, has fingerprint zero."""
 
@@ -124,12 +141,12 @@ def forest_links(key: np.ndarray, fp: np.ndarray, home: np.ndarray, radius: int)
     return links
 
 
-def bucket_links(batches: Iterator[pa.RecordBatch], bucket: int, radius: int) -> Iterator[pa.RecordBatch]:
-    """Over rows (key, fp, node, home) sorted by key: links (a, b), and (a, null) for each row of a key with more rows than ``bucket``."""
+def bucket_links(batches: Iterator[pa.RecordBatch], bucket: int, pairs) -> Iterator[pa.RecordBatch]:
+    """By ``pairs`` (key, fp, home -> positions), over rows (key, fp, node, home) sorted by key: links (a, b), and (a, null) for each row of a key with more rows than ``bucket``."""
 
     def links(rows: list[np.ndarray]) -> pa.RecordBatch:
         key, fp, node, home = rows
-        found = forest_links(key, fp.view(np.uint64), home.astype(bool), radius)
+        found = pairs(key, fp.view(np.uint64), home.astype(bool))
         a, b = (np.array([x[k] for x in found], np.int64) for k in (0, 1))
         return pa.RecordBatch.from_arrays([pa.array(node[a]), pa.array(node[b])], ["a", "b"])
 
@@ -222,7 +239,7 @@ def hamming_components(prints: DataFrame, segments: tuple = SEGMENTS, radius: in
         raise ValueError("the segments' allowances would miss pairs within the radius, or the radius is odd")
     nodes = materialize(prints.groupBy("fp").agg(F.min("doc_id").alias("node")))
     filed = probes(nodes, segments).repartition("key").sortWithinPartitions("key", "fp")
-    links = materialize(filed.mapInArrow(lambda batches: bucket_links(batches, bucket, radius), "a long, b long"))
+    links = materialize(filed.mapInArrow(lambda batches: bucket_links(batches, bucket, lambda k, f, h: forest_links(k, f, h, radius)), "a long, b long"))
     hot = links.where("b IS NULL").select(F.col("a").alias("node")).distinct()
     edges = links.where("b IS NOT NULL")
     if not hot.isEmpty():
@@ -243,13 +260,137 @@ def near_duplicates(docs: DataFrame, words: int = WORDS, **how) -> DataFrame:
     )
 
 
-def deduplicate(docs: DataFrame, words: int = WORDS, **how) -> DataFrame:
-    """The documents, all columns as they are, that are the first of their component; one of repeated rows.
+# ------------------------------------------------------------------- similarity rather than a few bits
+
+
+def remixed(values: np.ndarray, number: int) -> np.ndarray:
+    """Another hash of the same shingles; the first is the hash itself."""
+    if not number:
+        return values
+    h = values + np.uint64(0x9E3779B97F4A7C15 * number % (1 << 64))
+    h = (h ^ (h >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+    h = (h ^ (h >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+    return h ^ (h >> np.uint64(31))
+
+
+def sketches(texts: list[str], words: int) -> tuple[np.ndarray, np.ndarray]:
+    """SKETCH fingerprints of 64 bits for each text, and the WEAK least certain bits of each segment."""
+    values, counts = hashes_of(texts, words)
+    prints = np.zeros((len(texts), SKETCH), np.uint64)
+    doubt = []
+    for k in range(SKETCH):
+        ones = bit_counts(remixed(values, k), counts)
+        prints[:, k] = packed(ones, counts)
+        if 64 * k < PARTS * PART_BITS:
+            doubt.append(np.abs(2 * ones - counts[:, None]))
+    margin = np.concatenate(doubt, axis=1)[:, : PARTS * PART_BITS].reshape(len(texts), PARTS, PART_BITS)
+    return prints, np.argsort(margin, axis=2, kind="stable")[:, :, :WEAK].astype(np.uint8)
+
+
+def sketch_table(docs: DataFrame, words: int) -> DataFrame:
+    """(doc_id, fp long, sketch binary, weak binary)."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in chunks(batches, "text"):
+            prints, weak = sketches([t or "" for t in batch.column("text").to_pylist()], words)
+            yield pa.RecordBatch.from_arrays(
+                [batch.column("doc_id"), pa.array(prints[:, 0].view(np.int64)), *(pa.array([r.tobytes() for r in x], pa.binary()) for x in (prints.astype("<u8"), weak))],
+                ["doc_id", "fp", "sketch", "weak"],
+            )
+
+    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, "doc_id long, fp long, sketch binary, weak binary")
+
+
+def part_keys(prints: np.ndarray, weak: np.ndarray) -> np.ndarray:
+    """For each text and segment, the segment itself and its ball over the weak bits, as keys that tell segments apart."""
+    bits = np.unpackbits(prints.astype("<u8").view(np.uint8).reshape(len(prints), -1), axis=1, bitorder="little")[:, : PARTS * PART_BITS]
+    own = bits.reshape(len(prints), PARTS, PART_BITS).astype(np.int64) @ (1 << np.arange(PART_BITS, dtype=np.int64))
+    flips = np.int64(1) << weak.astype(np.int64)
+    masks = [np.zeros_like(own)]
+    for chosen in (c for k in range(1, FLIPS + 1) for c in combinations(range(WEAK), k)):
+        masks.append(flips[:, :, list(chosen)].sum(axis=2))
+    return (own[:, :, None] ^ np.stack(masks, axis=2)) | (np.arange(PARTS, dtype=np.int64) << 40)[None, :, None]
+
+
+def candidate_pairs(key: np.ndarray, fp: np.ndarray, home: np.ndarray, near: int, far: int) -> list[tuple[int, int]]:
+    """Positions of pairs under equal keys (sorted), one side at home: a forest of those within ``near`` bits, and of those
+    within ``far`` bits one for each two trees, the closest."""
+    links, n, forest = forest_links(key, fp, home, near), len(key), Forest(len(key))
+    if links:
+        a, b = (np.array([x[k] for x in links]) for k in (0, 1))
+        forest.join(a, b)
+    best: dict[tuple[int, int], tuple[int, int, int]] = {}
+    active, shift = np.arange(n - 1), 1
+    while len(active):
+        active = active[active + shift < n]
+        active = active[key[active] == key[active + shift]]
+        other = active + shift
+        apart = (home[active] | home[other]) & (forest.root[active] != forest.root[other])
+        a, b = active[apart], other[apart]
+        distance = np.bitwise_count(fp[a] ^ fp[b])
+        for x, y, d in zip(*(v[distance <= far].tolist() for v in (a, b, distance)), strict=True):
+            trees = tuple(sorted((int(forest.root[x]), int(forest.root[y]))))
+            if trees not in best or d < best[trees][0]:
+                best[trees] = (d, x, y)
+        shift += 1
+    return links + [(x, y) for _, x, y in best.values()]
+
+
+def similar_components(prints: DataFrame, bucket: int = BUCKET) -> DataFrame:
+    """(fp, component) of a sketch table: components of texts whose shingle sets are similar, by their smallest id.
+
+    Pairs meet under a segment of the sketch, where one side is looked up in the small Hamming ball over the bits it is
+    least sure of; the first 64 bits sieve them, and the complete distance of all SKETCH fingerprints decides. Equal
+    fingerprints are one node. Keys with more than ``bucket`` rows go by ``dense_links`` of the first fingerprint
+    beside their other segments, so none is dropped.
+    """
+    one = F.min(F.struct("doc_id", "sketch", "weak")).alias("o")
+    nodes = materialize(prints.groupBy("fp").agg(one).select("fp", F.col("o.doc_id").alias("node"), "o.sketch", "o.weak"))
+
+    def filed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at in range(0, batch.num_rows, 1000):
+                part = batch.slice(at, 1000)
+                sketch = np.frombuffer(b"".join(part.column("sketch").to_pylist()), "<u8").reshape(-1, SKETCH)
+                weak = np.frombuffer(b"".join(part.column("weak").to_pylist()), np.uint8).reshape(-1, PARTS, WEAK)
+                keys = part_keys(sketch, weak)
+                each = keys.shape[1] * keys.shape[2]
+                home = np.zeros(keys.shape, bool)
+                home[:, :, 0] = True
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(keys.ravel()), *(pa.array(np.repeat(part.column(c).to_numpy(), each)) for c in ("fp", "node")), pa.array(home.ravel())], ["key", "fp", "node", "home"]
+                )
+
+    rows = nodes.select("fp", "node", "sketch", "weak").mapInArrow(filed, "key long, fp long, node long, home boolean")
+    dealt = rows.repartition("key").sortWithinPartitions("key", "fp")
+    found = materialize(dealt.mapInArrow(lambda batches: bucket_links(batches, bucket, lambda k, f, h: candidate_pairs(k, f, h, NEAR, FAR)), "a long, b long"))
+    pairs = found.where("b IS NOT NULL")
+    hot = found.where("b IS NULL").select(F.col("a").alias("node")).distinct()
+    if not hot.isEmpty():
+        pairs = pairs.unionByName(dense_links(nodes.join(hot, "node").select("fp", "node")))
+    pairs = pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+    side = lambda c: nodes.select(F.col("node").alias(c), F.col("sketch").alias(f"sketch_{c}"))
+    both = pairs.join(side("a"), "a").join(side("b"), "b")
+
+    def verified(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            x, y = (np.frombuffer(b"".join(batch.column(f"sketch_{c}").to_pylist()), "<u8").reshape(-1, SKETCH) for c in "ab")
+            yield batch.filter(pa.array(np.bitwise_count(x ^ y).sum(axis=1) <= COMPLETE)).select(["a", "b"])
+
+    parts = connected_components(both.select("a", "b", "sketch_a", "sketch_b").mapInArrow(verified, "a long, b long"))
+    return nodes.join(parts, "node", "left").select("fp", F.coalesce("component", "node").alias("component"))
+
+
+def deduplicate(docs: DataFrame, words: int = 5, **how) -> DataFrame:
+    """The documents, all columns as they are, that are the first of their group of near copies; one of repeated rows.
 
-    Rows without a doc_id stay: there is no telling which of them to keep. Only (doc_id, fp) pairs are gathered to
-    find the components; a text moves at most once, to meet the ids that stay.
+    Near copies are texts whose shingle sets have a Jaccard similarity of about 0.8 or more. Rows without a doc_id stay:
+    there is no telling which of them to keep. Only sketches are gathered to find the groups; a text moves at most
+    once, to meet the ids that stay.
     """
-    parts = near_duplicates(docs, words, **how).where("doc_id IS NOT NULL")
+    prints = materialize(sketch_table(docs, words).where("doc_id IS NOT NULL"))
+    groups = similar_components(prints, **how)
+    parts = materialize(prints.select("doc_id", "fp").join(groups, "fp").select("doc_id", F.col("component").alias("component_id")))
     kept = parts.where("doc_id = component_id").select(F.col("doc_id").alias("_kept")).distinct()
     named = docs.join(kept.hint("shuffle_hash"), docs["doc_id"] == F.col("_kept"), "left_semi")
     again = parts.groupBy("doc_id").count().where("count > 1").select(F.col("doc_id").alias("_again"))
