@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from strandlake.functions import seq as S
+from strandlake.functions import vector as V
 
 BASES = "ACGT"
 
@@ -25,23 +26,21 @@ def composition_map(prefix: str = "") -> F.Column:
 
 def quality_by_position(reads: DataFrame, max_position: int | None = None, offset: int = 33) -> DataFrame:
     """(position, mean_quality): the sum of scores over the number of scores above zero, at least 1, at each position."""
-    scores = S.phred("quality", offset)
-    if max_position:
-        scores = F.slice(scores, 1, max_position)
-    each = reads.select(F.posexplode(scores).alias("position", "score"))
-    return each.groupBy("position").agg((F.sum("score") / F.greatest(F.count_if(F.col("score") > 0), F.lit(1))).alias("mean_quality"))
+    sums = V.position_sums(reads, max_position, offset)
+    return sums.select("position", (F.col("total") / F.greatest("above", F.lit(1))).alias("mean_quality"))
 
 
 def trim_by_quality(reads: DataFrame, min_quality: float = 20, window: int = 5, offset: int = 33) -> DataFrame:
     """Reads cut where the first low window starts; reads cut to nothing are dropped."""
     cut = F.col("_cut").cast("int")
-    found = reads.withColumn("_cut", S.trim_position("quality", min_quality, window, offset)).where("_cut > 0")
+    found = reads.withColumn("_cut", V.trim_position("quality", min_quality, window, offset)).where("_cut > 0")
     return found.withColumn("sequence", F.substring("sequence", F.lit(1), cut)).withColumn("quality", F.substring("quality", F.lit(1), cut)).drop("_cut")
 
 
 def filter_by_quality(reads: DataFrame, min_mean_quality: float = 20.0, min_length: int = 20, max_n_ratio: float = 0.1, offset: int = 33) -> DataFrame:
     """Reads that meet all three bounds, each included."""
-    return reads.where((F.length("sequence") >= min_length) & (S.n_ratio("sequence") <= max_n_ratio) & (S.mean_score("quality", offset) >= min_mean_quality))
+    cheap = reads.where((F.length("sequence") >= min_length) & (S.n_ratio("sequence") <= max_n_ratio))
+    return cheap.where(V.mean_score("quality", offset) >= min_mean_quality)
 
 
 def report(reads: DataFrame, offset: int = 33) -> DataFrame:
@@ -50,7 +49,7 @@ def report(reads: DataFrame, offset: int = 33) -> DataFrame:
     per_read = reads.select(
         F.length("sequence").cast("long").alias("len"),
         S.gc_percent("sequence").alias("gc"),
-        F.aggregate(S.phred("quality", offset), F.lit(0).cast("long"), lambda a, x: a + x).alias("q"),
+        F.round(V.mean_score("quality", offset) * F.length("quality")).cast("long").alias("q"),
         F.length("quality").cast("long").alias("nq"),
         *[S.count_of(s, b).alias(b.lower()) for b in BASES],
     )

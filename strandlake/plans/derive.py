@@ -16,13 +16,19 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """Deal rows out if the input has fewer splits than there are cores, as one small file has; larger inputs don't move."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+
+
 def nucleotides(text: str = "text"):
     return F.translate(F.upper(F.regexp_replace(text, "[^A-Za-z]", "")), FROM, TO)
 
 
 def sequences(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(doc_id, sequence)."""
-    return table(spark, sf_dir, "documents").select("doc_id", nucleotides().alias("sequence"))
+    return spread(table(spark, sf_dir, "documents").select("doc_id", "text")).select("doc_id", nucleotides().alias("sequence"))
 
 
 def reads(spark: SparkSession, sf_dir: str) -> DataFrame:

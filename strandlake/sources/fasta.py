@@ -170,7 +170,7 @@ def read_fasta_text(spark: SparkSession, path: str) -> DataFrame:
     lines = F.split(F.regexp_replace("value", "\r", ""), "\n")
     head = F.trim(F.element_at(lines, 1))
     words = F.split(head, r"\s+", 2)
-    sequence = F.array_join(F.transform(F.slice(lines, F.lit(2), F.greatest(F.size(lines) - 1, F.lit(0))), F.trim), "")
+    sequence = F.array_join(F.transform(F.slice(lines, F.lit(2), F.greatest(F.size(lines) - 1, F.lit(0))), lambda c: F.trim(c)), "")
     return blocks.where(head != "").select(F.element_at(words, 1).alias("record_id"), F.when(F.size(words) > 1, F.element_at(words, 2)).alias("description"), sequence.alias("sequence"))
 
 
@@ -252,7 +252,8 @@ def simulate_reads(references: DataFrame, num_reads: int, read_length: int, erro
     def base(x):
         place = F.col("start") + x["i"]
         draw = drawn(F.col("ref_id"), F.col("read_idx"), x["i"], F.lit("e"))
-        other = F.substring(F.translate(F.lit("ACGT"), F.upper(x["c"]), ""), (F.floor(drawn(F.col("ref_id"), F.col("read_idx"), x["i"], F.lit("b")) * 3) + 1).cast("int"), F.lit(1))
+        others = F.filter(F.array(*[F.lit(b) for b in "ACGT"]), lambda b: b != F.upper(x["c"]))
+        other = F.get(others, F.floor(drawn(F.col("ref_id"), F.col("read_idx"), x["i"], F.lit("b")) * 3).cast("int"))
         wrong = F.when(draw < error_rate, other).otherwise(x["c"])
         return F.coalesce(F.try_element_at(planted, place), wrong) if planted is not None else wrong
 

@@ -88,7 +88,7 @@ def load_grid(spark: SparkSession, path: str) -> DataFrame:
 
 def parse_dosage_lines(lines: DataFrame, order: str = "line") -> DataFrame:
     """(line, phenotype, dosages) of strict lines "phenotype,dose,...": equal widths of 3 or more, doses blank or na for missing."""
-    cells = F.transform(F.split("value", ","), F.trim)
+    cells = F.transform(F.split("value", ","), lambda c: F.trim(c))
     kept = lines.where(F.trim("value") != "").select(order, cells.alias("cells"))
     width = kept.agg(F.size(F.min_by("cells", order)).alias("_w"))
     fail = lambda what: F.raise_error(F.lit(what)).cast("double")
