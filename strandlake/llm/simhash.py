@@ -32,9 +32,9 @@ BUCKET, BALL = 4096, RADIUS // 2
 #: of their WEAK least certain bits changed.
 SKETCH, PARTS, PART_BITS, WEAK, FLIPS = 16, 12, 21, 6, 2
 #: Two texts with a Jaccard similarity of 0.8 have 15.15 % differing bits (the angle between their count vectors). In the
-#: first 64 bits that is 9.7, so 19 keep all but one in a thousand; pairs within 8 are linked by a forest. In all bits
-#: 15.15 % and a standard deviation decide.
-NEAR, FAR, COMPLETE = 8, 19, 167
+#: first 64 bits that is 9.7, so 19 keep all but one in a thousand. In all bits 15.15 % and a standard deviation decide.
+SIEVE, COMPLETE = (6, 8, 10, 12, 14, 16, 19), 167
+LINK = ["a", "b", "component_a", "component_b", "bits"]
 LOWER = bytes.maketrans(bytes(range(65, 91)), bytes(range(97, 123)))
 LANES = np.uint64(0x0101010101010101)
 
@@ -105,8 +105,8 @@ class Forest:
                 return
             self.root = up
 
-    def join(self, a: np.ndarray, b: np.ndarray) -> list[tuple[int, int]]:
-        """Unite each a with b; the pairs that joined two trees."""
+    def join(self, a: np.ndarray, b: np.ndarray, label: np.ndarray | None = None) -> list[tuple[int, int]]:
+        """Unite each a with b, or their labels; the pairs that joined two trees."""
         kept, root = [], self.root
 
         def find(x: int) -> int:
@@ -115,8 +115,9 @@ class Forest:
                 x = root[x]
             return x
 
-        for x, y in zip(a.tolist(), b.tolist(), strict=True):
-            p, q = find(x), find(y)
+        ids = [v.tolist() for v in ((a, b) if label is None else (label[a], label[b]))]
+        for x, y, i, j in zip(a.tolist(), b.tolist(), *ids, strict=True):
+            p, q = find(i), find(j)
             if p != q:
                 root[max(p, q)] = min(p, q)
                 kept.append((x, y))
@@ -124,39 +125,60 @@ class Forest:
         return kept
 
 
-def forest_links(key: np.ndarray, fp: np.ndarray, home: np.ndarray, radius: int) -> list[tuple[int, int]]:
-    """Positions of links that span what is within ``radius`` under equal keys (sorted), at least one side at home."""
-    n, forest, links = len(key), Forest(len(key)), []
-    active, shift = np.arange(n - 1), 1
+def forest_links(key: np.ndarray, fp: np.ndarray, home: np.ndarray, radius: int, label: np.ndarray | None = None, forest: Forest | None = None) -> list[tuple[int, int]]:
+    """Positions of links that span what is within ``radius`` under equal keys (sorted), at least one side at home.
+
+    Positions with one label, by default each its own, are one tree from the start; ``forest`` goes on with given trees.
+    """
+    n = len(key)
+    label = np.arange(n) if label is None else label
+    forest = forest or Forest(int(label.max()) + 1)
+    links, active, shift = [], np.arange(n - 1), 1
     while len(active):
         active = active[active + shift < n]
         active = active[key[active] == key[active + shift]]
         other = active + shift
-        near = (home[active] | home[other]) & (forest.root[active] != forest.root[other])
+        near = (home[active] | home[other]) & (forest.root[label[active]] != forest.root[label[other]])
         a, b = active[near], other[near]
         close = np.bitwise_count(fp[a] ^ fp[b]) <= radius
         if close.any():
-            links += forest.join(a[close], b[close])
+            links += forest.join(a[close], b[close], label)
         shift += 1
     return links
 
 
 def bucket_links(batches: Iterator[pa.RecordBatch], bucket: int, pairs) -> Iterator[pa.RecordBatch]:
-    """By ``pairs`` (key, fp, home -> positions), over rows (key, fp, node, home) sorted by key: links (a, b), and (a, null) for each row of a key with more rows than ``bucket``."""
+    """By ``pairs`` (columns -> positions), over rows (key, fp, node, home[, component]) sorted by key: links (a, b), and
+    (a, null) for each row of a key with more rows than ``bucket``; with components also theirs and the bits between."""
+    more = False
 
     def links(rows: list[np.ndarray]) -> pa.RecordBatch:
-        key, fp, node, home = rows
-        found = pairs(key, fp.view(np.uint64), home.astype(bool))
+        fp, node, found = rows[1].view(np.uint64), rows[2], pairs(rows[0], rows[1].view(np.uint64), rows[3].astype(bool), *rows[4:])
         a, b = (np.array([x[k] for x in found], np.int64) for k in (0, 1))
-        return pa.RecordBatch.from_arrays([pa.array(node[a]), pa.array(node[b])], ["a", "b"])
+        columns = [node[a], node[b], *((rows[4][a], rows[4][b], np.bitwise_count(fp[a] ^ fp[b]).astype(np.int64)) if more else ())]
+        return pa.RecordBatch.from_arrays([pa.array(c) for c in columns], LINK[: len(columns)])
+
+    def overfull(nodes: np.ndarray) -> pa.RecordBatch:
+        empty = [pa.nulls(len(nodes), pa.int64())] * (4 if more else 1)
+        return pa.RecordBatch.from_arrays([pa.array(nodes), *empty], LINK[: 1 + len(empty)])
+
+    def compared(rows: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
+        _, n = np.unique(rows[0], return_counts=True)
+        if (n > bucket).any():
+            over = np.repeat(n > bucket, n)
+            yield overfull(rows[2][over])
+            rows = [c[~over] for c in rows]
+        if len(rows[0]):
+            yield links(rows)
 
     held, hot = None, None
     for batch in filter(lambda b: b.num_rows, batches):
         rows = [c.to_numpy(zero_copy_only=False) for c in batch.columns]
+        more = len(rows) > 4
         if hot is not None:  # the rest of a key that has overflowed
             same = int(np.searchsorted(rows[0], hot, "right"))
             if same:
-                yield pa.RecordBatch.from_arrays([pa.array(rows[2][:same]), pa.nulls(same, pa.int64())], ["a", "b"])
+                yield overfull(rows[2][:same])
             rows = [c[same:] for c in rows]
             if not len(rows[0]):
                 continue
@@ -165,25 +187,12 @@ def bucket_links(batches: Iterator[pa.RecordBatch], bucket: int, pairs) -> Itera
         last = int(np.searchsorted(held[0], held[0][-1]))  # the last key may go on in the next batch
         if len(held[0]) - last > bucket:
             hot = held[0][-1]
-            yield pa.RecordBatch.from_arrays([pa.array(held[2][last:]), pa.nulls(len(held[0]) - last, pa.int64())], ["a", "b"])
-            held = [c[:last] for c in held]
-        if len(held[0]) and (last or hot is not None):
-            yield from _without_hot([c[:last] for c in held], bucket, links)
-            held = [c[last:] for c in held]
-        if hot is not None:
-            held = None
+            yield overfull(held[2][last:])
+        if last:
+            yield from compared([c[:last] for c in held])
+        held = None if hot is not None else [c[last:] for c in held]
     if held is not None and len(held[0]):
-        yield from _without_hot(held, bucket, links)
-
-
-def _without_hot(rows, bucket, links):
-    _, first, n = np.unique(rows[0], return_index=True, return_counts=True)
-    if (n > bucket).any():
-        over = np.repeat(n > bucket, n)
-        yield pa.RecordBatch.from_arrays([pa.array(rows[2][over]), pa.nulls(int(over.sum()), pa.int64())], ["a", "b"])
-        rows = [c[~over] for c in rows]
-    if len(rows[0]):
-        yield links(rows)
+        yield from compared(held)
 
 
 def probes(nodes: DataFrame, segments: tuple = SEGMENTS) -> DataFrame:
@@ -239,7 +248,7 @@ def hamming_components(prints: DataFrame, segments: tuple = SEGMENTS, radius: in
         raise ValueError("the segments' allowances would miss pairs within the radius, or the radius is odd")
     nodes = materialize(prints.groupBy("fp").agg(F.min("doc_id").alias("node")))
     filed = probes(nodes, segments).repartition("key").sortWithinPartitions("key", "fp")
-    links = materialize(filed.mapInArrow(lambda batches: bucket_links(batches, bucket, lambda k, f, h: forest_links(k, f, h, radius)), "a long, b long"))
+    links = materialize(filed.mapInArrow(lambda batches: bucket_links(batches, bucket, lambda key, fp, home: forest_links(key, fp, home, radius)), "a long, b long"))
     hot = links.where("b IS NULL").select(F.col("a").alias("node")).distinct()
     edges = links.where("b IS NOT NULL")
     if not hot.isEmpty():
@@ -312,40 +321,27 @@ def part_keys(prints: np.ndarray, weak: np.ndarray) -> np.ndarray:
     return (own[:, :, None] ^ np.stack(masks, axis=2)) | (np.arange(PARTS, dtype=np.int64) << 40)[None, :, None]
 
 
-def candidate_pairs(key: np.ndarray, fp: np.ndarray, home: np.ndarray, near: int, far: int) -> list[tuple[int, int]]:
-    """Positions of pairs under equal keys (sorted), one side at home: a forest of those within ``near`` bits, and of those
-    within ``far`` bits one for each two trees, the closest."""
-    links, n, forest = forest_links(key, fp, home, near), len(key), Forest(len(key))
-    if links:
-        a, b = (np.array([x[k] for x in links]) for k in (0, 1))
-        forest.join(a, b)
-    best: dict[tuple[int, int], tuple[int, int, int]] = {}
-    active, shift = np.arange(n - 1), 1
-    while len(active):
-        active = active[active + shift < n]
-        active = active[key[active] == key[active + shift]]
-        other = active + shift
-        apart = (home[active] | home[other]) & (forest.root[active] != forest.root[other])
-        a, b = active[apart], other[apart]
-        distance = np.bitwise_count(fp[a] ^ fp[b])
-        for x, y, d in zip(*(v[distance <= far].tolist() for v in (a, b, distance)), strict=True):
-            trees = tuple(sorted((int(forest.root[x]), int(forest.root[y]))))
-            if trees not in best or d < best[trees][0]:
-                best[trees] = (d, x, y)
-        shift += 1
-    return links + [(x, y) for _, x, y in best.values()]
+def candidate_pairs(key: np.ndarray, fp: np.ndarray, home: np.ndarray, component: np.ndarray) -> list[tuple[int, int]]:
+    """Positions of pairs under equal keys (sorted), one side at home, that span the components within SIEVE[-1] bits, the
+    closest first: as many as components at most, not as many as pairs."""
+    _, label = np.unique(component, return_inverse=True)
+    forest, links = Forest(int(label.max()) + 1), []
+    for radius in SIEVE:
+        links += forest_links(key, fp, home, radius, label, forest)
+    return links
 
 
 def similar_components(prints: DataFrame, bucket: int = BUCKET) -> DataFrame:
     """(fp, component) of a sketch table: components of texts whose shingle sets are similar, by their smallest id.
 
-    Pairs meet under a segment of the sketch, where one side is looked up in the small Hamming ball over the bits it is
-    least sure of; the first 64 bits sieve them, and the complete distance of all SKETCH fingerprints decides. Equal
-    fingerprints are one node. Keys with more than ``bucket`` rows go by ``dense_links`` of the first fingerprint
-    beside their other segments, so none is dropped.
+    Fingerprints within RADIUS bits are linked first. Then pairs of different components meet under a segment of the
+    sketch, where one side is looked up in the small Hamming ball over the bits it is least sure of; the first 64 bits
+    sieve them, and the complete distance of all SKETCH fingerprints decides for the closest pair of two components.
+    A key with more than ``bucket`` rows is left to the keys of the other segments and to the links within RADIUS.
     """
     one = F.min(F.struct("doc_id", "sketch", "weak")).alias("o")
     nodes = materialize(prints.groupBy("fp").agg(one).select("fp", F.col("o.doc_id").alias("node"), "o.sketch", "o.weak"))
+    tight = materialize(nodes.select("fp", "node").join(hamming_components(nodes.select(F.col("node").alias("doc_id"), "fp"), bucket=bucket), "fp").select("node", "component"))
 
     def filed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -357,18 +353,14 @@ def similar_components(prints: DataFrame, bucket: int = BUCKET) -> DataFrame:
                 each = keys.shape[1] * keys.shape[2]
                 home = np.zeros(keys.shape, bool)
                 home[:, :, 0] = True
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(keys.ravel()), *(pa.array(np.repeat(part.column(c).to_numpy(), each)) for c in ("fp", "node")), pa.array(home.ravel())], ["key", "fp", "node", "home"]
-                )
+                columns = [pa.array(np.repeat(part.column(c).to_numpy(), each)) for c in ("fp", "node", "component")]
+                yield pa.RecordBatch.from_arrays([pa.array(keys.ravel()), *columns[:2], pa.array(home.ravel()), columns[2]], ["key", "fp", "node", "home", "component"])
 
-    rows = nodes.select("fp", "node", "sketch", "weak").mapInArrow(filed, "key long, fp long, node long, home boolean")
+    rows = nodes.join(tight, "node").select("fp", "node", "component", "sketch", "weak").mapInArrow(filed, "key long, fp long, node long, home boolean, component long")
     dealt = rows.repartition("key").sortWithinPartitions("key", "fp")
-    found = materialize(dealt.mapInArrow(lambda batches: bucket_links(batches, bucket, lambda k, f, h: candidate_pairs(k, f, h, NEAR, FAR)), "a long, b long"))
-    pairs = found.where("b IS NOT NULL")
-    hot = found.where("b IS NULL").select(F.col("a").alias("node")).distinct()
-    if not hot.isEmpty():
-        pairs = pairs.unionByName(dense_links(nodes.join(hot, "node").select("fp", "node")))
-    pairs = pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+    found = dealt.mapInArrow(lambda batches: bucket_links(batches, bucket, candidate_pairs), "a long, b long, component_a long, component_b long, bits long").where("b IS NOT NULL")
+    two = [f("component_a", "component_b").alias(n) for f, n in ((F.least, "x"), (F.greatest, "y"))]
+    pairs = materialize(found.groupBy(*two).agg(F.min(F.struct("bits", "a", "b")).alias("p")).select("p.a", "p.b"))
     side = lambda c: nodes.select(F.col("node").alias(c), F.col("sketch").alias(f"sketch_{c}"))
     both = pairs.join(side("a"), "a").join(side("b"), "b")
 
@@ -377,7 +369,8 @@ def similar_components(prints: DataFrame, bucket: int = BUCKET) -> DataFrame:
             x, y = (np.frombuffer(b"".join(batch.column(f"sketch_{c}").to_pylist()), "<u8").reshape(-1, SKETCH) for c in "ab")
             yield batch.filter(pa.array(np.bitwise_count(x ^ y).sum(axis=1) <= COMPLETE)).select(["a", "b"])
 
-    parts = connected_components(both.select("a", "b", "sketch_a", "sketch_b").mapInArrow(verified, "a long, b long"))
+    edges = both.select("a", "b", "sketch_a", "sketch_b").mapInArrow(verified, "a long, b long")
+    parts = connected_components(edges.unionByName(tight.select(F.col("node").alias("a"), F.col("component").alias("b"))))
     return nodes.join(parts, "node", "left").select("fp", F.coalesce("component", "node").alias("component"))
 
 
