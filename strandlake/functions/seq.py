@@ -1,4 +1,4 @@
-"""Column functions over nucleotide sequences. All are built-in expressions, so Catalyst can push and fuse them.
+"""Column functions over nucleotide sequences: built-in expressions, so Catalyst can push and fuse them, but for motifs.
 
 Alphabet codes: A C G T N are 0 to 4, and R Y S W K M B D H V, if asked for, 5 to 14. U counts as T; case is ignored;
 anything else is N.
@@ -9,6 +9,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from strandlake.functions import vector
+
 # The order of letters gives their codes.
 CANONICAL, IUPAC = "ACGTN", "RYSWKMBDHV"
 N_CODE = 4
@@ -87,9 +89,7 @@ def motif_positions(seq: Column | str, motif: str) -> Column:
     """All 0-based places of a motif, overlapping ones too, ignoring case."""
     if not motif:
         raise ValueError("empty motif")
-    text, m = F.upper(col(seq)), len(motif)
-    starts = F.when(F.length(text) >= m, F.sequence(F.lit(0), F.length(text) - m)).otherwise(F.array().cast("array<int>"))
-    return F.filter(starts, lambda i: piece(text, i + 1, m) == motif.upper())
+    return vector.motif_positions(seq, motif)
 
 
 def cut_positions(seq: Column | str, enzyme: str) -> Column:

@@ -67,6 +67,25 @@ def trim_position(quality: Column | str, min_quality: float = 20, window: int =
     return run(quality)
 
 
+def motif_positions(seq: Column | str, motif: str) -> Column:
+    """All 0-based places of a motif, overlapping ones too, ignoring case; null for null."""
+    wanted = motif.upper()
+
+    @F.arrow_udf("array<int>")
+    def run(texts: pa.Array) -> pa.Array:
+        out = []
+        for text in texts.to_pylist():
+            found, at = None if text is None else [], 0
+            text = (text or "").upper()
+            while (at := text.find(wanted, at)) >= 0:
+                found.append(at)
+                at += 1
+            out.append(found)
+        return pa.array(out, pa.list_(pa.int32()))
+
+    return run(seq)
+
+
 def position_sums(reads: DataFrame, max_position: int | None = None, offset: int = 33) -> DataFrame:
     """(position, total, above): sums of scores and numbers of scores above zero at each position."""
 
