@@ -20,6 +20,16 @@ cloudpickle.register_pickle_by_value(sys.modules[__package__])
 
 #: Text that one numpy step handles at once; bounds the memory of a Python worker.
 CHUNK_BYTES = 2 << 20
+#: Bytes of an Arrow batch between the JVM and Python, where the session has Spark's default of 64 MB.
+BATCH_BYTES, BATCH_CONF = 4 << 20, "spark.sql.execution.arrow.maxBytesPerBatch"
+
+
+def bounded(df: DataFrame) -> DataFrame:
+    """The same table; its session's Arrow batches are bounded in bytes, so that long texts don't add up in memory."""
+    conf = df.sparkSession.conf
+    if conf.get(BATCH_CONF).rstrip("b") == str(64 << 20):
+        conf.set(BATCH_CONF, str(BATCH_BYTES))
+    return df
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

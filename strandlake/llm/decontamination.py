@@ -23,7 +23,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import chunks, table
+from .common import bounded, chunks, table
 
 WORDS, SIMILARITY = 5, 0.8
 BLOCKS, NEAR = 8, 2
@@ -232,7 +232,7 @@ def find_contamination(docs: DataFrame, benchmark: DataFrame, least: float = SIM
                     ["doc_id", "item_id", "first_word", "n_words", "distance", "similarity"],
                 )
 
-        found = docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, MATCHES)
+        found = bounded(docs).select(F.col("doc_id").cast("long"), "text").mapInArrow(run, MATCHES)
         out = found if out is None else out.unionByName(found)
     return out
 
@@ -247,7 +247,7 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, least: float = SIMILARI
                 keep[[r[0] for r in items.matches(batch.column("text"), least)]] = False
                 yield batch.filter(pa.array(keep))
 
-        docs = docs.mapInArrow(run, docs.schema)
+        docs = bounded(docs).mapInArrow(run, docs.schema)
     return docs
 
 

@@ -19,7 +19,7 @@ import regex
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import chunks, table
+from .common import bounded, chunks, table
 
 N, HASHES = 4, 2
 #: At most about so many training documents for each language, by a hash of doc_id: the bound of the fit.
@@ -89,7 +89,7 @@ def count_grams(training: DataFrame) -> DataFrame:
                     [pa.array([each.as_py()] * len(found), pa.string()), pa.array(found, pa.int64()), pa.array(n, pa.int64())], ["lang", "gram", "n"]
                 )
 
-    return training.select("lang", "text").mapInArrow(run, "lang string, gram long, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
+    return bounded(training).select("lang", "text").mapInArrow(run, "lang string, gram long, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
 
 
 def slots_of(codes: np.ndarray, size: int) -> list[np.ndarray]:
@@ -160,7 +160,7 @@ def predict(docs: DataFrame, model: Model, keep: list[str] | None = None) -> Dat
             score = np.where(known, table.max(axis=1), 0.0)
             yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in keep), pa.array(names, pa.string()), pa.array(score, pa.float64())], [*keep, "lang_pred", "score"])
 
-    return docs.select(*keep, F.col("text").alias("_text")).mapInArrow(run, schema)
+    return bounded(docs).select(*keep, F.col("text").alias("_text")).mapInArrow(run, schema)
 
 
 def accepted(docs: DataFrame, model: Model) -> DataFrame:
@@ -179,7 +179,7 @@ def accepted(docs: DataFrame, model: Model) -> DataFrame:
                 keep &= (n < ENOUGH) | (table.max(axis=1) >= ACCEPT)
             yield batch.filter(pa.array(keep))
 
-    return docs.mapInArrow(run, docs.schema)
+    return bounded(docs).mapInArrow(run, docs.schema)
 
 
 def op7_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:

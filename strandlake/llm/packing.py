@@ -25,7 +25,7 @@ import tiktoken
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import chunks, materialize, number_rows, table, worker_cache
+from .common import bounded, chunks, materialize, number_rows, table, worker_cache
 
 WINDOW, END_ID = 1024, 2
 #: (groups, small): the scheme is planned with each; pieces of at most a ``small``-th of the window are short.
@@ -71,7 +71,7 @@ def token_pieces(docs: DataFrame, window: int = WINDOW, path: str | None = None)
                 rows += [(doc, k, at, n, zlib.crc32(ids[4 * at : 4 * (at + n)])) for k, (at, n) in enumerate(cut(len(ids) // 4, window))]
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), PIECES.types, strict=True)], schema=PIECES)
 
-    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, "doc_id long, piece int, start long, length long, ids_crc32 long")
+    return bounded(docs).select(F.col("doc_id").cast("long"), "text").mapInArrow(run, "doc_id long, piece int, start long, length long, ids_crc32 long")
 
 
 # ---------------------------------------------------------------------------------------------- plan

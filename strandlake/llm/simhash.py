@@ -22,7 +22,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import chunks, connected_components, materialize, table
+from .common import bounded, chunks, connected_components, materialize, table
 
 WORDS, RADIUS, SEED = 4, 4, 42
 #: (lowest bit, bits, allowance) of each segment: allowances sum to RADIUS - 2, one less than segments need to miss a pair.
@@ -89,7 +89,7 @@ def fingerprint_table(docs: DataFrame, words: int = WORDS) -> DataFrame:
             fp = fingerprints([t or "" for t in batch.column("text").to_pylist()], words)
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(fp.view(np.int64))], ["doc_id", "fp"])
 
-    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, "doc_id long, fp long")
+    return bounded(docs).select(F.col("doc_id").cast("long"), "text").mapInArrow(run, "doc_id long, fp long")
 
 
 class Forest:
@@ -307,7 +307,7 @@ def sketch_table(docs: DataFrame, words: int) -> DataFrame:
                 ["doc_id", "fp", "sketch", "weak"],
             )
 
-    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, "doc_id long, fp long, sketch binary, weak binary")
+    return bounded(docs).select(F.col("doc_id").cast("long"), "text").mapInArrow(run, "doc_id long, fp long, sketch binary, weak binary")
 
 
 def part_keys(prints: np.ndarray, weak: np.ndarray) -> np.ndarray:

@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import chunks, table, worker_cache
+from .common import bounded, chunks, table, worker_cache
 from .packing import SPECIAL, VOCABULARY, encoder
 
 RULES = ("majority", "start")
@@ -115,7 +115,7 @@ def token_counts(docs: DataFrame, sections: DataFrame | None = None, rule: str =
             types = (pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.int64(), pa.int64())
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), types, strict=True)], ["doc_id", "section", "start", "end", "n_tokens", "n_crossing"])
 
-    return rows.mapInArrow(run, OUT)
+    return bounded(rows).mapInArrow(run, OUT)
 
 
 def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
