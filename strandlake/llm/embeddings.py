@@ -26,7 +26,7 @@ from .simhash import Forest
 COSINE, PROJECTIONS, RECALL = 0.98, 24, 0.9999
 #: Windows, in standard deviations of the difference's projection: of each direction, and of the sorting one.
 WINDOW, SORT_WINDOW = 3.0, 5.0
-BLOCK, STEP = 4096, 1 << 14
+BLOCK, STEP = 1024, 1 << 14
 FIRST = 8
 
 
