@@ -31,10 +31,14 @@ BUCKET, BALL = 4096, RADIUS // 2
 #: For similarity: a sketch has SKETCH fingerprints; its first bits are PARTS segments of PART_BITS, looked up with up to FLIPS
 #: of their WEAK least certain bits changed.
 SKETCH, PARTS, PART_BITS, WEAK, FLIPS = 16, 12, 21, 6, 2
-#: Two texts with a Jaccard similarity of 0.8 have 15.15 % differing bits (the angle between their count vectors). In the
-#: first 64 bits that is 9.7, so 19 keep all but one in a thousand. In all bits 15.15 % and a standard deviation decide.
-SIEVE, COMPLETE = (6, 8, 10, 12, 14, 16, 19), 167
-LINK = ["a", "b", "component_a", "component_b", "bits"]
+#: Two texts are similar from a Jaccard similarity of 4 / 5, by exact sets of shingles.
+SIMILAR = (4, 5)
+#: At 0.8, 15.15 % of a sketch's bits differ (the angle between the sets), 155 of 1024, standard deviation 11.5: the guard is 4
+#: deviations above. Of sets of 4 and 5 shingles it is 18.75 %, for which sets of FEW or less have their own. In the 64 bits of
+#: the sieve 9.7 differ, so 19 keep all but one in a thousand.
+SIEVE, GUARD, FEW, GUARD_FEW = 19, 167, 8, 167
+#: A task compares two blocks of texts: of so many texts, or so many shingles on average.
+BLOCK, BLOCK_SHINGLES = 1024, 1 << 21
 LOWER = bytes.maketrans(bytes(range(65, 91)), bytes(range(97, 123)))
 LANES = np.uint64(0x0101010101010101)
 
@@ -147,38 +151,26 @@ def forest_links(key: np.ndarray, fp: np.ndarray, home: np.ndarray, radius: int,
     return links
 
 
-def bucket_links(batches: Iterator[pa.RecordBatch], bucket: int, pairs) -> Iterator[pa.RecordBatch]:
-    """By ``pairs`` (columns -> positions), over rows (key, fp, node, home[, component]) sorted by key: links (a, b), and
-    (a, null) for each row of a key with more rows than ``bucket``; with components also theirs and the bits between."""
-    more = False
-
-    def links(rows: list[np.ndarray]) -> pa.RecordBatch:
-        fp, node, found = rows[1].view(np.uint64), rows[2], pairs(rows[0], rows[1].view(np.uint64), rows[3].astype(bool), *rows[4:])
-        a, b = (np.array([x[k] for x in found], np.int64) for k in (0, 1))
-        columns = [node[a], node[b], *((rows[4][a], rows[4][b], np.bitwise_count(fp[a] ^ fp[b]).astype(np.int64)) if more else ())]
-        return pa.RecordBatch.from_arrays([pa.array(c) for c in columns], LINK[: len(columns)])
+def by_bucket(batches: Iterator[pa.RecordBatch], bucket: int, compared, overfull) -> Iterator[pa.RecordBatch]:
+    """Over rows sorted by key, the first column: ``compared`` of the rows (columns) of whole keys, several at once, and
+    ``overfull`` of rows of a key with more rows than ``bucket``."""
 
-    def overfull(nodes: np.ndarray) -> pa.RecordBatch:
-        empty = [pa.nulls(len(nodes), pa.int64())] * (4 if more else 1)
-        return pa.RecordBatch.from_arrays([pa.array(nodes), *empty], LINK[: 1 + len(empty)])
-
-    def compared(rows: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
+    def split(rows: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
         _, n = np.unique(rows[0], return_counts=True)
         if (n > bucket).any():
             over = np.repeat(n > bucket, n)
-            yield overfull(rows[2][over])
+            yield overfull([c[over] for c in rows])
             rows = [c[~over] for c in rows]
         if len(rows[0]):
-            yield links(rows)
+            yield compared(rows)
 
     held, hot = None, None
     for batch in filter(lambda b: b.num_rows, batches):
         rows = [c.to_numpy(zero_copy_only=False) for c in batch.columns]
-        more = len(rows) > 4
         if hot is not None:  # the rest of a key that has overflowed
             same = int(np.searchsorted(rows[0], hot, "right"))
             if same:
-                yield overfull(rows[2][:same])
+                yield overfull([c[:same] for c in rows])
             rows = [c[same:] for c in rows]
             if not len(rows[0]):
                 continue
@@ -187,12 +179,23 @@ def bucket_links(batches: Iterator[pa.RecordBatch], bucket: int, pairs) -> Itera
         last = int(np.searchsorted(held[0], held[0][-1]))  # the last key may go on in the next batch
         if len(held[0]) - last > bucket:
             hot = held[0][-1]
-            yield overfull(held[2][last:])
+            yield overfull([c[last:] for c in held])
         if last:
-            yield from compared([c[:last] for c in held])
+            yield from split([c[:last] for c in held])
         held = None if hot is not None else [c[last:] for c in held]
     if held is not None and len(held[0]):
-        yield from compared(held)
+        yield from split(held)
+
+
+def bucket_links(batches: Iterator[pa.RecordBatch], bucket: int, pairs) -> Iterator[pa.RecordBatch]:
+    """By ``pairs`` (columns -> positions), over rows (key, fp, node, home) sorted by key: links (a, b), and (a, null) for
+    each row of a key with more rows than ``bucket``."""
+
+    def links(rows: list[np.ndarray]) -> pa.RecordBatch:
+        found = pairs(rows[0], rows[1].view(np.uint64), rows[3].astype(bool))
+        return pa.RecordBatch.from_arrays([pa.array(rows[2][np.array([x[k] for x in found], np.int64)]) for k in (0, 1)], ["a", "b"])
+
+    yield from by_bucket(batches, bucket, links, lambda rows: pa.RecordBatch.from_arrays([pa.array(rows[2]), pa.nulls(len(rows[2]), pa.int64())], ["a", "b"]))
 
 
 def probes(nodes: DataFrame, segments: tuple = SEGMENTS) -> DataFrame:
@@ -282,32 +285,42 @@ def remixed(values: np.ndarray, number: int) -> np.ndarray:
     return h ^ (h >> np.uint64(31))
 
 
-def sketches(texts: list[str], words: int) -> tuple[np.ndarray, np.ndarray]:
-    """SKETCH fingerprints of 64 bits for each text, and the WEAK least certain bits of each segment."""
-    values, counts = hashes_of(texts, words)
-    prints = np.zeros((len(texts), SKETCH), np.uint64)
+def distinct_hashes(texts: list[str], words: int) -> list[np.ndarray]:
+    """The sorted hashes of each text's set of shingles."""
+    return [np.unique(np.frombuffer(shingle_hashes(t, words), ">u8").astype(np.uint64)) for t in texts]
+
+
+def sketches(sets: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """SKETCH fingerprints of 64 bits for each set of hashes, and the WEAK least certain bits of each segment."""
+    counts = np.array([len(s) for s in sets], np.int64)
+    values = np.concatenate([*sets, np.zeros(0, np.uint64)])
+    prints = np.zeros((len(sets), SKETCH), np.uint64)
     doubt = []
     for k in range(SKETCH):
         ones = bit_counts(remixed(values, k), counts)
         prints[:, k] = packed(ones, counts)
         if 64 * k < PARTS * PART_BITS:
             doubt.append(np.abs(2 * ones - counts[:, None]))
-    margin = np.concatenate(doubt, axis=1)[:, : PARTS * PART_BITS].reshape(len(texts), PARTS, PART_BITS)
+    margin = np.concatenate(doubt, axis=1)[:, : PARTS * PART_BITS].reshape(len(sets), PARTS, PART_BITS)
     return prints, np.argsort(margin, axis=2, kind="stable")[:, :, :WEAK].astype(np.uint8)
 
 
 def sketch_table(docs: DataFrame, words: int) -> DataFrame:
-    """(doc_id, fp long, sketch binary, weak binary)."""
+    """(doc_id, same binary, n int, fp long, sketch binary, weak binary): ``same`` is a digest of the set of n shingles."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in chunks(batches, "text"):
-            prints, weak = sketches([t or "" for t in batch.column("text").to_pylist()], words)
+            sets = distinct_hashes([t or "" for t in batch.column("text").to_pylist()], words)
+            prints, weak = sketches(sets)
             yield pa.RecordBatch.from_arrays(
-                [batch.column("doc_id"), pa.array(prints[:, 0].view(np.int64)), *(pa.array([r.tobytes() for r in x], pa.binary()) for x in (prints.astype("<u8"), weak))],
-                ["doc_id", "fp", "sketch", "weak"],
+                [
+                    batch.column("doc_id"), pa.array([xxhash.xxh3_128_digest(s.tobytes()) for s in sets], pa.binary()), pa.array([len(s) for s in sets], pa.int32()),
+                    pa.array(prints[:, 0].view(np.int64)), *(pa.array([r.tobytes() for r in x], pa.binary()) for x in (prints.astype("<u8"), weak)),
+                ],
+                ["doc_id", "same", "n", "fp", "sketch", "weak"],
             )
 
-    return bounded(docs).select(F.col("doc_id").cast("long"), "text").mapInArrow(run, "doc_id long, fp long, sketch binary, weak binary")
+    return bounded(docs).select(F.col("doc_id").cast("long"), "text").mapInArrow(run, "doc_id long, same binary, n int, fp long, sketch binary, weak binary")
 
 
 def part_keys(prints: np.ndarray, weak: np.ndarray) -> np.ndarray:
@@ -321,27 +334,139 @@ def part_keys(prints: np.ndarray, weak: np.ndarray) -> np.ndarray:
     return (own[:, :, None] ^ np.stack(masks, axis=2)) | (np.arange(PARTS, dtype=np.int64) << 40)[None, :, None]
 
 
-def candidate_pairs(key: np.ndarray, fp: np.ndarray, home: np.ndarray, component: np.ndarray) -> list[tuple[int, int]]:
-    """Positions of pairs under equal keys (sorted), one side at home, that span the components within SIEVE[-1] bits, the
-    closest first: as many as components at most, not as many as pairs."""
-    _, label = np.unique(component, return_inverse=True)
-    forest, links = Forest(int(label.max()) + 1), []
-    for radius in SIEVE:
-        links += forest_links(key, fp, home, radius, label, forest)
-    return links
+def meeting(key: np.ndarray, fp: np.ndarray, home: np.ndarray, component: np.ndarray) -> np.ndarray:
+    """Which rows are, under equal keys (sorted), within SIEVE bits of a row of another component, one of the two at home."""
+    n = len(key)
+    first = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
+    number = np.repeat(np.arange(len(first)), np.diff(np.append(first, n)))
+    met, active, shift = np.zeros(n, bool), np.arange(n - 1), 1
+    while len(active):
+        active = active[active + shift < n]
+        active = active[key[active] == key[active + shift]]
+        other = active + shift
+        near = (home[active] | home[other]) & (component[active] != component[other]) & ~(met[active] & met[other])
+        a, b = active[near], other[near]
+        close = np.bitwise_count(fp[a] ^ fp[b]) <= SIEVE
+        met[a[close]] = met[b[close]] = True
+        if shift % 64 == 0:
+            active = active[~np.logical_and.reduceat(met, first)[number[active]]]
+        shift += 1
+    return met
+
+
+def meetings(batches: Iterator[pa.RecordBatch], bucket: int) -> Iterator[pa.RecordBatch]:
+    """(meet, node, hot) over rows (key, fp, node, home, component) sorted by key: who meets, under a number for each set of
+    nodes, so that keys with the same nodes are one; and all rows of a key with more than ``bucket``, by that key, as hot."""
+
+    def rows_of(meet: np.ndarray, node: np.ndarray, hot: bool) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(meet), pa.array(node), pa.array(np.full(len(node), hot))], ["meet", "node", "hot"])
 
+    def compared(rows: list[np.ndarray]) -> pa.RecordBatch:
+        met = meeting(rows[0], rows[1].view(np.uint64), rows[3].astype(bool), rows[4])
+        key, node = rows[0][met], rows[2][met]
+        if not len(key):
+            return rows_of(key, node, False)
+        first = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
+        sums = np.add.reduceat(remixed(node.view(np.uint64), 1), first)
+        return rows_of(np.repeat(sums, np.diff(np.append(first, len(key)))).view(np.int64), node, False)
 
-def similar_components(prints: DataFrame, bucket: int = BUCKET) -> DataFrame:
-    """(fp, component) of a sketch table: components of texts whose shingle sets are similar, by their smallest id.
+    yield from by_bucket(batches, bucket, compared, lambda rows: rows_of(rows[0], rows[2], True))
 
-    Fingerprints within RADIUS bits are linked first. Then pairs of different components meet under a segment of the
-    sketch, where one side is looked up in the small Hamming ball over the bits it is least sure of; the first 64 bits
-    sieve them, and the complete distance of all SKETCH fingerprints decides for the closest pair of two components.
-    A key with more than ``bucket`` rows is left to the keys of the other segments and to the links within RADIUS.
+
+def guard_links(key: np.ndarray, sketch: np.ndarray, n: np.ndarray, component: np.ndarray) -> list[tuple[int, int]]:
+    """Positions of links that span what may be similar under equal keys (sorted), by the distance of whole sketches."""
+    label = np.unique(component, return_inverse=True)[1]
+    forest = Forest(int(label.max()) + 1)
+    links, active, shift = [], np.arange(len(key) - 1), 1
+    while len(active):
+        active = active[active + shift < len(key)]
+        active = active[key[active] == key[active + shift]]
+        other = active + shift
+        apart = forest.root[label[active]] != forest.root[label[other]]
+        a, b = active[apart], other[apart]
+        least, most = np.minimum(n[a], n[b]), np.maximum(n[a], n[b])
+        fits = least * SIMILAR[1] >= most * SIMILAR[0]
+        a, b, least = a[fits], b[fits], least[fits]
+        close = np.bitwise_count(sketch[a] ^ sketch[b]).sum(axis=1) <= np.where(least <= FEW, GUARD_FEW, GUARD)
+        if close.any():
+            links += forest.join(a[close], b[close], label)
+        shift += 1
+    return links
+
+
+def similar_links(texts: list[str], node: np.ndarray, side: np.ndarray, words: int) -> list[tuple[int, int]]:
+    """Links (nodes) that span the texts whose sets of shingles have a Jaccard similarity of SIMILAR or more, by the sets
+    themselves: of two texts of sides 0 and 1, or of any two of side 2."""
+    sets = distinct_hashes(texts, words)
+    some = [k for k, s in enumerate(sets) if len(s)]
+    sizes, side = np.array([len(sets[k]) for k in some], np.int64), side[some]
+    if len(some) < 2:
+        return []
+    names, label = np.unique(node[some], return_inverse=True)
+    values, code = np.unique(np.concatenate([sets[k] for k in some]), return_inverse=True)
+    ends = np.cumsum(sizes)
+    starts, held, forest, links = ends - sizes, np.zeros(len(values), bool), Forest(len(names)), []
+    for i in range(len(some) - 1):
+        j = np.arange(i + 1, len(some))
+        least, most = np.minimum(sizes[i], sizes[j]), np.maximum(sizes[i], sizes[j])
+        open_ = (forest.root[label[j]] != forest.root[label[i]]) & (least * SIMILAR[1] >= most * SIMILAR[0]) & ((side[j] == 2) | (side[j] != side[i]))
+        if not open_.any():
+            continue
+        own = code[starts[i] : ends[i]]
+        held[own] = True
+        shared = np.add.reduceat(held[code[ends[i] :]].astype(np.int64), starts[i + 1 :] - ends[i])
+        held[own] = False
+        j = j[open_ & (shared * SIMILAR[1] >= (sizes[i] + sizes[j] - shared) * SIMILAR[0])]
+        links += forest.join(np.full(len(j), i), j, label)
+    return [(int(names[label[a]]), int(names[label[b]])) for a, b in links]
+
+
+def whole_keys(batches: Iterator[pa.RecordBatch], keys: list[str], rows: int = 1 << 14) -> Iterator[tuple[pa.Table, np.ndarray]]:
+    """Tables of sorted rows in which no key is cut, with the places where a key begins."""
+
+    def begins(table: pa.Table) -> np.ndarray:
+        new = np.zeros(table.num_rows, bool)
+        new[0] = True
+        for k in keys:
+            values = table.column(k).to_numpy()
+            new[1:] |= values[1:] != values[:-1]
+        return np.flatnonzero(new)
+
+    held: list[pa.RecordBatch] = []
+    for batch in filter(lambda b: b.num_rows, batches):
+        for at in range(0, batch.num_rows, rows):
+            held.append(batch.slice(at, rows))
+            table = pa.Table.from_batches(held)
+            first = begins(table)
+            if first[-1]:
+                yield table.slice(0, first[-1]), first[:-1]
+                held = table.slice(first[-1]).combine_chunks().to_batches()
+    if held:
+        table = pa.Table.from_batches(held)
+        yield table, begins(table)
+
+
+def block_pairs(rows: DataFrame, group: str, k: str) -> DataFrame:
+    """Each row of a group of k blocks once for each pair of blocks (i <= j) that its own is in, with its side: 0, 1, or 2 if i = j."""
+    dealt = rows.withColumn("_b", F.pmod(F.xxhash64("node"), F.col(k)).cast("int"))
+    pairs = F.expr(f"transform(sequence(0, cast({k} as int) - 1), x -> named_struct('i', least(x, _b), 'j', greatest(x, _b), 'side', if(x = _b, 2, if(x > _b, 0, 1))))")
+    return dealt.withColumn("_p", F.explode(pairs)).select(group, "node", "_p.i", "_p.j", "_p.side")
+
+
+def similar_components(prints: DataFrame, docs: DataFrame, words: int = 5, bucket: int = BUCKET, block: int = BLOCK) -> DataFrame:
+    """(same, component) of a sketch table: components of texts whose sets of shingles have a Jaccard similarity of
+    SIMILAR or more, by their smallest id.
+
+    Equal sets are one node. Nodes meet under a segment of the sketch, where one side is looked up in the small Hamming
+    ball over the bits it is least sure of, and another 64 bits sieve them. Those within the guard by their complete
+    sketches, and those with fingerprints within RADIUS bits, are candidates; only their components are kept, never all
+    pairs. In each component of candidates all pairs that aren't linked yet are compared by the sets themselves, and
+    only these links count. Keys and components that are too large for a task are compared in pairs of blocks.
     """
-    one = F.min(F.struct("doc_id", "sketch", "weak")).alias("o")
-    nodes = materialize(prints.groupBy("fp").agg(one).select("fp", F.col("o.doc_id").alias("node"), "o.sketch", "o.weak"))
-    tight = materialize(nodes.select("fp", "node").join(hamming_components(nodes.select(F.col("node").alias("doc_id"), "fp"), bucket=bucket), "fp").select("node", "component"))
+    one = F.min(F.struct("doc_id", "n", "fp", "sketch", "weak")).alias("o")
+    nodes = materialize(prints.groupBy("same").agg(one).select("same", F.col("o.doc_id").alias("node"), "o.n", "o.fp", "o.sketch", "o.weak"))
+    tight = hamming_components(nodes.select(F.col("node").alias("doc_id"), "fp"), bucket=bucket)
+    tight = materialize(nodes.join(tight, "fp").select("node", "n", "component", "sketch", "weak"))
 
     def filed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -353,37 +478,52 @@ def similar_components(prints: DataFrame, bucket: int = BUCKET) -> DataFrame:
                 each = keys.shape[1] * keys.shape[2]
                 home = np.zeros(keys.shape, bool)
                 home[:, :, 0] = True
-                columns = [pa.array(np.repeat(part.column(c).to_numpy(), each)) for c in ("fp", "node", "component")]
-                yield pa.RecordBatch.from_arrays([pa.array(keys.ravel()), *columns[:2], pa.array(home.ravel()), columns[2]], ["key", "fp", "node", "home", "component"])
+                sieve, node, component = (np.repeat(x, each) for x in (sketch[:, -1].astype(np.uint64).view(np.int64), part.column("node").to_numpy(), part.column("component").to_numpy()))
+                yield pa.RecordBatch.from_arrays([pa.array(c) for c in (keys.ravel(), sieve, node, home.ravel(), component)], ["key", "fp", "node", "home", "component"])
 
-    rows = nodes.join(tight, "node").select("fp", "node", "component", "sketch", "weak").mapInArrow(filed, "key long, fp long, node long, home boolean, component long")
+    rows = tight.select("node", "component", "sketch", "weak").mapInArrow(filed, "key long, fp long, node long, home boolean, component long")
     dealt = rows.repartition("key").sortWithinPartitions("key", "fp")
-    found = dealt.mapInArrow(lambda batches: bucket_links(batches, bucket, candidate_pairs), "a long, b long, component_a long, component_b long, bits long").where("b IS NOT NULL")
-    two = [f("component_a", "component_b").alias(n) for f, n in ((F.least, "x"), (F.greatest, "y"))]
-    pairs = materialize(found.groupBy(*two).agg(F.min(F.struct("bits", "a", "b")).alias("p")).select("p.a", "p.b"))
-    side = lambda c: nodes.select(F.col("node").alias(c), F.col("sketch").alias(f"sketch_{c}"))
-    both = pairs.join(side("a"), "a").join(side("b"), "b")
+    met = materialize(dealt.mapInArrow(lambda batches: meetings(batches, bucket), "meet long, node long, hot boolean").distinct())
+    groups = met.where("NOT hot").select("meet", "node")
+
+    def guarded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for found, _ in whole_keys(batches, ["meet"]):
+            sketch = np.frombuffer(b"".join(found.column("sketch").to_pylist()), "<u8").reshape(-1, SKETCH)
+            meet, node, n, component = (found.column(c).to_numpy() for c in ("meet", "node", "n", "component"))
+            links = guard_links(meet, sketch, n.astype(np.int64), component)
+            yield pa.RecordBatch.from_arrays([pa.array(node[np.array([e[k] for e in links], np.int64)]) for k in (0, 1)], ["a", "b"])
+
+    sorted_groups = groups.join(tight.select("node", "n", "component", "sketch"), "node").repartition("meet").sortWithinPartitions("meet")
+    guards = sorted_groups.mapInArrow(guarded, "a long, b long")
+    maybe = connected_components(guards.unionByName(tight.select(F.col("node").alias("a"), F.col("component").alias("b"))))
+    members = materialize(maybe.join(tight.select("node", "n"), "node"))
+    sizes = members.groupBy("component").agg(F.ceil(F.greatest(F.count("*") / block, F.sum("n") / BLOCK_SHINGLES, F.lit(1))).alias("k"))
+    placed = block_pairs(members.join(sizes, "component"), "component", "k")
 
     def verified(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            x, y = (np.frombuffer(b"".join(batch.column(f"sketch_{c}").to_pylist()), "<u8").reshape(-1, SKETCH) for c in "ab")
-            yield batch.filter(pa.array(np.bitwise_count(x ^ y).sum(axis=1) <= COMPLETE)).select(["a", "b"])
-
-    edges = both.select("a", "b", "sketch_a", "sketch_b").mapInArrow(verified, "a long, b long")
+        for found, first in whole_keys(batches, ["component", "i", "j"], 256):
+            node, side, links = found.column("node").to_numpy(), found.column("side").to_numpy(), []
+            for at, end in zip(first, np.append(first[1:], found.num_rows), strict=True):
+                links += similar_links([t or "" for t in found.column("text").slice(at, end - at).to_pylist()], node[at:end], side[at:end], words)
+            yield pa.RecordBatch.from_arrays([pa.array(np.array([e[k] for e in links], np.int64)) for k in (0, 1)], ["a", "b"])
+
+    texts = bounded(docs).select(F.col("doc_id").cast("long").alias("node"), "text")
+    compared = placed.join(texts, "node").repartition("component", "i", "j").sortWithinPartitions("component", "i", "j")
+    edges = compared.select("component", "i", "j", "side", "node", "text").mapInArrow(verified, "a long, b long")
     parts = connected_components(edges.unionByName(tight.select(F.col("node").alias("a"), F.col("component").alias("b"))))
-    return nodes.join(parts, "node", "left").select("fp", F.coalesce("component", "node").alias("component"))
+    return nodes.join(parts, "node", "left").select("same", F.coalesce("component", "node").alias("component"))
 
 
 def deduplicate(docs: DataFrame, words: int = 5, **how) -> DataFrame:
     """The documents, all columns as they are, that are the first of their group of near copies; one of repeated rows.
 
-    Near copies are texts whose shingle sets have a Jaccard similarity of about 0.8 or more. Rows without a doc_id stay:
-    there is no telling which of them to keep. Only sketches are gathered to find the groups; a text moves at most
-    once, to meet the ids that stay.
+    Near copies are texts whose sets of shingles have a Jaccard similarity of 0.8 or more. Rows without a doc_id stay:
+    there is no telling which of them to keep. Sketches are gathered to find candidates; the text of a candidate moves
+    to meet the others of its group, and a text moves once to meet the ids that stay.
     """
     prints = materialize(sketch_table(docs, words).where("doc_id IS NOT NULL"))
-    groups = similar_components(prints, **how)
-    parts = materialize(prints.select("doc_id", "fp").join(groups, "fp").select("doc_id", F.col("component").alias("component_id")))
+    groups = similar_components(prints, docs, words, **how)
+    parts = materialize(prints.select("doc_id", "same").join(groups, "same").select("doc_id", F.col("component").alias("component_id")))
     kept = parts.where("doc_id = component_id").select(F.col("doc_id").alias("_kept")).distinct()
     named = docs.join(kept.hint("shuffle_hash"), docs["doc_id"] == F.col("_kept"), "left_semi")
     again = parts.groupBy("doc_id").count().where("count > 1").select(F.col("doc_id").alias("_again"))

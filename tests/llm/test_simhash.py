@@ -154,3 +154,25 @@ def test_recall_on_the_small_corpus(spark):
     for i, t in text.items():
         holders.setdefault(t, []).append(i)
     assert all(len(kept & set(ids)) <= 1 for ids in holders.values()) and len(kept) > 850
+
+
+def crowd(n, shared, own, pairs=0, changed=0, seed=23):
+    """n texts with a long passage in common and words of their own; near copies of the first ones, with changed words at the end."""
+    rng = random.Random(seed)
+    word = lambda: "".join(rng.choices("abcdefgh", k=8))
+    passage = [word() for _ in range(shared)]
+    bodies = [[word() for _ in range(own)] for _ in range(n)]
+    copies = [b[:-changed] + [word() for _ in range(changed)] for b in bodies[:pairs]]
+    return [" ".join(passage + b) for b in bodies + copies]
+
+
+def kept_of(spark, texts, **how):
+    df = spark.createDataFrame([(i, t, "c", 1, "d") for i, t in enumerate(texts)], SCHEMA)
+    return {r.doc_id for r in deduplicate(df, **how).collect()}
+
+
+def test_false_neighbours_hide_no_near_copy(spark):
+    t = crowd(1500, 160, 43, pairs=300, changed=16)
+    assert 0.63 < jaccard(t[0], t[1]) < 0.67 and 0.83 < jaccard(t[0], t[1500]) < 0.87
+    kept = kept_of(spark, t)
+    assert len([i for i in range(1500, 1800) if i in kept]) <= 3
