@@ -509,8 +509,7 @@ def similar_components(prints: DataFrame, docs: DataFrame, words: int = 5, bucke
 
     texts = bounded(docs).select(F.col("doc_id").cast("long").alias("node"), "text")
     compared = placed.join(texts, "node").repartition("component", "i", "j").sortWithinPartitions("component", "i", "j")
-    edges = compared.select("component", "i", "j", "side", "node", "text").mapInArrow(verified, "a long, b long")
-    parts = connected_components(edges.unionByName(tight.select(F.col("node").alias("a"), F.col("component").alias("b"))))
+    parts = connected_components(compared.select("component", "i", "j", "side", "node", "text").mapInArrow(verified, "a long, b long"))
     return nodes.join(parts, "node", "left").select("same", F.coalesce("component", "node").alias("component"))
 
 

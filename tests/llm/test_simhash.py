@@ -176,3 +176,9 @@ def test_false_neighbours_hide_no_near_copy(spark):
     assert 0.63 < jaccard(t[0], t[1]) < 0.67 and 0.83 < jaccard(t[0], t[1500]) < 0.87
     kept = kept_of(spark, t)
     assert len([i for i in range(1500, 1800) if i in kept]) <= 3
+
+
+def test_crowds_that_share_passages_stay(spark):
+    t = crowd(2500, 170, 36)
+    assert 0.69 < jaccard(t[0], t[1]) < 0.72
+    assert kept_of(spark, t) == set(range(2500))
