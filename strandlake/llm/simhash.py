@@ -36,7 +36,7 @@ SIMILAR = (4, 5)
 #: At 0.8, 15.15 % of a sketch's bits differ (the angle between the sets), 155 of 1024, standard deviation 11.5: the guard is 4
 #: deviations above. Of sets of 4 and 5 shingles it is 18.75 %, for which sets of FEW or less have their own. In the 64 bits of
 #: the sieve 9.7 differ, so 19 keep all but one in a thousand.
-SIEVE, GUARD, FEW, GUARD_FEW = 19, 167, 8, 167
+SIEVE, GUARD, FEW, GUARD_FEW = 19, 201, 8, 242
 #: A task compares two blocks of texts: of so many texts, or so many shingles on average.
 BLOCK, BLOCK_SHINGLES = 1024, 1 << 21
 LOWER = bytes.maketrans(bytes(range(65, 91)), bytes(range(97, 123)))

@@ -182,3 +182,20 @@ def test_crowds_that_share_passages_stay(spark):
     t = crowd(2500, 170, 36)
     assert 0.69 < jaccard(t[0], t[1]) < 0.72
     assert kept_of(spark, t) == set(range(2500))
+
+
+def test_recall_from_the_threshold_and_exact_decision(spark):
+    rng = random.Random(29)
+    word = lambda: "".join(rng.choices("abcdefgh", k=8))
+    t = []
+    for k in range(600):
+        base = [word() for _ in range(204)]
+        t += [" ".join(base), " ".join(base[: -(17 + k % 12)] + [word() for _ in range(17 + k % 12)])]
+    for _ in range(100):  # 5 of 6 shingles in common, or 4 of 5
+        base = [word() for _ in range(10)]
+        t += [" ".join(base), " ".join([*base[:-1], word()])]
+    kept = kept_of(spark, t)
+    similar = [i for i in range(1, len(t), 2) if jaccard(t[i], t[i - 1]) >= 0.8]
+    assert 200 < len(similar) < 500
+    assert {i for i in range(len(t)) if i not in kept} <= set(similar)
+    assert len([i for i in similar if i in kept]) <= 0.03 * len(similar)
