@@ -484,7 +484,10 @@ def similar_components(prints: DataFrame, docs: DataFrame, words: int = 5, bucke
     rows = tight.select("node", "component", "sketch", "weak").mapInArrow(filed, "key long, fp long, node long, home boolean, component long")
     dealt = rows.repartition("key").sortWithinPartitions("key", "fp")
     met = materialize(dealt.mapInArrow(lambda batches: meetings(batches, bucket), "meet long, node long, hot boolean").distinct())
-    groups = met.where("NOT hot").select("meet", "node")
+    groups, hot = met.where("NOT hot").select("meet", "node"), met.where("hot")
+    if not hot.isEmpty():
+        sizes = hot.groupBy("meet").agg(F.ceil(F.count("*") / bucket).alias("k"))
+        groups = groups.unionByName(block_pairs(hot.join(sizes, "meet"), "meet", "k").select(F.xxhash64("meet", "i", "j").alias("meet"), "node"))
 
     def guarded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for found, _ in whole_keys(batches, ["meet"]):

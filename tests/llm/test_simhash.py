@@ -199,3 +199,9 @@ def test_recall_from_the_threshold_and_exact_decision(spark):
     assert 200 < len(similar) < 500
     assert {i for i in range(len(t)) if i not in kept} <= set(similar)
     assert len([i for i in similar if i in kept]) <= 0.03 * len(similar)
+
+
+def test_overfull_keys_are_compared_in_blocks(spark):
+    t = crowd(120, 170, 24, pairs=40, changed=10)
+    assert 0.75 < jaccard(t[0], t[1]) < 0.8 and jaccard(t[0], t[120]) > 0.87
+    assert kept_of(spark, t, bucket=2, block=16) == kept_of(spark, t) == set(range(120))
