@@ -108,6 +108,8 @@ def near_duplicate_vectors(vectors: DataFrame, cosine: float = COSINE, block: in
     empty, zero or hold null or non-finite components link with nothing. Rows that repeat are vectors of their own:
     equal vectors under one label are linked. A null vec_id has a null component and isn't kept, and links nothing.
     """
+    element = vectors.schema["embedding"].dataType.elementType.simpleString()
+    vectors = vectors.withColumn("embedding", F.transform("embedding", lambda x: x + F.lit(0).cast(element)))  # -0.0 is 0.0, in the key too
     usable = (
         F.col("vec_id").isNotNull() & F.col("label").isNotNull() & (F.size("embedding") > 0)
         & F.forall("embedding", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))) & F.exists("embedding", lambda x: x != 0)

@@ -79,3 +79,11 @@ def test_edges(spark):
 
 def test_query(spark):
     agree(op1_embedding_dedup(spark, "/root/testdata/sf0.01"), ORACLE, "/root/testdata/sf0.01")
+
+
+def test_negative_zero_is_zero(spark):
+    rows = [(1, [0.0, 1.0], 5), (2, [-0.0, 1.0], 5), (3, [-0.0, 1.0], 5), (4, [-0.0, -1.0], 5)]
+    for element in ("float", "double"):
+        df = spark.createDataFrame(rows, f"vec_id long, embedding array<{element}>, label int")
+        got = {r.vec_id: (r.n_links, r.component_id, r.kept) for r in near_duplicate_vectors(df).collect()}
+        assert got == {1: (2, 1, True), 2: (2, 1, False), 3: (2, 1, False), 4: (0, 4, True)}
