@@ -125,19 +125,34 @@ def tiles(seq: Column | str, window: int, overlap: int = 0) -> Column:
     return F.transform(starts, lambda i: F.struct(i.alias("start"), piece(s, i + 1, window).alias("tile")))
 
 
+#: Molecule types that end a header line.
+MOLECULES = ("cds", "dna", "genomic", "mrna", "protein", "rna")
+
+
 def parse_header(record_id: Column | str, description: Column | str) -> dict[str, Column]:
-    """accession, species, gene, variant and type of a sequence's header line; null where there is none."""
-    text = F.trim(col(description))
-    found = lambda rx, g: F.nullif(F.regexp_extract(text, rx, g), F.lit(""))
-    variant = r"(?i)(transcript\s+variant|variant)\s+(\d+)"
-    label = F.regexp_extract(text, variant, 1)
-    last = F.regexp_replace(F.element_at(F.split(text, r"\s+"), -1), r"[,.;]+$", "")
+    """accession, species, gene, variant and type of a sequence's header line; null where there is none.
+
+    The line is taken as words. species: a capitalised first word and the lower-case letters of the second. gene: the
+    first run of letters, digits and underscores that is upper-case letters and digits, a letter first, a digit within.
+    variant: a number after a word that ends in "variant". type: the last word, if it is a molecule's.
+    """
+    words = F.filter(F.split(F.trim(col(description)), r"\s+"), lambda w: w != "")
+    word = lambda i: F.get(words, i)
+    leading = lambda w, what: F.nullif(F.regexp_substr(w, F.lit(f"^{what}+")), F.lit(""))
+    genus, epithet = word(F.lit(0)), leading(word(F.lit(1)), "[a-z]")
+    runs = F.split(col(description), "[^A-Za-z0-9_]+")
+    genes = F.filter(runs, lambda r: r.rlike("^[A-Z][A-Z0-9]*$") & r.rlike("[0-9]"))
+    lower = F.transform(words, lambda w: F.lower(w))
+    numbered = F.filter(F.transform(lower, lambda w, i: F.struct(w.alias("w"), F.get(lower, i - 1).alias("before"), leading(F.get(lower, i + 1), "[0-9]").alias("n"))), lambda t: t["w"].endswith("variant") & t["n"].isNotNull())
+    first = F.get(numbered, F.lit(0))
+    label = F.when((first["w"] == "variant") & F.coalesce(first["before"].endswith("transcript"), F.lit(False)), "Transcript variant").otherwise("Variant")
+    last = F.rtrim(F.get(words, F.size(words) - 1), F.lit(",.;"))
     return {
         "accession": col(record_id),
-        "species": F.when(text.rlike(r"^[A-Z][a-z]+\s+[a-z]+"), F.concat_ws(" ", found(r"^([A-Z][a-z]+)\s+([a-z]+)", 1), found(r"^([A-Z][a-z]+)\s+([a-z]+)", 2))),
-        "gene": found(r"\b([A-Z][A-Z0-9]*\d+[A-Z0-9]*)\b", 1),
-        "variant": F.when(text.rlike(variant), F.concat_ws(" ", F.concat(F.upper(F.substring(label, 1, 1)), F.lower(F.substring(label, 2, 100))), F.regexp_extract(text, variant, 2))),
-        "type": F.when(last.rlike("(?i)^(mRNA|RNA|DNA|protein|genomic|CDS)$"), last),
+        "species": F.when(genus.rlike("^[A-Z][a-z]+$") & epithet.isNotNull(), F.concat_ws(" ", genus, epithet)),
+        "gene": F.get(genes, F.lit(0)),
+        "variant": F.when(first.isNotNull(), F.concat_ws(" ", label, first["n"])),
+        "type": F.when(F.lower(last).isin(*MOLECULES), last),
     }
 
 
@@ -201,7 +216,6 @@ def canonical(kmer: Column | str) -> Column:
 
 
 def reverse_complement_code(code: Column | str, k: int) -> Column:
-    """The code of the reverse complement: digits in reverse order, each 3 minus itself."""
-    step = lambda a, _: F.struct(F.call_function("shiftright", a["rest"], F.lit(2)).alias("rest"), (a["out"] * 4 + 3 - a["rest"].bitwiseAND(3)).alias("out"))
-    start = F.struct(col(code).cast("long").alias("rest"), F.lit(0).cast("long").alias("out"))
-    return F.aggregate(F.sequence(F.lit(1), F.lit(k)), start, step, lambda a: a["out"])
+    """The code of the reverse complement, by the k-mer's base-4 digits as text: reversed, each 3 minus itself."""
+    digits = F.lpad(F.conv(col(code).cast("string"), 10, 4), k, "0")
+    return F.conv(F.translate(F.reverse(digits), "0123", "3210"), 4, 10).cast("long")

@@ -183,9 +183,15 @@ def align_simple(queries: DataFrame, targets: DataFrame, index: str = "idx", mat
     pairs = queries.join(targets, index, "left").crossJoin(last).withColumn("target", F.coalesce("target", "_last", F.lit(""))).drop("_last")  # one row
     run = aligner(match, mismatch, gap, None)
     found = pairs.withColumn("_a", run(S.simple_aligner_letters(F.coalesce("query", F.lit(""))), S.simple_aligner_letters("target"))).select(*pairs.columns, "_a.*")
-    cells = columns_of(F.col("aligned_query"), F.col("aligned_target"))
-    changed = F.filter(
-        F.transform(cells, lambda c, i: F.struct(F.size(F.filter(F.slice(cells, F.lit(1), i + 1), lambda x: x["t"] != "-")).alias("position"), c["t"].alias("ref"), c["q"].alias("alt"), i.alias("alignment_pos"))),
-        lambda v: (v["ref"] != v["alt"]) & (v["ref"] != "-") & (v["alt"] != "-"),
-    )
+    step = lambda a, c: (a["at"] + F.when(c["t"] != "-", 1).otherwise(0)).alias("at")
+    differs = lambda c: (c["q"] != c["t"]) & (c["q"] != "-") & (c["t"] != "-")
+    changed = F.aggregate(
+        columns_of(F.col("aligned_query"), F.col("aligned_target")),
+        F.struct(F.lit(0).alias("at"), F.lit(0).alias("i"), F.array().cast("array<struct<position:int,ref:string,alt:string,alignment_pos:int>>").alias("found")),
+        lambda a, c: F.struct(
+            step(a, c), (a["i"] + 1).alias("i"),
+            F.when(differs(c), F.concat(a["found"], F.array(F.struct(step(a, c).alias("position"), c["t"].alias("ref"), c["q"].alias("alt"), a["i"].alias("alignment_pos"))))).otherwise(a["found"]).alias("found"),
+        ),
+        lambda a: a["found"],
+    )
     return found.withColumn("mutations", changed).withColumn("mutation_count", F.size("mutations"))

@@ -13,6 +13,8 @@ from strandlake.functions import seq as S
 
 #: Places of a reference are dealt out in spans of so many, so that no window holds a whole chromosome.
 SPAN = 1 << 20
+#: Bases of a reference's piece that places are joined to.
+WINDOW = 1 << 16
 
 
 def bases(references: DataFrame, reads: DataFrame, min_base_quality: int | None = None, offset: int = 33, reverse_qualities: bool = False) -> DataFrame:
@@ -20,18 +22,19 @@ def bases(references: DataFrame, reads: DataFrame, min_base_quality: int | None
 
     A missing quality counts as 0. Qualities of minus reads stay in the order they are given in, unless asked otherwise.
     """
+    lengths = references.select("ref_id", F.length("sequence").alias("_length"))
+    reads = reads.join(lengths, "ref_id")  # before a read becomes bases
     minus = F.col("strand") == "-"
     forward = F.when(minus, S.reverse_complement("sequence")).otherwise(S.normalise("sequence"))
-    columns = ["ref_id", "start", F.posexplode(S.letters(forward)).alias("i", "base")]
+    columns = ["ref_id", "start", "_length", F.posexplode(S.letters(forward)).alias("i", "base")]
     if min_base_quality is not None:
         given = F.coalesce(F.when(minus & F.lit(reverse_qualities), F.reverse("quality")).otherwise(F.col("quality")), F.lit(""))
-        scored = reads.select("*", S.phred(given, offset).alias("_q")).select("ref_id", "start", "_q", F.posexplode(S.letters(forward)).alias("i", "base"))
+        scored = reads.select("*", S.phred(given, offset).alias("_q")).select("ref_id", "start", "_length", "_q", F.posexplode(S.letters(forward)).alias("i", "base"))
         each = scored.where(F.coalesce(F.get("_q", "i"), F.lit(0)) >= min_base_quality)
     else:
         each = reads.select(*columns)
-    placed = each.select("ref_id", (F.col("start") + F.col("i")).cast("long").alias("pos"), "base").where(F.col("base").isin(*"ACGT") & (F.col("pos") >= 0))
-    lengths = references.select("ref_id", F.length("sequence").alias("_length"))
-    return placed.join(lengths, "ref_id").where("pos < _length").drop("_length")
+    pos = (F.col("start") + F.col("i")).cast("long")
+    return each.where(F.col("base").isin(*"ACGT") & (pos >= 0) & (pos < F.col("_length"))).select("ref_id", pos.alias("pos"), "base")
 
 
 def covered(references: DataFrame, reads: DataFrame, min_base_quality: int | None = None, **how) -> DataFrame:
@@ -44,10 +47,15 @@ def covered(references: DataFrame, reads: DataFrame, min_base_quality: int | Non
     return counts.withColumn("depth", depth).withColumn("consensus", consensus)
 
 
-def reference_bases(references: DataFrame, window: int = 1 << 16) -> DataFrame:
-    """(ref_id, pos, ref_base) of every place; long references are dealt out in windows."""
+def reference_tiles(references: DataFrame, window: int = WINDOW) -> DataFrame:
+    """(ref_id, _tile, _at, tile): references in numbered pieces of ``window`` bases, the first of each at ``_at``."""
     parts = references.select("ref_id", F.explode(S.tiles("sequence", window)).alias("w"))
-    return parts.select("ref_id", F.col("w.start").cast("long").alias("_at"), F.posexplode(S.letters(F.col("w.tile"))).alias("i", "ref_base")).select("ref_id", (F.col("_at") + F.col("i")).alias("pos"), "ref_base")
+    return parts.select("ref_id", F.expr(f"cast(w.start AS bigint) div {window}").alias("_tile"), F.col("w.start").cast("long").alias("_at"), F.col("w.tile").alias("tile"))
+
+
+def reference_bases(references: DataFrame, window: int = WINDOW) -> DataFrame:
+    """(ref_id, pos, ref_base) of every place; long references are dealt out in windows."""
+    return reference_tiles(references, window).select("ref_id", "_at", F.posexplode(S.letters(F.col("tile"))).alias("i", "ref_base")).select("ref_id", (F.col("_at") + F.col("i")).alias("pos"), "ref_base")
 
 
 def pileup(references: DataFrame, reads: DataFrame, min_base_quality: int | None = None, **how) -> DataFrame:
@@ -56,9 +64,16 @@ def pileup(references: DataFrame, reads: DataFrame, min_base_quality: int | None
     return found.fillna(0, ["a", "c", "g", "t", "depth"]).fillna("N", ["consensus"])
 
 
-def consensus_sequences(piled: DataFrame) -> DataFrame:
-    """(ref_id, consensus): one text for each reference."""
-    return piled.groupBy("ref_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("pos", "consensus"))), lambda x: x["consensus"]), "").alias("consensus"))
+def consensus_spans(piled: DataFrame, window: int = WINDOW) -> DataFrame:
+    """(ref_id, start, consensus): the text of each span of ``window`` places; no row holds more than a span."""
+    spans = piled.groupBy("ref_id", F.expr(f"pos div {window} * {window}").alias("start"))
+    return spans.agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("pos", "consensus"))), lambda x: x["consensus"]), "").alias("consensus"))
+
+
+def consensus_sequences(piled: DataFrame, window: int = WINDOW) -> DataFrame:
+    """(ref_id, consensus): one text for each reference, put together from the texts of its spans."""
+    spans = consensus_spans(piled, window).groupBy("ref_id").agg(F.array_sort(F.collect_list(F.struct("start", "consensus"))).alias("_s"))
+    return spans.select("ref_id", F.array_join(F.transform("_s", lambda x: x["consensus"]), "").alias("consensus"))
 
 
 def _call(position, ref, alt, kind, depth, alt_count, freq, counts) -> list:
@@ -72,7 +87,8 @@ def snvs(references: DataFrame, places: DataFrame, min_depth: int = 10, min_alt_
     """Places whose consensus is another letter than the reference's, which isn't N, with the depth and share asked for."""
     alt_count = F.greatest("a", "c", "g", "t")
     deep = places.where((F.col("depth") >= min_depth) & (alt_count / F.col("depth") >= min_alt_freq))
-    letter = deep.join(references.select("ref_id", "sequence"), "ref_id").withColumn("ref", F.upper(S.piece(F.col("sequence"), (F.col("pos") + 1).cast("int"), 1)))
+    tile = F.expr(f"pos div {WINDOW}")
+    letter = deep.withColumn("_tile", tile).join(reference_tiles(references), ["ref_id", "_tile"]).withColumn("ref", F.upper(S.piece(F.col("tile"), (F.col("pos") - F.col("_at") + 1).cast("int"), 1)))
     counts = F.create_map(*[x for b in "ACGT" for x in (F.lit(b), F.col(b.lower()))])
     return letter.where((F.col("ref") != F.col("consensus")) & (F.col("ref") != "N")).select(
         "ref_id", *_call(F.col("pos") + 1, F.col("ref"), F.col("consensus"), "SNV", F.col("depth"), alt_count, alt_count / F.col("depth"), counts)
@@ -92,10 +108,16 @@ def deletions(references: DataFrame, places: DataFrame, min_del_len: int = 2, mi
     start = F.coalesce(F.col("_left.pos"), F.lit(-1)) + 1
     length = F.col("pos") - start
     runs = found.where((length >= min_del_len) & (F.col("depth") >= min_flank_depth) & (F.col("_left").isNull() | (F.col("_left.depth") >= min_flank_depth)))
-    runs = runs.select("ref_id", start.alias("_start"), length.alias("_length")).join(references.select("ref_id", "sequence"), "ref_id")
+    runs = runs.select("ref_id", start.alias("_start"), length.alias("_length"))
+    tiles = F.explode(F.expr(f"sequence(_start div {WINDOW}, (_start + _length - 1) div {WINDOW})")).alias("_tile")
+    pieces = runs.select("*", tiles).join(reference_tiles(references), ["ref_id", "_tile"])
+    begins = F.greatest(F.col("_start") - F.col("_at"), F.lit(0))
+    ends = F.least(F.col("_start") + F.col("_length") - F.col("_at"), F.lit(WINDOW))
+    part = F.substring(F.col("tile").cast("binary"), (begins + 1).cast("int"), (ends - begins).cast("int")).cast("string")
+    texts = pieces.groupBy("ref_id", "_start", "_length").agg(F.array_sort(F.collect_list(F.struct("_tile", part.alias("t")))).alias("_t"))
     none = F.create_map().cast("map<string,bigint>")
-    text = F.substring(F.col("sequence").cast("binary"), (F.col("_start") + 1).cast("int"), F.col("_length").cast("int")).cast("string")
-    return runs.select("ref_id", *_call(F.col("_start") + 1, text, F.lit("-"), "DEL", F.lit(0), F.lit(0), F.lit(1.0), none))
+    text = F.array_join(F.transform("_t", lambda x: x["t"]), "")
+    return texts.select("ref_id", *_call(F.col("_start") + 1, text, F.lit("-"), "DEL", F.lit(0), F.lit(0), F.lit(1.0), none))
 
 
 def call_variants(references: DataFrame, reads: DataFrame, min_depth: int = 10, min_alt_freq: float = 0.2, min_base_quality: int | None = None, **how) -> DataFrame:

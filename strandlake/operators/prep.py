@@ -65,6 +65,14 @@ def impute(genotypes: DataFrame, method: str = "mean") -> DataFrame:
     return filled
 
 
+def numbered(rows: DataFrame, order: str, out: str, span: int = 1 << 16) -> DataFrame:
+    """Adds ``out``: numbers from 0 in the order of a column of unique integers, counted within spans of it."""
+    dealt = rows.withColumn("_span", F.expr(f"`{order}` div {span}"))
+    counts = dealt.groupBy("_span").agg(F.count("*").alias("_n"))  # a row for each span
+    before = counts.selectExpr("_span", "sum(_n) OVER (ORDER BY _span ROWS UNBOUNDED PRECEDING) - _n AS _before")
+    return dealt.join(before, "_span").selectExpr("*", f"row_number() OVER (PARTITION BY _span ORDER BY `{order}`) - 1 + _before AS {out}").drop("_span", "_before")
+
+
 def preprocess(cells: DataFrame, impute_method: str = "mean", file_name: str | None = None) -> tuple[DataFrame, DataFrame, dict]:
     """Phenotypes (individual, y), genotypes (individual, marker, dosage) and the report of a grid.
 
@@ -83,7 +91,7 @@ def preprocess(cells: DataFrame, impute_method: str = "mean", file_name: str | N
     if len(markers) < 2:
         raise ValueError("at least 2 markers are needed")
     rows = long.where("col = 0 AND value IS NOT NULL").select("row_idx", F.col("value").alias("y"))
-    rows = rows.selectExpr("row_number() OVER (ORDER BY row_idx) - 1 AS individual", "row_idx", "y")  # a grid's rows fit the driver
+    rows = numbered(rows, "row_idx", "individual").select("individual", "row_idx", "y")
     at = F.create_map(*[F.lit(x) for k, c in enumerate(markers) for x in (c, k)])
     body = long.where(F.col("col").isin(*markers)).join(rows.select("row_idx", "individual"), "row_idx").select("individual", at[F.col("col")].alias("marker"), F.col("value").alias("dosage"))
     filled = impute(body, impute_method).persist()

@@ -57,7 +57,7 @@ def reads(spark, rows):
 def test_trim_and_filter(spark):
     df = reads(spark, [("a", "ACGTACGT", "IIII####"), ("b", "ACG", "###"), ("c", "ACGTACGT", "########"), ("d", "", ""), ("e", "ACGTACGT", "IIIIIIII")])
     got = {r.read_id: r.sequence for r in qc.trim_by_quality(df, 20, 2).collect()}
-    assert got == {"a": "ACGT", "b": "ACG"} | {"e": "ACGTACGT"} or got == {"a": "ACGT", "e": "ACGTACGT"}
+    assert got == {"a": "ACGT", "e": "ACGTACGT"}
     rng = random.Random(2)
     quals = ["".join(chr(33 + rng.randrange(41)) for _ in range(rng.randrange(0, 40))) for _ in range(300)]
     rows = spark.createDataFrame(list(enumerate(quals)), "i long, q string")
@@ -283,7 +283,7 @@ def test_mixed_model():
     with pytest.raises(RuntimeError):
         quant.LinearMixedModel().blup()
     with pytest.raises(RuntimeError):
-        quant.regularised_cholesky(-np.eye(3))
+        quant.Rotated.of(np.arange(3.0), np.ones((3, 1)), -np.eye(3), np.eye(3)).diagonal(1.0, 0.5)
 
 
 def test_reliabilities_equal_the_mixed_model_equations():
