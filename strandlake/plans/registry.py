@@ -292,9 +292,10 @@ def variant_calls(spark, sf):
     return pileup.call_variants(*_inputs(spark, sf)).select(*CALL, F.round("freq", 9).alias("freq"))
 
 
-@query(f"""WITH {PILE} SELECT r.ref_id, count(c.type) AS total_variants, count(*) FILTER (c.type = 'SNV') AS snvs, count(*) FILTER (c.type = 'DEL') AS deletions FROM refs r LEFT JOIN calls c USING (ref_id) GROUP BY r.ref_id""")
+@query(f"""WITH {PILE} SELECT r.ref_id, count(c.type) AS total_variants, count(*) FILTER (c.type = 'SNV') AS snvs, count(*) FILTER (c.type = 'DEL') AS deletions,
+  any_value(round_even(CAST(coalesce(d.depth, 0) AS DOUBLE) / greatest(length(r.sequence), 1), 2)) AS mean_depth FROM refs r LEFT JOIN calls c USING (ref_id) LEFT JOIN (SELECT ref_id, sum(depth) AS depth FROM places GROUP BY ref_id) d USING (ref_id) GROUP BY r.ref_id""")
 def variant_summary(spark, sf):
-    return pileup.summary(*_inputs(spark, sf)).drop("mean_depth")
+    return pileup.summary(*_inputs(spark, sf))
 
 
 @query(f"WITH {PILE}, known AS (SELECT position, ref, alt, 'rs' || position AS rsid FROM (SELECT DISTINCT position, ref, alt FROM calls) WHERE position % 2 = 0) SELECT ref_id, position, ref, alt, type, rsid FROM calls JOIN known USING (position, ref, alt)")
@@ -315,27 +316,70 @@ def _pairs(spark, sf):
     return refs.select(F.col("ref_id").alias("pair"), changed.alias("query"), F.col("sequence").alias("target"))
 
 
-@query()
+def align_sql(match: float, mismatch: float, opened: float, extended: float | None) -> str:
+    """The dynamic programme by anti-diagonals: a row for each pair and query letter holds its last two cells, with the
+    texts aligned so far, and its best cell."""
+    up = f"CASE WHEN a.i > 1 THEN greatest(b.h1 + {opened}, b.u + {extended}) ELSE -1e9 END" if extended is not None else f"b.h1 + {opened}"
+    left = f"CASE WHEN a.s + 1 - a.i > 1 THEN greatest(a.h1 + {opened}, a.l + {extended}) ELSE -1e9 END" if extended is not None else f"a.h1 + {opened}"
+    return f"""{D.REFS}, half AS (SELECT *, length(sequence) // 2 AS n FROM refs),
+pairs AS (SELECT ref_id AS pair, regexp_replace(substr(sequence, 1, n - 3) || translate(substr(sequence, n - 2, 3), 'ACGT', 'CATG') || substr(sequence, n + 3), '[^ACGT]', 'N', 'g') AS q, regexp_replace(sequence, '[^ACGT]', 'N', 'g') AS t FROM half),
+dp(pair, i, s, m, n, x, t, h1, h2, u, l, q1, t1, q2, t2, best, bq, bt) USING KEY (pair, i) AS (
+  SELECT pair, i, 0 AS s, length(q) AS m, length(t) AS n, substr(q, i, 1) AS x, t, CAST(0 AS DOUBLE) AS h1, CAST(0 AS DOUBLE) AS h2, CAST(-1e9 AS DOUBLE) AS u, CAST(-1e9 AS DOUBLE) AS l,
+         '' AS q1, '' AS t1, '' AS q2, '' AS t2, CAST(0 AS DOUBLE) AS best, '' AS bq, '' AS bt
+  FROM (SELECT pair, q, t, unnest(range(0, length(q) + 1)) AS i FROM pairs)
+  UNION ALL
+  SELECT pair, i, s, m, n, x, t, h, h2, u, l, cq, ct, q2, t2, greatest(h, best), CASE WHEN h > best THEN cq ELSE bq END, CASE WHEN h > best THEN ct ELSE bt END
+  FROM (SELECT *, CASE WHEN live THEN greatest(0, d, u, l) ELSE 0 END AS h,
+               CASE WHEN NOT live OR greatest(0, d, u, l) <= 0 THEN '' WHEN d >= greatest(u, l) THEN dq || x WHEN u >= l THEN uq || x ELSE lq || '-' END AS cq,
+               CASE WHEN NOT live OR greatest(0, d, u, l) <= 0 THEN '' WHEN d >= greatest(u, l) THEN dt || y WHEN u >= l THEN ut || '-' ELSE lt || y END AS ct
+        FROM (SELECT a.pair, a.i, a.s + 1 AS s, a.m, a.n, a.x, a.t, a.h1 AS h2, a.q1 AS q2, a.t1 AS t2, a.best, a.bq, a.bt, substr(a.t, a.s + 1 - a.i, 1) AS y,
+                     a.i > 0 AND a.s + 1 - a.i BETWEEN 1 AND a.n AS live, b.h2 + CASE WHEN a.x = substr(a.t, a.s + 1 - a.i, 1) THEN {match} ELSE {mismatch} END AS d,
+                     CASE WHEN a.i > 0 AND a.s + 1 - a.i BETWEEN 1 AND a.n THEN {up} ELSE -1e9 END AS u, CASE WHEN a.i > 0 AND a.s + 1 - a.i BETWEEN 1 AND a.n THEN {left} ELSE -1e9 END AS l,
+                     b.q2 AS dq, b.t2 AS dt, b.q1 AS uq, b.t1 AS ut, a.q1 AS lq, a.t1 AS lt
+              FROM dp a LEFT JOIN dp b ON a.pair = b.pair AND b.i = a.i - 1 WHERE a.s < a.m + a.n))),
+ends AS (SELECT pair, best AS score, bq AS aligned_query, bt AS aligned_target FROM dp WHERE s = m + n QUALIFY row_number() OVER (PARTITION BY pair ORDER BY best DESC, i) = 1)"""
+
+
+ALIGNED = align_sql(2, -1, -2, -0.5)
+ALIGNED_COLUMNS = "cols AS (SELECT pair, j, substr(aligned_query, j, 1) AS q, substr(aligned_target, j, 1) AS t FROM (SELECT *, unnest(range(1, length(aligned_query) + 1)) AS j FROM ends))"
+FOUND = f"""{ALIGNED}, {ALIGNED_COLUMNS}, numbered AS (SELECT *, CAST(count(*) FILTER (t <> '-') OVER (PARTITION BY pair ORDER BY j) AS INTEGER) AS position FROM cols),
+changes AS (SELECT pair, position, replace(t, '-', '') AS ref, replace(q, '-', '') AS alt, CASE WHEN q = '-' THEN 'DELETION' WHEN t = '-' THEN 'INSERTION' ELSE 'SNV' END AS type FROM numbered WHERE q <> t),
+measured AS (SELECT pair, CAST(count(*) FILTER (q = t) AS DOUBLE) / count(*) * 100 AS identity_percent FROM cols GROUP BY pair)"""
+
+
+@query(f"""WITH RECURSIVE {ALIGNED}, {ALIGNED_COLUMNS},
+facts AS (SELECT pair, count(*) AS n, count(*) FILTER (q = t AND q <> '-') AS same, count(*) FILTER (q = '-' OR t = '-') AS gaps, count(*) FILTER (q <> t AND q <> '-' AND t <> '-') AS mismatches,
+  string_agg(CASE WHEN q = t THEN 'M' WHEN q = '-' THEN 'D' WHEN t = '-' THEN 'I' ELSE 'X' END, '' ORDER BY j) AS ops FROM cols GROUP BY pair)
+SELECT pair, score, aligned_query, aligned_target, CAST(n AS INTEGER) AS alignment_length, round(CAST(same AS DOUBLE) / n * 100, 6) AS identity_percent, CAST(gaps AS INTEGER) AS gaps, CAST(mismatches AS INTEGER) AS mismatches,
+  array_to_string(list_transform(regexp_extract_all(ops, 'M+|D+|I+|X+'), lambda r: length(r) || r[1]), '') AS cigar FROM ends JOIN facts USING (pair)""")
 def align_pairs(spark, sf):
-    return align.align_pairs(_pairs(spark, sf)).drop("query", "target")
+    return align.align_pairs(_pairs(spark, sf)).drop("query", "target").withColumn("identity_percent", F.round("identity_percent", 6))
 
 
-@query()
+@query(f"WITH RECURSIVE {FOUND} SELECT * FROM changes")
 def mutations(spark, sf):
     return align.find_variants(align.align_pairs(_pairs(spark, sf)), "pair")
 
 
-@query()
+@query(f"""WITH RECURSIVE {FOUND}, known AS (SELECT DISTINCT position, ref, alt FROM changes WHERE type = 'SNV'),
+kinds AS (SELECT pair, count(*) AS total_variants, count(*) FILTER (type = 'SNV') AS snvs, count(*) FILTER (type = 'INSERTION') AS insertions, count(*) FILTER (type = 'DELETION') AS deletions FROM changes GROUP BY pair),
+matches AS (SELECT pair, count(*) AS known_matches FROM changes JOIN known USING (position, ref, alt) GROUP BY pair)
+SELECT pair, score AS alignment_score, round(identity_percent, 6) AS identity_percent, coalesce(total_variants, 0) AS total_variants, coalesce(snvs, 0) AS snvs, coalesce(insertions, 0) AS insertions, coalesce(deletions, 0) AS deletions, coalesce(known_matches, 0) AS known_matches
+FROM ends LEFT JOIN measured USING (pair) LEFT JOIN kinds USING (pair) LEFT JOIN matches USING (pair)""")
 def mutation_stats(spark, sf):
     aligned = align.align_pairs(_pairs(spark, sf)).persist()
     known = align.find_variants(aligned, "pair").where("type = 'SNV'").select("position", "ref", "alt").distinct()
-    return align.mutation_stats(aligned, known, "pair")
+    return align.mutation_stats(aligned, known, "pair").withColumn("identity_percent", F.round("identity_percent", 6))
 
 
-@query()
+@query(f"""WITH RECURSIVE {align_sql(2, -1, -1, None)}, {ALIGNED_COLUMNS}, numbered AS (SELECT *, count(*) FILTER (t <> '-') OVER (PARTITION BY pair ORDER BY j) AS position FROM cols),
+found AS (SELECT pair, CAST(count(*) AS INTEGER) AS n, string_agg(position || t || '>' || q || '@' || (j - 1), ',' ORDER BY j) AS changed FROM numbered WHERE q <> t AND q <> '-' AND t <> '-' GROUP BY pair)
+SELECT pair AS idx, score, aligned_query, aligned_target, coalesce(changed, '') AS mutations, coalesce(n, 0) AS mutation_count FROM ends LEFT JOIN found USING (pair)""")
 def align_simple(spark, sf):
     pairs = _pairs(spark, sf)
-    return align.align_simple(pairs.select(F.col("pair").alias("idx"), "query"), pairs.select(F.col("pair").alias("idx"), "target")).drop("query", "target")
+    found = align.align_simple(pairs.select(F.col("pair").alias("idx"), "query"), pairs.select(F.col("pair").alias("idx"), "target")).drop("query", "target")
+    each = F.transform("mutations", lambda m: F.concat(m["position"].cast("string"), m["ref"], F.lit(">"), m["alt"], F.lit("@"), m["alignment_pos"].cast("string")))
+    return found.withColumn("mutations", F.array_join(each, ","))
 
 
 # ------------------------------------------------------------------------------ quantitative genetics
@@ -358,15 +402,19 @@ def grm_gcta(spark, sf):
     return quant.kinship(D.genotypes(spark, sf), "gcta").select("i", "j", (F.round("value", 6) + 0).alias("value"))
 
 
-ONEWAY = f"""WITH {D.PHENO}, g AS (SELECT label AS level, count(*) AS n, avg(y) AS m FROM pheno GROUP BY label), w AS (SELECT *, n / (n * CAST(1.2 AS DOUBLE) + CAST(0.64 AS DOUBLE)) AS w FROM g), b AS (SELECT sum(w * m) / sum(w) AS beta, sum(w) AS s FROM w)
+def oneway_sql(level: str) -> str:
+    return f"""WITH {D.PHENO}, g AS (SELECT {level} AS level, count(*) AS n, avg(y) AS m FROM pheno GROUP BY 1), w AS (SELECT *, n / (n * CAST(1.2 AS DOUBLE) + CAST(0.64 AS DOUBLE)) AS w FROM g), b AS (SELECT sum(w * m) / sum(w) AS beta, sum(w) AS s FROM w)
 SELECT level, round(n * CAST(1.2 AS DOUBLE) / (n * CAST(1.2 AS DOUBLE) + CAST(0.64 AS DOUBLE)) * (m - beta), 6) AS value, round(CAST(1.2 AS DOUBLE) * (w - w * w / s), 6) AS reliability, round(beta, 6) AS beta FROM w, b"""
 
 
-def _oneway(spark, sf):
-    p = D.phenotypes(spark, sf)
-    people = p.select(F.lit("all").alias("group"), "individual", F.col("label").alias("level"), "y", F.array(F.lit(1.0)).alias("x"))
-    labels = p.select("label").distinct()
-    return people, labels.select(F.lit("all").alias("group"), F.col("label").alias("i"), F.col("label").alias("j"), F.lit(1.0).alias("value"))
+ONEWAY, ONEWAY40 = oneway_sql("label"), oneway_sql("CAST(individual % 40 AS INTEGER)")
+
+
+def _oneway(spark, sf, level="label"):
+    p = D.phenotypes(spark, sf).withColumn("level", F.expr(level).cast("int"))
+    people = p.select(F.lit("all").alias("group"), "individual", "level", "y", F.array(F.lit(1.0)).alias("x"))
+    levels = p.select("level").distinct()
+    return people, levels.select(F.lit("all").alias("group"), F.col("level").alias("i"), F.col("level").alias("j"), F.lit(1.0).alias("value"))
 
 
 @query(ONEWAY)
@@ -377,9 +425,9 @@ def gblup_oneway_fixed(spark, sf):
     return rows.select(F.col("individual").cast("int").alias("level"), F.round("value", 6).alias("value"), F.round("reliability", 6).alias("reliability"), F.round("beta", 6).alias("beta"))
 
 
-@query(f"SELECT row_number() OVER (ORDER BY value DESC, level) AS place, level, value FROM ({ONEWAY}) ORDER BY value DESC, level LIMIT 15")
+@query(f"SELECT row_number() OVER (ORDER BY value DESC, level) AS place, level, value FROM ({ONEWAY40}) ORDER BY value DESC, level LIMIT 15")
 def blup_top15(spark, sf):
-    best = quant.top_blup(quant.fit_groups(*_oneway(spark, sf), genetic_variance=1.2, residual_variance=0.64), 15)
+    best = quant.top_blup(quant.fit_groups(*_oneway(spark, sf, "individual % 40"), genetic_variance=1.2, residual_variance=0.64), 15)
     return best.selectExpr("row_number() OVER (ORDER BY value DESC, individual) AS place", "cast(individual AS int) AS level", "round(value, 6) AS value").withColumn("place", F.col("place").cast("long"))
 
 
