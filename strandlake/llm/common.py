@@ -6,7 +6,7 @@ import sys
 import tempfile
 import types
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -36,10 +36,17 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+#: Paths of the tables that ``materialize`` made in this driver and nobody has deleted.
+MADE: set[str] = set()
+
+
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that the cluster names in ``spark.checkpoint.dir``; a temporary one only where that is unset."""
+    """The folder that the cluster names in ``spark.checkpoint.dir``. Where that is unset: a temporary one if the master is
+    local, as in tests, and an error on a cluster, whose machines would not find it."""
     named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not named:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all machines share")
         named = f"file://{tempfile.mkdtemp(prefix='shared-')}"
         spark.conf.set("spark.checkpoint.dir", named)
     return named
@@ -52,14 +59,29 @@ def materialize(df: DataFrame) -> DataFrame:
     df.write.parquet(path)
     found = spark.read.schema(df.schema).parquet(path)
     found._strandlake_path = path
+    MADE.add(path)
     return found
 
 
 def discard(df: DataFrame) -> None:
     """Delete a table made by ``materialize`` that no later plan reads."""
-    spark, path = df.sparkSession, df._strandlake_path
+    _delete(df.sparkSession, df._strandlake_path)
+
+
+def _delete(spark: SparkSession, path: str) -> None:
     at = spark._jvm.org.apache.hadoop.fs.Path(path)
     at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+    MADE.discard(path)
+
+
+def settle(make: Callable[[], DataFrame]) -> DataFrame:
+    """Materialise what ``make`` returns and delete the tables that were written on the way to it. Nothing that ``make``
+    leaves behind may read those; steps of one driver are settled one after the other."""
+    before = set(MADE)
+    found = materialize(make())
+    for path in MADE - before - {found._strandlake_path}:
+        _delete(found.sparkSession, path)
+    return found
 
 
 def worker_cache() -> types.ModuleType:

@@ -56,13 +56,16 @@ def scan_versions(versions: DataFrame, path: list[str], ledger: DataFrame | None
     """The rows to add to the ledger, and the columns ``path`` of every row of ``versions`` with its blob_id and spans.
 
     ``versions`` has the columns ``path`` that name a version of a path, and text. A null text is empty. Repeated rows
-    each get their findings; null path columns are values. Spans are empty arrays where nothing was found.
+    each get their findings; null path columns are values. Spans are empty arrays where nothing was found. Rows that the
+    ledger repeats count once. An empty table gives empty tables; columns other than ``path`` and text aren't read.
     """
+    if ledger is not None:
+        ledger = ledger.where(F.col("rule_version") == rule_version).dropDuplicates(["blob_id"])
     named = versions.select(*path, F.coalesce("text", F.lit("")).alias("text"))
     addressed = materialize(named.select(*path, F.sha2(F.col("text").cast("binary"), 256).alias("blob_id")))
     one = addressed.groupBy("blob_id").agg(F.min(F.struct(*path)).alias("_one"))
     if ledger is not None:
-        one = one.join(ledger.where(F.col("rule_version") == rule_version).select("blob_id"), "blob_id", "left_anti")
+        one = one.join(ledger.select("blob_id"), "blob_id", "left_anti")
     one = materialize(one)
     # one version of each unseen blob brings its text; the small side is the hash table, texts are not sorted
     same = reduce(lambda a, b: a & b, [F.col(f"_one.{c}").eqNullSafe(F.col(f"v.{c}")) for c in path])
@@ -73,7 +76,7 @@ def scan_versions(versions: DataFrame, path: list[str], ledger: DataFrame | None
     added = one.select("blob_id").join(found, "blob_id", "left").select("blob_id", F.lit(rule_version).alias("rule_version"), F.coalesce("spans", no_spans()).alias("spans"))
     known = found
     if ledger is not None:
-        known = known.unionByName(ledger.where((F.col("rule_version") == rule_version) & (F.size("spans") > 0)).select("blob_id", "spans"))
+        known = known.unionByName(ledger.where(F.size("spans") > 0).select("blob_id", "spans"))
     return added, addressed.join(known, "blob_id", "left").select(*path, "blob_id", F.coalesce("spans", no_spans()).alias("spans"))
 
 
@@ -86,25 +89,32 @@ def digest(found: DataFrame, path: list[str], rules: tuple = RULES) -> DataFrame
 
 
 def redact(docs: DataFrame, key: str = "doc_id", mark: str = "[SECRET]", ledger: DataFrame | None = None) -> DataFrame:
-    """The documents with every found span, or union of overlapping spans, replaced by ``mark``; other texts stay."""
+    """The documents, all columns as they are, with every found span, or union of overlapping spans, of text replaced by
+    ``mark``.
+
+    Null texts, and texts without a finding, stay. Rows that repeat ``key`` are treated each by its own text, null keys
+    too; rows that repeat in full stay as many. Other columns may have any names. An empty table gives an empty table.
+    """
     _, found = scan_versions(docs, [key], ledger)
-    marked = found.where(F.size("spans") > 0)
+    marked = found.where(F.size("spans") > 0).select(F.col(key).alias("k"), "blob_id", "spans").distinct()
     pieces = (
-        marked.select(key, "blob_id", F.explode("spans").alias("s")).select(key, "blob_id", "s.*").distinct()
-        .selectExpr("*", "max(end) OVER (PARTITION BY blob_id, {0} ORDER BY start, rank, end ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS _before".format(key))
-        .selectExpr("*", "count_if(_before IS NULL OR start > _before) OVER (PARTITION BY blob_id, {0} ORDER BY start, rank, end) AS _island".format(key))
-        .groupBy(key, "blob_id", "_island").agg(F.min("start").alias("a"), F.max("end").alias("b"))
-        .groupBy(key, "blob_id").agg(F.array_sort(F.collect_list(F.struct("a", "b"))).alias("_cuts"))
+        marked.select("k", "blob_id", F.explode("spans").alias("s")).select("k", "blob_id", "s.*")
+        .selectExpr("*", "max(end) OVER (PARTITION BY blob_id, k ORDER BY start, rank, end ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS before")
+        .selectExpr("*", "count_if(before IS NULL OR start > before) OVER (PARTITION BY blob_id, k ORDER BY start, rank, end) AS island")
+        .groupBy("k", "blob_id", "island").agg(F.min("start").alias("a"), F.max("end").alias("b"))
+        .groupBy("k", "blob_id").agg(F.array_sort(F.collect_list(F.struct("a", "b"))).alias("cuts"))
     )
-    cuts = F.col("_cuts")
+    # the document is one column, so that no name of its own can clash
+    rows = docs.select(F.struct(*[docs[c] for c in docs.columns]).alias("row"))
+    text, cuts = F.col("row.text"), F.col("cuts")
     start_of = lambda i: F.when(i == 0, F.lit(0)).otherwise(cuts[i - 1]["b"])
     whole = F.concat(
-        F.array_join(F.transform(cuts, lambda c, i: F.concat(F.substring(F.col("text"), (start_of(i) + 1).cast("int"), (c["a"] - start_of(i)).cast("int")), F.lit(mark))), ""),
-        F.substring(F.col("text"), (F.element_at(cuts, -1)["b"] + 1).cast("int"), F.length("text")),
+        F.array_join(F.transform(cuts, lambda c, i: F.concat(F.substring(text, (start_of(i) + 1).cast("int"), (c["a"] - start_of(i)).cast("int")), F.lit(mark))), ""),
+        F.substring(text, (F.element_at(cuts, -1)["b"] + 1).cast("int"), F.length(text)),
     )
-    texts = pieces.select(F.col(key).alias("_key"), F.col("blob_id").alias("_blob"), "_cuts")
-    joined = docs.join(texts, F.col(key).eqNullSafe(F.col("_key")) & (F.sha2(F.col("text").cast("binary"), 256) == F.col("_blob")), "left")
-    return joined.withColumn("text", F.when(cuts.isNull(), F.col("text")).otherwise(whole)).select(docs.columns)
+    joined = rows.join(pieces, F.col("row")[key].eqNullSafe(F.col("k")) & (F.sha2(text.cast("binary"), 256) == F.col("blob_id")), "left")
+    clean = F.when(cuts.isNull(), text).otherwise(whole)
+    return joined.select(*[clean.alias(c) if c == "text" else F.col("row")[c].alias(c) for c in docs.columns])
 
 
 def op6_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -22,7 +22,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import bounded, chunks, connected_components, materialize, table
+from .common import bounded, chunks, connected_components, discard, materialize, settle, table
 
 WORDS, RADIUS, SEED = 4, 4, 42
 #: (lowest bit, bits, allowance) of each segment: allowances sum to RADIUS - 2, one less than segments need to miss a pair.
@@ -520,19 +520,23 @@ def deduplicate(docs: DataFrame, words: int = 5, **how) -> DataFrame:
     """The documents, all columns as they are, that are the first of their group of near copies; one of repeated rows.
 
     Near copies are texts whose sets of shingles have a Jaccard similarity of 0.8 or more. Rows without a doc_id stay:
-    there is no telling which of them to keep. Sketches are gathered to find candidates; the text of a candidate moves
+    there is no telling which of them to keep. Null and empty texts are copies of each other. Other columns may have any
+    names; an empty table gives an empty table. Sketches are gathered to find candidates; the text of a candidate moves
     to meet the others of its group, and a text moves once to meet the ids that stay.
     """
     prints = materialize(sketch_table(docs, words).where("doc_id IS NOT NULL"))
-    groups = similar_components(prints, docs, words, **how)
-    parts = materialize(prints.select("doc_id", "same").join(groups, "same").select("doc_id", F.col("component").alias("component_id")))
-    kept = parts.where("doc_id = component_id").select(F.col("doc_id").alias("_kept")).distinct()
-    named = docs.join(kept.hint("shuffle_hash"), docs["doc_id"] == F.col("_kept"), "left_semi")
-    again = parts.groupBy("doc_id").count().where("count > 1").select(F.col("doc_id").alias("_again"))
+    parts = settle(lambda: prints.select("doc_id", "same").join(similar_components(prints, docs, words, **how), "same").select("doc_id", F.col("component").alias("component_id")))
+    discard(prints)
+    kept = parts.where("doc_id = component_id").select(F.col("doc_id").alias("kept")).distinct()
+    # the document is one column, so that no name of its own can clash
+    rows = docs.select(F.struct(*[docs[c] for c in docs.columns]).alias("row"))
+    key = F.col("row.doc_id")
+    named = rows.join(kept.hint("shuffle_hash"), key == F.col("kept"), "left_semi")
+    again = parts.groupBy("doc_id").count().where("count > 1").select(F.col("doc_id").alias("again"))
     if not again.isEmpty():
-        twice = named.join(again, named["doc_id"] == F.col("_again"), "left_semi").dropDuplicates(["doc_id"])
-        named = named.join(again, named["doc_id"] == F.col("_again"), "left_anti").unionByName(twice)
-    return named.unionByName(docs.where("doc_id IS NULL"))
+        twice = named.join(again, key == F.col("again"), "left_semi").withColumn("id", key).dropDuplicates(["id"]).drop("id")
+        named = named.join(again, key == F.col("again"), "left_anti").unionByName(twice)
+    return named.unionByName(rows.where(key.isNull())).select(*[F.col("row")[c].alias(c) for c in docs.columns])
 
 
 def op3_simhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

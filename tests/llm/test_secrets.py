@@ -74,3 +74,17 @@ def test_redaction(spark):
 def test_query(spark):
     agree(op6_secret_scan(spark, "/root/testdata/sf0.01"), _oracle(), "/root/testdata/sf0.01")
     assert len(RULES) == 3
+
+
+def test_clashing_columns_repeated_ledger_rows_and_empty_tables(spark):
+    names = ["doc_id", "text", "row", "k", "blob_id", "cuts", "_key", "spans"]
+    rows = [(1, "password=abcdef12 end", *"abcdef"), (1, "password=abcdef12 end", *"abcdef"), (None, "token: zzzzzz9", *"abcdef"), (2, None, *"abcdef"), (3, "", *"abcdef")]
+    df = spark.createDataFrame(rows, ", ".join(f"`{n}` {'long' if n == 'doc_id' else 'string'}" for n in names))
+    out = redact(df)
+    assert out.columns == names
+    assert sorted(str(r.text) for r in out.collect()) == sorted(["[SECRET] end", "[SECRET] end", "[SECRET]", "None", ""])
+    added, found = scan_versions(df, ["doc_id"])
+    ledger = added.unionByName(added)
+    more, again = scan_versions(df, ["doc_id"], ledger)
+    assert more.count() == 0 and sorted(map(str, again.collect())) == sorted(map(str, found.collect()))
+    assert redact(df.limit(0)).collect() == [] and scan_versions(df.limit(0), ["doc_id"])[1].collect() == []

@@ -205,3 +205,21 @@ def test_overfull_keys_are_compared_in_blocks(spark):
     t = crowd(120, 170, 24, pairs=40, changed=10)
     assert 0.75 < jaccard(t[0], t[1]) < 0.8 and jaccard(t[0], t[120]) > 0.87
     assert kept_of(spark, t, bucket=2, block=16) == kept_of(spark, t) == set(range(120))
+
+
+def test_clashing_columns_and_an_empty_table(spark):
+    names = ["doc_id", "text", "row", "kept", "again", "_kept", "id", "component_id"]
+    long = " ".join(f"w{i}" for i in range(20))
+    rows = [(1, long, "a", "b", "c", "d", "e", "f"), (2, long, "a", "b", "c", "d", "e", "f"), (3, "other words", *"abcdef"), (3, "other words", *"abcdef"), (None, long, *"abcdef")]
+    df = spark.createDataFrame(rows, ", ".join(f"`{n}` {'long' if n == 'doc_id' else 'string'}" for n in names))
+    out = deduplicate(df)
+    assert out.columns == names and sorted(map(str, (tuple(r) for r in out.collect()))) == sorted(map(str, [rows[0], rows[2], rows[4]]))
+    assert deduplicate(df.limit(0)).collect() == []
+
+
+def test_a_very_long_text(spark):
+    rng = random.Random(5)
+    words = [f"w{rng.randrange(5000)}" for _ in range(20_000)]
+    texts = [" ".join(words), " ".join([*words[:-3], "x", "y", "z"]), "short", "a " * 30_000]
+    got = {r.doc_id: r for r in near_duplicates(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()}
+    assert [got[i].component_id for i in range(4)] == [0, 0, 2, 3] and kept_of(spark, texts) == {0, 2, 3}
