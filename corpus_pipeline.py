@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from strandlake.llm import decontamination, language, packing, secrets, simhash
-from strandlake.llm.common import materialize, table
+from strandlake.llm.common import discard, settle, table
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -55,9 +55,13 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents")
+    """Applies the stages. What a stage wrote on its way, and its input, are deleted once its result is written; of the last
+    stage, whose result is still to be read, they stay."""
+    docs, last = table(spark, sf_dir, "documents"), None
     for name, stage in STAGES:
-        docs = stage(spark, docs, sf_dir)
-        if name != STAGES[-1][0]:
-            docs = materialize(docs)
-    return docs
+        if name == STAGES[-1][0]:
+            return stage(spark, docs, sf_dir)
+        docs = settle(lambda stage=stage, docs=docs: stage(spark, docs, sf_dir))
+        if last is not None:
+            discard(last)
+        last = docs
