@@ -1,7 +1,7 @@
 import numpy as np
 import pytest
 from oracle import agree
-from strandlake.llm.embeddings import ORACLE, compare, directions, least_collisions, miss_probability, near_duplicate_vectors, op1_embedding_dedup, unit, windows
+from strandlake.llm.embeddings import ORACLE, Block, cell_plan, cells_of, compare, directions, least_collisions, miss_probability, near_duplicate_vectors, op1_embedding_dedup, quantised, unit, windows
 
 SCHEMA = "vec_id long, embedding array<float>, label int, rep string, n string, cell double, d string"
 
@@ -24,7 +24,7 @@ def test_recall_at_the_threshold():
     z -= (z * x).sum(axis=1, keepdims=True) * x
     for cosine, low, high in ((0.9801, 2990, 3000), (0.9799, 0, 0)):
         y = cosine * x + np.sqrt(1 - cosine**2) * unit(z)
-        nx, _, _ = compare((x, np.ones(3000, np.int64)), (y, np.ones(3000, np.int64)), 0.98)
+        nx, _, _ = compare(*(Block(v, np.ones(3000, np.int64), quantised(v), cells_of(v, 0, 1, 0.98), 0) for v in (x, y)), 0.98)
         assert low <= nx.sum() <= high
 
 
@@ -63,11 +63,37 @@ def brute(data):
     return {i: (len(links[i]), comp[i], comp[i] == i) for i in links}
 
 
-@pytest.mark.parametrize("block", [4096, 7])
-def test_equals_brute_force(spark, block):
+def test_plans_keep_the_recall_and_compare_a_vanishing_share():
+    shares = []
+    for n in (10**5, 10**7, 10**9):
+        k, tables = cell_plan(n, 64, 0.98)
+        rng = np.random.default_rng(3)
+        x = unit(rng.standard_normal((2000, 64)))
+        z = rng.standard_normal(x.shape)
+        z -= (z * x).sum(axis=1, keepdims=True) * x
+        a, b = (cells_of(v, k, tables, 0.98) for v in (x, 0.9801 * x + np.sqrt(1 - 0.9801**2) * unit(z)))
+        assert (a == b).any(axis=1).sum() >= 1996
+        shares.append((a[:1000] == a[1000:]).sum() / 1000)
+    assert shares[0] < 0.2 and shares[2] <= shares[1] <= shares[0] and cell_plan(1500, 64, 0.98) == (0, 1)
+
+
+def test_recall_through_the_cells(spark):
+    rng = np.random.default_rng(4)
+    x = unit(rng.standard_normal((500, 64)))
+    z = rng.standard_normal(x.shape)
+    z -= (z * x).sum(axis=1, keepdims=True) * x
+    y = 0.981 * x + np.sqrt(1 - 0.981**2) * unit(z)
+    df = spark.createDataFrame([(i, v.tolist(), 1) for i, v in enumerate(np.concatenate([x, y]))], "vec_id long, embedding array<double>, label int")
+    got = {r.vec_id: r for r in near_duplicate_vectors(df, plan=cell_plan(10**6, 64, 0.98)).collect()}
+    found = [i for i in range(500) if got[i].n_links == 1 and got[i + 500].component_id == i]
+    assert len(found) >= 498 and all(r.n_links <= 1 for r in got.values())
+
+
+@pytest.mark.parametrize(("block", "plan"), [(4096, None), (7, None), (7, (2, 20)), (64, (1, 12))])
+def test_equals_brute_force(spark, block, plan):
     data = rows()
     df = spark.createDataFrame([(i, v, l, "a", "b", 0.5, "c") for i, v, l in data], SCHEMA)
-    got = {r.vec_id: (r.n_links, r.component_id, r.kept) for r in near_duplicate_vectors(df, block=block).collect()}
+    got = {r.vec_id: (r.n_links, r.component_id, r.kept) for r in near_duplicate_vectors(df, block=block, plan=plan).collect()}
     assert got == brute(data)
 
 
