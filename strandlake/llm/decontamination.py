@@ -1,7 +1,7 @@
 """Benchmark decontamination: SimHash of item-sized windows, multi-index Hamming blocks, exact verification.
 
-An item of L words is looked for in windows of L words at every place that holds at least one of its word shingles (a
-window without any has similarity 0). The window's SimHash is looked up among the items of that length: fingerprints
+An item of L words is looked for in the windows of L words that hold its word shingles at as many places as the similarity
+needs at least (counted by running sums). The window's SimHash is looked up among the items of that length: fingerprints
 are cut into BLOCKS bytes, and a table for each byte value holds the items within RADIUS // BLOCKS bits of it, so every
 item within RADIUS bits of the window is found. RADIUS is the largest that the tables guarantee; at the similarity
 asked for, a fingerprint lies farther off with a chance of about one in a million. Candidates within RADIUS are verified by
@@ -30,6 +30,8 @@ BLOCKS, NEAR = 8, 2
 RADIUS = BLOCKS * (NEAR + 1) - 1
 #: Bytes of benchmark texts that one pass over the documents may broadcast; a larger benchmark takes several passes.
 PASS_BYTES = 16 << 20
+#: Windows times items that are looked up at once.
+CHUNK_PAIRS = 1 << 21
 WORD = re.compile(r"[a-z0-9\u0080-\U0010ffff]+")
 LANES = np.uint64(0x0101010101010101)
 P, Q, M1, M2 = (np.uint64(x) for x in (0x100000001B3, 0x9E3779B97F4A7C15, 0xBF58476D1CE4E5B9, 0x94D049BB133111EB))
@@ -107,16 +109,17 @@ class Benchmark:
     lengths: list[int] = field(default_factory=list)
     prints: list[int] = field(default_factory=list)
     counters: list[Counter] = field(default_factory=list)
-    #: for each shingle size: sorted hashes, and for each its (item) numbers
-    known: dict[int, np.ndarray] = field(default_factory=dict)
-    holders: dict[int, dict[int, list[int]]] = field(default_factory=dict)
+    #: of each item: its sorted shingles' hashes, and how often it has each
+    hashes: list[np.ndarray] = field(default_factory=list)
+    weights: list[np.ndarray] = field(default_factory=list)
+    #: for each shingle size: sorted hashes; where each one's holders begin and end; holders, and the weights they give it
+    known: dict[int, tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]] = field(default_factory=dict)
     by_length: dict[int, np.ndarray] = field(default_factory=dict)
     tables: dict[int, np.ndarray] = field(default_factory=dict)
 
     @classmethod
     def of(cls, items: list[tuple[int, str]]) -> Benchmark:
         self = cls()
-        holders: dict = defaultdict(lambda: defaultdict(list))
         for item, text in sorted(items, key=repr):
             lowered = pc.utf8_lower(pa.array([text or ""]))
             words = WORD.findall(lowered[0].as_py())
@@ -124,16 +127,21 @@ class Benchmark:
                 continue
             k = min(WORDS, len(words))
             hashes = shingles(word_hashes(pa.array([text]))[0], k)
-            number = len(self.ids)
             self.ids.append(item)
             self.shingle_words.append(k)
             self.lengths.append(len(words))
             self.prints.append(int(window_prints(prefix_lanes(hashes), np.zeros(1, np.int64), len(hashes))[0]))
             self.counters.append(counted(words, k))
-            for h in np.unique(hashes).tolist():
-                holders[k][h].append(number)
-        self.holders = {k: dict(v) for k, v in holders.items()}
-        self.known = {k: np.array(sorted(v), np.uint64) for k, v in holders.items()}
+            found, n = np.unique(hashes, return_counts=True)
+            self.hashes.append(found)
+            self.weights.append(n)
+        for k in set(self.shingle_words):
+            own = [i for i, words in enumerate(self.shingle_words) if words == k]
+            hashes = np.concatenate([self.hashes[i] for i in own])
+            order = np.argsort(hashes, kind="stable")
+            known, first = np.unique(hashes[order], return_index=True)
+            items_ = np.repeat(own, [len(self.hashes[i]) for i in own])[order]
+            self.known[k] = known, np.append(first, len(order)), items_, np.concatenate([self.weights[i] for i in own])[order]
         bits = np.arange(256, dtype=np.uint8)
         near = np.bitwise_count(bits[:, None] ^ bits[None, :]) <= NEAR
         for length in set(self.lengths):
@@ -161,46 +169,92 @@ class Benchmark:
             return
         words, ends = word_hashes(texts)
         owner_start = np.concatenate([[0], ends[:-1]])
-        for k, known in self.known.items():
+        for k, (known, *_) in self.known.items():
             h = shingles(words, k)
             at = np.minimum(np.searchsorted(known, h), len(known) - 1)
             hits = np.flatnonzero(known[at] == h)
             text = np.searchsorted(ends, hits, "right")
-            hits, text = hits[whole := hits + k <= ends[text]], text[whole]
-            for t in np.unique(text).tolist():
-                mine = hits[text == t]
-                yield from self._in_text(t, texts[t].as_py(), words[owner_start[t] : ends[t]], mine - owner_start[t], h[mine], k, least)
-
-    def _in_text(self, t: int, text: str, words: np.ndarray, places: np.ndarray, hashes: np.ndarray, k: int, least: float):
-        wanted: dict[int, list[int]] = defaultdict(list)
-        for place, h in zip(places.tolist(), hashes.tolist(), strict=True):
-            for item in self.holders[k][h]:
-                wanted[item].append(place)
-        lengths: dict[int, list[int]] = defaultdict(list)
-        for item in wanted:
-            lengths[self.lengths[item]].append(item)
-        lanes, spelled = prefix_lanes(shingles(words, k)), None
+            whole = hits + k <= ends[text]
+            hits, text = hits[whole], text[whole]
+            if not len(text):
+                continue
+            edges = np.flatnonzero(np.concatenate([[True], text[1:] != text[:-1]]))
+            for a, b in zip(edges, [*edges[1:], len(text)], strict=True):
+                t = int(text[a])
+                yield from self._in_text(t, texts[t].as_py(), words[owner_start[t] : ends[t]], hits[a:b] - owner_start[t], at[hits[a:b]], k, least)
+
+    def _in_text(self, t: int, text: str, words: np.ndarray, places: np.ndarray, at: np.ndarray, k: int, least: float):
+        """Of a text's places that hold the known shingles ``at``. Work and memory are linear in the places of each item
+        that the text covers well enough, windows going in chunks."""
+        _, borders, holders, weights = self.known[k]
         total = len(words) - k + 1
+        distinct = np.unique(at)
+        spans = [slice(a, b) for a, b in zip(borders[distinct], borders[distinct + 1], strict=True)]
+        # a window shares at most what the whole text has of an item's weight
+        shared = np.bincount(np.concatenate([holders[s] for s in spans]), np.concatenate([weights[s] for s in spans]))
+        lengths: dict[int, list[int]] = defaultdict(list)
+        for item in np.flatnonzero(shared).tolist():
+            m = self.lengths[item] - k + 1
+            if shared[item] >= needed(min(m, total), m, least):
+                lengths[self.lengths[item]].append(item)
+        if not lengths:
+            return
+        hashes, spelled = self.known[k][0][at], None
+        lanes = prefix_lanes(shingles(words, k))
         for length, items in lengths.items():
-            n = min(length - k + 1, total)
-            reach = np.unique(np.concatenate([np.array(wanted[i])[:, None] - np.arange(n)[None, :] for i in items]).ravel())
-            starts = reach[(reach >= 0) & (reach <= total - n)]
-            window, item, distance = self.within(length, window_prints(lanes, starts, n))
-            best: dict[int, tuple] = {}
-            for w, i, d in zip(window.tolist(), item.tolist(), distance.tolist(), strict=True):
-                if i not in wanted:
-                    continue
-                start = int(starts[w])
-                own = np.array(wanted[i])
-                if np.count_nonzero((own >= start) & (own < start + n)) < least * n:  # too few for the similarity
-                    continue
+            m = length - k + 1
+            n = min(m, total)
+            reached, occurrences = np.zeros(total - n + 1, bool), {}
+            for item in items:
+                code = np.minimum(np.searchsorted(self.hashes[item], hashes), len(self.hashes[item]) - 1)
+                held = self.hashes[item][code] == hashes
+                occurrences[item] = places[held].astype(np.int32), code[held].astype(np.int32)
+                count = np.cumsum(np.bincount(places[held], minlength=total))
+                reached |= count[n - 1 :] - np.concatenate([[0], count[: total - n]]) >= needed(n, m, least)
+            starts, best = np.flatnonzero(reached), {}
+            step = max(64, CHUNK_PAIRS // len(self.by_length[length]))
+            for begin in range(0, len(starts), step):
+                chunk = starts[begin : begin + step]
+                window, item, distance = self.within(length, window_prints(lanes, chunk, n))
+                for i in np.unique(item).tolist():
+                    if i not in occurrences:
+                        continue
+                    mine = window[item == i]
+                    share = window_shares(*occurrences[i], self.weights[i], chunk[mine], n)
+                    found = share / (n + m - share)
+                    top = int(np.argmax(found))
+                    if found[top] >= least and (i not in best or found[top] > best[i][0]):
+                        best[i] = found[top], int(chunk[mine[top]]), int(distance[item == i][top])
+            for i, (_, start, d) in best.items():
                 if spelled is None:
                     spelled = WORD.findall(pc.utf8_lower(pa.array([text]))[0].as_py())
                 exact = similarity(self.counters[i], counted(spelled[start : start + n + k - 1], k))
-                if exact >= least and (i not in best or (-exact, start) < best[i][:2]):
-                    best[i] = (-exact, start, d)
-            for i, (exact, start, d) in best.items():
-                yield t, self.ids[i], start, n + k - 1, d, -exact
+                if exact >= least:
+                    yield t, self.ids[i], start, n + k - 1, d, exact
+
+
+def needed(n: int, m: int, least: float) -> float:
+    """What a window of n and an item of m shingles must share for the similarity; a trifle less, for rounding."""
+    return least * (n + m) / (1 + least) - 1e-6
+
+
+def window_shares(places: np.ndarray, code: np.ndarray, weights: np.ndarray, starts: np.ndarray, n: int) -> np.ndarray:
+    """The summed lesser weights of an item's shingles in the windows of n places from each of the sorted ``starts``.
+
+    A place counts in those windows that hold it, but not as many earlier places of its shingle as the item has.
+    """
+    inside = slice(*np.searchsorted(places, [starts[0], starts[-1] + n]))
+    places, code = places[inside], code[inside]
+    order = np.lexsort((places, code))
+    by_code, by_place = code[order], places[order]
+    rank = np.arange(len(order))
+    back = rank - weights[by_code]
+    full = (back >= 0) & (by_code[np.maximum(back, 0)] == by_code)
+    after = np.where(full, by_place[np.maximum(back, 0)] + 1, 0)  # the first start past so many earlier ones
+    low = np.searchsorted(starts, np.maximum(after, by_place - n + 1))
+    high = np.searchsorted(starts, by_place, "right")
+    change = np.bincount(low, minlength=len(starts) + 1) - np.bincount(np.maximum(high, low), minlength=len(starts) + 1)
+    return np.cumsum(change[:-1])
 
 
 def benchmark_passes(benchmark: DataFrame, pass_bytes: int = PASS_BYTES) -> Iterator[Benchmark]:

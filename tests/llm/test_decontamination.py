@@ -1,9 +1,11 @@
 import random
+import time
+import tracemalloc
 from collections import Counter
 
 import numpy as np
 import pyarrow as pa
-from strandlake.llm.decontamination import RADIUS, WORD, Benchmark, counted, decontaminate, find_contamination, op2_decontamination, similarity, window_prints, word_hashes, prefix_lanes, shingles
+from strandlake.llm.decontamination import RADIUS, WORD, Benchmark, counted, decontaminate, find_contamination, op2_decontamination, similarity, window_prints, word_hashes, prefix_lanes, shingles, window_shares
 
 SCHEMA = "doc_id long, text string, item_id string, similarity int, first_word string"
 
@@ -95,3 +97,44 @@ def test_query(spark):
     assert planted <= got and len(planted) > 10
     texts, by_item = {d.doc_id: d.text for d in docs}, {i.item_id: i.text for i in items}
     assert all(brute(texts[d], by_item[i]) >= 0.8 for d, i in got)
+
+
+def test_shares_of_windows():
+    rng = random.Random(6)
+    for _ in range(60):
+        words = [rng.choice("abcd") for _ in range(rng.randrange(5, 60))]
+        item = [rng.choice("abcd") for _ in range(rng.randrange(1, 20))]
+        kinds = sorted(set(item))
+        weights = np.array([item.count(c) for c in kinds])
+        places = np.array([i for i, c in enumerate(words) if c in kinds], np.int64)
+        code = np.array([kinds.index(words[p]) for p in places], np.int64)
+        n = rng.randrange(1, len(words) + 1)
+        starts = np.array(sorted(rng.sample(range(len(words) - n + 1), rng.randrange(1, len(words) - n + 2))))
+        want = [sum(min(v, Counter(item)[c]) for c, v in Counter(words[s : s + n]).items()) for s in starts]
+        assert window_shares(places, code, weights, starts, n).tolist() == want
+
+
+def test_repeated_and_nearly_equal_items_take_linear_time_and_little_memory():
+    rng = random.Random(8)
+    base = ["".join(rng.choices("abcdefgh", k=5)) for _ in range(400)]
+
+    def near():
+        copy = list(base)
+        copy[rng.randrange(400)] = "other"
+        return " ".join(copy)
+
+    items = [(i, near()) for i in range(300)]
+    bench, one = Benchmark.of(items), Benchmark.of(items[:1])
+    clock = []
+    for copies in (5, 40):
+        began = time.perf_counter()
+        assert len(list(one.matches(pa.array([" ".join([items[0][1]] * copies)]), 0.8))) == 1
+        clock.append(time.perf_counter() - began)
+    assert clock[1] < 40 * max(clock[0], 0.01)
+    text = pa.array([" ".join([items[0][1]] * 40)])
+    tracemalloc.start()
+    got = list(bench.matches(text, 0.8))
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert len(got) == 300 and peak < 300 << 20
+    assert len(list(Benchmark.of([(0, "a " * 400)]).matches(pa.array(["a " * 40_000]), 0.8))) == 1
