@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import sys
 import tempfile
 import types
@@ -81,6 +82,8 @@ def settle(make: Callable[[], DataFrame]) -> DataFrame:
     found = materialize(make())
     for path in MADE - before - {found._strandlake_path}:
         _delete(found.sparkSession, path)
+    gc.collect()  # Spark deletes the shuffle files of plans that nothing refers to any more
+    found.sparkSession._jvm.System.gc()
     return found
 
 

@@ -14,7 +14,7 @@ under a common point of the balls around them, so that the work stays linear in
 from __future__ import annotations
 
 from collections.abc import Iterator
-from itertools import combinations
+from itertools import combinations, islice
 
 import numpy as np
 import pyarrow as pa
@@ -37,6 +37,8 @@ SIMILAR = (4, 5)
 #: deviations above. Of sets of 4 and 5 shingles it is 18.75 %, for which sets of FEW or less have their own. In the 64 bits of
 #: the sieve 9.7 differ, so 19 keep all but one in a thousand.
 SIEVE, GUARD, FEW, GUARD_FEW = 19, 201, 8, 242
+#: Within so many of the sieve's bits, a text is compared at once with the first text that has a segment in common with it.
+STAR = 14
 #: A task compares two blocks of texts: of so many texts, or so many shingles on average.
 BLOCK, BLOCK_SHINGLES = 1024, 1 << 21
 LOWER = bytes.maketrans(bytes(range(65, 91)), bytes(range(97, 123)))
@@ -373,30 +375,61 @@ def meetings(batches: Iterator[pa.RecordBatch], bucket: int) -> Iterator[pa.Reco
     yield from by_bucket(batches, bucket, compared, lambda rows: rows_of(rows[0], rows[2], True))
 
 
-def guard_links(key: np.ndarray, sketch: np.ndarray, n: np.ndarray, component: np.ndarray) -> list[tuple[int, int]]:
-    """Positions of links that span what may be similar under equal keys (sorted), by the distance of whole sketches."""
+def guard_links(key: np.ndarray, sketch: np.ndarray, n: np.ndarray, component: np.ndarray) -> tuple[list[tuple[int, int]], np.ndarray]:
+    """By the distance of whole sketches under equal keys (sorted): positions of links that span what may be similar, and
+    which rows may be similar to a row of another component."""
     label = np.unique(component, return_inverse=True)[1]
-    forest = Forest(int(label.max()) + 1)
+    forest, hit = Forest(int(label.max()) + 1), np.zeros(len(key), bool)
     links, active, shift = [], np.arange(len(key) - 1), 1
     while len(active):
         active = active[active + shift < len(key)]
         active = active[key[active] == key[active + shift]]
         other = active + shift
-        apart = forest.root[label[active]] != forest.root[label[other]]
-        a, b = active[apart], other[apart]
+        known = hit[active] & hit[other] & (forest.root[label[active]] == forest.root[label[other]])
+        open_ = ~known & (label[active] != label[other])
+        a, b = active[open_], other[open_]
         least, most = np.minimum(n[a], n[b]), np.maximum(n[a], n[b])
         fits = least * SIMILAR[1] >= most * SIMILAR[0]
         a, b, least = a[fits], b[fits], least[fits]
         close = np.bitwise_count(sketch[a] ^ sketch[b]).sum(axis=1) <= np.where(least <= FEW, GUARD_FEW, GUARD)
         if close.any():
-            links += forest.join(a[close], b[close], label)
+            a, b = a[close], b[close]
+            hit[a] = hit[b] = True
+            links += forest.join(a, b, label)
         shift += 1
-    return links
+    return links, hit
+
+
+def stars(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(node, center) over rows (key, fp, node) sorted: rows within STAR bits of the first row of their key."""
+    key, fp, first = None, np.uint64(0), 0
+    for batch in filter(lambda b: b.num_rows, batches):
+        keys, node, own = batch.column("key").to_numpy(), batch.column("node").to_numpy(), batch.column("fp").to_numpy().view(np.uint64)
+        new = np.concatenate([[key is None or keys[0] != key], keys[1:] != keys[:-1]])
+        run, heads = np.cumsum(new), np.flatnonzero(new)
+        center = np.concatenate([[first], node[heads]])[run]
+        far = np.bitwise_count(own ^ np.concatenate([[fp], own[heads]])[run])
+        key, fp, first = keys[-1], (own[heads[-1]] if len(heads) else fp), center[-1]
+        if (near := (node != center) & (far <= STAR)).any():
+            yield pa.RecordBatch.from_arrays([pa.array(node[near]), pa.array(center[near])], ["node", "center"])
+
+
+def star_links(texts: Iterator[tuple[int, bool, str]], words: int) -> Iterator[tuple[int, int]]:
+    """(center, node) of the texts of a group that are similar to the center's, which comes first."""
+    center, held = None, None
+    for node, is_center, text in texts:
+        own = distinct_hashes([text], words)[0]
+        if is_center:
+            center, held = node, own
+        elif len(own) and len(held):
+            shared = len(np.intersect1d(own, held, assume_unique=True))
+            if shared * SIMILAR[1] >= (len(own) + len(held) - shared) * SIMILAR[0]:
+                yield center, node
 
 
 def similar_links(texts: list[str], node: np.ndarray, side: np.ndarray, words: int) -> list[tuple[int, int]]:
-    """Links (nodes) that span the texts whose sets of shingles have a Jaccard similarity of SIMILAR or more, by the sets
-    themselves: of two texts of sides 0 and 1, or of any two of side 2."""
+    """Links that span the texts whose sets of shingles have a Jaccard similarity of SIMILAR or more, by the sets
+    themselves: of two texts of sides 0 and 1, or of any two of side 2. Texts of one ``node`` are linked from the start."""
     sets = distinct_hashes(texts, words)
     some = [k for k, s in enumerate(sets) if len(s)]
     sizes, side = np.array([len(sets[k]) for k in some], np.int64), side[some]
@@ -446,27 +479,15 @@ def whole_keys(batches: Iterator[pa.RecordBatch], keys: list[str], rows: int = 1
         yield table, begins(table)
 
 
-def block_pairs(rows: DataFrame, group: str, k: str) -> DataFrame:
+def block_pairs(rows: DataFrame, group: str, k: str, *others: str) -> DataFrame:
     """Each row of a group of k blocks once for each pair of blocks (i <= j) that its own is in, with its side: 0, 1, or 2 if i = j."""
     dealt = rows.withColumn("_b", F.pmod(F.xxhash64("node"), F.col(k)).cast("int"))
     pairs = F.expr(f"transform(sequence(0, cast({k} as int) - 1), x -> named_struct('i', least(x, _b), 'j', greatest(x, _b), 'side', if(x = _b, 2, if(x > _b, 0, 1))))")
-    return dealt.withColumn("_p", F.explode(pairs)).select(group, "node", "_p.i", "_p.j", "_p.side")
+    return dealt.withColumn("_p", F.explode(pairs)).select(group, "node", *others, "_p.i", "_p.j", "_p.side")
 
 
-def similar_components(prints: DataFrame, docs: DataFrame, words: int = 5, bucket: int = BUCKET, block: int = BLOCK) -> DataFrame:
-    """(same, component) of a sketch table: components of texts whose sets of shingles have a Jaccard similarity of
-    SIMILAR or more, by their smallest id.
-
-    Equal sets are one node. Nodes meet under a segment of the sketch, where one side is looked up in the small Hamming
-    ball over the bits it is least sure of, and another 64 bits sieve them. Those within the guard by their complete
-    sketches, and those with fingerprints within RADIUS bits, are candidates; only their components are kept, never all
-    pairs. In each component of candidates all pairs that aren't linked yet are compared by the sets themselves, and
-    only these links count. Keys and components that are too large for a task are compared in pairs of blocks.
-    """
-    one = F.min(F.struct("doc_id", "n", "fp", "sketch", "weak")).alias("o")
-    nodes = materialize(prints.groupBy("same").agg(one).select("same", F.col("o.doc_id").alias("node"), "o.n", "o.fp", "o.sketch", "o.weak"))
-    tight = hamming_components(nodes.select(F.col("node").alias("doc_id"), "fp"), bucket=bucket)
-    tight = materialize(nodes.join(tight, "fp").select("node", "n", "component", "sketch", "weak"))
+def filed_parts(rows: DataFrame, balls: bool) -> DataFrame:
+    """(key, fp, node, home, component): a row for each segment of a sketch and, with ``balls``, each point of the ball."""
 
     def filed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -475,14 +496,56 @@ def similar_components(prints: DataFrame, docs: DataFrame, words: int = 5, bucke
                 sketch = np.frombuffer(b"".join(part.column("sketch").to_pylist()), "<u8").reshape(-1, SKETCH)
                 weak = np.frombuffer(b"".join(part.column("weak").to_pylist()), np.uint8).reshape(-1, PARTS, WEAK)
                 keys = part_keys(sketch, weak)
+                keys = keys if balls else keys[:, :, :1]
                 each = keys.shape[1] * keys.shape[2]
                 home = np.zeros(keys.shape, bool)
                 home[:, :, 0] = True
                 sieve, node, component = (np.repeat(x, each) for x in (sketch[:, -1].astype(np.uint64).view(np.int64), part.column("node").to_numpy(), part.column("component").to_numpy()))
                 yield pa.RecordBatch.from_arrays([pa.array(c) for c in (keys.ravel(), sieve, node, home.ravel(), component)], ["key", "fp", "node", "home", "component"])
 
-    rows = tight.select("node", "component", "sketch", "weak").mapInArrow(filed, "key long, fp long, node long, home boolean, component long")
-    dealt = rows.repartition("key").sortWithinPartitions("key", "fp")
+    return rows.select("node", "component", "sketch", "weak").mapInArrow(filed, "key long, fp long, node long, home boolean, component long")
+
+
+def star_components(nodes: DataFrame, texts: DataFrame, words: int, block: int) -> DataFrame:
+    """(node, component) of texts that are similar, by their sets, to the first text with a segment in common.
+
+    Each text is compared with one other, so that the work is linear however large a group is: this unites most of a large
+    group before any search. A center with more than ``block`` texts has a copy for each part of them.
+    """
+    homes = filed_parts(nodes.withColumn("component", F.col("node")), balls=False).select("key", "fp", "node")
+    met = homes.repartition("key").sortWithinPartitions("key", "node").mapInArrow(stars, "node long, center long")
+    edges = materialize(met.groupBy("node").agg(F.min("center").alias("center")))
+    parts = edges.groupBy("center").agg(F.ceil(F.count("*") / block).cast("int").alias("k"))
+    dealt = edges.join(parts, "center").select("center", F.pmod(F.xxhash64("node"), F.col("k")).cast("int").alias("part"), "node", F.lit(False).alias("first"))
+    centers = parts.select("center", F.explode(F.sequence(F.lit(0), F.col("k") - 1)).alias("part"), F.col("center").alias("node"), F.lit(True).alias("first"))
+
+    def verified(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rows = ((b.column("node")[i].as_py(), b.column("first")[i].as_py(), b.column("text")[i].as_py() or "") for b in batches for i in range(b.num_rows))
+        links = star_links(rows, words)
+        while found := list(islice(links, 10_000)):
+            yield pa.RecordBatch.from_arrays([pa.array([e[k] for e in found], pa.int64()) for k in (0, 1)], ["a", "b"])
+
+    grouped = dealt.unionByName(centers).join(texts, "node").repartition("center", "part").sortWithinPartitions("center", "part", F.desc("first"))
+    return connected_components(grouped.select("node", "first", "text").mapInArrow(verified, "a long, b long"))
+
+
+def similar_components(prints: DataFrame, docs: DataFrame, words: int = 5, bucket: int = BUCKET, block: int = BLOCK) -> DataFrame:
+    """(same, component) of a sketch table: components of texts whose sets of shingles have a Jaccard similarity of
+    SIMILAR or more, by their smallest id.
+
+    Equal sets are one node, and ``star_components`` unites most of what is similar. Nodes of different components then
+    meet under a segment of the sketch, where one side is looked up in the small Hamming ball over the bits it is least
+    sure of, and another 64 bits sieve them. Those within the guard by their complete sketches are candidates; only the
+    components that they form are kept, never all pairs. In each of these the candidates that aren't linked yet are
+    compared by the sets themselves, and only these links count. Keys and components that are too large for a task are
+    compared in pairs of blocks.
+    """
+    one = F.min(F.struct("doc_id", "n", "fp", "sketch", "weak")).alias("o")
+    nodes = materialize(prints.groupBy("same").agg(one).select("same", F.col("o.doc_id").alias("node"), "o.n", "o.sketch", "o.weak"))
+    texts = bounded(docs).select(F.col("doc_id").cast("long").alias("node"), "text")
+    stars_ = settle(lambda: star_components(nodes, texts, words, block))
+    united = nodes.join(stars_, "node", "left").select("node", "n", F.coalesce("component", "node").alias("component"), "sketch", "weak")
+    dealt = filed_parts(united, balls=True).repartition("key").sortWithinPartitions("key", "fp")
     met = materialize(dealt.mapInArrow(lambda batches: meetings(batches, bucket), "meet long, node long, hot boolean").distinct())
     groups, hot = met.where("NOT hot").select("meet", "node"), met.where("hot")
     if not hot.isEmpty():
@@ -493,26 +556,34 @@ def similar_components(prints: DataFrame, docs: DataFrame, words: int = 5, bucke
         for found, _ in whole_keys(batches, ["meet"]):
             sketch = np.frombuffer(b"".join(found.column("sketch").to_pylist()), "<u8").reshape(-1, SKETCH)
             meet, node, n, component = (found.column(c).to_numpy() for c in ("meet", "node", "n", "component"))
-            links = guard_links(meet, sketch, n.astype(np.int64), component)
-            yield pa.RecordBatch.from_arrays([pa.array(node[np.array([e[k] for e in links], np.int64)]) for k in (0, 1)], ["a", "b"])
+            links, hit = guard_links(meet, sketch, n.astype(np.int64), component)
+            a, b = (component[np.array([e[k] for e in links], np.int64)] for k in (0, 1))
+            some = np.flatnonzero(hit)
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(np.concatenate([a, component[some]])), pa.array(np.concatenate([b, component[some]])), pa.concat_arrays([pa.nulls(len(a), pa.int64()), pa.array(node[some])]), pa.array(np.concatenate([np.zeros(len(a), n.dtype), n[some]]))],
+                ["a", "b", "node", "n"],
+            )
 
-    sorted_groups = groups.join(tight.select("node", "n", "component", "sketch"), "node").repartition("meet").sortWithinPartitions("meet")
-    guards = sorted_groups.mapInArrow(guarded, "a long, b long")
-    maybe = connected_components(guards.unionByName(tight.select(F.col("node").alias("a"), F.col("component").alias("b"))))
-    members = materialize(maybe.join(tight.select("node", "n"), "node"))
-    sizes = members.groupBy("component").agg(F.ceil(F.greatest(F.count("*") / block, F.sum("n") / BLOCK_SHINGLES, F.lit(1))).alias("k"))
-    placed = block_pairs(members.join(sizes, "component"), "component", "k")
+    # a node's meetings, at most as many as its keys and their pairs of blocks, are one row while its sketch is joined
+    listed = groups.groupBy("node").agg(F.collect_list("meet").alias("meets")).join(united.select("node", "n", "component", "sketch"), "node")
+    sorted_groups = listed.select(F.explode("meets").alias("meet"), "node", "n", "component", "sketch").repartition("meet").sortWithinPartitions("meet")
+    # links of components (node is null), and the nodes that have candidates, with their component
+    guards = materialize(sorted_groups.mapInArrow(guarded, "a long, b long, node long, n int").distinct())
+    maybe = connected_components(guards.where("node IS NULL").select("a", "b")).withColumnRenamed("node", "a").withColumnRenamed("component", "group")
+    members = materialize(guards.where("node IS NOT NULL").join(maybe, "a").select(F.col("group"), "node", "n", F.col("a").alias("component")))
+    sizes = members.groupBy("group").agg(F.ceil(F.greatest(F.count("*") / block, F.sum("n") / BLOCK_SHINGLES, F.lit(1))).alias("k"))
+    placed = block_pairs(members.join(sizes, "group"), "group", "k", "component")
 
     def verified(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for found, first in whole_keys(batches, ["component", "i", "j"], 256):
-            node, side, links = found.column("node").to_numpy(), found.column("side").to_numpy(), []
+        for found, first in whole_keys(batches, ["group", "i", "j"], 256):
+            component, side, links = found.column("component").to_numpy(), found.column("side").to_numpy(), []
             for at, end in zip(first, np.append(first[1:], found.num_rows), strict=True):
-                links += similar_links([t or "" for t in found.column("text").slice(at, end - at).to_pylist()], node[at:end], side[at:end], words)
+                links += similar_links([t or "" for t in found.column("text").slice(at, end - at).to_pylist()], component[at:end], side[at:end], words)
             yield pa.RecordBatch.from_arrays([pa.array(np.array([e[k] for e in links], np.int64)) for k in (0, 1)], ["a", "b"])
 
-    texts = bounded(docs).select(F.col("doc_id").cast("long").alias("node"), "text")
-    compared = placed.join(texts, "node").repartition("component", "i", "j").sortWithinPartitions("component", "i", "j")
-    parts = connected_components(compared.select("component", "i", "j", "side", "node", "text").mapInArrow(verified, "a long, b long"))
+    compared = placed.join(texts, "node").repartition("group", "i", "j").sortWithinPartitions("group", "i", "j")
+    links = compared.select("group", "i", "j", "side", "component", "text").mapInArrow(verified, "a long, b long")
+    parts = connected_components(links.unionByName(stars_.select(F.col("node").alias("a"), F.col("component").alias("b"))))
     return nodes.join(parts, "node", "left").select("same", F.coalesce("component", "node").alias("component"))
 
 
