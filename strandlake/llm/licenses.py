@@ -1,10 +1,12 @@
 """Licence scans, in DataFrame operations only.
 
-Sentences that mention a licence are compared with templates by the cosine of sparse TF-IDF vectors: terms are runs of
-ASCII letters and digits in lower case, and the inverse document frequency is that over the templates, so that a
-sentence has the same score in every corpus. Each distinct sentence is scored once. A file's own licence is that of
-its best sentence; licence files give their directory its licence, and files without one of their own inherit from the
-nearest ancestor directory, found by joins of paths.
+What a text may say of its licence are units: its paragraphs (runs of lines without an empty one, so a whole comment
+header), its sentences, its lines, and, of a licence file, the whole text. Units with a word that notices have are compared
+with templates (licence texts, standard headers, short notices and SPDX tags) by the cosine of sparse TF-IDF vectors: terms
+are runs of ASCII letters and digits in lower case, and the inverse document frequency is that over the templates, so that a
+unit has the same score in every corpus. Each distinct unit is scored once. A file's own licence is that of its best unit;
+licence files give their directory its licence, and files without one of their own inherit from the nearest ancestor
+directory, found by joins of paths.
 """
 
 from __future__ import annotations
@@ -16,30 +18,83 @@ from pyspark.sql import functions as F
 
 from .common import materialize, table
 
-# Notices and opening sentences of public licences, with their SPDX identifiers.
+# Texts, standard headers and notices of public licences, with their SPDX identifiers.
+MIT = """Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the "Software"), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so, subject to the following conditions:
+
+The above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software.
+
+THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE AUTHORS OR COPYRIGHT HOLDERS BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR OTHERWISE, ARISING FROM, OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE SOFTWARE."""
+BSD_FIRST = """Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met:
+
+1. Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer.
+
+2. Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution."""
+BSD_THIRD = """3. Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission."""
+BSD_LAST = """THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS "AS IS" AND ANY EXPRESS OR IMPLIED WARRANTIES, INCLUDING, BUT NOT LIMITED TO, THE IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A PARTICULAR PURPOSE ARE DISCLAIMED. IN NO EVENT SHALL THE COPYRIGHT HOLDER OR CONTRIBUTORS BE LIABLE FOR ANY DIRECT, INDIRECT, INCIDENTAL, SPECIAL, EXEMPLARY, OR CONSEQUENTIAL DAMAGES (INCLUDING, BUT NOT LIMITED TO, PROCUREMENT OF SUBSTITUTE GOODS OR SERVICES; LOSS OF USE, DATA, OR PROFITS; OR BUSINESS INTERRUPTION) HOWEVER CAUSED AND ON ANY THEORY OF LIABILITY, WHETHER IN CONTRACT, STRICT LIABILITY, OR TORT (INCLUDING NEGLIGENCE OR OTHERWISE) ARISING IN ANY WAY OUT OF THE USE OF THIS SOFTWARE, EVEN IF ADVISED OF THE POSSIBILITY OF SUCH DAMAGE."""
+ISC = """Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies.
+
+THE SOFTWARE IS PROVIDED "AS IS" AND THE AUTHOR DISCLAIMS ALL WARRANTIES WITH REGARD TO THIS SOFTWARE INCLUDING ALL IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS. IN NO EVENT SHALL THE AUTHOR BE LIABLE FOR ANY SPECIAL, DIRECT, INDIRECT, OR CONSEQUENTIAL DAMAGES OR ANY DAMAGES WHATSOEVER RESULTING FROM LOSS OF USE, DATA OR PROFITS, WHETHER IN AN ACTION OF CONTRACT, NEGLIGENCE OR OTHER TORTIOUS ACTION, ARISING OUT OF OR IN CONNECTION WITH THE USE OR PERFORMANCE OF THIS SOFTWARE."""
+APACHE = """Licensed under the Apache License, Version 2.0 (the "License"); you may not use this file except in compliance with the License. You may obtain a copy of the License at
+
+http://www.apache.org/licenses/LICENSE-2.0
+
+Unless required by applicable law or agreed to in writing, software distributed under the License is distributed on an "AS IS" BASIS, WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied. See the License for the specific language governing permissions and limitations under the License."""
+GPL_HEADER = """This program is free software: you can redistribute it and/or modify it under the terms of the {0} as published by the Free Software Foundation, either version {1} of the License, or (at your option) any later version."""
+GPL_WARRANTY = """This program is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without even the implied warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE. See the {0} for more details. You should have received a copy of the {0} along with this program."""
+VERBATIM = "Everyone is permitted to copy and distribute verbatim copies of this license document, but changing it is not allowed."
+GPL, LGPL = "GNU General Public License", "GNU Lesser General Public License"
+PROPRIETARY = "LicenseRef-Proprietary"
 TEMPLATES = (
     ("Apache-2.0", "Licensed under the Apache License, Version 2.0."),
     ("Apache-2.0", 'Licensed under the Apache License, Version 2.0 (the "License"); you may not use this file except in compliance with the License.'),
+    ("Apache-2.0", APACHE),
+    ("Apache-2.0", "Apache License Version 2.0, January 2004 http://www.apache.org/licenses/"),
+    ("Apache-2.0", "Apache License Version 2.0, January 2004 http://www.apache.org/licenses/ TERMS AND CONDITIONS FOR USE, REPRODUCTION, AND DISTRIBUTION"),
     ("BSD-2-Clause", "Released under the BSD 2-Clause License."),
+    ("BSD-2-Clause", f"{BSD_FIRST}\n\n{BSD_LAST}"),
     ("BSD-3-Clause", "Released under the BSD 3-Clause License."),
+    ("BSD-3-Clause", f"{BSD_FIRST}\n\n{BSD_THIRD}\n\n{BSD_LAST}"),
+    ("BSD-3-Clause", BSD_THIRD),
     ("CC-BY-4.0", "This work is licensed under the Creative Commons Attribution 4.0 International License."),
+    ("CC-BY-4.0", "Licensed under CC BY 4.0."),
+    ("CC-BY-NC-4.0", "This work is licensed under the Creative Commons Attribution-NonCommercial 4.0 International License."),
+    ("CC-BY-NC-4.0", "Licensed under CC BY-NC 4.0."),
+    ("CC-BY-SA-4.0", "This work is licensed under the Creative Commons Attribution-ShareAlike 4.0 International License."),
+    ("CC-BY-SA-4.0", "Licensed under CC BY-SA 4.0."),
     ("CC0-1.0", "This work is dedicated to the public domain under the Creative Commons CC0 1.0 Universal License."),
     ("GPL-2.0", "This work is licensed under the GNU General Public License, version 2."),
+    ("GPL-2.0", f"{GPL_HEADER.format(GPL, 2)}"),
+    ("GPL-2.0", f"{GPL_HEADER.format(GPL, 2)}\n\n{GPL_WARRANTY.format(GPL)}"),
+    ("GPL-2.0", f"{GPL} Version 2, June 1991 Copyright (C) 1989, 1991 Free Software Foundation, Inc. {VERBATIM}"),
+    ("GPL-2.0", f"{GPL} Version 2, June 1991"),
     ("GPL-3.0", "This work is licensed under the GNU General Public License, version 3."),
-    ("GPL-3.0", "It is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation, version 3."),
+    ("GPL-3.0", f"{GPL_HEADER.format(GPL, 3)}"),
+    ("GPL-3.0", f"{GPL_HEADER.format(GPL, 3)}\n\n{GPL_WARRANTY.format(GPL)}"),
+    ("GPL-3.0", f"{GPL} Version 3, 29 June 2007 Copyright (C) 2007 Free Software Foundation, Inc. <https://fsf.org/> {VERBATIM}"),
+    ("GPL-3.0", f"{GPL} Version 3, 29 June 2007"),
     ("ISC", "Released under the ISC License."),
+    ("ISC", ISC),
     ("LGPL-3.0", "This work is licensed under the GNU Lesser General Public License, version 3."),
+    ("LGPL-3.0", f"{GPL_HEADER.format(LGPL, 3)}"),
+    ("LGPL-3.0", f"{LGPL} Version 3, 29 June 2007"),
     ("MIT", "Released under the MIT License."),
+    ("MIT", MIT),
+    ("MIT", MIT.split("\n\n")[0]),
     ("MPL-2.0", "This file is subject to the terms of the Mozilla Public License, v. 2.0."),
+    ("MPL-2.0", "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0. If a copy of the MPL was not distributed with this file, You can obtain one at https://mozilla.org/MPL/2.0/."),
+    ("MPL-2.0", "Mozilla Public License Version 2.0"),
     ("Unlicense", "This is free and unencumbered software released into the public domain under the Unlicense."),
+    ("Unlicense", "This is free and unencumbered software released into the public domain. Anyone is free to copy, modify, publish, use, compile, sell, or distribute this software, either in source code form or as a compiled binary, for any purpose, commercial or non-commercial, and by any means."),
+    (PROPRIETARY, "All rights reserved."),
 )
-MENTION = "[lL][iI][cC][eE][nN][cCsS][eE]"
-#: Base names of licence files, and the similarity from which a sentence has a template's licence.
+TEMPLATES = (*TEMPLATES, *((name, f"SPDX-License-Identifier: {name}") for name in dict.fromkeys(t[0] for t in TEMPLATES) if name != PROPRIETARY))
+#: Words one of which every template has; a unit without any isn't a notice.
+MENTION = "(?i)licen[cs]|copyright|reserved|hereby|redistribut|spdx|unencumbered"
+#: Base names of licence files, and the similarity from which a unit has a template's licence.
 LICENCE_FILE = "(?i)^(un)?licen[cs]e([-.].*)?$|(?i)^copying([-.].*)?$|(?i)^notice([-.].*)?$"
 LEAST = 0.7
-#: A document of at most so many words that mentions a licence stands for its directory's licence file.
-LICENCE_WORDS = 40
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
+BLANK, STOP = r"\n[\x20\t\r]*\n", r"([.!?])[\x20\t\r\n]+"
 
 
 def template_weights(templates: tuple = TEMPLATES) -> tuple[list[tuple], float]:
@@ -58,26 +113,32 @@ def template_weights(templates: tuple = TEMPLATES) -> tuple[list[tuple], float]:
     return rows, log(1 + len(templates)) + 1
 
 
-def sentences(text: Column) -> Column:
-    """The sentences or lines of a text that mention a licence."""
-    return F.filter(F.split(F.regexp_replace(text, r"([.!?])[\x20\t]+", "$1\n"), "\n", -1), lambda s: s.rlike(MENTION))
+def units(text: Column, whole: Column) -> Column:
+    """The paragraphs, sentences and lines of a text, and the text itself where ``whole``, that have a word of notices."""
+    apart = F.regexp_replace(text, BLANK, "\x01")
+    parts = F.concat(F.split(apart, "\x01", -1), F.split(F.regexp_replace(apart, STOP, "$1\x01"), "\x01", -1), F.split(text, "\n", -1), F.when(whole, F.array(text)).otherwise(F.array().cast("array<string>")))
+    return F.filter(F.array_distinct(parts), lambda s: s.rlike(MENTION))
+
+
+def best_of(licence: str = "licence", similarity: str = "similarity") -> Column:
+    """The most similar, of equals the first by name; a mere reservation of rights yields to any licence."""
+    return F.min(F.struct((F.col(licence) == PROPRIETARY).alias("yields"), (-F.col(similarity)).alias("s"), F.col(licence).alias("licence"))).alias("b")
 
 
 def scored(texts: DataFrame, templates: tuple = TEMPLATES, least: float = LEAST) -> DataFrame:
-    """(sentence, licence, similarity) of the distinct sentences that have a template's licence."""
+    """(id, licence, similarity) of the distinct units (id, unit) that have a template's licence."""
     rows, unknown = template_weights(templates)
     spark = texts.sparkSession
     weights = F.broadcast(spark.createDataFrame(rows, "template int, licence string, term string, idf double, weight double"))  # the templates are fixed
     idf = F.broadcast(spark.createDataFrame(sorted({(w, i) for _, _, w, i, _ in rows}), "term string, idf double"))
-    lowered = F.translate("sentence", UPPER, LOWER)
-    terms = texts.select("sentence").distinct().select("sentence", F.explode(F.regexp_extract_all(lowered, F.lit("[a-z0-9]+"), F.lit(0))).alias("term"))
-    counts = terms.groupBy("sentence", "term").agg(F.count("*").alias("n"))
-    vectors = materialize(counts.join(idf, "term", "left").select("sentence", "term", (F.col("n") * F.coalesce("idf", F.lit(unknown))).alias("x")))
-    norms = vectors.groupBy("sentence").agg(F.sqrt(F.sum(F.col("x") * F.col("x"))).alias("norm"))
-    dots = vectors.join(weights.drop("idf"), "term").groupBy("sentence", "template", "licence").agg(F.sum(F.col("x") * F.col("weight")).alias("dot"))
-    cosines = dots.join(norms, "sentence").select("sentence", "licence", F.round(F.col("dot") / F.col("norm"), 6).alias("similarity"))
-    best = cosines.groupBy("sentence").agg(F.min(F.struct((-F.col("similarity")).alias("s"), "licence")).alias("b"))
-    return best.select("sentence", "b.licence", (-F.col("b.s")).alias("similarity")).where(F.col("similarity") >= least)
+    lowered = F.translate("unit", UPPER, LOWER)
+    terms = texts.dropDuplicates(["id"]).select("id", F.explode(F.regexp_extract_all(lowered, F.lit("[a-z0-9]+"), F.lit(0))).alias("term"))
+    counts = terms.groupBy("id", "term").agg(F.count("*").alias("n"))
+    vectors = materialize(counts.join(idf, "term", "left").select("id", "term", (F.col("n") * F.coalesce("idf", F.lit(unknown))).alias("x")))
+    norms = vectors.groupBy("id").agg(F.sqrt(F.sum(F.col("x") * F.col("x"))).alias("norm"))
+    dots = vectors.join(weights.drop("idf"), "term").groupBy("id", "template", "licence").agg(F.sum(F.col("x") * F.col("weight")).alias("dot"))
+    cosines = dots.join(norms, "id").select("id", "licence", F.round(F.col("dot") / F.col("norm"), 6).alias("similarity")).where(F.col("similarity") >= least)
+    return cosines.groupBy("id").agg(best_of()).select("id", "b.licence", (-F.col("b.s")).alias("similarity"))
 
 
 def scan_licences(files: DataFrame, key: list[str], templates: tuple = TEMPLATES, least: float = LEAST) -> DataFrame:
@@ -85,21 +146,23 @@ def scan_licences(files: DataFrame, key: list[str], templates: tuple = TEMPLATES
 
     origin: ``file`` for a licence file with a licence, ``header`` for another file with one of its own, ``inherited``
     with the directory it comes from, or ``none`` with null licence. A path with several texts takes the best of them
-    all; ties go to the first licence by name. Of several licence files in a directory the most similar counts, then
-    the first licence by name. Null and empty texts have no licence of their own; a null path inherits nothing.
+    all; ties go to the first licence by name, and a mere reservation of rights yields to any licence. Of several licence
+    files in a directory the best counts likewise. Null and empty texts have no licence of their own; a null path inherits
+    nothing. Repeated rows each have their row; an empty table gives an empty table.
     """
     parts = F.split("path", "/", -1)
     name = F.element_at(parts, -1)
     directory = F.array_join(F.slice(parts, F.lit(1), F.size(parts) - 1), "/")
     rows = materialize(files.select(*key, "path", directory.alias("_dir"), name.rlike(LICENCE_FILE).alias("_is_file")))
-    said = materialize(files.where(F.col("text").rlike(MENTION)).select("path", F.explode(sentences(F.col("text"))).alias("sentence")).where("path IS NOT NULL").distinct())
-    own = said.join(scored(said, templates, least), "sentence")
-    own = own.groupBy("path").agg(F.min(F.struct((-F.col("similarity")).alias("s"), "licence")).alias("b")).select("path", "b.licence", (-F.col("b.s")).alias("similarity"))
+    said = files.where(F.col("text").rlike(MENTION) & F.col("path").isNotNull()).select("path", F.explode(units(F.col("text"), name.rlike(LICENCE_FILE))).alias("unit"))
+    said = materialize(said.select("path", F.sha2(F.col("unit").cast("binary"), 256).alias("id"), "unit").dropDuplicates(["path", "id"]))
+    own = said.select("path", "id").join(scored(said.select("id", "unit"), templates, least), "id")
+    own = own.groupBy("path").agg(best_of()).select("path", "b.licence", (-F.col("b.s")).alias("similarity"))
     own = materialize(own)
     of_path = own.select("path", F.col("licence").alias("_own"), F.col("similarity").alias("_own_similarity"))
     given = (
         own.withColumn("_is_file", name.rlike(LICENCE_FILE)).where("_is_file").withColumn("_dir", directory)
-        .groupBy("_dir").agg(F.min(F.struct((-F.col("similarity")).alias("s"), "licence")).alias("b"))
+        .groupBy("_dir").agg(best_of())
         .select(F.col("_dir").alias("_from"), F.col("b.licence").alias("_given"), (-F.col("b.s")).alias("_given_similarity"))
     )
     # ancestors of directories, not of files: a directory with many files is one row
@@ -118,10 +181,10 @@ def scan_licences(files: DataFrame, key: list[str], templates: tuple = TEMPLATES
 
 
 def document_files(docs: DataFrame) -> DataFrame:
-    """(doc_id, path, text): a source is a repository, and the ids' hundreds and tens are its directories."""
-    words = F.size(F.regexp_extract_all("text", F.lit(r"[^\x20\x09-\x0D]+"), F.lit(0)))
-    licence = F.col("text").rlike(MENTION) & (words <= LICENCE_WORDS)
-    base = F.when(licence, F.concat(F.lit("LICENSE."), F.col("doc_id").cast("string"))).otherwise(F.concat(F.lit("doc."), F.col("doc_id").cast("string")))
+    """(doc_id, path, text): a source is a repository, the ids' hundreds and tens are its directories, and a document whose
+    id ends in 0 is a licence file of its directory."""
+    key = F.col("doc_id").cast("string")
+    base = F.concat(F.when(F.col("doc_id") % 10 == 0, F.lit("LICENSE.")).otherwise(F.lit("doc.")), key)
     return docs.select("doc_id", F.concat_ws("/", F.coalesce("source", F.lit("none")), F.expr("doc_id div 100 % 10").cast("string"), F.expr("doc_id div 10 % 10").cast("string"), base).alias("path"), "text")
 
 
@@ -130,34 +193,30 @@ def op5_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _oracle() -> str:
-    rows, unknown = template_weights()
-    quoted = ", ".join(f"({k}, '{licence}', '{w}', CAST({i!r} AS DOUBLE), CAST({x!r} AS DOUBLE))" for k, licence, w, i, x in rows)
+    """The weights, too, are computed in SQL, from the templates' texts."""
+    quoted = ", ".join("({}, '{}', '{}')".format(k, licence, text.replace("'", "''")) for k, (licence, text) in enumerate(TEMPLATES))
+    terms = rf"regexp_extract_all(translate({{0}}, '{UPPER}', '{LOWER}'), '[a-z0-9]+')"
+    first = f"ORDER BY (licence = '{PROPRIETARY}'), similarity DESC, licence"
     return rf"""
-WITH weights(template, licence, term, idf, weight) AS (VALUES {quoted}),
-idf AS (SELECT DISTINCT term, idf FROM weights),
-files AS (
-  SELECT doc_id, text, coalesce(text, '') SIMILAR TO '(?s).*{MENTION}.*' AND len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) <= {LICENCE_WORDS} AS is_file,
-         coalesce(source, 'none') || '/' || (doc_id // 100 % 10) || '/' || (doc_id // 10 % 10) AS dir FROM documents),
-paths AS (SELECT *, dir || CASE WHEN is_file THEN '/LICENSE.' ELSE '/doc.' END || doc_id AS path FROM files),
-said AS (
-  SELECT DISTINCT path, sentence FROM (SELECT path, unnest(string_split(regexp_replace(text, '([.!?])[\x20\t]+', '\1' || chr(10), 'g'), chr(10))) AS sentence FROM paths)
-  WHERE regexp_matches(sentence, '{MENTION}')),
-terms AS (
-  SELECT sentence, term, count(*) AS n FROM (
-    SELECT sentence, unnest(regexp_extract_all(translate(sentence, '{UPPER}', '{LOWER}'), '[a-z0-9]+')) AS term FROM (SELECT DISTINCT sentence FROM said)) GROUP BY ALL),
-vectors AS (SELECT sentence, term, n * coalesce(idf, CAST({unknown!r} AS DOUBLE)) AS x FROM terms LEFT JOIN idf USING (term)),
-norms AS (SELECT sentence, sqrt(sum(x * x)) AS norm FROM vectors GROUP BY sentence),
+WITH templates(template, licence, text) AS (VALUES {quoted}),
+template_terms AS (SELECT template, licence, term, count(*) AS n FROM (SELECT template, licence, unnest({terms.format("text")}) AS term FROM templates) GROUP BY ALL),
+idf AS (SELECT term, ln(CAST(1 + (SELECT count(*) FROM templates) AS DOUBLE) / (1 + count(*))) + 1 AS idf FROM template_terms GROUP BY term),
+weights AS (SELECT template, licence, term, n * idf / sqrt(sum(n * idf * n * idf) OVER (PARTITION BY template)) AS weight FROM template_terms JOIN idf USING (term)),
+paths AS (SELECT doc_id, text, doc_id % 10 = 0 AS is_file, coalesce(source, 'none') || '/' || (doc_id // 100 % 10) || '/' || (doc_id // 10 % 10) AS dir,
+          coalesce(source, 'none') || '/' || (doc_id // 100 % 10) || '/' || (doc_id // 10 % 10) || CASE WHEN doc_id % 10 = 0 THEN '/LICENSE.' ELSE '/doc.' END || doc_id AS path FROM documents),
+marked AS (SELECT path, is_file, text, regexp_replace(text, '{BLANK}', chr(1), 'g') AS apart FROM paths WHERE regexp_matches(text, '{MENTION}')),
+said AS (SELECT DISTINCT path, unit FROM (
+  SELECT path, unnest(string_split(apart, chr(1))) AS unit FROM marked UNION ALL SELECT path, unnest(string_split(regexp_replace(apart, '{STOP}', '\1' || chr(1), 'g'), chr(1))) FROM marked
+  UNION ALL SELECT path, unnest(string_split(text, chr(10))) FROM marked UNION ALL SELECT path, text FROM marked WHERE is_file) WHERE regexp_matches(unit, '{MENTION}')),
+counts AS (SELECT unit, term, count(*) AS n FROM (SELECT unit, unnest({terms.format("unit")}) AS term FROM (SELECT DISTINCT unit FROM said)) GROUP BY ALL),
+vectors AS (SELECT unit, term, n * coalesce(idf, ln(CAST(1 + (SELECT count(*) FROM templates) AS DOUBLE)) + 1) AS x FROM counts LEFT JOIN idf USING (term)),
+norms AS (SELECT unit, sqrt(sum(x * x)) AS norm FROM vectors GROUP BY unit),
 cosines AS (
-  SELECT sentence, licence, round(dot / norm, 6) AS similarity FROM (
-    SELECT sentence, template, licence, sum(x * weight) AS dot FROM vectors JOIN weights USING (term) GROUP BY ALL) JOIN norms USING (sentence)),
-best AS (
-  SELECT sentence, licence, similarity FROM cosines WHERE similarity >= {LEAST}
-  QUALIFY row_number() OVER (PARTITION BY sentence ORDER BY similarity DESC, licence) = 1),
-own AS (
-  SELECT path, licence, similarity FROM said JOIN best USING (sentence) QUALIFY row_number() OVER (PARTITION BY path ORDER BY similarity DESC, licence) = 1),
-given AS (
-  SELECT dir AS licence_dir, licence, similarity FROM paths JOIN own USING (path) WHERE is_file
-  QUALIFY row_number() OVER (PARTITION BY dir ORDER BY similarity DESC, licence) = 1),
+  SELECT unit, licence, round(dot / norm, 6) AS similarity FROM (
+    SELECT unit, template, licence, sum(x * weight) AS dot FROM vectors JOIN weights USING (term) GROUP BY ALL) JOIN norms USING (unit)),
+best AS (SELECT unit, licence, similarity FROM cosines WHERE similarity >= {LEAST} QUALIFY row_number() OVER (PARTITION BY unit {first}) = 1),
+own AS (SELECT path, licence, similarity FROM said JOIN best USING (unit) QUALIFY row_number() OVER (PARTITION BY path {first}) = 1),
+given AS (SELECT dir AS licence_dir, licence, similarity FROM paths JOIN own USING (path) WHERE is_file QUALIFY row_number() OVER (PARTITION BY dir {first}) = 1),
 above AS (SELECT dir, k, array_to_string(string_split(dir, '/')[1:k], '/') AS licence_dir FROM (SELECT dir, unnest(range(0, len(string_split(dir, '/')) + 1)) AS k FROM (SELECT DISTINCT dir FROM paths))),
 nearest AS (SELECT dir, licence_dir, licence, similarity FROM above JOIN given USING (licence_dir) QUALIFY row_number() OVER (PARTITION BY dir ORDER BY k DESC) = 1)
 SELECT doc_id, p.path, coalesce(o.licence, n.licence) AS licence, coalesce(o.similarity, n.similarity) AS similarity,

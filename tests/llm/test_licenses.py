@@ -1,22 +1,34 @@
 import re
 from collections import Counter
-from math import sqrt
+from math import log, sqrt
 
 from oracle import agree
-from strandlake.llm.licenses import LEAST, TEMPLATES, _oracle, op5_license_scan, scan_licences, template_weights
+from strandlake.llm.licenses import APACHE, BSD_FIRST, BSD_LAST, BSD_THIRD, GPL, GPL_HEADER, GPL_WARRANTY, ISC, MENTION, MIT, PROPRIETARY, TEMPLATES, VERBATIM, _oracle, op5_license_scan, scan_licences
 
 SCHEMA = "key long, path string, text string, licence string, sentence string, term int, _dir string"
 
 
-def cosine(sentence):
-    """(similarity, licence) of the best template, by loops."""
-    rows, unknown = template_weights()
-    idf = {w: i for _, _, w, i, _ in rows}
-    counts = Counter(re.findall("[a-z0-9]+", "".join(c.lower() if c.isascii() else c for c in sentence)))
-    vector = {w: n * idf.get(w, unknown) for w, n in counts.items()}
-    norm = sqrt(sum(x * x for x in vector.values()))
-    best = [(-round(sum(vector.get(w, 0) * x for k2, _, w, _, x in rows if k2 == k) / norm, 6), licence) for k, (licence, _) in enumerate(TEMPLATES)]
-    return min(best)
+def terms(text):
+    return Counter(re.findall("[a-z0-9]+", "".join(c.lower() if c.isascii() else c for c in text)))
+
+
+DOCUMENTS = Counter(w for _, t in TEMPLATES for w in terms(t))
+IDF = {w: log((1 + len(TEMPLATES)) / (1 + n)) + 1 for w, n in DOCUMENTS.items()}
+
+
+def vector(text):
+    found = {w: n * IDF.get(w, log(1 + len(TEMPLATES)) + 1) for w, n in terms(text).items()}
+    norm = sqrt(sum(x * x for x in found.values()))
+    return {w: x / norm for w, x in found.items()}
+
+
+VECTORS = [(licence, vector(t)) for licence, t in TEMPLATES]
+
+
+def cosine(unit):
+    """(yields, -similarity, licence) of the best template, by loops."""
+    own = vector(unit)
+    return min((licence == PROPRIETARY, -round(sum(x * own.get(w, 0) for w, x in v.items()), 6), licence) for licence, v in VECTORS)
 
 
 def files():
@@ -56,13 +68,39 @@ def test_scan(spark):
 
 
 def test_similarity_equals_loops(spark):
-    texts = [t for _, t in TEMPLATES] + ["Licensed under Apache License 2", "the License the license", "MIT License", "Some other license, version 3", "This file is released under the license BSD clause 3"]
-    df = spark.createDataFrame([(k, f"p{k}", t, "l", "s", 1, "d") for k, t in enumerate(texts)], SCHEMA)
+    texts = [t for _, t in TEMPLATES] + ["Licensed under Apache License 2", "the License the license", "MIT License", "Some other license, version 3", "This file is released under the license BSD clause 3", "Copyright 2020 Someone. All rights reserved.\n\nReleased under the MIT License."]
+    df = spark.createDataFrame([(k, f"{k}/LICENSE", t, "l", "s", 1, "d") for k, t in enumerate(texts)], SCHEMA)
     got = {r.key: r for r in scan_licences(df, ["key"], least=0.0001).collect()}
     for k, t in enumerate(texts):
-        want = min(cosine(s) for s in re.split(r"(?<=[.!?])[ \t]+", t) if re.search("licen[cs]e", s, re.I))
-        assert (got[k].licence, got[k].similarity) == (want[1], -want[0])
-    assert LEAST < 1
+        parts = [t, *t.split("\n"), *t.split("\n\n"), *(s for p in t.split("\n\n") for s in re.split(r"(?<=[.!?])[ \t\r\n]+", p))]
+        want = min(c for s in parts if re.search(MENTION, s) and (c := cosine(s))[1] <= -0.0001)
+        assert (got[k].licence, got[k].similarity) == (want[2], -want[1]), t
+    assert all(re.search(MENTION, t) for _, t in TEMPLATES)
+
+
+def wrapped(text, width, mark=""):
+    return "\n".join(f"{mark}{line}".rstrip() for p in text.split("\n\n") for line in [*re.findall(rf".{{1,{width}}}(?:\s|$)", p), ""])
+
+
+def test_whole_files_headers_and_tags(spark):
+    cases = [
+        ("1/COPYING", "The MIT License (MIT)\n\nCopyright (c) 2019 Some One\n\n" + wrapped(MIT, 70), "MIT"),
+        ("2/LICENSE", "                                 Apache License\n                           Version 2.0, January 2004\n                        http://www.apache.org/licenses/\n\n   TERMS AND CONDITIONS FOR USE, REPRODUCTION, AND DISTRIBUTION\n\n   1. Definitions.\n\n" + "words of the terms " * 500, "Apache-2.0"),
+        ("3/LICENSE", "                    GNU GENERAL PUBLIC LICENSE\n                       Version 3, 29 June 2007\n\n Copyright (C) 2007 Free Software Foundation, Inc. <https://fsf.org/>\n " + wrapped(VERBATIM, 60) + "\n\n                            Preamble\n\n" + "other words " * 900, "GPL-3.0"),
+        ("4/a.c", "/* SPDX-License-Identifier: MIT */\nint main() { return 0; }", "MIT"),
+        ("5/a.py", wrapped(GPL_HEADER.format(GPL, 2) + "\n\n" + GPL_WARRANTY.format(GPL), 60, "# ") + "\n\nimport os\n", "GPL-2.0"),
+        ("6/a.js", "/*\n" + wrapped(APACHE, 70, " * ") + "\n */\n\ncode();\n", "Apache-2.0"),
+        ("7/LICENSE", "Copyright (c) 2020, A. All rights reserved.\n\n" + wrapped(f"{BSD_FIRST}\n\n{BSD_THIRD}\n\n{BSD_LAST}", 76), "BSD-3-Clause"),
+        ("8/LICENSE", "Copyright (c) 2020, A. All rights reserved.\n\n" + wrapped(f"{BSD_FIRST}\n\n{BSD_LAST}", 76), "BSD-2-Clause"),
+        ("9/LICENSE.md", wrapped(ISC, 50), "ISC"),
+        ("10/p.txt", "Some prose. Licensed under CC BY-NC 4.0. More prose.", "CC-BY-NC-4.0"),
+        ("11/p.txt", "Some prose of ours. All rights reserved.", PROPRIETARY),
+        ("12/p.txt", "We reserved a table and held the copyright talk, hereby.", None),
+        ("13/a.rs", "// SPDX-License-Identifier: Apache-2.0\nfn main() {}", "Apache-2.0"),
+    ]
+    df = spark.createDataFrame([(k, p, t, "l", "s", 1, "d") for k, (p, t, _) in enumerate(cases)], SCHEMA)
+    got = {r.key: r.licence for r in scan_licences(df, ["key"]).collect()}
+    assert [got[k] for k in range(len(cases))] == [c[2] for c in cases]
 
 
 def test_query(spark):
