@@ -39,6 +39,8 @@ SIMILAR = (4, 5)
 SIEVE, GUARD, FEW, GUARD_FEW = 19, 201, 8, 242
 #: Within so many of the sieve's bits, a text is compared at once with the first text that has a segment in common with it.
 STAR = 14
+#: Rows of a few numbers each that may be broadcast, at most about 16 MB.
+FEW_ROWS = 1 << 18
 #: A task compares two blocks of texts: of so many texts, or so many shingles on average.
 BLOCK, BLOCK_SHINGLES = 1024, 1 << 21
 LOWER = bytes.maketrans(bytes(range(65, 91)), bytes(range(97, 123)))
@@ -375,29 +377,25 @@ def meetings(batches: Iterator[pa.RecordBatch], bucket: int) -> Iterator[pa.Reco
     yield from by_bucket(batches, bucket, compared, lambda rows: rows_of(rows[0], rows[2], True))
 
 
-def guard_links(key: np.ndarray, sketch: np.ndarray, n: np.ndarray, component: np.ndarray) -> tuple[list[tuple[int, int]], np.ndarray]:
-    """By the distance of whole sketches under equal keys (sorted): positions of links that span what may be similar, and
-    which rows may be similar to a row of another component."""
+def guard_links(key: np.ndarray, sketch: np.ndarray, n: np.ndarray, component: np.ndarray) -> list[tuple[int, int]]:
+    """Positions of links that span what may be similar under equal keys (sorted), by the distance of whole sketches."""
     label = np.unique(component, return_inverse=True)[1]
-    forest, hit = Forest(int(label.max()) + 1), np.zeros(len(key), bool)
+    forest = Forest(int(label.max()) + 1)
     links, active, shift = [], np.arange(len(key) - 1), 1
     while len(active):
         active = active[active + shift < len(key)]
         active = active[key[active] == key[active + shift]]
         other = active + shift
-        known = hit[active] & hit[other] & (forest.root[label[active]] == forest.root[label[other]])
-        open_ = ~known & (label[active] != label[other])
-        a, b = active[open_], other[open_]
+        apart = forest.root[label[active]] != forest.root[label[other]]
+        a, b = active[apart], other[apart]
         least, most = np.minimum(n[a], n[b]), np.maximum(n[a], n[b])
         fits = least * SIMILAR[1] >= most * SIMILAR[0]
         a, b, least = a[fits], b[fits], least[fits]
         close = np.bitwise_count(sketch[a] ^ sketch[b]).sum(axis=1) <= np.where(least <= FEW, GUARD_FEW, GUARD)
         if close.any():
-            a, b = a[close], b[close]
-            hit[a] = hit[b] = True
-            links += forest.join(a, b, label)
+            links += forest.join(a[close], b[close], label)
         shift += 1
-    return links, hit
+    return links
 
 
 def stars(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -506,6 +504,11 @@ def filed_parts(rows: DataFrame, balls: bool) -> DataFrame:
     return rows.select("node", "component", "sketch", "weak").mapInArrow(filed, "key long, fp long, node long, home boolean, component long")
 
 
+def with_texts(rows: DataFrame, texts: DataFrame) -> DataFrame:
+    """``rows`` with the text of their node. Up to FEW_ROWS of them are counted and go to the texts; else both are shuffled."""
+    return texts.join(F.broadcast(rows) if rows.count() <= FEW_ROWS else rows, "node")
+
+
 def star_components(nodes: DataFrame, texts: DataFrame, words: int, block: int) -> DataFrame:
     """(node, component) of texts that are similar, by their sets, to the first text with a segment in common.
 
@@ -525,7 +528,7 @@ def star_components(nodes: DataFrame, texts: DataFrame, words: int, block: int)
         while found := list(islice(links, 10_000)):
             yield pa.RecordBatch.from_arrays([pa.array([e[k] for e in found], pa.int64()) for k in (0, 1)], ["a", "b"])
 
-    grouped = dealt.unionByName(centers).join(texts, "node").repartition("center", "part").sortWithinPartitions("center", "part", F.desc("first"))
+    grouped = with_texts(dealt.unionByName(centers), texts).repartition("center", "part").sortWithinPartitions("center", "part", F.desc("first"))
     return connected_components(grouped.select("node", "first", "text").mapInArrow(verified, "a long, b long"))
 
 
@@ -556,21 +559,19 @@ def similar_components(prints: DataFrame, docs: DataFrame, words: int = 5, bucke
         for found, _ in whole_keys(batches, ["meet"]):
             sketch = np.frombuffer(b"".join(found.column("sketch").to_pylist()), "<u8").reshape(-1, SKETCH)
             meet, node, n, component = (found.column(c).to_numpy() for c in ("meet", "node", "n", "component"))
-            links, hit = guard_links(meet, sketch, n.astype(np.int64), component)
-            a, b = (component[np.array([e[k] for e in links], np.int64)] for k in (0, 1))
-            some = np.flatnonzero(hit)
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(np.concatenate([a, component[some]])), pa.array(np.concatenate([b, component[some]])), pa.concat_arrays([pa.nulls(len(a), pa.int64()), pa.array(node[some])]), pa.array(np.concatenate([np.zeros(len(a), n.dtype), n[some]]))],
-                ["a", "b", "node", "n"],
-            )
+            links = guard_links(meet, sketch, n.astype(np.int64), component)
+            # of a batch's links between components, those that join trees of it
+            label = np.unique(component, return_inverse=True)[1]
+            pairs = np.array(links, np.int64).reshape(-1, 2)
+            kept = np.array(Forest(int(label.max()) + 1).join(pairs[:, 0], pairs[:, 1], label), np.int64).reshape(-1, 2)
+            yield pa.RecordBatch.from_arrays([pa.array(component[kept[:, k]]) for k in (0, 1)], ["a", "b"])
 
     # a node's meetings, at most as many as its keys and their pairs of blocks, are one row while its sketch is joined
-    listed = groups.groupBy("node").agg(F.collect_list("meet").alias("meets")).join(united.select("node", "n", "component", "sketch"), "node")
+    listed = materialize(groups.groupBy("node").agg(F.collect_list("meet").alias("meets")).join(united.select("node", "n", "component", "sketch"), "node"))
     sorted_groups = listed.select(F.explode("meets").alias("meet"), "node", "n", "component", "sketch").repartition("meet").sortWithinPartitions("meet")
-    # links of components (node is null), and the nodes that have candidates, with their component
-    guards = materialize(sorted_groups.mapInArrow(guarded, "a long, b long, node long, n int").distinct())
-    maybe = connected_components(guards.where("node IS NULL").select("a", "b")).withColumnRenamed("node", "a").withColumnRenamed("component", "group")
-    members = materialize(guards.where("node IS NOT NULL").join(maybe, "a").select(F.col("group"), "node", "n", F.col("a").alias("component")))
+    maybe = connected_components(sorted_groups.mapInArrow(guarded, "a long, b long"))
+    # of the components that may be linked, the nodes that met any other's; those that met none have no similar text there
+    members = materialize(listed.select("node", "n", F.col("component").alias("a")).join(maybe.select(F.col("node").alias("a"), F.col("component").alias("group")), "a").select("group", "node", "n", F.col("a").alias("component")))
     sizes = members.groupBy("group").agg(F.ceil(F.greatest(F.count("*") / block, F.sum("n") / BLOCK_SHINGLES, F.lit(1))).alias("k"))
     placed = block_pairs(members.join(sizes, "group"), "group", "k", "component")
 
@@ -581,7 +582,7 @@ def similar_components(prints: DataFrame, docs: DataFrame, words: int = 5, bucke
                 links += similar_links([t or "" for t in found.column("text").slice(at, end - at).to_pylist()], component[at:end], side[at:end], words)
             yield pa.RecordBatch.from_arrays([pa.array(np.array([e[k] for e in links], np.int64)) for k in (0, 1)], ["a", "b"])
 
-    compared = placed.join(texts, "node").repartition("group", "i", "j").sortWithinPartitions("group", "i", "j")
+    compared = with_texts(placed, texts).repartition("group", "i", "j").sortWithinPartitions("group", "i", "j")
     links = compared.select("group", "i", "j", "side", "component", "text").mapInArrow(verified, "a long, b long")
     parts = connected_components(links.unionByName(stars_.select(F.col("node").alias("a"), F.col("component").alias("b"))))
     return nodes.join(parts, "node", "left").select("same", F.coalesce("component", "node").alias("component"))
