@@ -145,7 +145,8 @@ def parse_header(record_id: Column | str, description: Column | str) -> dict[str
     lower = F.transform(words, lambda w: F.lower(w))
     numbered = F.filter(F.transform(lower, lambda w, i: F.struct(w.alias("w"), F.get(lower, i - 1).alias("before"), leading(F.get(lower, i + 1), "[0-9]").alias("n"))), lambda t: t["w"].endswith("variant") & t["n"].isNotNull())
     first = F.get(numbered, F.lit(0))
-    label = F.when((first["w"] == "variant") & F.coalesce(first["before"].endswith("transcript"), F.lit(False)), "Transcript variant").otherwise("Variant")
+    spaced = F.regexp_substr(col(description), F.lit(r"(?i)transcript\s+variant(?=\s+[0-9])"))  # with the blanks as they are
+    label = F.when((first["w"] == "variant") & F.coalesce(first["before"].endswith("transcript"), F.lit(False)), F.concat(F.upper(F.substring(spaced, 1, 1)), F.lower(F.substring(spaced, 2, 1000)))).otherwise("Variant")
     last = F.rtrim(F.get(words, F.size(words) - 1), F.lit(",.;"))
     return {
         "accession": col(record_id),
