@@ -6,6 +6,8 @@ anything else is N.
 
 from __future__ import annotations
 
+from itertools import product
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -206,8 +208,18 @@ def kmer_code(kmer: Column | str) -> Column:
     return F.conv(F.translate(col(kmer), "ACGT", "0123"), 4, 10).cast("long")
 
 
+#: All words of four letters in order, one after the other: what the bytes of a code stand for.
+WORDS = "".join("".join(w) for w in product("ACGT", repeat=4))
+
+
 def kmer_decode(code: Column | str, k: int) -> Column:
-    return F.translate(F.lpad(F.conv(col(code).cast("string"), 10, 4), k, "0"), "0123", "ACGT")
+    """The letters of a code: a lookup for each of its bytes, the highest first."""
+    code, words, parts = col(code), F.lit(WORDS).cast("binary"), []
+    for low in range(4 * ((k - 1) // 4), -1, -4):
+        n = min(4, k - low)
+        at = F.shiftright(code, 2 * low).bitwiseAND(F.lit(255)).cast("int") * 4 + (5 - n)
+        parts.append(F.substring(words, at, F.lit(n)))
+    return F.concat(*parts).cast("string")
 
 
 def canonical(kmer: Column | str) -> Column:
@@ -217,6 +229,9 @@ def canonical(kmer: Column | str) -> Column:
 
 
 def reverse_complement_code(code: Column | str, k: int) -> Column:
-    """The code of the reverse complement, by the k-mer's base-4 digits as text: reversed, each 3 minus itself."""
-    digits = F.lpad(F.conv(col(code).cast("string"), 10, 4), k, "0")
-    return F.conv(F.translate(F.reverse(digits), "0123", "3210"), 4, 10).cast("long")
+    """The code of the reverse complement: digits of two bits, complemented, swapped in ever larger groups, moved down."""
+    x = F.bitwise_not(col(code))
+    for width in (2, 4, 8, 16, 32):
+        lower = F.lit(sum(((1 << width) - 1) << at for at in range(0, 64, 2 * width)))
+        x = F.shiftrightunsigned(x, width).bitwiseAND(lower).bitwiseOR(F.shiftleft(x.bitwiseAND(lower), width))
+    return F.shiftrightunsigned(x, 64 - 2 * k)
