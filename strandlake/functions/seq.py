@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from itertools import product
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from strandlake.functions import vector
@@ -47,8 +47,10 @@ def encode(seq: Column | str, iupac: bool = True) -> Column:
 
 
 def encode_char(letter: Column | str, iupac: bool = True) -> Column:
+    """The code of one letter; N's for what isn't a letter of the alphabet."""
     alphabet = CANONICAL + (IUPAC if iupac else "")
-    return F.instr(F.lit(alphabet), normalise(letter, iupac)) - 1
+    at = F.instr(F.lit(alphabet), normalise(letter, iupac))
+    return F.when(at > 0, at - 1).when(at == 0, N_CODE)
 
 
 def pad(codes: Column | str, length: Column | int, padding: int = N_CODE) -> Column:
@@ -57,6 +59,20 @@ def pad(codes: Column | str, length: Column | int, padding: int = N_CODE) -> Col
     return F.concat(codes, F.array_repeat(F.lit(padding), F.greatest(length - F.size(codes), F.lit(0)).cast("int")))
 
 
+def encode_batch(sequences: DataFrame, column: str = "sequence", padding: int = N_CODE, letters_: Column | None = None, one_hot_codes: bool = False) -> DataFrame:
+    """The rows with ``codes``, padded at the end up to the longest of the table, and ``length`` before padding.
+
+    ``letters_`` are the prepared letters, ``normalise(column)`` by default; a null sequence is empty; with
+    ``one_hot_codes`` the codes are one-hot vectors. A table without rows is an error.
+    """
+    prepared = F.coalesce(normalise(column) if letters_ is None else letters_, F.lit(""))
+    most = sequences.agg(F.count("*").alias("n"), F.max(F.length(prepared)).alias("most")).first()
+    if not most.n:
+        raise ValueError("no sequences")
+    codes = pad(encode(prepared), most.most, padding)
+    return sequences.withColumns({"codes": one_hot(codes) if one_hot_codes else codes, "length": F.length(prepared)})
+
+
 def one_hot(codes: Column | str, include_n: bool = True) -> Column:
     """An array of 5 or, without N, 4 floats for each code; codes of ambiguous letters count as code % 5."""
     classes = 5 if include_n else 4

@@ -7,9 +7,11 @@ along anti-diagonals of many pairs at once: pairs of a batch are sorted by size
 
 from __future__ import annotations
 
+import time
+
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from strandlake.functions import seq as S
@@ -195,3 +197,14 @@ def align_simple(queries: DataFrame, targets: DataFrame, index: str = "idx", mat
         lambda a: a["found"],
     )
     return found.withColumn("mutations", changed).withColumn("mutation_count", F.size("mutations"))
+
+
+def benchmark(spark: SparkSession, sequence_length: int = 100, num_pairs: int = 100, seed: int = 1) -> dict:
+    """Seconds, and pairs a second, that aligning made-up sequences with themselves takes."""
+    letter = lambda i: F.substring(F.lit("ACGT"), (F.pmod(F.xxhash64(F.lit(seed), "id", i), F.lit(4)) + 1).cast("int"), F.lit(1))
+    text = F.array_join(F.transform(F.sequence(F.lit(1), F.lit(sequence_length)), letter), "")
+    pairs = spark.range(num_pairs).select(text.alias("query")).withColumn("target", F.col("query"))
+    began = time.perf_counter()
+    align_pairs(pairs).write.format("noop").mode("overwrite").save()
+    seconds = time.perf_counter() - began
+    return {"pairs": num_pairs, "length": sequence_length, "seconds": seconds, "pairs_per_second": num_pairs / seconds}

@@ -8,6 +8,23 @@ from pyspark.sql import functions as F
 from strandlake.operators import kmers, pileup, qc, quant
 
 
+#: The services' requests, as JSON.
+REQUESTS = {
+    "quality": "sequences array<string>, qualities array<string>",
+    "kmers": "sequences array<string>, k int, canonical boolean, min_abundance long, top int",
+    "variants": "reference string, reads array<struct<sequence:string,start:int,strand:string>>, min_depth long, min_alt_freq double",
+    "mixed_model": "phenotypes array<double>, genotypes array<array<double>>, method string, max_iter int, kinship_method string",
+    "breeding_values": "phenotypes array<double>, genotypes array<array<double>>, genetic_variance double, residual_variance double, kinship_method string, max_iter int",
+}
+
+
+def parse_requests(lines: DataFrame, kind: str) -> DataFrame:
+    """The fields of each JSON line (value), null where left out; a line that isn't such JSON is an error."""
+    if kind not in REQUESTS:
+        raise ValueError(f"kind: one of {sorted(REQUESTS)}")
+    return lines.select(F.from_json("value", REQUESTS[kind], {"mode": "FAILFAST"}).alias("r")).select("r.*")
+
+
 def analyze_quality(spark: SparkSession, sequences: list[str], qualities: list[str] | None = None) -> DataFrame:
     """num_sequences, gc_content_percent, base_composition, mean_length and, for qualities, quality_mean and quality_by_position.
 

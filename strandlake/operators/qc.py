@@ -24,6 +24,12 @@ def composition_map(prefix: str = "") -> F.Column:
     return F.create_map(*[x for b in "ACGTN" for x in (F.lit(b), F.col(prefix + b.lower()))])
 
 
+def composition_shares(sequences: DataFrame, column: str = "sequence") -> DataFrame:
+    """One row (a, c, g, t, n): shares of the counted letters, 0 where none is counted."""
+    total = F.nullif(sum(F.col(b.lower()) for b in BASES), F.lit(0))
+    return composition(sequences, column).select(*[F.coalesce(F.col(b) / total, F.lit(0.0)).alias(b) for b in "acgtn"])
+
+
 def quality_by_position(reads: DataFrame, max_position: int | None = None, offset: int = 33) -> DataFrame:
     """(position, mean_quality): the sum of scores over the number of scores above zero, at least 1, at each position."""
     sums = V.position_sums(reads, max_position, offset)
@@ -66,6 +72,14 @@ def report(reads: DataFrame, offset: int = 33) -> DataFrame:
     return total.withColumn("base_composition", composition_map()).drop("a", "c", "g", "t", "n").crossJoin(curve)  # one row by one row
 
 
+def summary_lines(reads: DataFrame, offset: int = 33) -> DataFrame:
+    """(line): the report as text, a row for each fact."""
+    number = lambda c: F.format_string("%.2f", F.col(c))
+    letters = F.array_join(F.transform(F.map_entries("base_composition"), lambda e: F.concat_ws("=", e["key"], e["value"].cast("string"))), ", ")
+    facts = {"Reads": F.col("num_reads").cast("string"), "Bases": F.col("total_bases").cast("string"), "Mean length": number("mean_read_length"), "Mean quality": number("mean_quality"), "GC percent": number("gc_content_percent"), "Letters": letters}
+    return report(reads, offset).select(F.explode(F.array(*[F.concat(F.lit(f"{k}: "), v) for k, v in facts.items()])).alias("line"))
+
+
 def sequence_report(sequences: DataFrame) -> DataFrame:
     """One row for sequences without qualities: number, mean GC over sequences, mean length, composition."""
     s = S.normalise("sequence")

@@ -2,32 +2,17 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
-from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from strandlake.functions import seq as S
 from strandlake.operators import align, kmers, pileup, prep, qc, quant
 from strandlake.plans import derive as D
+from strandlake.plans.catalog import ORACLES, QUERIES, Query, query
 from strandlake.sources import fasta
 
-Query = Callable[[SparkSession, str], DataFrame]
-QUERIES: dict[str, Query] = {}
-ORACLES: dict[str, str] = {}
 K, SPECTRUM_K, MOTIF = 9, 11, "TATAA"
 
 
-def query(sql: str | None = None) -> Callable[[Query], Query]:
-    def add(f: Query) -> Query:
-        QUERIES[f.__name__] = f
-        if sql:
-            ORACLES[f.__name__] = sql
-        return f
-
-    return add
-
-
 def queries() -> dict[str, Query]:
     return dict(QUERIES)
 
@@ -464,3 +449,6 @@ def impute_mode(spark, sf):
 def prep_report(spark, sf):
     r = prep.preprocess(D.cells(spark, sf), "mean")[2]
     return spark.createDataFrame([(r["rows_read"], r["dropped_rows_no_phenotype"], r["imputed_cells"], r["final_rows"], r["final_markers"])], "rows_read long, dropped_rows long, imputed_cells long, final_rows long, final_markers long")
+
+
+from strandlake.plans import services  # noqa: E402, F401  registers its queries, which share the SQL above

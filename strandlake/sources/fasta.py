@@ -8,8 +8,11 @@ The readers open paths with Python, on the executors: for stores that only Spark
 from __future__ import annotations
 
 import gzip
+import io
 import os
+import zipfile
 from collections.abc import Iterator
+from itertools import islice
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -50,16 +53,24 @@ def lines_of(path: str) -> Iterator[str]:
         yield from (line.strip() for line in lines)
 
 
-def fasta_records(lines: Iterator[str]) -> Iterator[tuple[str, str | None, str]]:
-    """(id, description, sequence). What comes before the first header is left out; a header without an id is an error."""
+def fasta_records(lines: Iterator[str], lenient: bool = False) -> Iterator[tuple[str, str | None, str]]:
+    """(id, description, sequence). What comes before the first header is left out; a header without an id is an error.
+
+    If ``lenient``, a record without an id is left out, and a description's runs of blanks become one.
+    """
     head, body = None, []
     for line in lines:
         if line.startswith(">"):
             if head is not None:
                 yield (*head, "".join(body))
             words = line[1:].strip().split(None, 1)
+            if lenient and not words:
+                head, body = None, []
+                continue
             if not words:
                 raise ValueError("a header without an id")
+            if lenient:
+                words[1:] = [" ".join(w.split()) for w in words[1:]]
             head, body = (words[0], words[1] if len(words) > 1 else None), []
         elif line and head is not None:
             body.append(line)
@@ -105,7 +116,8 @@ class _Reader(DataSourceReader):
 
     def read(self, partition: FilePartition) -> Iterator[pa.RecordBatch]:
         lines = lines_of(partition.path)
-        found = fasta_records(lines) if self.kind == "fasta" else fastq_records(lines, self.options.get("strict", "false").lower() == "true")
+        chosen = {k: self.options.get(k, "false").lower() == "true" for k in ("lenient", "strict")}
+        found = fasta_records(lines, chosen["lenient"]) if self.kind == "fasta" else fastq_records(lines, chosen["strict"])
         rows, held = [], 0
         types = [pa.int64() if n == "record_index" else pa.string() for n in self.names]
 
@@ -151,9 +163,9 @@ def register(spark: SparkSession) -> None:
     spark.dataSource.register(FastqDataSource)
 
 
-def read_fasta(spark: SparkSession, path: str) -> DataFrame:
+def read_fasta(spark: SparkSession, path: str, lenient: bool = False) -> DataFrame:
     register(spark)
-    return spark.read.format("fasta").load(path)
+    return spark.read.format("fasta").option("lenient", str(lenient).lower()).load(path)
 
 
 def read_fastq(spark: SparkSession, path: str, strict: bool = False) -> DataFrame:
@@ -161,6 +173,29 @@ def read_fastq(spark: SparkSession, path: str, strict: bool = False) -> DataFram
     return spark.read.format("fastq").option("strict", str(strict).lower()).load(path)
 
 
+def count_reads(spark: SparkSession, path: str) -> DataFrame:
+    """One row (reads): a fourth of the lines of FASTQ files, packed by gzip or not, with four lines to a record."""
+    return spark.read.text(path).agg(F.floor(F.count("*") / 4).alias("reads"))
+
+
+def zip_lines(spark: SparkSession, path: str, member: str) -> DataFrame:
+    """(value): lines of the members whose path ends in ``member``, of each archive; none fails. An archive is one task."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for name, content in zip(*(batch.column(c).to_pylist() for c in ("path", "content")), strict=True):
+                with zipfile.ZipFile(io.BytesIO(content)) as archive:
+                    found = [n for n in archive.namelist() if n.endswith(member)]
+                    if not found:
+                        raise FileNotFoundError(f"{member} in {name}")
+                    for one in found:
+                        with io.TextIOWrapper(archive.open(one), "utf-8") as lines:
+                            while held := list(islice(lines, 1 << 16)):
+                                yield pa.RecordBatch.from_arrays([pa.array([x.rstrip("\r\n") for x in held])], ["value"])
+
+    return spark.read.format("binaryFile").load(path).select("path", "content").mapInArrow(run, "value string")
+
+
 def read_fasta_text(spark: SparkSession, path: str) -> DataFrame:
     """(record_id, description, sequence) by Spark's text reader: splits large files and reads any store.
 

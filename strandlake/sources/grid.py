@@ -13,6 +13,7 @@ import re
 import xml.etree.ElementTree as ET
 import zipfile
 
+import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -98,3 +99,23 @@ def parse_dosage_lines(lines: DataFrame, order: str = "line") -> DataFrame:
     )
     dose = lambda c: F.when((c == "") | (F.lower(c) == "na"), F.lit(None).cast("double")).otherwise(number(c, "not a dosage"))
     return checked.where("_ok = 0").select(order, number(F.element_at("cells", 1), "not a phenotype").alias("phenotype"), F.transform(F.slice("cells", F.lit(2), F.col("_w") - 1), dose).alias("dosages"))
+
+
+def sample_traits(spark: SparkSession, individuals: int = 60, markers: int = 30, heritability: float = 0.5, seed: int = 42) -> DataFrame:
+    """(value): made-up lines "phenotype,dose,..." for ``parse_dosage_lines``.
+
+    Doses are 0, 1 or 2 by two draws against a marker's frequency; the phenotype is the doses' sum of effects and noise, of
+    which about ``heritability`` is due to the effects. Draws are hashes, so results don't depend on partitions.
+    """
+    drawn = lambda *x: F.pmod(F.xxhash64(F.lit(seed), *x), F.lit(1 << 30)) / float(1 << 30)
+    normal = lambda *x: F.sqrt(-2 * F.log(1 - drawn(*x, F.lit("r")))) * F.cos(2 * np.pi * drawn(*x, F.lit("a")))
+    person, numbers = F.col("id"), F.sequence(F.lit(0), F.lit(markers - 1))
+    share = lambda m: 0.1 + 0.8 * drawn(m, F.lit("p"))
+    dose = lambda m: sum((drawn(person, m, F.lit(k)) < share(m)).cast("int") for k in (0, 1))
+    each = F.transform(numbers, lambda m: F.struct(dose(m).alias("dose"), (2 * share(m)).alias("mean"), normal(m, F.lit("e")).alias("effect"), (2 * share(m) * (1 - share(m))).alias("spread")))
+    total = lambda f: F.aggregate(F.transform("each", f), F.lit(0.0), lambda a, x: a + x)
+    genetic, variance = total(lambda e: (e["dose"] - e["mean"]) * e["effect"]), total(lambda e: e["spread"] * e["effect"] * e["effect"])
+    noise = normal(person, F.lit("n")) * float(np.sqrt(1 - heritability))
+    value = 10 + genetic / F.sqrt(variance) * float(np.sqrt(heritability)) + noise
+    made = spark.range(individuals).select("id", each.alias("each")).select("id", F.round(value, 3).alias("y"), F.transform("each", lambda e: e["dose"].cast("string")).alias("doses"))
+    return made.select(F.concat_ws(",", F.col("y").cast("string"), F.array_join("doses", ",")).alias("value"))
