@@ -47,39 +47,76 @@ def local_alignments(pairs: list[tuple[str, str]], match: float, mismatch: float
 
 
 def _stack(pairs, m, n, match, mismatch, gap_open, gap_extend):
-    count = len(pairs)
+    """Scores and aligned texts of pairs of at most m and n letters.
+
+    Two diagonals of scores are held. Pointers are, a byte a cell, those of all diagonals if there are few; else the state
+    is kept at every ``span`` diagonals and the pointers between two of these are found again for the traceback, so that
+    memory grows with the text's length times its square root.
+    """
+    count, end = len(pairs), m + n + 1
     q, t = np.zeros((count, m), np.uint8), np.zeros((count, n), np.uint8)
     for k, (a, b) in enumerate(pairs):
         q[k, : len(a)], t[k, : len(b)] = np.frombuffer(a.encode(), np.uint8), np.frombuffer(b.encode(), np.uint8)
-    score = np.zeros((count, m + 1, n + 1), np.float32)
-    pointer = np.zeros((count, m + 1, n + 1), np.uint8)
-    affine = gap_extend is not None
-    low = np.float32(-np.inf)
-    # best score of a gap that ends in each cell of the last diagonal, by row
-    up_run, left_run = np.full((count, m + 1), low), np.full((count, m + 1), low)
+    widths = np.array([[len(b)] for _, b in pairs])
+    affine, low = gap_extend is not None, np.float32(-np.inf)
     opened, extended = np.float32(gap_open), np.float32(gap_extend or 0)
-    for s in range(2, m + n + 1):
-        i = np.arange(max(1, s - n), min(m, s - 1) + 1)
-        j = s - i
-        diagonal = score[:, i - 1, j - 1] + np.where(q[:, i - 1] == t[:, j - 1], np.float32(match), np.float32(mismatch))
-        up, left = score[:, i - 1, j] + opened, score[:, i, j - 1] + opened
-        if affine:  # gaps reach back to row and column 1 at most
-            up = np.where(i > 1, np.maximum(up, up_run[:, i - 1] + extended), low)
-            left = np.where(j > 1, np.maximum(left, left_run[:, i] + extended), low)
-            up_run[:, i], left_run[:, i] = up, left
-        choices = np.stack([np.zeros_like(diagonal), diagonal, up, left])
-        pointer[:, i, j] = choices.argmax(axis=0)
-        score[:, i, j] = choices.max(axis=0)
-    for k, (a, b) in enumerate(pairs):
-        own = score[k, : len(a) + 1, : len(b) + 1]
-        i, j = (int(x) for x in np.unravel_index(own.argmax(), own.shape))
-        best, x, y = float(own[i, j]), [], []
-        while i > 0 and j > 0 and own[i, j] > 0 and pointer[k, i, j]:
-            move = pointer[k, i, j]
-            x.append(a[i - 1] if move != 3 else "-")
-            y.append(b[j - 1] if move != 2 else "-")
-            i, j = i - (move != 3), j - (move != 2)
-        yield best, "".join(reversed(x)), "".join(reversed(y))
+    best, best_at = np.zeros((count, m + 1), np.float32), np.zeros((count, m + 1), np.int64)  # of each row, its first best cell
+
+    def sweep(state, first, to, pointers=None, look=False):
+        # scores of the last diagonal and the one before, and the best gaps that end in the last one's cells, by row
+        one, two, up_run, left_run = state
+        for s in range(first, to):
+            i = np.arange(max(1, s - n), min(m, s - 1) + 1)
+            j = s - i
+            diagonal = two[:, i - 1] + np.where(q[:, i - 1] == t[:, j - 1], np.float32(match), np.float32(mismatch))
+            up, left = one[:, i - 1] + opened, one[:, i] + opened
+            if affine:  # gaps reach back to row and column 1 at most
+                up = np.where(i > 1, np.maximum(up, up_run[:, i - 1] + extended), low)
+                left = np.where(j > 1, np.maximum(left, left_run[:, i] + extended), low)
+                up_run[:, i], left_run[:, i] = up, left
+            choices = np.stack([np.zeros_like(diagonal), diagonal, up, left])
+            here = choices.max(axis=0)
+            if pointers is not None:
+                pointers[:, s - first, i] = choices.argmax(axis=0)
+            if look:
+                better = (here > best[:, i]) & (j <= widths)
+                best[:, i], best_at[:, i] = np.where(better, here, best[:, i]), np.where(better, j, best_at[:, i])
+            two[:, i] = here
+            one, two = two, one
+        return one, two, up_run, left_run
+
+    state = (*(np.zeros((count, m + 1), np.float32) for _ in range(2)), *(np.full((count, m + 1), low) for _ in range(2)))
+    few = count * (m + 1) * end <= 4 * CELLS
+    span = end if few else 4 * int(np.sqrt(end)) + 1
+    blocks, pointers = [(first, min(first + span, end)) for first in range(2, end, span)], None
+    kept = []
+    for first, to in blocks:
+        kept.append(None if few else [x.copy() for x in state])
+        pointers = np.zeros((count, to - first, m + 1), np.uint8) if few else None
+        state = sweep(state, first, to, pointers, look=True)
+    rows = [int(best[k, : len(a) + 1].argmax()) for k, (a, _) in enumerate(pairs)]
+    places = [[i, int(best_at[k, i])] for k, i in enumerate(rows)]
+    texts = [([], []) for _ in pairs]
+    for (first, to), was in zip(reversed(blocks), reversed(kept), strict=True):
+        if was is not None:
+            if not any(i > 0 and j > 0 and i + j >= first for i, j in places):
+                continue
+            pointers = np.zeros((count, to - first, m + 1), np.uint8)
+            sweep(was, first, to, pointers)
+        for k, (a, b) in enumerate(pairs):
+            i, j = places[k]
+            x, y = texts[k]
+            while i > 0 and j > 0 and i + j >= first:
+                move = pointers[k, i + j - first, i]
+                if not move:
+                    i = j = 0
+                    break
+                x.append(a[i - 1] if move != 3 else "-")
+                y.append(b[j - 1] if move != 2 else "-")
+                i, j = i - (move != 3), j - (move != 2)
+            places[k] = [i, j]
+    for k, (x, y) in enumerate(texts):
+        yield float(best[k, rows[k]]), "".join(reversed(x)), "".join(reversed(y))
 
 
 def aligner(match: float = 2.0, mismatch: float = -1.0, gap_open: float = -2.0, gap_extend: float | None = -0.5):

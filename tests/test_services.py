@@ -1,4 +1,6 @@
 import gzip
+import random
+import tracemalloc
 import zipfile
 
 import pytest
@@ -75,3 +77,28 @@ def test_requests_and_benchmark(spark):
         envelopes.parse_requests(lines, "other")
     found = align.benchmark(spark, 30, 20)
     assert found["pairs"] == 20 and found["pairs_per_second"] > 0
+
+
+@pytest.mark.parametrize("extended", [-0.5, None])
+def test_alignment_by_parts_is_the_same(monkeypatch, extended):
+    rng = random.Random(3)
+    pairs = []
+    for _ in range(40):
+        a = "".join(rng.choices("ACGTN", k=rng.randrange(0, 120)))
+        b = "".join(c for c in a if rng.random() > 0.1) + "".join(rng.choices("ACGT", k=rng.randrange(0, 40)))
+        pairs += [(a, b), (b, a), (a, "")]
+    whole = align.local_alignments(pairs, 2, -1, -2, extended)
+    monkeypatch.setattr(align, "CELLS", 1)
+    assert align.local_alignments(pairs, 2, -1, -2, extended) == whole
+
+
+def test_long_alignment_memory():
+    rng = random.Random(4)
+    a = "".join(rng.choices("ACGT", k=6000))
+    b = a[:3000] + "ACGT" + a[3000:5990]
+    tracemalloc.start()
+    score, x, y = align.local_alignments([(a, b)], 2, -1, -2, -0.5)[0]
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 40e6 < 5 * 6000 * 6000 and score == 2 * 5990 - 2 - 3 * 0.5
+    assert x.replace("-", "") == a[:5990] and y.replace("-", "") == b
