@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from . import centroids, conversations, decontamination, embeddings, language, licenses, lm_score, packing, secrets, sharding, simhash, token_counts
+from . import centroids, conversations, decontamination, embeddings, language, licenses, lm_score, packing, secrets, sharding, simhash, substrings, token_counts
 
-MODULES = (sharding, packing, language, secrets, simhash, decontamination, embeddings, licenses, lm_score, token_counts, centroids, conversations)
+MODULES = (sharding, packing, language, secrets, simhash, decontamination, embeddings, licenses, lm_score, token_counts, centroids, conversations, substrings)
 
 
 def queries() -> dict:
