@@ -5,6 +5,7 @@ from __future__ import annotations
 import gc
 import sys
 import tempfile
+import threading
 import types
 import uuid
 from collections.abc import Callable, Iterator
@@ -13,7 +14,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute
 from pyspark import cloudpickle
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 # Workers get these functions by value, so that the package need not be installed on the executors.
@@ -37,8 +38,8 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-#: Paths of the tables that ``materialize`` made in this driver and nobody has deleted.
-MADE: set[str] = set()
+#: For each call of ``settle`` that this thread is in, the tables that ``materialize`` made in it.
+MADE = threading.local()
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -60,10 +61,15 @@ def materialize(df: DataFrame) -> DataFrame:
     df.write.parquet(path)
     found = spark.read.schema(df.schema).parquet(path)
     found._strandlake_path = path
-    MADE.add(path)
+    for made in calls():
+        made.add(path)
     return found
 
 
+def calls() -> list[set[str]]:
+    return MADE.__dict__.setdefault("calls", [])
+
+
 def discard(df: DataFrame) -> None:
     """Delete a table made by ``materialize`` that no later plan reads."""
     _delete(df.sparkSession, df._strandlake_path)
@@ -72,21 +78,51 @@ def discard(df: DataFrame) -> None:
 def _delete(spark: SparkSession, path: str) -> None:
     at = spark._jvm.org.apache.hadoop.fs.Path(path)
     at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
-    MADE.discard(path)
+    for made in calls():
+        made.discard(path)
 
 
 def settle(make: Callable[[], DataFrame]) -> DataFrame:
-    """Materialise what ``make`` returns and delete the tables that were written on the way to it. Nothing that ``make``
-    leaves behind may read those; steps of one driver are settled one after the other."""
-    before = set(MADE)
-    found = materialize(make())
-    for path in MADE - before - {found._strandlake_path}:
+    """Materialise what ``make`` returns and delete the tables that this thread wrote on the way to it. Nothing that ``make``
+    leaves behind may read those; what other threads write meanwhile is theirs."""
+    calls().append(set())
+    try:
+        found = materialize(make())
+    finally:
+        made = calls().pop()
+    for path in made - {found._strandlake_path}:
         _delete(found.sparkSession, path)
-    gc.collect()  # Spark deletes the shuffle files of plans that nothing refers to any more
-    found.sparkSession._jvm.System.gc()
+    release(found.sparkSession)
     return found
 
 
+def release(spark: SparkSession) -> None:
+    """Let Spark delete the shuffle files of plans that nothing refers to any more, such as those of tables just written."""
+    gc.collect()
+    spark._jvm.System.gc()
+
+
+def quoted(name: str) -> str:
+    """A column's name as an expression, whatever is in it."""
+    return "`" + name.replace("`", "``") + "`"
+
+
+def whole_rows(df: DataFrame) -> DataFrame:
+    """The rows as one struct column, ``row``, so that names that are added can't clash with theirs."""
+    return df.select(F.struct(*(F.col(quoted(c)) for c in df.columns)).alias("row"))
+
+
+def columns_of(rows: DataFrame, df: DataFrame, **changed: Column) -> DataFrame:
+    """The columns of ``df`` again from ``row``, some of them ``changed``."""
+    return rows.select(*(changed.get(c, F.col("row").getField(c)).alias(c) for c in df.columns))
+
+
+def filter_rows(docs: DataFrame, run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]) -> DataFrame:
+    """The rows that ``run`` leaves of the Arrow batches, in which only ``text`` has its own name: schemas quote none."""
+    plain = bounded(docs).toDF(*(c if c == "text" else f"c{i}" for i, c in enumerate(docs.columns)))
+    return plain.mapInArrow(run, plain.schema).toDF(*docs.columns)
+
+
 def worker_cache() -> types.ModuleType:
     """A module that lives as long as the Python worker; functions shipped by value have no lasting globals."""
     return sys.modules.setdefault("_strandlake_worker_cache", types.ModuleType("_strandlake_worker_cache"))

@@ -23,7 +23,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import bounded, chunks, table
+from .common import bounded, chunks, filter_rows, table
 
 WORDS, SIMILARITY = 5, 0.8
 BLOCKS, NEAR = 8, 2
@@ -271,7 +271,8 @@ def find_contamination(docs: DataFrame, benchmark: DataFrame, least: float = SIM
     """A row for each document and item of which a window of the document has the similarity, with the best window.
 
     Null and empty texts hold nothing, and null or wordless items match nothing. An item of fewer than five words has
-    one shingle, all its words; a document shorter than an item is one window. Repeated rows each have their matches.
+    one shingle, all its words; a document shorter than an item is one window. Repeated rows each have their matches;
+    of equally similar windows the first is given. Empty tables on either side give an empty table.
     """
     out = None
     for items in benchmark_passes(benchmark, pass_bytes):
@@ -292,7 +293,8 @@ def find_contamination(docs: DataFrame, benchmark: DataFrame, least: float = SIM
 
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame, least: float = SIMILARITY, pass_bytes: int = PASS_BYTES) -> DataFrame:
-    """The documents, all columns as they are, that no benchmark item is found in."""
+    """The documents, all columns as they are and of any names, that no benchmark item is found in. Repeated rows go or stay
+    together; an empty table, or an empty benchmark, leaves the table as it is."""
     for items in benchmark_passes(benchmark, pass_bytes):
 
         def run(batches: Iterator[pa.RecordBatch], items=items) -> Iterator[pa.RecordBatch]:
@@ -301,7 +303,7 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, least: float = SIMILARI
                 keep[[r[0] for r in items.matches(batch.column("text"), least)]] = False
                 yield batch.filter(pa.array(keep))
 
-        docs = bounded(docs).mapInArrow(run, docs.schema)
+        docs = filter_rows(docs, run)
     return docs
 
 

@@ -19,7 +19,7 @@ import regex
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import bounded, chunks, table
+from .common import bounded, chunks, filter_rows, quoted, table
 
 N, HASHES = 4, 2
 #: At most about so many training documents for each language, by a hash of doc_id: the bound of the fit.
@@ -146,9 +146,10 @@ def predict(docs: DataFrame, model: Model, keep: list[str] | None = None) -> Dat
 
     A null text or one without a letter is ``und`` with score 0; so is every text if there was nothing to learn from.
     Ties go to the language with most training documents; letters without a known n-gram give that with score 0.
+    Repeated rows each have their prediction; ``keep`` may have any names but ``_text``, and an empty table gives an empty table.
     """
     keep = keep or ["doc_id"]
-    schema = ", ".join([*(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in keep), "lang_pred string", "score double"])
+    schema = ", ".join([*(f"{quoted(c)} {docs.schema[c].dataType.simpleString()}" for c in keep), "lang_pred string", "score double"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in chunks(batches, "_text"):
@@ -160,13 +161,13 @@ def predict(docs: DataFrame, model: Model, keep: list[str] | None = None) -> Dat
             score = np.where(known, table.max(axis=1), 0.0)
             yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in keep), pa.array(names, pa.string()), pa.array(score, pa.float64())], [*keep, "lang_pred", "score"])
 
-    return bounded(docs).select(*keep, F.col("text").alias("_text")).mapInArrow(run, schema)
+    return bounded(docs).select(*map(quoted, keep), F.col("text").alias("_text")).mapInArrow(run, schema)
 
 
 def accepted(docs: DataFrame, model: Model) -> DataFrame:
-    """The documents, all columns as they are, in which a learned language is recognised.
+    """The documents, all columns as they are and of any names, in which a learned language is recognised.
 
-    Those without a letter go, and those with ENOUGH n-grams of which no language holds the share ACCEPT. If there was
+    Repeated rows are each judged by their text; an empty table gives an empty table. Those without a letter go, and those with ENOUGH n-grams of which no language holds the share ACCEPT. If there was
     nothing to learn from, only the letters count.
     """
 
@@ -179,7 +180,7 @@ def accepted(docs: DataFrame, model: Model) -> DataFrame:
                 keep &= (n < ENOUGH) | (table.max(axis=1) >= ACCEPT)
             yield batch.filter(pa.array(keep))
 
-    return bounded(docs).mapInArrow(run, docs.schema)
+    return filter_rows(docs, run)
 
 
 def op7_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:

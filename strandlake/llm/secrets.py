@@ -12,7 +12,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import materialize, table
+from .common import columns_of, materialize, table, whole_rows
 
 #: Raise it with every change of the rules: what older versions found stays in the ledger beside the new.
 RULES_VERSION = "1"
@@ -105,16 +105,16 @@ def redact(docs: DataFrame, key: str = "doc_id", mark: str = "[SECRET]", ledger:
         .groupBy("k", "blob_id").agg(F.array_sort(F.collect_list(F.struct("a", "b"))).alias("cuts"))
     )
     # the document is one column, so that no name of its own can clash
-    rows = docs.select(F.struct(*[docs[c] for c in docs.columns]).alias("row"))
+    rows = whole_rows(docs)
     text, cuts = F.col("row.text"), F.col("cuts")
     start_of = lambda i: F.when(i == 0, F.lit(0)).otherwise(cuts[i - 1]["b"])
     whole = F.concat(
         F.array_join(F.transform(cuts, lambda c, i: F.concat(F.substring(text, (start_of(i) + 1).cast("int"), (c["a"] - start_of(i)).cast("int")), F.lit(mark))), ""),
         F.substring(text, (F.element_at(cuts, -1)["b"] + 1).cast("int"), F.length(text)),
     )
-    joined = rows.join(pieces, F.col("row")[key].eqNullSafe(F.col("k")) & (F.sha2(text.cast("binary"), 256) == F.col("blob_id")), "left")
+    joined = rows.join(pieces, F.col("row").getField(key).eqNullSafe(F.col("k")) & (F.sha2(text.cast("binary"), 256) == F.col("blob_id")), "left")
     clean = F.when(cuts.isNull(), text).otherwise(whole)
-    return joined.select(*[clean.alias(c) if c == "text" else F.col("row")[c].alias(c) for c in docs.columns])
+    return columns_of(joined, docs, text=clean)
 
 
 def op6_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -19,10 +19,10 @@ from itertools import combinations, islice
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import bounded, chunks, connected_components, discard, materialize, settle, table
+from .common import bounded, chunks, columns_of, connected_components, materialize, settle, table, whole_rows
 
 WORDS, RADIUS, SEED = 4, 4, 42
 #: (lowest bit, bits, allowance) of each segment: allowances sum to RADIUS - 2, one less than segments need to miss a pair.
@@ -309,8 +309,14 @@ def sketches(sets: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
     return prints, np.argsort(margin, axis=2, kind="stable")[:, :, :WEAK].astype(np.uint8)
 
 
+def text_digest(text: Column) -> Column:
+    """SHA-256 of a text; with doc_id it names a row, and rows with one name are repeated rows. Null counts as an empty text."""
+    return F.unhex(F.sha2(F.coalesce(text, F.lit("")).cast("binary"), 256))
+
+
 def sketch_table(docs: DataFrame, words: int) -> DataFrame:
-    """(doc_id, same binary, n int, fp long, sketch binary, weak binary): ``same`` is a digest of the set of n shingles."""
+    """(doc_id, digest binary, same binary, n int, fp long, sketch binary, weak binary): the digests of the text and of the set
+    of n shingles."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in chunks(batches, "text"):
@@ -318,13 +324,14 @@ def sketch_table(docs: DataFrame, words: int) -> DataFrame:
             prints, weak = sketches(sets)
             yield pa.RecordBatch.from_arrays(
                 [
-                    batch.column("doc_id"), pa.array([xxhash.xxh3_128_digest(s.tobytes()) for s in sets], pa.binary()), pa.array([len(s) for s in sets], pa.int32()),
+                    batch.column("doc_id"), batch.column("digest"), pa.array([xxhash.xxh3_128_digest(s.tobytes()) for s in sets], pa.binary()), pa.array([len(s) for s in sets], pa.int32()),
                     pa.array(prints[:, 0].view(np.int64)), *(pa.array([r.tobytes() for r in x], pa.binary()) for x in (prints.astype("<u8"), weak)),
                 ],
-                ["doc_id", "same", "n", "fp", "sketch", "weak"],
+                ["doc_id", "digest", "same", "n", "fp", "sketch", "weak"],
             )
 
-    return bounded(docs).select(F.col("doc_id").cast("long"), "text").mapInArrow(run, "doc_id long, same binary, n int, fp long, sketch binary, weak binary")
+    rows = bounded(docs).select(F.col("doc_id").cast("long"), text_digest(F.col("text")).alias("digest"), "text")
+    return rows.mapInArrow(run, "doc_id long, digest binary, same binary, n int, fp long, sketch binary, weak binary")
 
 
 def part_keys(prints: np.ndarray, weak: np.ndarray) -> np.ndarray:
@@ -504,9 +511,10 @@ def filed_parts(rows: DataFrame, balls: bool) -> DataFrame:
     return rows.select("node", "component", "sketch", "weak").mapInArrow(filed, "key long, fp long, node long, home boolean, component long")
 
 
-def with_texts(rows: DataFrame, texts: DataFrame) -> DataFrame:
+def with_texts(rows: DataFrame, nodes: DataFrame, texts: DataFrame) -> DataFrame:
     """``rows`` with the text of their node. Up to FEW_ROWS of them are counted and go to the texts; else both are shuffled."""
-    return texts.join(F.broadcast(rows) if rows.count() <= FEW_ROWS else rows, "node")
+    named = rows.join(nodes.select("node", "doc_id", "digest"), "node")
+    return texts.join(F.broadcast(named) if rows.count() <= FEW_ROWS else named, ["doc_id", "digest"])
 
 
 def star_components(nodes: DataFrame, texts: DataFrame, words: int, block: int) -> DataFrame:
@@ -528,24 +536,32 @@ def star_components(nodes: DataFrame, texts: DataFrame, words: int, block: int)
         while found := list(islice(links, 10_000)):
             yield pa.RecordBatch.from_arrays([pa.array([e[k] for e in found], pa.int64()) for k in (0, 1)], ["a", "b"])
 
-    grouped = with_texts(dealt.unionByName(centers), texts).repartition("center", "part").sortWithinPartitions("center", "part", F.desc("first"))
+    grouped = with_texts(dealt.unionByName(centers), nodes, texts).repartition("center", "part").sortWithinPartitions("center", "part", F.desc("first"))
     return connected_components(grouped.select("node", "first", "text").mapInArrow(verified, "a long, b long"))
 
 
-def similar_components(prints: DataFrame, docs: DataFrame, words: int = 5, bucket: int = BUCKET, block: int = BLOCK) -> DataFrame:
-    """(same, component) of a sketch table: components of texts whose sets of shingles have a Jaccard similarity of
-    SIMILAR or more, by their smallest id.
+def distinct_sets(prints: DataFrame) -> DataFrame:
+    """One node for each distinct set of a sketch table: same, node, doc_id, digest, n, sketch, weak.
+
+    Nodes are numbers in the order of the (doc_id, digest) that represents the set, its first, so the smallest node of a
+    component has the smallest doc_id, and two texts under one doc_id are two nodes.
+    """
+    one = F.min(F.struct("doc_id", "digest", "n", "fp", "sketch", "weak")).alias("o")
+    sets = prints.groupBy("same").agg(one).select("same", "o.doc_id", "o.digest", "o.n", "o.sketch", "o.weak")
+    return sets.repartitionByRange("doc_id", "digest").sortWithinPartitions("doc_id", "digest").withColumn("node", F.monotonically_increasing_id())
+
+
+def similar_components(nodes: DataFrame, texts: DataFrame, words: int = 5, bucket: int = BUCKET, block: int = BLOCK) -> DataFrame:
+    """(node, component) of ``distinct_sets``: components of those whose sets of shingles have a Jaccard similarity of SIMILAR
+    or more, by their smallest node. ``texts`` has (doc_id, digest, text), one row for each name of a row.
 
-    Equal sets are one node, and ``star_components`` unites most of what is similar. Nodes of different components then
+    First ``star_components`` unites most of what is similar. Nodes of different components then
     meet under a segment of the sketch, where one side is looked up in the small Hamming ball over the bits it is least
     sure of, and another 64 bits sieve them. Those within the guard by their complete sketches are candidates; only the
     components that they form are kept, never all pairs. In each of these the candidates that aren't linked yet are
     compared by the sets themselves, and only these links count. Keys and components that are too large for a task are
     compared in pairs of blocks.
     """
-    one = F.min(F.struct("doc_id", "n", "fp", "sketch", "weak")).alias("o")
-    nodes = materialize(prints.groupBy("same").agg(one).select("same", F.col("o.doc_id").alias("node"), "o.n", "o.sketch", "o.weak"))
-    texts = bounded(docs).select(F.col("doc_id").cast("long").alias("node"), "text")
     stars_ = settle(lambda: star_components(nodes, texts, words, block))
     united = nodes.join(stars_, "node", "left").select("node", "n", F.coalesce("component", "node").alias("component"), "sketch", "weak")
     dealt = filed_parts(united, balls=True).repartition("key").sortWithinPartitions("key", "fp")
@@ -582,33 +598,41 @@ def similar_components(prints: DataFrame, docs: DataFrame, words: int = 5, bucke
                 links += similar_links([t or "" for t in found.column("text").slice(at, end - at).to_pylist()], component[at:end], side[at:end], words)
             yield pa.RecordBatch.from_arrays([pa.array(np.array([e[k] for e in links], np.int64)) for k in (0, 1)], ["a", "b"])
 
-    compared = with_texts(placed, texts).repartition("group", "i", "j").sortWithinPartitions("group", "i", "j")
+    compared = with_texts(placed, nodes, texts).repartition("group", "i", "j").sortWithinPartitions("group", "i", "j")
     links = compared.select("group", "i", "j", "side", "component", "text").mapInArrow(verified, "a long, b long")
     parts = connected_components(links.unionByName(stars_.select(F.col("node").alias("a"), F.col("component").alias("b"))))
-    return nodes.join(parts, "node", "left").select("same", F.coalesce("component", "node").alias("component"))
+    return nodes.join(parts, "node", "left").select("node", F.coalesce("component", "node").alias("component"))
 
 
 def deduplicate(docs: DataFrame, words: int = 5, **how) -> DataFrame:
     """The documents, all columns as they are, that are the first of their group of near copies; one of repeated rows.
 
-    Near copies are texts whose sets of shingles have a Jaccard similarity of 0.8 or more. Rows without a doc_id stay:
-    there is no telling which of them to keep. Null and empty texts are copies of each other. Other columns may have any
-    names; an empty table gives an empty table. Sketches are gathered to find candidates; the text of a candidate moves
-    to meet the others of its group, and a text moves once to meet the ids that stay.
+    Near copies are texts whose sets of shingles have a Jaccard similarity of 0.8 or more; of a group the row with the smallest
+    doc_id stays. Texts under one doc_id that aren't near copies both stay; rows with one doc_id and one text are repeated
+    rows, whatever their other columns, and one stays. Rows without a doc_id stay: there is no telling which of them to keep.
+    Null and empty texts are copies of each other. Other columns may have any names; an empty table gives an empty table.
+    Sketches are gathered to find candidates; the text of a candidate moves to meet the others of its group, and a text moves
+    once to meet the names that stay.
     """
     prints = materialize(sketch_table(docs, words).where("doc_id IS NOT NULL"))
-    parts = settle(lambda: prints.select("doc_id", "same").join(similar_components(prints, docs, words, **how), "same").select("doc_id", F.col("component").alias("component_id")))
-    discard(prints)
-    kept = parts.where("doc_id = component_id").select(F.col("doc_id").alias("kept")).distinct()
+    nodes = materialize(distinct_sets(prints))
+    again = materialize(prints.groupBy("doc_id", "digest").count().where("count > 1").select("doc_id", "digest"))
+    repeats = not again.isEmpty()
+    texts = bounded(docs).select(F.col("doc_id").cast("long"), text_digest(F.col("text")).alias("digest"), "text")
+    once = texts.dropDuplicates(["doc_id", "digest"]) if repeats else texts
+    parts = settle(lambda: similar_components(nodes.drop("same"), once, words, **how))
+    # a set's other texts are copies of the one that represents it
+    kept = parts.where("node = component").join(nodes, "node").select(F.col("doc_id").alias("_id"), F.col("digest").alias("_digest"))
     # the document is one column, so that no name of its own can clash
-    rows = docs.select(F.struct(*[docs[c] for c in docs.columns]).alias("row"))
-    key = F.col("row.doc_id")
-    named = rows.join(kept.hint("shuffle_hash"), key == F.col("kept"), "left_semi")
-    again = parts.groupBy("doc_id").count().where("count > 1").select(F.col("doc_id").alias("again"))
-    if not again.isEmpty():
-        twice = named.join(again, key == F.col("again"), "left_semi").withColumn("id", key).dropDuplicates(["id"]).drop("id")
-        named = named.join(again, key == F.col("again"), "left_anti").unionByName(twice)
-    return named.unionByName(rows.where(key.isNull())).select(*[F.col("row")[c].alias(c) for c in docs.columns])
+    rows = whole_rows(docs)
+    key, digest = F.col("row.doc_id").cast("long"), text_digest(F.col("row.text"))
+    named = rows.join(kept, (key == F.col("_id")) & (digest == F.col("_digest")), "left_semi")
+    if repeats:
+        same = again.select(F.col("doc_id").alias("_id"), F.col("digest").alias("_digest"))
+        twice = named.withColumn("id", key).withColumn("digest", digest)
+        both = (twice["id"] == same["_id"]) & (twice["digest"] == same["_digest"])
+        named = twice.join(same, both, "left_anti").unionByName(twice.join(same, both, "left_semi").dropDuplicates(["id", "digest"])).select("row")
+    return columns_of(named.unionByName(rows.where(F.col("row.doc_id").isNull())), docs)
 
 
 def op3_simhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

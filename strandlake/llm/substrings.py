@@ -26,7 +26,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import bounded, chunks, discard, materialize, table
+from .common import bounded, chunks, discard, materialize, release, table
 
 WINDOW, ANCHOR = 35, 8
 #: Words of distinct segments in a shard, and of one anchor before it is split; windows of a segment.
@@ -237,7 +237,8 @@ def segments_of(texts: DataFrame, runs_of: Callable, window: int, anchor: int) -
 
     raw = texts.select("id", "copies", F.col("text").cast("binary").alias("text"))
     runs = materialize(raw.mapInArrow(spans, "key long, id long, span long, n long"))
-    again = runs.groupBy("key").agg(F.sum("n").alias("n")).where("n > 1").select("key")
+    # written, so that the join deals both sides anew and can split the rows of a hot anchor
+    again = materialize(runs.groupBy("key").agg(F.sum("n").alias("n")).where("n > 1").select("key"))
     wanted = runs.select("key", "id", "span").join(again, "key").groupBy("id").agg(F.collect_list(F.struct("span", "key")).alias("cuts"))  # at most a text's words
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -258,10 +259,15 @@ def segments_of(texts: DataFrame, runs_of: Callable, window: int, anchor: int) -
     schema = "segment binary, key long, id long, start int, stop int, copies long, n_words int, words binary"
     cuts = materialize(raw.join(wanted, "id").select("id", "copies", "text", "cuts").mapInArrow(cut, schema))
     discard(runs)
+    discard(again)
+    release(texts.sparkSession)
     whole = cuts.groupBy("segment").agg(
         F.first("key").alias("key"), F.sum("copies").alias("weight"), F.first("n_words").alias("n_words"), F.first("words", ignorenulls=True).alias("words")
     )
-    return cuts.select("segment", "id", "start"), materialize(whole.withColumn("number", F.monotonically_increasing_id()))
+    what, where = materialize(whole.withColumn("number", F.monotonically_increasing_id())), materialize(cuts.select("segment", "id", "start"))
+    discard(cuts)
+    release(texts.sparkSession)
+    return where, what
 
 
 def searched(segments: DataFrame, window: int, shard_words: int) -> DataFrame:
@@ -326,6 +332,7 @@ def remove_repeats(docs: DataFrame, kept: Column | None = None, window: int = WI
     digest = F.unhex(F.sha2(F.col("text").cast("binary"), 256))
     distinct = bounded(rows).select(digest.alias("digest"), "text").groupBy("digest").agg(F.first("text").alias("text"), F.count("*").alias("copies"))
     texts = materialize(distinct.withColumn("id", F.monotonically_increasing_id()))
+    release(docs.sparkSession)
     spans = materialize(repeated_spans(texts.select("id", "copies", "text"), window, **how))
 
     def clean(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
