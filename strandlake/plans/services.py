@@ -9,7 +9,7 @@ from strandlake.operators import align, envelopes, kmers, prep, qc, quant
 from strandlake.plans import derive as D
 from strandlake.plans import registry as R
 from strandlake.plans.catalog import ORACLES, query
-from strandlake.sources import fasta, grid, uploads
+from strandlake.sources import fasta, grid, splits, uploads
 
 # ------------------------------------------------------------------------------ files
 
@@ -27,8 +27,17 @@ def _kept(spark, lines, suffix=""):
 
 @query(f"WITH {RECORDS} SELECT record_id, description, sequence FROM recs")
 def fasta_files(spark, sf):
-    """Written as FASTA and read back by the data source."""
-    return fasta.read_fasta(spark, _kept(spark, fasta.fasta_lines(_records(spark, sf)))).select(*RECORD)
+    """Written as FASTA and read back in splits by Spark's text reader, so from any store."""
+    return splits.read_splits(spark, _kept(spark, fasta.fasta_lines(_records(spark, sf))), "fasta").select(*RECORD)
+
+
+@query(f"WITH {RECORDS} SELECT record_id, description, sequence FROM recs")
+def fasta_ranges(spark, sf):
+    """Written by the sink and read back by the data source, in many ranges of each file."""
+    path = uploads.new_path(spark)
+    fasta.register(spark)
+    _records(spark, sf).drop("doc_id").coalesce(2).write.format("fasta").mode("append").save(path)
+    return spark.read.format("fasta").option("splitBytes", 1 << 16).load(path).select(*RECORD)
 
 
 @query(f"WITH {RECORDS} SELECT record_id, description, sequence FROM recs")
@@ -41,7 +50,17 @@ def fasta_split_files(spark, sf):
 def fastq_files(spark, sf):
     """Reads with letters, written as FASTQ and read back: a FASTQ record can't be empty."""
     reads = D.reads(spark, sf).where(F.length("sequence") > 0).withColumn("read_id", F.col("doc_id").cast("string"))
-    return fasta.read_fastq(spark, _kept(spark, fasta.fastq_lines(reads))).select("read_id", "sequence", "quality", "plus")
+    return splits.read_splits(spark, _kept(spark, fasta.fastq_lines(reads)), "fastq").select("read_id", "sequence", "quality", "plus")
+
+
+@query(f"WITH {D.READS} SELECT CAST(doc_id AS VARCHAR) AS read_id, sequence, quality, '+' AS plus FROM reads WHERE length(sequence) > 0")
+def fastq_ranges(spark, sf):
+    """The same through the sink and the data source, in many ranges of each file."""
+    path = uploads.new_path(spark)
+    fasta.register(spark)
+    reads = D.reads(spark, sf).where(F.length("sequence") > 0).select(F.col("doc_id").cast("string").alias("read_id"), "sequence", "quality")
+    reads.coalesce(2).write.format("fastq").mode("append").save(path)
+    return spark.read.format("fastq").option("splitBytes", 1 << 16).load(path).select("read_id", "sequence", "quality", "plus")
 
 
 @query(f"WITH {D.READS} SELECT count(*) AS reads FROM reads WHERE length(sequence) > 0")

@@ -1,132 +1,62 @@
 """FASTA and FASTQ as data sources, and their sinks.
 
-``spark.read.format("fasta")`` and ``format("fastq")`` take a file, a folder or a comma-separated list; files ending in
-.gz are unpacked. A record never spans files, so each file is a partition; sequences move on as Arrow batches.
-The readers open paths with Python, on the executors: for stores that only Spark reads, use ``read_fasta_text``.
+``spark.read.format("fasta")`` and ``format("fastq")`` take a file, a folder or a comma-separated list, and are read in
+ranges of ``splitBytes``; files ending in .gz are unpacked, each in one task. ``readStream`` takes the same, a folder's
+files as they appear, and ``write`` puts a file for each task in place when all are done. These open paths with Python, on
+the executors: local ones and those of object stores and HDFS that Arrow knows. For stores that only Spark reads, and for
+files packed by blocks, use ``splits.read_splits``.
 """
 
 from __future__ import annotations
 
-import gzip
 import io
-import os
+import time
+import uuid
 import zipfile
 from collections.abc import Iterator
 from itertools import islice
 
 import pyarrow as pa
+import pyarrow.fs
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
+from pyspark.sql.datasource import (
+    CaseInsensitiveDict, DataSource, DataSourceArrowWriter, DataSourceReader, DataSourceStreamReader, InputPartition, WriterCommitMessage,
+)
 from pyspark.sql.types import StructType
 
 from strandlake.functions import seq as S
+from strandlake.sources import splits
 
-FASTA_SCHEMA = "record_id string, description string, sequence string, source_file string, record_index long"
-FASTQ_SCHEMA = "read_id string, sequence string, quality string, plus string, source_file string, record_index long"
+#: record_index is a record's number in its split; splits are ordered by source_file and split_start.
+FASTA_SCHEMA = "record_id string, description string, sequence string, source_file string, split_start long, record_index long"
+FASTQ_SCHEMA = "read_id string, sequence string, quality string, plus string, source_file string, split_start long, record_index long"
 #: Bases that one Arrow batch holds; a longer record is a batch of its own.
 BATCH_BASES = 8 << 20
 
 
-class FilePartition(InputPartition):
-    def __init__(self, path: str) -> None:
-        self.path = path
-
-
-def files_of(path: str) -> list[str]:
-    """The files a path names, in order; hidden ones in folders are left out."""
-    found = []
-    for one in path.split(","):
-        one = one.strip().removeprefix("file://")
-        if os.path.isdir(one):
-            found += sorted(os.path.join(one, f) for f in os.listdir(one) if f[0] not in "._")
-        elif os.path.exists(one):
-            found.append(one)
-        else:
-            raise FileNotFoundError(one)
-    return found
-
-
-def lines_of(path: str) -> Iterator[str]:
-    opened = gzip.open(path, "rt", encoding="utf-8") if path.endswith(".gz") else open(path, encoding="utf-8")
-    with opened as lines:
-        yield from (line.strip() for line in lines)
-
-
-def fasta_records(lines: Iterator[str], lenient: bool = False) -> Iterator[tuple[str, str | None, str]]:
-    """(id, description, sequence). What comes before the first header is left out; a header without an id is an error.
-
-    If ``lenient``, a record without an id is left out, and a description's runs of blanks become one.
-    """
-    head, body = None, []
-    for line in lines:
-        if line.startswith(">"):
-            if head is not None:
-                yield (*head, "".join(body))
-            words = line[1:].strip().split(None, 1)
-            if lenient and not words:
-                head, body = None, []
-                continue
-            if not words:
-                raise ValueError("a header without an id")
-            if lenient:
-                words[1:] = [" ".join(w.split()) for w in words[1:]]
-            head, body = (words[0], words[1] if len(words) > 1 else None), []
-        elif line and head is not None:
-            body.append(line)
-    if head is not None:
-        yield (*head, "".join(body))
-
-
-def fastq_records(lines: Iterator[str], strict: bool = False) -> Iterator[tuple[str, str, str, str]]:
-    """(id, sequence, quality, plus). Lines after a record that don't start with @ go on with its quality.
-
-    Blank lines between records are skipped, or an error if ``strict``.
-    """
-    ended = object()
-    line = next(lines, ended)
-    while line is not ended:
-        if not line and not strict:
-            line = next(lines, ended)
-            continue
-        if not line.startswith("@"):
-            raise ValueError(f"a record must start with @: {line[:40]!r}")
-        name = (line[1:].split() or [""])[0]
-        sequence, plus, quality = (next(lines, ended) for _ in range(3))
-        if quality is ended or not sequence or not quality:
-            raise ValueError(f"record {name!r} is incomplete")
-        line = next(lines, ended)
-        while line is not ended and line and not line.startswith("@"):
-            quality += line
-            line = next(lines, ended)
-        if len(sequence) != len(quality):
-            raise ValueError(f"record {name!r}: {len(sequence)} bases and {len(quality)} qualities")
-        yield name, sequence, quality, plus
-
-
 class _Reader(DataSourceReader):
-    def __init__(self, schema: StructType, options: dict, kind: str) -> None:
+    def __init__(self, schema: StructType, options: CaseInsensitiveDict, kind: str) -> None:
         self.options, self.kind = options, kind
         self.names = [f.name for f in schema.fields]
         if not options.get("path"):
             raise ValueError("load() needs a path")
+        self.option = options.get("lenient" if kind == "fasta" else "strict", "false").lower() == "true"
+        self.split_bytes = int(options.get("splitBytes", splits.SPLIT_BYTES))
 
     def partitions(self) -> list[InputPartition]:
-        return [FilePartition(p) for p in files_of(self.options["path"])]
+        return splits.ranges_of(splits.files_of(self.options["path"]), self.split_bytes)
 
-    def read(self, partition: FilePartition) -> Iterator[pa.RecordBatch]:
-        lines = lines_of(partition.path)
-        chosen = {k: self.options.get(k, "false").lower() == "true" for k in ("lenient", "strict")}
-        found = fasta_records(lines, chosen["lenient"]) if self.kind == "fasta" else fastq_records(lines, chosen["strict"])
+    def read(self, partition: splits.FileRange) -> Iterator[pa.RecordBatch]:
         rows, held = [], 0
-        types = [pa.int64() if n == "record_index" else pa.string() for n in self.names]
+        types = [pa.int64() if n in ("record_index", "split_start") else pa.string() for n in self.names]
 
         def batch() -> pa.RecordBatch:
             return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), types, strict=True)], self.names)
 
-        for index, record in enumerate(found):
-            rows.append((*record, partition.path, index))
-            held += sum(len(x) for x in record if x)
+        for record in splits.read_ranges(partition, self.kind, self.option):
+            rows.append(record)
+            held += sum(len(x) for x in record[:-2] if x)
             if held >= BATCH_BASES:
                 yield batch()
                 rows, held = [], 0
@@ -134,6 +64,105 @@ class _Reader(DataSourceReader):
             yield batch()
 
 
+class _Stream(_Reader, DataSourceStreamReader):
+    """Files of a folder as they appear, in the order of (time of change, path). The offset is the last file's.
+
+    A file counts once it hasn't changed for ``settleSeconds`` (2 by default), so that none is read half-written and none
+    appears before the offset afterwards; files must not change later.
+    """
+
+    def initialOffset(self) -> dict:
+        return {"time": 0, "path": ""}
+
+    def _files(self) -> list[tuple[tuple[int, str], tuple[str, int, int]]]:
+        return sorted(((changed, path), (path, size, changed)) for path, size, changed in splits.files_of(self.options["path"]))
+
+    def latestOffset(self) -> dict:
+        settled = time.time_ns() - int(float(self.options.get("settleSeconds", 2)) * 1e9)
+        last = max((key for key, _ in self._files() if key[0] <= settled), default=(0, ""))
+        return {"time": last[0], "path": last[1]}
+
+    def partitions(self, start: dict, end: dict) -> list[InputPartition]:
+        after, until = ((o["time"], o["path"]) for o in (start, end))
+        return splits.ranges_of([file for key, file in self._files() if after < key <= until], self.split_bytes)
+
+    def commit(self, end: dict) -> None:
+        pass
+
+
+class Written(WriterCommitMessage):
+    """What a task has written: the file in the job's folder, and its records."""
+
+    def __init__(self, name: str, records: int) -> None:
+        self.name, self.records = name, records
+
+
+class _Writer(DataSourceArrowWriter):
+    """One file for each task, written to a folder of the job and moved to its place when all tasks are done.
+
+    A task that fails deletes its file; a job that fails, its folder. Of a task that ran twice the committed file counts.
+    Options: ``lineWidth`` (60; 0 for one line a sequence) and ``compress`` (true for gzip).
+    """
+
+    def __init__(self, schema: StructType, options: CaseInsensitiveDict, kind: str, overwrite: bool) -> None:
+        missing = {"fasta": {"record_id", "sequence"}, "fastq": {"read_id", "sequence", "quality"}}[kind] - set(schema.names)
+        if missing or not options.get("path"):
+            raise ValueError(f"a column is missing: {', '.join(sorted(missing))}" if missing else "save() needs a path")
+        self.path, self.kind, self.overwrite, self.job = options["path"].removeprefix("file://"), kind, overwrite, uuid.uuid4().hex
+        self.width = int(options.get("lineWidth", 60))
+        self.packed = options.get("compress", "false").lower() == "true"
+
+    @property
+    def folder(self) -> str:
+        return f"{self.path}/_temporary-{self.job}"
+
+    def _text(self, batch: pa.RecordBatch) -> Iterator[str]:
+        columns = {n: batch.column(n).to_pylist() for n in batch.schema.names}
+        nothing = [None] * batch.num_rows
+        if self.kind == "fasta":
+            for name, about, bases in zip(columns["record_id"], columns.get("description", nothing), columns["sequence"], strict=True):
+                bases = bases or ""
+                lines = [bases[i : i + self.width] for i in range(0, len(bases), self.width)] if self.width > 0 else [bases]
+                yield "\n".join([f">{name} {about}" if about else f">{name}", *lines]) + "\n"
+        else:
+            for row in zip(columns["read_id"], columns["sequence"], columns.get("plus", nothing), columns["quality"], strict=True):
+                if not row[1] or not row[3]:
+                    raise ValueError(f"a FASTQ record can't be empty: {row[0]!r}")
+                yield f"@{row[0]}\n{row[1]}\n{row[2] or '+'}\n{row[3]}\n"
+
+    def write(self, iterator: Iterator[pa.RecordBatch]) -> WriterCommitMessage:
+        store, folder = splits.store_of(self.folder)
+        store.create_dir(folder)
+        name, records = f"{uuid.uuid4().hex}.{self.kind}{'.gz' if self.packed else ''}", 0
+        try:
+            with store.open_output_stream(f"{folder}/{name}", compression="gzip" if self.packed else None) as out:
+                for batch in iterator:
+                    out.write("".join(self._text(batch)).encode("utf-8", "surrogatepass"))
+                    records += batch.num_rows
+        except BaseException:
+            store.delete_file(f"{folder}/{name}")
+            raise
+        return Written(name, records)
+
+    def commit(self, messages: list[WriterCommitMessage | None]) -> None:
+        store, path = splits.store_of(self.path)
+        _, folder = splits.store_of(self.folder)
+        if self.overwrite:
+            for info in store.get_file_info(pyarrow.fs.FileSelector(path)):
+                if info.is_file:
+                    store.delete_file(info.path)
+        for k, message in enumerate(messages):
+            if message is not None and message.records:
+                store.move(f"{folder}/{message.name}", f"{path}/part-{k:05d}-{message.name}")
+        store.delete_dir(folder)
+        store.open_output_stream(f"{path}/_SUCCESS", compression=None).close()
+
+    def abort(self, messages: list[WriterCommitMessage | None]) -> None:
+        store, folder = splits.store_of(self.folder)
+        if store.get_file_info(folder).type != pyarrow.fs.FileType.NotFound:
+            store.delete_dir(folder)
+
+
 class FastaDataSource(DataSource):
     @classmethod
     def name(cls) -> str:
@@ -143,7 +172,13 @@ class FastaDataSource(DataSource):
         return FASTA_SCHEMA
 
     def reader(self, schema: StructType) -> DataSourceReader:
-        return _Reader(schema, dict(self.options), "fasta")
+        return _Reader(schema, self.options, "fasta")
+
+    def streamReader(self, schema: StructType) -> DataSourceStreamReader:
+        return _Stream(schema, self.options, "fasta")
+
+    def writer(self, schema: StructType, overwrite: bool) -> DataSourceArrowWriter:
+        return _Writer(schema, self.options, "fasta", overwrite)
 
 
 class FastqDataSource(DataSource):
@@ -155,7 +190,13 @@ class FastqDataSource(DataSource):
         return FASTQ_SCHEMA
 
     def reader(self, schema: StructType) -> DataSourceReader:
-        return _Reader(schema, dict(self.options), "fastq")
+        return _Reader(schema, self.options, "fastq")
+
+    def streamReader(self, schema: StructType) -> DataSourceStreamReader:
+        return _Stream(schema, self.options, "fastq")
+
+    def writer(self, schema: StructType, overwrite: bool) -> DataSourceArrowWriter:
+        return _Writer(schema, self.options, "fastq", overwrite)
 
 
 def register(spark: SparkSession) -> None:
@@ -236,15 +277,23 @@ def write_fastq(reads: DataFrame, path: str) -> None:
 
 
 def with_batches(records: DataFrame, batch_size: int) -> DataFrame:
-    """Adds batch_id: records of one file in groups of ``batch_size``, in file order."""
+    """Adds batch_id: records of one file in groups of ``batch_size``, in file order.
+
+    Where records have a split_start, record_index becomes their number in the file: splits are counted first.
+    """
     if batch_size < 1:
         raise ValueError("batch_size must be at least 1")
+    if "split_start" in records.columns:
+        counts = records.groupBy("source_file", "split_start").agg(F.count("*").alias("_n"))
+        before = "sum(_n) OVER (PARTITION BY source_file ORDER BY split_start ROWS UNBOUNDED PRECEDING) - _n AS _before"
+        placed = records.join(counts.selectExpr("source_file", "split_start", before), ["source_file", "split_start"])
+        records = placed.withColumn("record_index", F.col("record_index") + F.col("_before")).select(records.columns)
     return records.withColumn("batch_id", F.floor(F.col("record_index") / batch_size).cast("long"))
 
 
 def upload_summary(records: DataFrame) -> DataFrame:
     """One row: records, total_bases, and id, description and length of the first record; fails without records."""
-    first = F.min_by(F.struct("record_id", "description", F.length("sequence").alias("length")), F.struct("source_file", "record_index"))
+    first = F.min_by(F.struct("record_id", "description", F.length("sequence").alias("length")), F.struct(*[c for c in ("source_file", "split_start", "record_index") if c in records.columns]))
     found = records.agg(F.count("*").alias("records"), F.coalesce(F.sum(F.length("sequence")), F.lit(0)).alias("total_bases"), first.alias("first"))
     return found.withColumn("records", F.when(F.col("records") > 0, F.col("records")).otherwise(F.raise_error(F.lit("no records")).cast("long")))
 

@@ -4,10 +4,13 @@ from __future__ import annotations
 
 import re
 import tempfile
+import time
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
+EXPIRY_HOURS = 24
+
 
 def folder(spark: SparkSession) -> str:
     """The folder named in ``spark.checkpoint.dir``; where that is unset, a temporary one in local mode and an error on a cluster."""
@@ -35,8 +38,19 @@ def _path(spark: SparkSession, upload_id: str, suffix: str) -> str:
     return f"{folder(spark)}/{upload_id}{suffix}"
 
 
+def new_path(spark: SparkSession) -> str:
+    """A path for a new upload. Uploads that are older than EXPIRY_HOURS are deleted first."""
+    root = spark._jvm.org.apache.hadoop.fs.Path(folder(spark))
+    files = root.getFileSystem(spark._jsc.hadoopConfiguration())
+    if files.exists(root):
+        for kept in files.listStatus(root):
+            if kept.getModificationTime() < (time.time() - EXPIRY_HOURS * 3600) * 1000:
+                files.delete(kept.getPath(), True)
+    return _path(spark, uuid.uuid4().hex, "")
+
+
 def store(lines: DataFrame, suffix: str = "") -> str:
-    """Write (value) as text files, one for each partition; the id they are kept under."""
-    upload_id = uuid.uuid4().hex
-    lines.write.text(_path(lines.sparkSession, upload_id, suffix))
-    return upload_id
+    """Write (value) as text files, one for each partition; the id they are kept under for EXPIRY_HOURS at least."""
+    path = new_path(lines.sparkSession)
+    lines.write.text(path + suffix)
+    return path.rsplit("/", 1)[1]
