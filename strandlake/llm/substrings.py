@@ -239,7 +239,10 @@ def segments_of(texts: DataFrame, runs_of: Callable, window: int, anchor: int) -
     runs = materialize(raw.mapInArrow(spans, "key long, id long, span long, n long"))
     # written, so that the join deals both sides anew and can split the rows of a hot anchor
     again = materialize(runs.groupBy("key").agg(F.sum("n").alias("n")).where("n > 1").select("key"))
-    wanted = runs.select("key", "id", "span").join(again, "key").groupBy("id").agg(F.collect_list(F.struct("span", "key")).alias("cuts"))  # at most a text's words
+    wanted = materialize(runs.select("key", "id", "span").join(again, "key").groupBy("id").agg(F.collect_list(F.struct("span", "key")).alias("cuts")))  # at most a text's words
+    discard(runs)
+    discard(again)
+    release(texts.sparkSession)
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in chunks(batches, "text"):
@@ -258,8 +261,7 @@ def segments_of(texts: DataFrame, runs_of: Callable, window: int, anchor: int) -
 
     schema = "segment binary, key long, id long, start int, stop int, copies long, n_words int, words binary"
     cuts = materialize(raw.join(wanted, "id").select("id", "copies", "text", "cuts").mapInArrow(cut, schema))
-    discard(runs)
-    discard(again)
+    discard(wanted)
     release(texts.sparkSession)
     whole = cuts.groupBy("segment").agg(
         F.first("key").alias("key"), F.sum("copies").alias("weight"), F.first("n_words").alias("n_words"), F.first("words", ignorenulls=True).alias("words")
