@@ -49,7 +49,10 @@ def mean_score(quality: Column | str, offset: int = 33) -> Column:
 
 
 def trim_position(quality: Column | str, min_quality: float = 20, window: int = 5, offset: int = 33) -> Column:
-    """Where the first window with a mean below the threshold starts; else the length. Shorter texts aren't trimmed."""
+    """Where the first window with a mean below the threshold starts; else the length. Shorter texts aren't trimmed.
+
+    It is marked so that a plan that both filters by it and cuts with it evaluates it once.
+    """
     if window < 1:
         raise ValueError("window must be at least 1")
 
@@ -64,7 +67,7 @@ def trim_position(quality: Column | str, min_quality: float = 20, window: int =
         first = low[np.searchsorted(low, starts)]
         return pa.array(np.where(first + window <= ends, first - starts, n), mask=pc.is_null(texts).to_numpy(zero_copy_only=False))
 
-    return run(quality)
+    return run.asNondeterministic()(quality)
 
 
 def motif_positions(seq: Column | str, motif: str) -> Column:

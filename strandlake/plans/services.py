@@ -9,7 +9,7 @@ from strandlake.operators import align, envelopes, kmers, prep, qc, quant
 from strandlake.plans import derive as D
 from strandlake.plans import registry as R
 from strandlake.plans.catalog import ORACLES, query
-from strandlake.sources import fasta, grid, splits, uploads
+from strandlake.sources import fasta, grid, intervals, splits, uploads
 
 # ------------------------------------------------------------------------------ files
 
@@ -63,6 +63,28 @@ def fastq_ranges(spark, sf):
     return spark.read.format("fastq").option("splitBytes", 1 << 16).load(path).select("read_id", "sequence", "quality", "plus")
 
 
+@query(f"WITH {RECORDS} SELECT record_id, doc_id % 50 AS start, doc_id % 50 + 40 AS \"end\", substr(sequence, doc_id % 50 + 1, 40) AS sequence FROM recs WHERE length(sequence) > doc_id % 50")
+def fasta_intervals(spark, sf):
+    """An interval of each record, read by its bytes through the offset index."""
+    path, index = uploads.new_path(spark), uploads.new_path(spark)
+    fasta.register(spark)
+    records = _records(spark, sf)
+    records.drop("doc_id").coalesce(2).write.format("fasta").mode("append").save(path)
+    intervals.build_index(spark, path, index, split_bytes=1 << 16)
+    start = F.col("doc_id") % 50
+    wanted = records.select("record_id", start.alias("start"), (start + 40).alias("end"))
+    return intervals.read_intervals(spark, index, wanted).drop("read_bytes")
+
+
+@query(f"WITH {RECORDS} SELECT record_id, length(sequence) AS length FROM recs WHERE sequence <> ''")
+def fasta_lengths(spark, sf):
+    path, index = uploads.new_path(spark), uploads.new_path(spark)
+    fasta.register(spark)
+    _records(spark, sf).drop("doc_id").coalesce(2).write.format("fasta").mode("append").save(path)
+    intervals.build_index(spark, path, index, split_bytes=1 << 16)
+    return intervals.record_lengths(spark.read.parquet(index)).select("record_id", "length")
+
+
 @query(f"WITH {D.READS} SELECT count(*) AS reads FROM reads WHERE length(sequence) > 0")
 def fastq_read_count(spark, sf):
     reads = D.reads(spark, sf).where(F.length("sequence") > 0).withColumn("read_id", F.col("doc_id").cast("string"))
