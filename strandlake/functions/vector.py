@@ -115,7 +115,11 @@ for _letters, _digit in (("Aa", 0), ("Cc", 1), ("Gg", 2), ("TtUu", 3)):
 
 def kmer_numbers(data: np.ndarray, k: int, canonical: bool) -> np.ndarray:
     """Base-4 numbers of all windows of k letters of A, C, G, T in a stretch of bytes."""
-    digit = DIGITS[data]
+    return digit_numbers(DIGITS[data], k, canonical)
+
+
+def digit_numbers(digit: np.ndarray, k: int, canonical: bool) -> np.ndarray:
+    """The same of digits, where those above 3 are in no window."""
     n = len(digit) - k + 1
     if n <= 0:
         return np.zeros(0, np.int64)
@@ -146,3 +150,144 @@ def kmer_partials(pieces: DataFrame, k: int, canonical: bool) -> DataFrame:
             yield pa.RecordBatch.from_arrays([pa.array(found, pa.int64()), pa.array(n, pa.int64())], ["code", "n"])
 
     return pieces.mapInArrow(run, "code long, n long")
+
+
+# ------------------------------------------------------------------------------ minimiser bins
+
+#: Digits of each packed byte, and the most windows that one stretch has.
+UNPACKED = np.stack([np.arange(256) >> s & 3 for s in (6, 4, 2, 0)], axis=1).astype(np.uint8)
+STRETCH = 1 << 12
+
+
+def scrambled(codes: np.ndarray) -> np.ndarray:
+    """A one-to-one hash: the order of minimisers doesn't favour runs of one letter."""
+    h = codes.astype(np.uint64)
+    for shift, factor in ((30, 0xBF58476D1CE4E5B9), (27, 0x94D049BB133111EB)):
+        h = (h ^ (h >> np.uint64(shift))) * np.uint64(factor)
+    return h ^ (h >> np.uint64(31))
+
+
+def sliding_least(values: np.ndarray, width: int) -> np.ndarray:
+    """The least of each ``width`` neighbours, by doubling."""
+    span = 1
+    while 2 * span <= width:
+        values, span = np.minimum(values[:-span], values[span:]), 2 * span
+    return np.minimum(values[: len(values) - (width - span)], values[width - span :]) if width > span else values
+
+
+def stretches(digit: np.ndarray, k: int, m: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(minimiser, first base, bases): maximal runs of windows of k digits with one minimiser, the least scrambled number of
+    the words of m digits in the window, on either strand. A window and its reverse complement have the same."""
+    n = len(digit) - k + 1
+    if n <= 0:
+        return np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64)
+    bad = np.concatenate([[0], np.cumsum(digit > 3)])
+    wide = np.minimum(digit, 3).astype(np.int64)
+    words = len(digit) - m + 1
+    code, other = np.zeros(words, np.int64), np.zeros(words, np.int64)
+    for j in range(m):
+        code, other = (code << 2) | wide[j : j + words], (other << 2) | (3 - wide[m - 1 - j : m - 1 - j + words])
+    least = sliding_least(scrambled(np.minimum(code, other)), k - m + 1)
+    at = np.flatnonzero(bad[k:] == bad[:-k])
+    if not len(at):
+        return least[:0], at, at
+    fresh = np.ones(len(at), bool)
+    fresh[1:] = (at[1:] != at[:-1] + 1) | (least[at[1:]] != least[at[:-1]])
+    serial = np.arange(len(at)) - np.maximum.accumulate(np.where(fresh, np.arange(len(at)), 0))
+    first = np.flatnonzero(fresh | (serial % STRETCH == 0))
+    last = np.append(first[1:], len(at)) - 1
+    return least[at[first]], at[first], at[last] - at[first] + k
+
+
+def packed_stretches(digit: np.ndarray, start: np.ndarray, size: np.ndarray) -> pa.Array:
+    """Each stretch as two bytes of length and four digits a byte."""
+    padded = -(-size // 4) * 4
+    begin = np.cumsum(padded) - padded
+    digits = np.zeros(int(padded.sum()), np.uint8)
+    offset = np.arange(int(size.sum())) - np.repeat(np.cumsum(size) - size, size)
+    digits[np.repeat(begin, size) + offset] = digit[np.repeat(start, size) + offset]
+    four = digits.reshape(-1, 4)
+    body = four[:, 0] << 6 | four[:, 1] << 4 | four[:, 2] << 2 | four[:, 3]
+    width = padded // 4 + 2
+    ends = np.cumsum(width)
+    data = np.empty(int(ends[-1]) if len(ends) else 0, np.uint8)
+    inside = np.ones(len(data), bool)
+    head = ends - width
+    inside[head] = inside[head + 1] = False
+    data[head], data[head + 1], data[inside] = size >> 8, size & 255, body
+    offsets = np.concatenate([[0], ends]).astype(np.int32)
+    return pa.BinaryArray.from_buffers(pa.binary(), len(size), [None, pa.py_buffer(offsets), pa.py_buffer(data)])
+
+
+def unpacked_stretches(stretches_: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """The digits of all stretches with a 4 after each, and their sizes."""
+    data = np.frombuffer(b"".join(stretches_), np.uint8)
+    width = np.array([len(s) for s in stretches_], np.int64)
+    head = np.cumsum(width) - width
+    size = data[head].astype(np.int64) << 8 | data[head + 1]
+    inside = np.ones(len(data), bool)
+    inside[head] = inside[head + 1] = False
+    digits = UNPACKED[data[inside]].ravel()
+    padded = 4 * (width - 2)
+    offset = np.arange(int(size.sum())) - np.repeat(np.cumsum(size) - size, size)
+    out = np.full(int((size + 1).sum()), 4, np.uint8)
+    out[np.repeat(np.cumsum(size + 1) - (size + 1), size) + offset] = digits[np.repeat(np.cumsum(padded) - padded, size) + offset]
+    return out, size
+
+
+def minimiser_rows(pieces: DataFrame, k: int, m: int, bins: int) -> DataFrame:
+    """(bin, stretch, n): packed stretches of pieces (tile binary) with how often each occurs in its batch."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in chunked(batches, "tile"):
+            digit = DIGITS[np.frombuffer(b"\n".join(x or b"" for x in batch.column("tile").to_pylist()), np.uint8)]
+            least, start, size = stretches(digit, k, m)
+            found = packed_stretches(digit, start, size).dictionary_encode()
+            which, first, n = np.unique(found.indices.to_numpy(), return_index=True, return_counts=True)
+            yield pa.RecordBatch.from_arrays([pa.array((least[first] % np.uint64(bins)).astype(np.int32)), found.dictionary.take(pa.array(which)), pa.array(n.astype(np.int32))], ["bin", "stretch", "n"])
+
+    return pieces.mapInArrow(run, "bin int, stretch binary, n int")
+
+
+def merged(runs: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
+    """Runs of sorted codes with counts as one."""
+    codes, counts = (np.concatenate(x) for x in zip(*runs, strict=True))
+    order = np.argsort(codes)
+    codes, counts = codes[order], counts[order]
+    first = np.flatnonzero(np.concatenate([[True], codes[1:] != codes[:-1]])) if len(codes) else np.zeros(0, np.int64)
+    return codes[first], np.add.reduceat(counts, first) if len(first) else counts
+
+
+def count_bins(rows: DataFrame, k: int, canonical: bool) -> DataFrame:
+    """(code, count) of ``minimiser_rows``: a bin has all occurrences of its k-mers, so bins are counted one by one, by
+    sorted runs that are merged as they grow; memory follows a bin's distinct k-mers."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, runs, size = None, [], 0
+
+        def flushed() -> pa.RecordBatch:
+            codes, counts = merged(runs)
+            return pa.RecordBatch.from_arrays([pa.array(codes), pa.array(counts)], ["code", "count"])
+
+        for batch in batches:
+            bins = batch.column("bin").to_numpy()
+            edges = [0, *(np.flatnonzero(bins[1:] != bins[:-1]) + 1).tolist(), len(bins)]
+            for a, b in zip(edges, edges[1:], strict=False):
+                if a == b:
+                    continue
+                if held is not None and bins[a] != held and runs:
+                    yield flushed()
+                    runs, size = [], 0
+                held = bins[a]
+                part = batch.slice(a, b - a)
+                digit, sizes = unpacked_stretches(part.column("stretch").to_pylist())
+                weight = np.repeat(part.column("n").to_numpy().astype(np.int64), np.maximum(sizes - k + 1, 0))
+                runs.append(merged([(digit_numbers(digit, k, canonical), weight)]))
+                size += len(runs[-1][0])
+                if size > 1 << 22:
+                    runs = [merged(runs)]
+                    size = len(runs[0][0])
+        if runs:
+            yield flushed()
+
+    return rows.repartition("bin").sortWithinPartitions("bin").mapInArrow(run, "code long, count long")

@@ -204,6 +204,16 @@ def kmer_codes(spark, sf):
     return turned.select("kmer", "code", S.kmer_decode("code", 31).alias("decoded"), S.kmer_decode("turned", 31).alias("rc"))
 
 
+@query(f'WITH {kmer_sql(31)} SELECT kmer, "count" FROM counts')
+def kmer_count_binned(spark, sf):
+    return kmers.count_binned(D.sequences(spark, sf), 31).select("kmer", "count")
+
+
+@query(f'WITH {kmer_sql(K, False)} SELECT kmer, "count" FROM counts WHERE "count" >= 3')
+def kmer_count_binned_one_strand(spark, sf):
+    return kmers.count_binned(D.sequences(spark, sf), K, canonical=False, min_abundance=3, m=5, bins=64).select("kmer", "count")
+
+
 @query(f'WITH {kmer_sql(SPECTRUM_K)} SELECT "count" AS multiplicity, count(*) AS n_kmers FROM counts GROUP BY 1')
 def kmer_spectrum(spark, sf):
     return kmers.spectrum(kmers.count(D.sequences(spark, sf), SPECTRUM_K))
