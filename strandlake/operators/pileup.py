@@ -6,10 +6,20 @@ left-most place on either strand. The pileup keeps covered places only; gaps are
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from strandlake.functions import seq as S
+from strandlake.functions import vector
+
+#: Places of a tile, whose counts are added as one vector: a letter's cell fits in 16 bits. Groups of tasks, and cells held in one.
+TILE, DEALS, HELD = 1 << 14, 16, 1 << 22
 
 #: Places of a reference are dealt out in spans of so many, so that no window holds a whole chromosome.
 SPAN = 1 << 20
@@ -17,30 +27,106 @@ SPAN = 1 << 20
 WINDOW = 1 << 16
 
 
-def bases(references: DataFrame, reads: DataFrame, min_base_quality: int | None = None, offset: int = 33, reverse_qualities: bool = False) -> DataFrame:
-    """(ref_id, pos, base) of every read base that counts: A, C, G or T, on the reference, of sufficient quality.
-
-    A missing quality counts as 0. Qualities of minus reads stay in the order they are given in, unless asked otherwise.
-    """
-    lengths = references.select("ref_id", F.length("sequence").alias("_length"))
-    reads = reads.join(lengths, "ref_id")  # before a read becomes bases
-    minus = F.col("strand") == "-"
-    forward = F.when(minus, S.reverse_complement("sequence")).otherwise(S.normalise("sequence"))
-    columns = ["ref_id", "start", "_length", F.posexplode(S.letters(forward)).alias("i", "base")]
+def ascii_of(texts: pa.Array) -> pa.Array:
+    """The same texts with a ? for each letter that isn't ASCII, so that a byte is a letter; null is empty."""
+    filled = pc.fill_null(texts, "")
+    return filled if pc.all(pc.string_is_ascii(filled)).as_py() is not False else pa.array([t.encode("ascii", "replace").decode() for t in filled.to_pylist()])
+
+
+def cells_of(batch: pa.RecordBatch, min_base_quality: int | None, offset: int, reverse_qualities: bool) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(read, place, letter) of every base that counts of reads (sequence, quality, strand, start, length)."""
+    data, ends = vector.flat(ascii_of(batch.column("sequence")))
+    sizes = np.diff(ends, prepend=0)
+    read = np.repeat(np.arange(len(sizes)), sizes)
+    i = np.arange(len(data)) - np.repeat(ends - sizes, sizes)
+    minus = pc.fill_null(pc.equal(batch.column("strand"), "-"), False).to_numpy(zero_copy_only=False)
+    turned = minus[read]
+    digit = vector.DIGITS[data[np.where(turned, (ends - 1)[read] - i, np.arange(len(data)))]]
+    digit = np.where(turned & (digit < 4), 3 - digit, digit)
+    start, length = (batch.column(c).to_numpy(zero_copy_only=False) for c in ("start", "length"))
+    place = start.astype(np.int64)[read] + i
+    good = (digit < 4) & (place >= 0) & (place < length[read])
     if min_base_quality is not None:
-        given = F.coalesce(F.when(minus & F.lit(reverse_qualities), F.reverse("quality")).otherwise(F.col("quality")), F.lit(""))
-        scored = reads.select("*", S.phred(given, offset).alias("_q")).select("ref_id", "start", "_length", "_q", F.posexplode(S.letters(forward)).alias("i", "base"))
-        each = scored.where(F.coalesce(F.get("_q", "i"), F.lit(0)) >= min_base_quality)
-    else:
-        each = reads.select(*columns)
-    pos = (F.col("start") + F.col("i")).cast("long")
-    return each.where(F.col("base").isin(*"ACGT") & (pos >= 0) & (pos < F.col("_length"))).select("ref_id", pos.alias("pos"), "base")
+        scores, q_ends = vector.flat(ascii_of(batch.column("quality")))
+        q_sizes = np.diff(q_ends, prepend=0)
+        at = np.where(turned & reverse_qualities, q_sizes[read] - 1 - i, i)
+        has = (i < q_sizes[read]) & (at >= 0)
+        score = np.zeros(len(data), np.int64)
+        score[has] = scores[(q_ends - q_sizes)[read[has]] + at[has]].astype(np.int64) - offset
+        good &= score >= min_base_quality
+    return read[good], place[good], digit[good]
+
+
+def tile_counts(references: DataFrame, reads: DataFrame, min_base_quality: int | None = None, offset: int = 33, reverse_qualities: bool = False) -> DataFrame:
+    """(ref_id, tile, cells binary, n binary): for each tile of TILE places how often each letter was read at each place.
+
+    Only A, C, G and T on the reference, of sufficient quality, count. A missing quality counts as 0; qualities of minus
+    reads stay in the order they are given in, unless asked otherwise. A task sends one row for each tile it has reads of,
+    however deep the tile is, with the cells that aren't 0; rows of a tile are added within groups of tasks, then at all.
+    """
+    lengths = references.select("ref_id", F.length("sequence").cast("long").alias("length"))
+    placed = reads.join(lengths, "ref_id").select("ref_id", "sequence", "quality" if min_base_quality is not None else F.lit(None).cast("string").alias("quality"), "strand", "start", "length")
+    kind = reads.schema["ref_id"].dataType.simpleString()
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        part, held, size, type_ = TaskContext.get().partitionId() % DEALS, {}, 0, None
+
+        def rows() -> pa.RecordBatch:
+            keys, added = list(held), [vector.merged(v) for v in held.values()]
+            columns = [pa.array([k[0] for k in keys], type_), pa.array([k[1] for k in keys], pa.int64()), pa.array([part] * len(keys), pa.int32())]
+            packed = [pa.array([a.astype(t).tobytes() for a in x], pa.binary()) for x, t in zip(zip(*added, strict=True), (np.uint16, np.int64), strict=True)]
+            return pa.RecordBatch.from_arrays([*columns, *packed], ["ref_id", "tile", "deal", "cells", "n"])
+
+        for whole in batches:
+            for batch in vector.chunked([whole], "sequence", vector.CHUNK // 4):
+                type_ = batch.column("ref_id").type
+                read, place, digit = cells_of(batch, min_base_quality, offset, reverse_qualities)
+                named = batch.column("ref_id").dictionary_encode()
+                ref = named.indices.to_numpy()[read].astype(np.int64)
+                tile, cell = place // TILE, place % TILE * 4 + digit
+                key, which = np.unique(ref << 40 | tile, return_inverse=True)
+                found, n = np.unique(which * (4 * TILE) + cell, return_counts=True)
+                edges = np.searchsorted(found, np.arange(len(key) + 1) * (4 * TILE))
+                for k, x in enumerate(key.tolist()):
+                    here = slice(edges[k], edges[k + 1])
+                    held.setdefault((named.dictionary[x >> 40].as_py(), x & (1 << 40) - 1), []).append((found[here] - k * (4 * TILE), n[here]))
+                size += len(found)
+                if size > HELD:
+                    held = {k: [vector.merged(v)] for k, v in held.items()}
+                    size = sum(len(v[0][0]) for v in held.values())
+                    if size > HELD // 2:
+                        yield rows()
+                        held, size = {}, 0
+        if held:
+            yield rows()
+
+    def added(group: pa.Table) -> pa.Table:
+        pairs = zip(*(group.column(c).to_pylist() for c in ("cells", "n")), strict=True)
+        cells, n = vector.merged([(np.frombuffer(c, np.uint16).astype(np.int64), np.frombuffer(k, np.int64)) for c, k in pairs])
+        first = group.slice(0, 1)
+        return pa.table([first.column("ref_id"), first.column("tile"), first.column("deal"), pa.array([cells.astype(np.uint16).tobytes()], pa.binary()), pa.array([n.tobytes()], pa.binary())], group.column_names)
+
+    schema = f"ref_id {kind}, tile long, deal int, cells binary, n binary"
+    some = placed.mapInArrow(run, schema).groupBy("ref_id", "tile", "deal").applyInArrow(added, schema)
+    return some.withColumn("deal", F.lit(0)).groupBy("ref_id", "tile").applyInArrow(added, schema).drop("deal")
 
 
 def covered(references: DataFrame, reads: DataFrame, min_base_quality: int | None = None, **how) -> DataFrame:
     """(ref_id, pos, a, c, g, t, depth, consensus) of the places with at least one base."""
-    found = bases(references, reads, min_base_quality, **how)
-    counts = found.groupBy("ref_id", "pos").agg(*[F.count_if(F.col("base") == b).alias(b.lower()) for b in "ACGT"])
+    tiles = tile_counts(references, reads, min_base_quality, **how)
+    kind = reads.schema["ref_id"].dataType.simpleString()
+
+    def places(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for k in range(batch.num_rows):
+                cells, n = np.frombuffer(batch.column("cells")[k].as_py(), np.uint16), np.frombuffer(batch.column("n")[k].as_py(), np.int64)
+                counts = np.zeros((TILE, 4), np.int64)
+                counts.ravel()[cells] = n
+                at = np.flatnonzero(counts.any(axis=1))
+                ref = pa.repeat(batch.column("ref_id")[k], len(at))
+                yield pa.RecordBatch.from_arrays([ref, pa.array(at + batch.column("tile")[k].as_py() * TILE), *(pa.array(counts[at, j]) for j in range(4))], ["ref_id", "pos", *"acgt"])
+
+    counts = tiles.mapInArrow(places, f"ref_id {kind}, pos long, a long, c long, g long, t long")
     depth = F.col("a") + F.col("c") + F.col("g") + F.col("t")
     most = F.greatest("a", "c", "g", "t")
     consensus = F.when(F.col("a") == most, "A").when(F.col("c") == most, "C").when(F.col("g") == most, "G").otherwise("T")
