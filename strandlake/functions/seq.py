@@ -116,6 +116,14 @@ def cut_positions(seq: Column | str, enzyme: str) -> Column:
     return F.transform(motif_positions(seq, site), lambda i: i + offset + 1)
 
 
+def cut_sites(texts: DataFrame, key: str, enzymes: dict[str, tuple[str, int]] | None = None) -> DataFrame:
+    """(key, enzyme, position): as ``cut_positions`` for all enzymes, by default the common ones, in one pass."""
+    sites = enzymes or ENZYMES
+    found = vector.motif_hits(texts, key, {name: site for name, (site, _) in sites.items()})
+    offset = F.create_map(*[x for name, (_, cut) in sites.items() for x in (F.lit(name), F.lit(cut))])
+    return found.select(key, F.col("motif").alias("enzyme"), (F.col("position") + F.element_at(offset, F.col("motif")) + 1).cast("long").alias("position"))
+
+
 def count_of(seq: Column, letters_: str) -> Column:
     return (F.length(seq) - F.length(F.translate(seq, letters_, ""))).cast("long")
 

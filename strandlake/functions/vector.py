@@ -5,6 +5,8 @@ Everything works on the bytes of a batch at once, in chunks of bounded size; row
 
 from __future__ import annotations
 
+import itertools
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -107,6 +109,71 @@ def position_sums(reads: DataFrame, max_position: int | None = None, offset: int
     return parts.groupBy("position").agg(F.sum("total").alias("total"), F.sum("above").alias("above"))
 
 
+#: Letters that each code of the fixed nucleotide alphabet stands for, and its complement.
+AMBIGUOUS = {
+    "A": "A", "C": "C", "G": "G", "T": "T", "N": "ACGT", "R": "AG", "Y": "CT", "S": "CG", "W": "AT", "K": "GT", "M": "AC", "B": "CGT", "D": "AGT", "H": "ACT", "V": "ACG",
+}
+COMPLEMENT = str.maketrans("ACGTNRYSWKMBDHV", "TGCANYRSWMKVHDB")
+#: Plain motifs that one automaton may hold.
+MOST_WORDS = 1 << 20
+
+
+def plain_words(motif: str) -> list[str]:
+    """Every text of A, C, G and T that a motif with ambiguous letters stands for; U counts as T."""
+    letters = motif.upper().replace("U", "T")
+    if not letters or set(letters) - set(AMBIGUOUS):
+        raise ValueError(f"not a motif: {motif!r}")
+    if math.prod(len(AMBIGUOUS[x]) for x in letters) > MOST_WORDS:
+        raise ValueError(f"too ambiguous: {motif!r}")
+    return ["".join(x) for x in itertools.product(*(AMBIGUOUS[x] for x in letters))]
+
+
+def motif_words(motifs: dict[str, str], both_strands: bool) -> dict[str, list[tuple[str, str, int]]]:
+    """For each plain text the (name, strand, letters) of the motifs it is one of; one that is its own reverse complement is
+    on the + strand only."""
+    words: dict[str, list[tuple[str, str, int]]] = {}
+    for name, motif in motifs.items():
+        turned = motif.upper().replace("U", "T")[::-1].translate(COMPLEMENT)
+        for strand, text in (("+", motif), ("-", turned)):
+            if strand == "+" or (both_strands and turned != motif.upper().replace("U", "T")):
+                for word in plain_words(text):
+                    words.setdefault(word, []).append((name, strand, len(word)))
+        if len(words) > MOST_WORDS:
+            raise ValueError("too many motifs for one pass")
+    return words
+
+
+def motif_hits(texts: DataFrame, key: str, motifs: dict[str, str], both_strands: bool = False) -> DataFrame:
+    """(key, motif, strand, position): all places of all motifs, overlapping ones too, in one pass over each text.
+
+    Sequences (key, sequence) go through one automaton of all the texts that the motifs stand for, so the time doesn't grow
+    with their number. Ambiguous letters in a motif match what they stand for; in a sequence they match nothing. The key is
+    handed on, null or not; null sequences have no hits.
+    """
+    kind = texts.schema[key].dataType.simpleString()
+    words = motif_words(motifs, both_strands)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        import ahocorasick
+
+        automaton = ahocorasick.Automaton()
+        for word, names in words.items():
+            automaton.add_word(word, names)
+        automaton.make_automaton()
+        for whole in batches:
+            for batch in chunked([whole], "sequence"):
+                row, found = [], []
+                for i, text in enumerate(batch.column("sequence").to_pylist()):
+                    if text and words:
+                        before = len(found)
+                        found += [(name, strand, end - n + 1) for end, names in automaton.iter(text.upper().replace("U", "T")) for name, strand, n in names]
+                        row += [i] * (len(found) - before)
+                columns = list(zip(*found, strict=True)) if found else [[], [], []]
+                yield pa.RecordBatch.from_arrays([batch.column("key").take(pa.array(row, pa.int64())), *(pa.array(c, t) for c, t in zip(columns, (pa.string(), pa.string(), pa.int64()), strict=True))], ["key", "motif", "strand", "position"])
+
+    return texts.select(F.col(key).alias("key"), "sequence").mapInArrow(run, f"key {kind}, motif string, strand string, position long").withColumnRenamed("key", key)
+
+
 DIGITS = np.full(256, 4, np.uint8)
 for _letters, _digit in (("Aa", 0), ("Cc", 1), ("Gg", 2), ("TtUu", 3)):
     for _letter in _letters:

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from strandlake.functions import seq as S
+from strandlake.functions import vector as V
 from strandlake.operators import align, kmers, pileup, prep, qc, quant
 from strandlake.plans import derive as D
 from strandlake.plans.catalog import ORACLES, QUERIES, Query, query
@@ -62,8 +63,26 @@ def _cut_sql() -> str:
 
 @query(_cut_sql())
 def restriction_sites(spark, sf):
-    each = F.array(*[F.struct(F.lit(e).alias("enzyme"), S.cut_positions("sequence", e).alias("cuts")) for e in S.ENZYMES])
-    return D.sequences(spark, sf).select("doc_id", F.explode(each).alias("e")).select("doc_id", "e.enzyme", F.explode("e.cuts").alias("p")).select("doc_id", "enzyme", F.col("p").cast("long").alias("position"))
+    return S.cut_sites(D.sequences(spark, sf), "doc_id")
+
+
+AMBIGUOUS_MOTIFS = {"box": "TATAWAW", "site": "RCCGGY", "short": "ACGTN", "palindrome": "GAATTC"}
+
+
+def _motif_sql() -> str:
+    turned = str.maketrans("ACGTNRYSWKMBDHV", "TGCANYRSWMKVHDB")
+    parts = []
+    for name, motif in AMBIGUOUS_MOTIFS.items():
+        for strand, text in {"+": motif, "-": motif[::-1].translate(turned)}.items():
+            if strand == "+" or text != motif:
+                rx = "".join(f"[{V.AMBIGUOUS[x]}]" for x in text)
+                parts.append(f"SELECT doc_id, '{name}' AS motif, '{strand}' AS strand, i - 1 AS position FROM (SELECT doc_id, sequence, unnest(range(1, length(sequence) - {len(text) - 2})) AS i FROM seqs WHERE length(sequence) >= {len(text)}) WHERE regexp_full_match(substr(sequence, i, {len(text)}), '{rx}')")
+    return f"WITH {D.SEQS} {' UNION ALL '.join(parts)}"
+
+
+@query(_motif_sql())
+def motif_hits(spark, sf):
+    return V.motif_hits(D.sequences(spark, sf), "doc_id", AMBIGUOUS_MOTIFS, both_strands=True)
 
 
 @query(f"""WITH {D.SEQS}, recs AS (SELECT doc_id, 'NM_' || doc_id AS id, 'Homo sapiens gene ABC' || (doc_id % 9) || ' transcript variant ' || (doc_id % 5) || ', ' || CASE WHEN doc_id % 2 = 0 THEN 'mRNA' ELSE 'other' END AS d FROM seqs)
