@@ -109,6 +109,25 @@ def position_sums(reads: DataFrame, max_position: int | None = None, offset: int
     return parts.groupBy("position").agg(F.sum("total").alias("total"), F.sum("above").alias("above"))
 
 
+def trim_sums(quality: Column | str, min_quality: float = 20, window: int = 5, offset: int = 33) -> Column:
+    """As ``trim_position``, with the sum of the scores before the cut: (cut, total)."""
+    if window < 1:
+        raise ValueError("window must be at least 1")
+
+    @F.arrow_udf("struct<cut: bigint, total: bigint>")
+    def run(texts: pa.Array) -> pa.Array:
+        data, ends = flat(texts)
+        starts = np.concatenate([[0], ends[:-1]])
+        sums = np.concatenate([[0], np.cumsum(data.astype(np.int64) - offset)])
+        low = np.flatnonzero(sums[window:] - sums[: len(sums) - window] < min_quality * window) if len(data) >= window else np.zeros(0, np.int64)
+        low = np.append(low, 1 << 60)
+        first = low[np.searchsorted(low, starts)]
+        cut = np.where(first + window <= ends, first - starts, ends - starts)
+        return pa.StructArray.from_arrays([pa.array(cut), pa.array(sums[starts + cut] - sums[starts])], ["cut", "total"], mask=pc.is_null(texts))
+
+    return run.asNondeterministic()(quality)
+
+
 #: Letters that each code of the fixed nucleotide alphabet stands for, and its complement.
 AMBIGUOUS = {
     "A": "A", "C": "C", "G": "G", "T": "T", "N": "ACGT", "R": "AG", "Y": "CT", "S": "CG", "W": "AT", "K": "GT", "M": "AC", "B": "CGT", "D": "AGT", "H": "ACT", "V": "ACG",

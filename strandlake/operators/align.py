@@ -16,6 +16,8 @@ from pyspark.sql import functions as F
 
 from strandlake.functions import seq as S
 
+#: Default scores: match, mismatch, opening a gap, extending it.
+SCORES = (2.0, -1.0, -2.0, -0.5)
 ALIGNED = "struct<score:double,aligned_query:string,aligned_target:string>"
 VARIANT = "array<struct<position:int,ref:string,alt:string,type:string>>"
 #: Cells of one stack of pairs.

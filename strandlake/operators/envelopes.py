@@ -18,11 +18,11 @@ REQUESTS = {
 }
 
 
-def parse_requests(lines: DataFrame, kind: str) -> DataFrame:
-    """The fields of each JSON line (value), null where left out; a line that isn't such JSON is an error."""
+def parse_requests(lines: DataFrame, kind: str, *keys: str) -> DataFrame:
+    """The keys and the fields of each JSON line (value), null where left out; a line that isn't such JSON is an error."""
     if kind not in REQUESTS:
         raise ValueError(f"kind: one of {sorted(REQUESTS)}")
-    return lines.select(F.from_json("value", REQUESTS[kind], {"mode": "FAILFAST"}).alias("r")).select("r.*")
+    return lines.select(*keys, F.from_json("value", REQUESTS[kind], {"mode": "FAILFAST"}).alias("r")).select(*keys, "r.*")
 
 
 def analyze_quality(spark: SparkSession, sequences: list[str], qualities: list[str] | None = None) -> DataFrame:

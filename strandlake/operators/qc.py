@@ -5,7 +5,9 @@ Reads are rows (read_id, sequence, quality, ...); other columns go along.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+import uuid
+
+from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 
 from strandlake.functions import seq as S
@@ -43,6 +45,29 @@ def trim_by_quality(reads: DataFrame, min_quality: float = 20, window: int = 5,
     return found.withColumn("sequence", F.substring("sequence", F.lit(1), cut)).withColumn("quality", F.substring("quality", F.lit(1), cut)).drop("_cut")
 
 
+def trim_with_report(reads: DataFrame, min_quality: float = 20, window: int = 5, offset: int = 33) -> tuple[DataFrame, Observation]:
+    """The trimmed reads, and an observation that has their figures once the reads have been written or counted.
+
+    One scan and one evaluation by Arrow serve both: the batch that finds a read's cut also sums the scores before it. The
+    figures are those of ``report`` but for the curve by position: num_reads, total_bases, mean_read_length, mean_quality,
+    gc_content_percent and a, c, g, t. An observation is of one run: of a plan that is read twice, of the first.
+    """
+    cut = F.col("_trim.cut").cast("int")
+    found = reads.withColumn("_trim", V.trim_sums("quality", min_quality, window, offset)).where("_trim.cut > 0")
+    trimmed = found.withColumn("sequence", F.substring("sequence", F.lit(1), cut)).withColumn("quality", F.substring("quality", F.lit(1), cut))
+    s, seen = S.normalise("sequence"), Observation(f"trim-{uuid.uuid4().hex}")
+    observed = trimmed.observe(
+        seen,
+        F.count(F.lit(1)).alias("num_reads"),
+        F.coalesce(F.sum(F.length("sequence")), F.lit(0)).alias("total_bases"),
+        F.coalesce(F.avg(F.length("sequence")), F.lit(0.0)).alias("mean_read_length"),
+        F.coalesce(F.sum("_trim.total") / F.nullif(F.sum(F.length("quality")), F.lit(0)), F.lit(0.0)).alias("mean_quality"),
+        F.coalesce(F.avg(S.gc_percent("sequence")), F.lit(0.0)).alias("gc_content_percent"),
+        *[F.coalesce(F.sum(S.count_of(s, b)), F.lit(0)).alias(b.lower()) for b in BASES],
+    )
+    return observed.drop("_trim"), seen
+
+
 def filter_by_quality(reads: DataFrame, min_mean_quality: float = 20.0, min_length: int = 20, max_n_ratio: float = 0.1, offset: int = 33) -> DataFrame:
     """Reads that meet all three bounds, each included."""
     cheap = reads.where((F.length("sequence") >= min_length) & (S.n_ratio("sequence") <= max_n_ratio))
@@ -111,6 +136,26 @@ def windowed_report(sequences: DataFrame, window: int = 1_000_000) -> DataFrame:
     )
 
 
+def reports_of(reads: DataFrame, *keys: str, offset: int = 33) -> DataFrame:
+    """A service's answer for each value of the keys, over reads (keys, sequence, quality): num_sequences, gc_content_percent,
+    mean_length, base_composition, quality_mean and quality_by_position, rounded as in ``sequence_report``.
+
+    Positions are summed by key and place, so a key with many reads is no one task's.
+    """
+    s = S.normalise("sequence")
+    facts = reads.groupBy(*keys).agg(
+        F.count("*").alias("num_sequences"), F.bround(F.avg(S.gc_percent("sequence")), 4).alias("gc_content_percent"), F.bround(F.avg(F.length("sequence")), 1).alias("mean_length"),
+        *[F.sum(S.count_of(s, b)).alias(b.lower()) for b in BASES],
+    ).withColumn("n", F.lit(0).cast("long"))
+    scores = reads.select(*keys, F.posexplode(S.phred("quality", offset)).alias("position", "score")).groupBy(*keys, "position")
+    places = scores.agg(F.sum("score").alias("total"), F.count("*").alias("n"), F.count_if(F.col("score") > 0).alias("above"))
+    curve = F.transform(F.array_sort(F.collect_list(F.struct("position", "total", "above"))), lambda x: F.bround(x["total"] / F.greatest(x["above"], F.lit(1)), 2))
+    quality = places.groupBy(*keys).agg(F.bround(F.sum("total") / F.sum("n"), 2).alias("quality_mean"), curve.alias("quality_by_position"))
+    both = F.expr(" AND ".join(f"f.`{k}` <=> q.`{k}`" for k in keys))
+    joined = facts.withColumn("base_composition", composition_map()).alias("f").join(quality.alias("q"), both, "left")
+    return joined.select(*[f"f.{k}" for k in keys], "num_sequences", "gc_content_percent", "mean_length", "base_composition", "quality_mean", "quality_by_position")
+
+
 def record_stats(sequences: DataFrame, *keys: str) -> DataFrame:
     """Length, GC percent, letters with their percentages, other letters and the first 100 bases of each sequence."""
     s, n = F.upper("sequence"), F.length("sequence")

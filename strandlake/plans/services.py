@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from strandlake.functions import seq as S
+from strandlake.functions import sql, tables
 from strandlake.operators import align, envelopes, kmers, prep, qc, quant
 from strandlake.plans import derive as D
 from strandlake.plans import registry as R
@@ -200,18 +201,76 @@ def composition_shares(spark, sf):
     return qc.composition_shares(D.sequences(spark, sf)).select(*[F.round(b, 9).alias(b) for b in "acgtn"])
 
 
-SEQUENCES, QUALITIES = ["ACGTN", "GGCC", "attu", "RYKM"], ["IIII!", "5555", "!!II"]
-GIVEN = f"""given AS (SELECT * FROM (VALUES {", ".join(f"({i}, '{s}', {repr(q) if q else 'NULL'})" for i, (s, q) in enumerate(zip(SEQUENCES, [*QUALITIES, None], strict=True)))}) AS v(id, raw, quality)),
-seqs AS (SELECT id, {R.NORM.format('raw')} AS sequence, quality FROM given), scores AS (SELECT i AS position, ascii(substr(quality, i, 1)) - 33 AS score FROM (SELECT quality, unnest(range(1, length(quality) + 1)) AS i FROM given WHERE quality IS NOT NULL)),
-curve AS (SELECT position, CAST(sum(score) AS DOUBLE) / greatest(count(*) FILTER (score > 0), 1) AS m FROM scores GROUP BY position)"""
+BY = "doc_id // 16 AS request"
 
 
-@query(f"""WITH {GIVEN} SELECT count(*) AS num_sequences, round_even(avg({R.GC} * 100), 4) AS gc_content_percent, round_even(avg(length(sequence)), 1) AS mean_length,
-{", ".join(f"CAST(sum(length(sequence) - length(replace(sequence, '{b}', ''))) AS BIGINT) AS {b.lower()}" for b in "ACGT")}, (SELECT round_even(avg(score), 2) FROM scores) AS quality_mean, (SELECT count(*) FROM curve) AS positions, (SELECT round(sum(round_even(m, 2)), 6) FROM curve) AS curve_sum FROM seqs""")
+@query(f"""WITH {D.READS}, r AS (SELECT {BY}, sequence, quality FROM reads),
+f AS (SELECT request, count(*) AS num_sequences, round_even(avg({R.GC} * 100), 4) AS gc_content_percent, round_even(avg(length(sequence)), 1) AS mean_length,
+{", ".join(f"CAST(sum(length(sequence) - length(replace(sequence, '{b}', ''))) AS BIGINT) AS {b.lower()}" for b in "ACGT")} FROM r GROUP BY request),
+scores AS (SELECT request, i AS position, ascii(substr(quality, i, 1)) - 33 AS score FROM (SELECT request, quality, unnest(range(1, length(quality) + 1)) AS i FROM r)),
+curve AS (SELECT request, position, sum(score) AS s, count(*) AS n, round_even(CAST(sum(score) AS DOUBLE) / greatest(count(*) FILTER (score > 0), 1), 2) AS m FROM scores GROUP BY request, position),
+q AS (SELECT request, round_even(CAST(sum(s) AS DOUBLE) / sum(n), 2) AS quality_mean, count(*) AS positions, round(sum(m), 4) AS curve_sum FROM curve GROUP BY request)
+SELECT * FROM f JOIN q USING (request)""")
 def quality_service(spark, sf):
-    r = envelopes.analyze_quality(spark, SEQUENCES, QUALITIES)
+    """JSON requests of 16 documents' reads each, and an answer to each."""
+    reads = D.reads(spark, sf).groupBy(F.floor(F.col("doc_id") / 16).alias("request")).agg(F.collect_list("sequence").alias("sequences"), F.collect_list("quality").alias("qualities"))
+    lines = reads.select("request", F.to_json(F.struct("sequences", "qualities")).alias("value"))
+    asked = envelopes.parse_requests(lines, "quality", "request")
+    each = asked.select("request", F.explode(F.arrays_zip("sequences", "qualities")).alias("r")).select("request", F.col("r.sequences").alias("sequence"), F.col("r.qualities").alias("quality"))
+    r = qc.reports_of(each, "request")
     total = F.aggregate("quality_by_position", F.lit(0.0), lambda a, x: a + x)
-    return r.select("num_sequences", "gc_content_percent", "mean_length", *[F.col("base_composition")[b].alias(b.lower()) for b in "ACGT"], "quality_mean", F.size("quality_by_position").cast("long").alias("positions"), F.round(total, 6).alias("curve_sum"))
+    return r.select("request", "num_sequences", "gc_content_percent", "mean_length", *[F.col("base_composition")[b].alias(b.lower()) for b in "ACGT"], "quality_mean", F.size("quality_by_position").cast("long").alias("positions"), F.round(total, 4).alias("curve_sum"))
+
+
+@query(f"""{ORACLES["trim_by_quality"].replace("WITH ", "WITH trimmed AS (WITH ", 1)})
+SELECT count(*) AS num_reads, CAST(sum(length(sequence)) AS BIGINT) AS total_bases, round(avg(length(sequence)), 6) AS mean_read_length,
+  round((SELECT avg(score) FROM (SELECT ascii(substr(quality, i, 1)) - 33 AS score FROM (SELECT quality, unnest(range(1, length(quality) + 1)) AS i FROM trimmed))), 6) AS mean_quality,
+  round(avg({R.GC} * 100), 6) AS gc_content_percent, {", ".join(f"CAST(sum(length(sequence) - length(replace(sequence, '{b}', ''))) AS BIGINT) AS {b.lower()}" for b in "ACGT")} FROM trimmed""")
+def trim_report(spark, sf):
+    """Figures of the trimmed reads, observed while these are written: one scan, one evaluation by Arrow."""
+    trimmed, seen = qc.trim_with_report(D.reads(spark, sf), min_quality=12, window=R.W)
+    trimmed.write.parquet(uploads.new_path(spark))
+    facts = seen.get
+    found = spark.createDataFrame([tuple(facts.values())], ", ".join(f"{k} {'long' if isinstance(v, int) else 'double'}" for k, v in facts.items()))
+    return found.select(*[F.round(c, 6).alias(c) if t == "double" else c for c, t in found.dtypes])
+
+
+# ------------------------------------------------------------------------------ table functions in SQL
+
+
+@query(ORACLES["kmer_count"])
+def kmer_count_sql(spark, sf):
+    tables.register(spark)
+    sql.register(spark)
+    D.sequences(spark, sf).select("sequence").createOrReplaceTempView("kmer_input")
+    return spark.sql(f"SELECT kmer_decode(code, {R.K}) AS kmer, sum(n) AS count FROM kmer_table(TABLE(kmer_input), {R.K}, true) GROUP BY code")
+
+
+@query(ORACLES["pileup_counts"])
+def pileup_counts_sql(spark, sf):
+    tables.register(spark)
+    refs, reads = R._inputs(spark, sf)
+    refs.createOrReplaceTempView("pileup_references")
+    reads.createOrReplaceTempView("pileup_reads")
+    return spark.sql("""
+        WITH input AS (
+          SELECT CAST(r.ref_id AS BIGINT) AS ref_id, p.sequence, p.quality, p.strand, p.start, CAST(length(r.sequence) AS BIGINT) AS length, p.start DIV 16384 AS tile
+          FROM pileup_reads p JOIN pileup_references r ON p.ref_id = r.ref_id
+        ), counted AS (
+          SELECT ref_id, pos, sum(a) AS a, sum(c) AS c, sum(g) AS g, sum(t) AS t FROM pileup_table(TABLE(input) PARTITION BY (ref_id, tile), -1) GROUP BY ref_id, pos
+        ), places AS (
+          SELECT ref_id, CAST(i AS BIGINT) AS pos, letter AS ref_base FROM pileup_references LATERAL VIEW posexplode(split(sequence, '')) AS i, letter WHERE sequence <> ''
+        )
+        SELECT p.ref_id, p.pos, p.ref_base, coalesce(a, 0) AS a, coalesce(c, 0) AS c, coalesce(g, 0) AS g, coalesce(t, 0) AS t, coalesce(a + c + g + t, 0) AS depth,
+          CASE WHEN a IS NULL THEN 'N' WHEN a = greatest(a, c, g, t) THEN 'A' WHEN c = greatest(a, c, g, t) THEN 'C' WHEN g = greatest(a, c, g, t) THEN 'G' ELSE 'T' END AS consensus
+        FROM places p LEFT JOIN counted q ON p.ref_id = q.ref_id AND p.pos = q.pos""")
+
+
+@query(f"SELECT pair, score, aligned_query, aligned_target FROM ({ORACLES['align_pairs']})")
+def align_pairs_sql(spark, sf):
+    tables.register(spark)
+    R._pairs(spark, sf).createOrReplaceTempView("align_input")
+    return spark.sql("SELECT id AS pair, score, aligned_query, aligned_target FROM align_table(TABLE(SELECT CAST(pair AS BIGINT) AS id, query, target FROM align_input))")
 
 
 @query("SELECT c_custkey AS k, list_value(c_name, c_mktsegment)[1] AS first, CAST(2 AS INTEGER) AS n, c_custkey % 2 = 0 AS canonical FROM customer")
