@@ -64,5 +64,5 @@ def test_table_functions(spark):
     spark.createDataFrame([(7, "acgN", "III!", "-", 3, 6, 0)] * 3 + [(7, "AC", None, "+", -1, 6, 0)], "ref_id long, sequence string, quality string, strand string, start int, length long, tile long").createOrReplaceTempView("placed")
     rows = {r.pos: (r.a, r.c, r.g, r.t) for r in spark.sql("SELECT pos, sum(a) a, sum(c) c, sum(g) g, sum(t) t FROM pileup_table(TABLE(placed) PARTITION BY (ref_id, tile), 20) GROUP BY pos").collect()}
     assert rows == {4: (0, 3, 0, 0), 5: (0, 0, 3, 0)}
-    rows = spark.sql("SELECT sum(a + c + g + t) AS n FROM pileup_table(TABLE(placed) PARTITION BY ref_id, -1)").first()
+    rows = spark.sql("SELECT sum(a + c + g + t) AS n FROM pileup_table(TABLE(placed) PARTITION BY (ref_id), -1)").first()
     assert rows.n == 7
