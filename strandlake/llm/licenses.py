@@ -42,7 +42,10 @@ Unless required by applicable law or agreed to in writing, software distributed
 GPL_HEADER = """This program is free software: you can redistribute it and/or modify it under the terms of the {0} as published by the Free Software Foundation, either version {1} of the License, or (at your option) any later version."""
 GPL_WARRANTY = """This program is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without even the implied warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE. See the {0} for more details. You should have received a copy of the {0} along with this program."""
 VERBATIM = "Everyone is permitted to copy and distribute verbatim copies of this license document, but changing it is not allowed."
-GPL, LGPL = "GNU General Public License", "GNU Lesser General Public License"
+GPL, LGPL, AGPL = "GNU General Public License", "GNU Lesser General Public License", "GNU Affero General Public License"
+LGPL_HEADER = """This library is free software; you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation; either version 2.1 of the License, or (at your option) any later version."""
+BSD_ADVERTISING = """3. All advertising materials mentioning features or use of this software must display the following acknowledgement: This product includes software developed by the organization."""
+ZLIB = """This software is provided 'as-is', without any express or implied warranty. In no event will the authors be held liable for any damages arising from the use of this software. Permission is granted to anyone to use this software for any purpose, including commercial applications, and to alter it and redistribute it freely, subject to the following restrictions:"""
 PROPRIETARY = "LicenseRef-Proprietary"
 TEMPLATES = (
     ("Apache-2.0", "Licensed under the Apache License, Version 2.0."),
@@ -86,6 +89,24 @@ TEMPLATES = (
     ("Unlicense", "This is free and unencumbered software released into the public domain under the Unlicense."),
     ("Unlicense", "This is free and unencumbered software released into the public domain. Anyone is free to copy, modify, publish, use, compile, sell, or distribute this software, either in source code form or as a compiled binary, for any purpose, commercial or non-commercial, and by any means."),
     (PROPRIETARY, "All rights reserved."),
+    ("AGPL-3.0", "This work is licensed under the GNU Affero General Public License, version 3."),
+    ("AGPL-3.0", f"{GPL_HEADER.format(AGPL, 3)}"),
+    ("AGPL-3.0", f"{AGPL} Version 3, 19 November 2007"),
+    ("LGPL-2.1", "This work is licensed under the GNU Lesser General Public License, version 2.1."),
+    ("LGPL-2.1", f"{LGPL_HEADER}"),
+    ("LGPL-2.1", f"{LGPL} Version 2.1, February 1999"),
+    ("EPL-2.0", "Eclipse Public License - v 2.0"),
+    ("EPL-2.0", "This program and the accompanying materials are made available under the terms of the Eclipse Public License 2.0 which is available at https://www.eclipse.org/legal/epl-2.0/"),
+    ("Zlib", "Released under the zlib License."),
+    ("Zlib", ZLIB),
+    ("BSL-1.0", "Distributed under the Boost Software License, Version 1.0."),
+    ("BSL-1.0", "Boost Software License - Version 1.0 - August 17th, 2003"),
+    ("CC-BY-ND-4.0", "This work is licensed under the Creative Commons Attribution-NoDerivatives 4.0 International License."),
+    ("CC-BY-ND-4.0", "Licensed under CC BY-ND 4.0."),
+    ("CC-BY-NC-SA-4.0", "Licensed under CC BY-NC-SA 4.0."),
+    ("CC-BY-NC-ND-4.0", "Licensed under CC BY-NC-ND 4.0."),
+    ("BSD-4-Clause", "Released under the BSD 4-Clause License."),
+    ("BSD-4-Clause", f"{BSD_FIRST}\n\n{BSD_ADVERTISING}\n\n{BSD_THIRD.replace('3.', '4.')}\n\n{BSD_LAST}"),
 )
 TEMPLATES = (*TEMPLATES, *((name, f"SPDX-License-Identifier: {name}") for name in dict.fromkeys(t[0] for t in TEMPLATES) if name != PROPRIETARY))
 #: Words one of which every template has; a unit without any isn't a notice.
@@ -93,6 +114,13 @@ MENTION = "(?i)licen[cs]|copyright|reserved|hereby|redistribut|spdx|unencumbered
 #: Base names of licence files, and the similarity from which a unit has a template's licence.
 LICENCE_FILE = "(?i)^(un)?licen[cs]e([-.].*)?$|(?i)^copying([-.].*)?$|(?i)^notice([-.].*)?$"
 LEAST = 0.7
+#: Terms that tell licences of one family apart, versions and numbers of clauses among them, and those that deny.
+FAMILY = ("affero", "lesser", "library", "nc", "nd", "noderivatives", "noderivs", "noncommercial", "sa", "sharealike")
+TELLING = (*FAMILY, "not", *"123456789")
+#: Up to so many distinct terms a template is a notice: a unit must have the same telling terms.
+NOTICE_TERMS = 24
+#: A tag that names several licences is its own answer.
+EXPRESSION = r"SPDX-License-Identifier:[\x20\t]*([A-Za-z0-9.+-]+(?:[\x20\t]+(?:OR|AND|WITH)[\x20\t]+[A-Za-z0-9.+-]+)+)"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 BLANK, STOP = r"\n[\x20\t\r]*\n", r"([.!?])[\x20\t\r\n]+"
 
@@ -113,6 +141,18 @@ def template_weights(templates: tuple = TEMPLATES) -> tuple[list[tuple], float]:
     return rows, log(1 + len(templates)) + 1
 
 
+def tells(templates: tuple = TEMPLATES) -> list[tuple[int, bool, list[str], list[str]]]:
+    """For each template whether it is a notice, and the telling terms that a unit must have: of a notice exactly these, of a
+    longer text these of its family and, among others, the version in the licence's name, which BSD texts don't have."""
+    out = []
+    for k, (licence, text) in enumerate(templates):
+        words = {w for w in "".join(c if c.isascii() and c.isalnum() else " " for c in text.translate(str.maketrans(UPPER, LOWER))).split()}
+        notice = len(words) <= NOTICE_TERMS
+        version = [] if licence.startswith("BSD") else sorted({c for c in licence if c in "123456789"})
+        out.append((k, notice, sorted(words & set(TELLING if notice else FAMILY)), [] if notice else version))
+    return out
+
+
 def units(text: Column, whole: Column) -> Column:
     """The paragraphs, sentences and lines of a text, and the text itself where ``whole``, that have a word of notices."""
     apart = F.regexp_replace(text, BLANK, "\x01")
@@ -126,7 +166,7 @@ def best_of(licence: str = "licence", similarity: str = "similarity") -> Column:
 
 
 def scored(texts: DataFrame, templates: tuple = TEMPLATES, least: float = LEAST) -> DataFrame:
-    """(id, licence, similarity) of the distinct units (id, unit) that have a template's licence."""
+    """(id, licence, similarity) of the distinct units (id, unit) that have a template's licence, or are a tag of several."""
     rows, unknown = template_weights(templates)
     spark = texts.sparkSession
     weights = F.broadcast(spark.createDataFrame(rows, "template int, licence string, term string, idf double, weight double"))  # the templates are fixed
@@ -137,7 +177,17 @@ def scored(texts: DataFrame, templates: tuple = TEMPLATES, least: float = LEAST)
     vectors = materialize(counts.join(idf, "term", "left").select("id", "term", (F.col("n") * F.coalesce("idf", F.lit(unknown))).alias("x")))
     norms = vectors.groupBy("id").agg(F.sqrt(F.sum(F.col("x") * F.col("x"))).alias("norm"))
     dots = vectors.join(weights.drop("idf"), "term").groupBy("id", "template", "licence").agg(F.sum(F.col("x") * F.col("weight")).alias("dot"))
-    cosines = dots.join(norms, "id").select("id", "licence", F.round(F.col("dot") / F.col("norm"), 6).alias("similarity")).where(F.col("similarity") >= least)
+    near = dots.join(norms, "id").select("id", "template", "licence", F.round(F.col("dot") / F.col("norm"), 6).alias("similarity")).where(F.col("similarity") >= least)
+    # a telling term that differs lets a unit fail, however similar it is
+    told = vectors.where(F.col("term").isin(*TELLING)).groupBy("id").agg(F.array_sort(F.collect_set("term")).alias("_told"))
+    asked = F.broadcast(spark.createDataFrame(tells(templates), "template int, _notice boolean, _terms array<string>, _version array<string>"))
+    own = F.coalesce("_told", F.array().cast("array<string>"))
+    of_family = F.filter(own, lambda w: w.isin(*FAMILY))
+    fits = F.when(F.col("_notice"), own == F.col("_terms")).otherwise((of_family == F.col("_terms")) & (F.size(F.array_except("_version", own)) == 0))
+    cosines = near.join(told, "id", "left").join(asked, "template").where(fits).select("id", "licence", "similarity")
+    several = F.regexp_replace(F.regexp_extract("unit", EXPRESSION, 1), r"[\x20\t]+", " ")
+    tags = texts.dropDuplicates(["id"]).select("id", several.alias("licence"), F.lit(1.0).alias("similarity")).where("licence <> ''")
+    cosines = cosines.join(tags.select("id"), "id", "left_anti").unionByName(tags)
     return cosines.groupBy("id").agg(best_of()).select("id", "b.licence", (-F.col("b.s")).alias("similarity"))
 
 
@@ -197,8 +247,11 @@ def _oracle() -> str:
     quoted = ", ".join("({}, '{}', '{}')".format(k, licence, text.replace("'", "''")) for k, (licence, text) in enumerate(TEMPLATES))
     terms = rf"regexp_extract_all(translate({{0}}, '{UPPER}', '{LOWER}'), '[a-z0-9]+')"
     first = f"ORDER BY (licence = '{PROPRIETARY}'), similarity DESC, licence"
+    listed = lambda words: "[" + ", ".join(f"'{w}'" for w in words) + "]::VARCHAR[]"
+    asked = ", ".join(f"({k}, {notice}, {listed(terms_)}, {listed(version)})" for k, notice, terms_, version in tells())
     return rf"""
 WITH templates(template, licence, text) AS (VALUES {quoted}),
+asked(template, notice, terms, version) AS (VALUES {asked}),
 template_terms AS (SELECT template, licence, term, count(*) AS n FROM (SELECT template, licence, unnest({terms.format("text")}) AS term FROM templates) GROUP BY ALL),
 idf AS (SELECT term, ln(CAST(1 + (SELECT count(*) FROM templates) AS DOUBLE) / (1 + count(*))) + 1 AS idf FROM template_terms GROUP BY term),
 weights AS (SELECT template, licence, term, n * idf / sqrt(sum(n * idf * n * idf) OVER (PARTITION BY template)) AS weight FROM template_terms JOIN idf USING (term)),
@@ -211,9 +264,15 @@ said AS (SELECT DISTINCT path, unit FROM (
 counts AS (SELECT unit, term, count(*) AS n FROM (SELECT unit, unnest({terms.format("unit")}) AS term FROM (SELECT DISTINCT unit FROM said)) GROUP BY ALL),
 vectors AS (SELECT unit, term, n * coalesce(idf, ln(CAST(1 + (SELECT count(*) FROM templates) AS DOUBLE)) + 1) AS x FROM counts LEFT JOIN idf USING (term)),
 norms AS (SELECT unit, sqrt(sum(x * x)) AS norm FROM vectors GROUP BY unit),
-cosines AS (
-  SELECT unit, licence, round(dot / norm, 6) AS similarity FROM (
+told AS (SELECT unit, list_sort(list(term) FILTER (term IN {TELLING})) AS told FROM counts GROUP BY unit),
+tags AS (SELECT unit, regexp_replace(regexp_extract(unit, '{EXPRESSION}', 1), '[\x20\t]+', ' ', 'g') AS licence FROM (SELECT DISTINCT unit FROM said) WHERE regexp_matches(unit, '{EXPRESSION}')),
+near AS (
+  SELECT unit, template, licence, round(dot / norm, 6) AS similarity FROM (
     SELECT unit, template, licence, sum(x * weight) AS dot FROM vectors JOIN weights USING (term) GROUP BY ALL) JOIN norms USING (unit)),
+cosines AS (
+  SELECT unit, licence, similarity FROM (SELECT *, coalesce(told, []::VARCHAR[]) AS own FROM near JOIN told USING (unit) JOIN asked USING (template) ANTI JOIN tags USING (unit))
+  WHERE CASE WHEN notice THEN own = terms ELSE list_filter(own, lambda w: w IN {FAMILY}) = terms AND len(list_filter(version, lambda w: NOT list_contains(own, w))) = 0 END
+  UNION ALL SELECT unit, licence, 1.0 FROM tags),
 best AS (SELECT unit, licence, similarity FROM cosines WHERE similarity >= {LEAST} QUALIFY row_number() OVER (PARTITION BY unit {first}) = 1),
 own AS (SELECT path, licence, similarity FROM said JOIN best USING (unit) QUALIFY row_number() OVER (PARTITION BY path {first}) = 1),
 given AS (SELECT dir AS licence_dir, licence, similarity FROM paths JOIN own USING (path) WHERE is_file QUALIFY row_number() OVER (PARTITION BY dir {first}) = 1),

@@ -3,7 +3,7 @@ from collections import Counter
 from math import log, sqrt
 
 from oracle import agree
-from strandlake.llm.licenses import APACHE, BSD_FIRST, BSD_LAST, BSD_THIRD, GPL, GPL_HEADER, GPL_WARRANTY, ISC, MENTION, MIT, PROPRIETARY, TEMPLATES, VERBATIM, _oracle, op5_license_scan, scan_licences
+from strandlake.llm.licenses import APACHE, BSD_FIRST, BSD_LAST, BSD_THIRD, GPL, GPL_HEADER, GPL_WARRANTY, FAMILY, ISC, MENTION, MIT, NOTICE_TERMS, PROPRIETARY, TELLING, TEMPLATES, VERBATIM, _oracle, op5_license_scan, scan_licences
 
 SCHEMA = "key long, path string, text string, licence string, sentence string, term int, _dir string"
 
@@ -27,8 +27,16 @@ VECTORS = [(licence, vector(t)) for licence, t in TEMPLATES]
 
 def cosine(unit):
     """(yields, -similarity, licence) of the best template, by loops."""
-    own = vector(unit)
-    return min((licence == PROPRIETARY, -round(sum(x * own.get(w, 0) for w, x in v.items()), 6), licence) for licence, v in VECTORS)
+    own, told = vector(unit), set(terms(unit)) & set(TELLING)
+
+    def fits(licence, text):
+        words = set(terms(text))
+        if len(words) <= NOTICE_TERMS:
+            return words & set(TELLING) == told
+        return words & set(FAMILY) == told & set(FAMILY) and (licence.startswith("BSD") or {c for c in licence if c in "123456789"} <= told)
+
+    found = [(licence == PROPRIETARY, -round(sum(x * own.get(w, 0) for w, x in v.items()), 6), licence) for (licence, v), (_, t) in zip(VECTORS, TEMPLATES, strict=True) if fits(licence, t)]
+    return min(found, default=(True, 0, None))
 
 
 def files():
@@ -103,6 +111,20 @@ def test_whole_files_headers_and_tags(spark):
     assert [got[k] for k in range(len(cases))] == [c[2] for c in cases]
 
 
+def test_versions_clauses_and_denials_must_agree(spark):
+    cases = [
+        ("Released under the BSD 4-Clause License.", "BSD-4-Clause"), ("Released under the BSD 5-Clause License.", None), ("Licensed under CC BY-ND 4.0.", "CC-BY-ND-4.0"), ("Licensed under CC BY-SA 3.0.", None),
+        ("SPDX-License-Identifier: LGPL-2.1", "LGPL-2.1"), ("SPDX-License-Identifier: GPL-1.0", None), ("Not released under the MIT License.", None), ("This work is licensed under the GNU General Public License, version 1.", None),
+        ("// SPDX-License-Identifier: MIT OR Apache-2.0", "MIT OR Apache-2.0"), ("# SPDX-License-Identifier:  GPL-2.0 WITH\tClasspath-exception-2.0", "GPL-2.0 WITH Classpath-exception-2.0"),
+        ("SPDX-License-Identifier: AGPL-3.0", "AGPL-3.0"), ("SPDX-License-Identifier: BSL-1.0", "BSL-1.0"), ("SPDX-License-Identifier: EPL-2.0", "EPL-2.0"), ("Released under the zlib License.", "Zlib"),
+        (GPL_HEADER.format("GNU Affero General Public License", 3), "AGPL-3.0"), (GPL_HEADER.format(GPL, 2), "GPL-2.0"), (GPL_HEADER.format(GPL, 1), None), ("Licensed under Apache License 2", "Apache-2.0"),
+        ("Licensed under CC BY-NC-SA 4.0.", "CC-BY-NC-SA-4.0"),
+    ]
+    df = spark.createDataFrame([(k, f"{k}/x", t, "l", "s", 1, "d") for k, (t, _) in enumerate(cases)], SCHEMA)
+    got = {r.key: r.licence for r in scan_licences(df, ["key"]).collect()}
+    assert [(t, got[k]) for k, (t, _) in enumerate(cases)] == cases
+
+
 def test_query(spark):
     agree(op5_license_scan(spark, "/root/testdata/sf0.01"), _oracle(), "/root/testdata/sf0.01")
     assert {"header", "none"} <= {r.origin for r in op5_license_scan(spark, "/root/testdata/sf0.01").collect()}
