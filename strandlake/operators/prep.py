@@ -83,22 +83,22 @@ def preprocess(cells: DataFrame, impute_method: str = "mean", file_name: str | N
         raise ValueError(f"impute_method: one of {sorted(METHODS)}")
     has_header, names = header_of(cells)
     long = long_cells(cells, has_header).persist()
-    decided = {r.col: r.kept for r in kept_markers(long).collect()}  # one row for each column
+    decided = kept_markers(long).persist()  # one row for each column
+    found = decided.agg(F.count_if("kept").alias("kept"), F.array_sort(F.collect_list(F.when(~F.col("kept"), F.col("col")))).alias("dropped")).first()  # the report names those that go
     counts = long.where("col = 0").agg(F.count("*").alias("rows"), F.count("value").alias("kept")).first()
-    markers = [c for c in sorted(decided) if decided[c]]
     if counts.kept < 5:
         raise ValueError("at least 5 individuals with a phenotype are needed")
-    if len(markers) < 2:
+    if found.kept < 2:
         raise ValueError("at least 2 markers are needed")
     rows = long.where("col = 0 AND value IS NOT NULL").select("row_idx", F.col("value").alias("y"))
     rows = numbered(rows, "row_idx", "individual").select("individual", "row_idx", "y")
-    at = F.create_map(*[F.lit(x) for k, c in enumerate(markers) for x in (c, k)])
-    body = long.where(F.col("col").isin(*markers)).join(rows.select("row_idx", "individual"), "row_idx").select("individual", at[F.col("col")].alias("marker"), F.col("value").alias("dosage"))
+    at = numbered(decided.where("kept").select("col"), "col", "marker").select("col", F.col("marker").cast("int").alias("marker"))
+    body = long.join(at, "col").join(rows.select("row_idx", "individual"), "row_idx").select("individual", "marker", F.col("value").alias("dosage"))
     filled = impute(body, impute_method).persist()
     report = {
-        "rows_read": counts.rows + has_header, "header_detected": has_header, "columns_total": len(names), "dropped_columns": [names[c] for c in sorted(decided) if not decided[c]],
+        "rows_read": counts.rows + has_header, "header_detected": has_header, "columns_total": len(names), "dropped_columns": [names[c] for c in found.dropped],
         "dropped_rows_no_phenotype": counts.rows - counts.kept, "imputed_cells": filled.where("imputed").count(), "impute_method": impute_method, "final_rows": counts.kept,
-        "final_markers": len(markers), "file": file_name,
+        "final_markers": found.kept, "file": file_name,
     }
     return rows.select("individual", "y"), filled.drop("imputed"), report
 

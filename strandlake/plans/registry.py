@@ -249,10 +249,16 @@ def kmer_windowed(spark, sf):
     return kmers.count(D.sequences(spark, sf), K, window=64).select("kmer", "count")
 
 
-@query(f"""WITH {kmer_sql(21)} SELECT 21 AS k, count(*) AS total_unique, CAST(sum("count") AS BIGINT) AS total_kmers, (SELECT "count" FROM counts ORDER BY "count" DESC LIMIT 1) AS top_count, (SELECT count(DISTINCT "count") FROM counts) AS spectrum_rows FROM counts""")
+@query(f"""WITH {kmer_sql(21)}, coded AS (SELECT kmer, {code_sql(21)} AS code, "count" AS n FROM counts), best AS (SELECT * FROM coded ORDER BY n DESC, code LIMIT 20),
+s AS (SELECT n AS m, count(*) AS f FROM coded GROUP BY 1)
+SELECT 21 AS k, count(*) AS total_unique, CAST(sum(n) AS BIGINT) AS total_kmers, (SELECT string_agg(kmer || ':' || n, ',' ORDER BY n DESC, code) FROM best) AS top_kmers, (SELECT string_agg(m || ':' || f, ',' ORDER BY m) FROM s) AS spectrum,
+round_even(CAST(sum(n) AS DOUBLE) / (SELECT m FROM s ORDER BY f DESC, m LIMIT 1), 0) AS genome_estimate FROM coded""")
 def kmer_report(spark, sf):
+    """All fields of the report."""
     r = kmers.report(D.sequences(spark, sf))
-    return r.select("k", "total_unique", "total_kmers", F.get("top_kmers", F.lit(0))["count"].alias("top_count"), F.size("spectrum").cast("long").alias("spectrum_rows"))
+    top = F.array_join(F.transform("top_kmers", lambda x: F.concat_ws(":", x["kmer"], x["count"].cast("string"))), ",")
+    curve = F.array_join(F.transform(F.array_sort(F.map_entries("spectrum")), lambda x: F.concat_ws(":", x["key"].cast("string"), x["value"].cast("string"))), ",")
+    return r.select("k", "total_unique", "total_kmers", top.alias("top_kmers"), curve.alias("spectrum"), "genome_estimate")
 
 
 # ------------------------------------------------------------------------------ pileup and variants

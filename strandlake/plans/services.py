@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from strandlake.functions import seq as S
 from strandlake.functions import sql, tables
-from strandlake.operators import align, envelopes, kmers, prep, qc, quant
+from strandlake.operators import align, envelopes, kmers, markers, prep, qc, quant
 from strandlake.plans import derive as D
 from strandlake.plans import registry as R
 from strandlake.plans.catalog import ORACLES, query
@@ -156,6 +156,13 @@ def simulated_reads(spark, sf):
     return placed.groupBy("ref_id").agg(F.count_distinct("read_idx").alias("reads"), F.count_if(same).alias("faithful"), F.sum(good).cast("long").alias("good_scores"))
 
 
+@query(f"WITH {RECORDS} SELECT record_id, 'two words' AS description, sequence FROM recs")
+def fasta_lenient(spark, sf):
+    """Headers without an id are left out, and runs of blanks in descriptions become one."""
+    lines = _records(spark, sf).select(F.concat(F.lit(">"), F.col("record_id"), F.lit("  two   words\n"), F.col("sequence"), F.lit("\n>  \nACGT")).alias("value"))
+    return splits.read_splits(spark, _kept(spark, lines), "fasta", True).select(*RECORD)
+
+
 # ------------------------------------------------------------------------------ encoding
 
 LETTER = "translate(upper(letter), 'U', 'T')"
@@ -235,6 +242,13 @@ def trim_report(spark, sf):
     return found.select(*[F.round(c, 6).alias(c) if t == "double" else c for c, t in found.dtypes])
 
 
+@query(f"""WITH {D.READS}, p AS (SELECT count(*) AS n, CAST(sum(length(sequence)) AS BIGINT) AS bases, avg(length(sequence)) AS len, avg({R.GC} * 100) AS gc, {", ".join(f"CAST(sum(length(sequence) - length(replace(sequence, '{b}', ''))) AS BIGINT) AS {b.lower()}" for b in "ACGT")} FROM reads),
+q AS (SELECT avg(score) AS mean FROM {R.SCORES})
+SELECT unnest(['Reads: ' || n, 'Bases: ' || bases, 'Mean length: ' || printf('%.2f', len), 'Mean quality: ' || printf('%.2f', mean), 'GC percent: ' || printf('%.2f', gc), 'Letters: A=' || a || ', C=' || c || ', G=' || g || ', T=' || t || ', N=0']) AS line FROM p, q""")
+def quality_summary(spark, sf):
+    return qc.summary_lines(D.reads(spark, sf))
+
+
 # ------------------------------------------------------------------------------ table functions in SQL
 
 
@@ -339,6 +353,15 @@ def gblup_genomic(spark, sf):
     return quant.blup_table(quant.fit_groups(people, related.select("group", "i", "j", "value")))
 
 
+@query()
+def gblup_markers(spark, sf):
+    """Breeding values of all individuals by REML through their marker rows. No SQL: the optimum has no closed form; tests hold
+    it against the solver of one task."""
+    people = D.phenotypes(spark, sf).select("individual", "y", F.array(F.lit(1.0), F.col("label").cast("double")).alias("x"))
+    found = markers.fit(people, D.genotypes(spark, sf))
+    return found.values.withColumn("heritability", F.lit(found.heritability))
+
+
 @query(f"""WITH {D.CELLS} SELECT true AS header_detected, (SELECT count(*) + 1 FROM cells) AS rows_read, CAST(5 AS BIGINT) AS columns_total,
 (SELECT coalesce(string_agg(name, ',' ORDER BY col), '') FROM (VALUES (1, 'm1'), (2, 'col_3'), (3, 'm3'), (4, 'm4')) AS h(col, name) WHERE col NOT IN (SELECT col FROM kept)) AS dropped_columns, (SELECT count(*) FROM people) AS final_rows""")
 def prep_header(spark, sf):
