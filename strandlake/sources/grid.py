@@ -12,15 +12,16 @@ import os
 import re
 import xml.etree.ElementTree as ET
 import zipfile
+from collections.abc import Iterator
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 TEXT, EXCEL = (".csv", ".tsv", ".txt"), (".xlsx", ".xlsm")
-#: A grid is read on the driver, like the header detection that follows; larger tables go through ``spark.read.csv``.
-MAX_BYTES = 256 << 20
-SCHEMA = "row_idx long, cells array<string>"
+#: Rows of a file: the split they are in, their number in it, their cells, and whether a cell goes on over the line's end.
+CELLS = "split long, n long, cells array<string>, several boolean"
 
 
 def sniff_delimiter(line: str) -> str:
@@ -69,22 +70,75 @@ def excel_rows(data: bytes) -> list[list[str]]:
     return rows
 
 
+def _batch(rows: list[tuple]) -> pa.RecordBatch:
+    columns = zip(*rows, strict=True) if rows else [[]] * 4
+    types = (pa.int64(), pa.int64(), pa.list_(pa.string()), pa.bool_())
+    return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types, strict=True)], ["split", "n", "cells", "several"])
+
+
+def line_cells(spark: SparkSession, path: str, delimiter: str) -> DataFrame:
+    """Rows of a text file's splits, line by line; ``several`` where a quoted cell goes on over the line's end."""
+    lines = spark.read.text(path).select("value", F.col("_metadata.file_block_start").alias("split"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        split, n = None, 0
+        for batch in batches:
+            out = []
+            for at, text in zip(batch.column("split").to_pylist(), batch.column("value").to_pylist(), strict=True):
+                if at != split:
+                    split, n, text = at, 0, text.removeprefix("\ufeff") if at == 0 else text
+                for line in text.splitlines():
+                    if not line.strip():
+                        continue
+                    parsed = list(csv.reader([line, ""], delimiter=delimiter))  # an open cell takes the second line in
+                    cells = [c.strip() for c in parsed[0]]
+                    if any(cells):
+                        out.append((split, n, cells, len(parsed) < 2))
+                        n += 1
+            yield _batch(out)
+
+    return lines.mapInArrow(run, CELLS)
+
+
+def whole_cells(spark: SparkSession, path: str, excel: bool) -> DataFrame:
+    """The rows of a file that is parsed as a whole, in one task: a workbook, or a text with cells over several lines."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for content in batch.column("content").to_pylist():
+                rows = [[c.strip() for c in r] for r in (excel_rows if excel else text_rows)(content)]
+                kept = [r for r in rows if any(r)]
+                for at in range(0, len(kept), 10_000):
+                    yield _batch([(0, at + k, r, False) for k, r in enumerate(kept[at : at + 10_000])])
+
+    return spark.read.format("binaryFile").load(path).select("content").mapInArrow(run, CELLS)
+
+
 def load_grid(spark: SparkSession, path: str) -> DataFrame:
-    """(row_idx, cells) of one file. An unknown suffix or a file without rows is an error."""
+    """(row_idx, cells) of one file. An unknown suffix or a file without rows is an error.
+
+    Lines of a text are parsed where its splits are read, with the delimiter of its first line; the driver sees the number of
+    rows and the width of each split. A workbook, and a text with quoted line ends, is one task.
+    """
     suffix = os.path.splitext(path)[1].lower()
     if suffix not in TEXT + EXCEL:
         raise ValueError(f"unsupported file type {suffix!r}; one of {TEXT + EXCEL}")
-    found = spark.read.format("binaryFile").load(path).select("length", "content")
-    size = found.select("length").first()[0]
-    if size > MAX_BYTES:
-        raise ValueError(f"{size} bytes: read tables above {MAX_BYTES} with spark.read.csv")
-    data = bytes(found.first().content)
-    rows = [[c.strip() for c in r] for r in (text_rows if suffix in TEXT else excel_rows)(data)]
-    rows = [r for r in rows if any(r)]
-    if not rows:
+    rows = whole_cells(spark, path, True)
+    if suffix in TEXT:
+        first = spark.read.text(path).where(F.trim(F.replace("value", F.lit("\ufeff"), F.lit(""))) != "").first()
+        rows = line_cells(spark, path, sniff_delimiter(first.value if first else ""))
+    facts = lambda r: r.groupBy("split").agg(F.count("*").alias("rows"), F.max(F.size("cells")).alias("width"), F.bool_or("several").alias("several")).orderBy("split").collect()
+    found = facts(rows)
+    if any(f.several for f in found):
+        rows = whole_cells(spark, path, False)
+        found = facts(rows)
+    if not found:
         raise ValueError("the file has no rows")
-    width = max(map(len, rows))
-    return spark.createDataFrame([(k, r + [""] * (width - len(r))) for k, r in enumerate(rows)], SCHEMA)
+    ends = np.cumsum([f.rows for f in found]).tolist()
+    offsets = F.broadcast(spark.createDataFrame([(f.split, end - f.rows) for f, end in zip(found, ends, strict=True)], "split long, before long"))  # a row for each split
+    width = max(f.width for f in found)
+    padded = F.concat("cells", F.array_repeat(F.lit(""), F.lit(width) - F.size("cells")))
+    return rows.join(offsets, "split").select((F.col("before") + F.col("n")).alias("row_idx"), padded.alias("cells"))
 
 
 def parse_dosage_lines(lines: DataFrame, order: str = "line") -> DataFrame:
