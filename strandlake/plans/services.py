@@ -109,10 +109,10 @@ def validated_bases(spark, sf):
     return fasta.validate_fasta(_records(spark, sf))
 
 
-@query(f"""WITH {D.SEQS} SELECT substr(sequence, 1, 20) AS sequence, CAST(doc_id AS INTEGER) AS start, CASE doc_id % 3 WHEN 0 THEN '-' ELSE '+' END AS strand FROM seqs""")
+@query(f"""WITH {D.SEQS} SELECT sequence, CAST(doc_id AS INTEGER) AS start, CASE doc_id % 3 WHEN 0 THEN '-' ELSE '+' END AS strand FROM seqs""")
 def parsed_reads(spark, sf):
     end = F.when(F.col("doc_id") % 3 == 0, " , - ").when(F.col("doc_id") % 3 == 1, ",").otherwise("")
-    lines = D.sequences(spark, sf).select(F.concat(F.lower(F.substring("sequence", 1, 20)), F.lit(", "), F.col("doc_id").cast("string"), end).alias("value"))
+    lines = D.sequences(spark, sf).select(F.concat(F.lower("sequence"), F.lit(", "), F.col("doc_id").cast("string"), end).alias("value"))
     return fasta.parse_reads(lines.unionByName(spark.createDataFrame([("",), ("  ",)], "value string")))
 
 

@@ -6,7 +6,9 @@ import zlib
 
 import pytest
 from pyspark.sql import functions as F
+from strandlake.operators import kmers
 from strandlake.sources import fasta, splits
+from strandlake.streaming import kmers as stream
 
 
 def fastq_text(rng, n, at=0.5, multi=0.2, blank=0.2):
@@ -178,3 +180,22 @@ def test_stream_restarts_where_it_stopped(spark, tmp_path):
             time.sleep(0.02)
         assert run() == sorted(want)
     assert run() == sorted(want)
+
+
+def test_running_counts_restart_and_equal_the_batch(spark, tmp_path):
+    folder, state = tmp_path / "in", str(tmp_path / "state")
+    folder.mkdir()
+    rng, texts, last = random.Random(8), [], {}
+
+    def keep(batch, _number):
+        last.update({r.kmer: r["count"] for r in batch.collect()})
+
+    for k in range(3):
+        texts.append(fastq_text(rng, 15))
+        (folder / f"{5 - k}.fq").write_text(texts[-1])
+        counts = stream.running_counts(stream.record_stream(spark, str(folder), settle_seconds=0).select("sequence"), 4)
+        query = counts.writeStream.outputMode("update").option("checkpointLocation", state).trigger(availableNow=True).foreachBatch(keep).start()
+        query.awaitTermination(200)
+        reads = spark.createDataFrame([(r[1],) for t in texts for r in sequential(t)], "sequence string")
+        assert last == {r.kmer: r["count"] for r in kmers.count(reads, 4).collect()}
+        time.sleep(0.02)
