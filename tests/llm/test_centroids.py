@@ -3,6 +3,7 @@ import math
 import random
 
 import numpy as np
+from oracle import agree
 from strandlake.llm import centroids
 from strandlake.llm.centroids import cluster_vectors, nearest
 
@@ -74,3 +75,7 @@ def test_few_and_none(spark):
     assert got == brute(rows, 8, 10, 2) and {r[1] for r in got} == {0}
     empty = cluster_vectors(df.limit(0), components=2)
     assert empty.columns == ["vec_id", "cluster", "distance", "cluster_inertia", "inertia", "centroid_sha256"] and not empty.count()
+
+
+def test_query(spark):
+    agree(centroids.op12_sort_means(spark, "/root/testdata/sf0.01"), centroids.ORACLES["op12_sort_means"], "/root/testdata/sf0.01")

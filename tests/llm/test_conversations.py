@@ -3,6 +3,7 @@ import hashlib
 import random
 import re
 
+from oracle import agree
 from strandlake.llm import conversations
 from strandlake.llm.conversations import damage, repair_report, repair_turns
 
@@ -19,7 +20,6 @@ def brute(rows):
         faults.append("blank" if not words else "duplicate" if (role, text) in seen else "" if words[-1] in ".!?" else "truncated")
         seen.add((role, text))
     legal = re.compile("(s?(ua)+)?")
-    prefix = {"": "", "s": "s", "u": "u", "su": "u", "a": "a"}
 
     def add(state, initial):  # the state is the last initial, with '' before all
         out = {("", "s"): "s", ("", "u"): "u", ("s", "u"): "u", ("u", "a"): "a", ("a", "u"): "u"}.get((state, initial))
@@ -48,7 +48,7 @@ def brute(rows):
         return min(ways) if ways else (1 << 40, "", ())
 
     cost, audit, kept = best(0, "", 0)
-    assert legal.fullmatch("".join(r[0] for r, _ in kept)) and prefix
+    assert legal.fullmatch("".join(r[0] for r, _ in kept))
     turns = {t for t, _, _ in rows if t is not None}
     pairs = [a[1][:1] + b[1][:1] for a, b in zip(rows, rows[1:], strict=False)]
     return (
@@ -59,8 +59,8 @@ def brute(rows):
 
 def in_order(rows):
     digest = lambda r, x: hashlib.sha256(f"{len(r)}:{r}{x}".encode()).digest()
-    key = lambda v: (v[0] is not None, v[0] or 0, v[1] or " " if v[1] is None else v[1], digest(" " if v[1] is None else v[1], " " if v[2] is None else v[2]))
-    return sorted(rows, key=key)
+    given = lambda x: " " if x is None else x
+    return sorted(rows, key=lambda v: (v[0] is not None, v[0] or 0, given(v[1]), digest(given(v[1]), given(v[2]))))
 
 
 def made(rng, conv, n):
@@ -132,3 +132,7 @@ def test_damage_and_empty(spark, tmp_path):
     for c in range(20):
         own = in_order([r[1:] for r in left if r[0] == c])
         assert got[c] == (brute(own)[0] if own else (0, 0, 0, 0, 0, 0, "", hashlib.sha256().hexdigest()))
+
+
+def test_query(spark):
+    agree(conversations.op13_conversation_repair(spark, "/root/testdata/sf0.01"), conversations.ORACLES["op13_conversation_repair"], "/root/testdata/sf0.01")

@@ -4,6 +4,7 @@ import re
 from collections import Counter
 
 import numpy as np
+from oracle import agree
 from pyspark.sql import functions as F
 from strandlake.llm import substrings
 from strandlake.llm.substrings import FMIndex, WaveletMatrix, anchored_runs, least_of, remove_repeats, repeated_windows
@@ -120,3 +121,7 @@ def test_anchors_spread_a_hot_passage(spark):
     inside = what.where("weight = 300")
     assert inside.count() >= 1 and what.where("weight > 1").count() < 12
     assert where.join(inside, "segment").count() == 300 * inside.count()
+
+
+def test_query(spark):
+    agree(substrings.op11_substring_dedup(spark, "/root/testdata/sf0.01"), substrings.ORACLES["op11_substring_dedup"], "/root/testdata/sf0.01")
