@@ -59,13 +59,21 @@ def pad(codes: Column | str, length: Column | int, padding: int = N_CODE) -> Col
     return F.concat(codes, F.array_repeat(F.lit(padding), F.greatest(length - F.size(codes), F.lit(0)).cast("int")))
 
 
-def encode_batch(sequences: DataFrame, column: str = "sequence", padding: int = N_CODE, letters_: Column | None = None, one_hot_codes: bool = False) -> DataFrame:
+def encode_batch(sequences: DataFrame, column: str = "sequence", padding: int = N_CODE, letters_: Column | None = None, one_hot_codes: bool = False, batch: str | None = None) -> DataFrame:
     """The rows with ``codes``, padded at the end up to the longest of the table, and ``length`` before padding.
 
+    With ``batch``, a column that names the batch of a row, they are padded up to the longest of their batch: one long
+    sequence then widens its own batch only, and an empty table stays empty.
+
     ``letters_`` are the prepared letters, ``normalise(column)`` by default; a null sequence is empty; with
     ``one_hot_codes`` the codes are one-hot vectors. A table without rows is an error.
     """
     prepared = F.coalesce(normalise(column) if letters_ is None else letters_, F.lit(""))
+    if batch is not None:
+        longest = sequences.groupBy(F.col(batch).alias("_batch")).agg(F.max(F.length(prepared)).alias("_most"))
+        joined = sequences.join(longest, F.col(batch).eqNullSafe(F.col("_batch")))
+        codes = pad(encode(prepared), F.col("_most"), padding)
+        return joined.withColumns({"codes": one_hot(codes) if one_hot_codes else codes, "length": F.length(prepared)}).drop("_batch", "_most")
     most = sequences.agg(F.count("*").alias("n"), F.max(F.length(prepared)).alias("most")).first()
     if not most.n:
         raise ValueError("no sequences")

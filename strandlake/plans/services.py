@@ -199,6 +199,14 @@ def padded_aligner_batch(spark, sf):
     return _joined(S.encode_batch(D.table(spark, sf, "customer"), "c_mktsegment", 9, S.aligner_letters("c_mktsegment")))
 
 
+@query(f"""WITH {RECORDS}, b AS (SELECT doc_id, doc_id // 32 AS batch, sequence AS s FROM recs), most AS (SELECT batch, max(length(s)) AS m FROM b GROUP BY batch)
+SELECT doc_id, CAST(length(s) AS INTEGER) AS length, CAST(m AS INTEGER) AS padded, CAST(coalesce(list_sum(list_transform(range(1, length(s) + 1), lambda i: instr('ACGTNRYSWKMBDHV', substr(s, i, 1)) - 1)), 0) + 9 * (m - length(s)) AS BIGINT) AS total FROM b JOIN most USING (batch)""")
+def padded_by_batch(spark, sf):
+    """Whole documents in batches of 32, each as wide as its longest."""
+    found = S.encode_batch(D.sequences(spark, sf).withColumn("batch", F.floor(F.col("doc_id") / 32)), padding=9, batch="batch")
+    return found.select("doc_id", "length", F.size("codes").alias("padded"), F.aggregate("codes", F.lit(0).cast("long"), lambda a, x: a + x).alias("total"))
+
+
 # ------------------------------------------------------------------------------ quality and k-mers
 
 

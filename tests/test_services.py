@@ -4,6 +4,7 @@ import tracemalloc
 import zipfile
 
 import pytest
+from pyspark.sql import functions as F
 from strandlake.functions import seq as S
 from strandlake.operators import align, envelopes, qc
 from strandlake.sources import fasta, grid, uploads
@@ -45,6 +46,11 @@ def test_batches_of_codes(spark):
     assert hot == [[1, 0, 0, 0, 0], [0, 1, 0, 0, 0], [0, 0, 0, 1, 0]]
     with pytest.raises(ValueError):
         S.encode_batch(df.limit(0))
+    wide = df.withColumn("b", F.when(F.col("sequence").isNotNull(), F.length("sequence") % 2))
+    longest = {}
+    for r in wide.collect():
+        longest[r.b] = max(longest.get(r.b, 0), len(r.sequence or ""))
+    assert all(len(r.codes) == longest[r.b] for r in S.encode_batch(wide, batch="b").collect()) and S.encode_batch(wide.limit(0), batch="b").count() == 0
     assert df.select(S.encode_char("sequence").alias("c")).where("sequence = 'g'").first().c == 2
     assert spark.sql("SELECT '\u00df' s UNION ALL SELECT NULL").select(S.encode_char("s").alias("c")).collect()[0].c == 4
 

@@ -12,3 +12,4 @@ def test_genome_from_records_to_variants(spark):
     assert (r.records, r.total_bases, r.distinct_kmers) == (1, 1500, len(canonical))
     assert r.snvs == 2 and r.alignment_score == 2 * 59 - 1 and r.cigar == "30M1X29M"
     assert abs(r.gc_percent - 100 * sum(c in "CG" for c in genome) / 1500) < 1e-9 and r.genome_size > 0
+    assert r.codes == {k: genome.count(b) for k, b in enumerate("ACG")} and r.base_composition == {"A": genome.count("A"), "C": genome.count("C"), "G": genome.count("G"), "T": 0, "N": 0}
