@@ -108,7 +108,7 @@ class _Writer(DataSourceArrowWriter):
         missing = {"fasta": {"record_id", "sequence"}, "fastq": {"read_id", "sequence", "quality"}}[kind] - set(schema.names)
         if missing or not options.get("path"):
             raise ValueError(f"a column is missing: {', '.join(sorted(missing))}" if missing else "save() needs a path")
-        self.path, self.kind, self.overwrite, self.job = options["path"].removeprefix("file://"), kind, overwrite, uuid.uuid4().hex
+        self.path, self.kind, self.overwrite, self.job = splits.plain(options["path"]), kind, overwrite, uuid.uuid4().hex
         self.width = int(options.get("lineWidth", 60))
         self.packed = options.get("compress", "false").lower() == "true"
 

@@ -15,6 +15,7 @@ from __future__ import annotations
 import gzip
 import io
 import os
+import re
 import zlib
 from collections.abc import Iterator
 
@@ -133,7 +134,13 @@ class FileRange(InputPartition):
         self.path, self.start, self.end = path, start, end
 
 
+def plain(path: str) -> str:
+    """A path without the scheme of local files, in whichever form it is written."""
+    return re.sub("^file:/+", "/", path.strip())
+
+
 def store_of(path: str) -> tuple[pyarrow.fs.FileSystem, str]:
+    path = plain(path)
     if "://" in path:
         return pyarrow.fs.FileSystem.from_uri(path)
     return pyarrow.fs.LocalFileSystem(), os.path.abspath(path)
@@ -144,7 +151,7 @@ def files_of(path: str) -> list[tuple[str, int, int]]:
     are left out."""
     found = []
     for one in path.split(","):
-        one = one.strip().removeprefix("file://")
+        one = plain(one)
         store, at = store_of(one)
         info = store.get_file_info(at)
         if info.type == pyarrow.fs.FileType.NotFound:

@@ -132,6 +132,8 @@ def test_sink(spark, tmp_path):
     df = spark.createDataFrame(rows, "record_id string, description string, sequence string").repartition(4)
     path = str(tmp_path / "out")
     df.write.format("fasta").mode("append").option("lineWidth", 7).save(path)
+    for scheme in ("file:", "file://"):
+        assert spark.read.format("fasta").load(scheme + path).count() == 40
     read = lambda: sorted(tuple(r)[:3] for r in spark.read.format("fasta").load(path).collect())
     assert read() == sorted(rows) and {len(x) for f in (tmp_path / "out").glob("part-*") for x in f.read_text().split("\n") if x and x[0] != ">"} <= set(range(1, 8))
     df.write.format("fasta").mode("append").save(path)
