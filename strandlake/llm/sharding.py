@@ -2,9 +2,9 @@
 
 A group (all rows with equal text) is never split. Groups sorted by size enter the bin with the tightest remaining
 capacity that still holds them; a balanced tree over the bins' remaining capacities finds it. The packing only depends
-on how many groups have each size, so the driver gets a histogram of sizes, not groups: sizes below 8192 bytes count
-as they are, larger ones are rounded up to 13 significant bits, which bounds the histogram at 8192 + 4096 entries for
-each further power of two (under 200,000 for any 63-bit size), whatever the number of rows.
+on how many groups have each size, so the driver gets a histogram of sizes, not groups. Sizes count as they are, unless
+there are more than HISTOGRAM different ones: then they are rounded up to as many significant bits as keep it at that, at
+least 13, which bounds the histogram whatever the number of rows (8192 + 4096 entries for each further power of two).
 """
 
 from __future__ import annotations
@@ -18,6 +18,8 @@ from pyspark.sql import functions as F
 from .common import materialize, number_rows, table
 
 SHARDS = 24
+#: Entries of the driver's histogram, and the significant bits of sizes that are tried in turn.
+HISTOGRAM, BITS = 100_000, (63, 24, 20, 17, 15, 13)
 #: Runs of a plan that may be broadcast; a run has 28 bytes.
 BROADCAST_RUNS = 500_000
 
@@ -122,13 +124,23 @@ def equal_shards(sizes: Iterable[tuple[int, int]], shards: int) -> list[Run]:
     return runs + [(s, a + taken.get(s, 0), b + taken.get(s, 0), n + used) for s, a, b, n in found]
 
 
-def size_class(size: Column) -> Column:
-    """The size itself below 8192, else rounded up to 13 significant bits."""
-    drop = F.greatest(F.length(F.bin(size)) - 13, F.lit(0))
+def size_class(size: Column, bits: int = 13) -> Column:
+    """The size rounded up to so many significant bits."""
+    drop = F.greatest(F.length(F.bin(size)) - bits, F.lit(0))
     unit = F.call_function("shiftleft", F.lit(1).cast("long"), drop)
     return F.call_function("shiftleft", F.call_function("shiftright", size + unit - 1, drop), drop)
 
 
+def size_histogram(groups: DataFrame, size: str, most: int = HISTOGRAM) -> tuple[int, list[tuple[int, int]]]:
+    """(bits, [(class, groups)]) by ``size_class`` with the most bits that give at most ``most`` classes, or the fewest."""
+    counts = materialize(groups.groupBy(F.col(size).alias("size")).agg(F.count("*").alias("n")))
+    for bits in BITS:
+        classes = counts.groupBy(size_class(F.col("size"), bits).alias("size")).agg(F.sum("n").alias("n"))
+        if bits == BITS[-1] or classes.limit(most + 1).count() <= most:
+            break
+    return bits, [(r[0], r[1]) for r in classes.collect()]
+
+
 def shard_groups(groups: DataFrame, key: str, size: str, shards: int | None = None, capacity: int | None = None) -> DataFrame:
     """(key, shard) for a table of groups with unique ``key`` and a ``size`` of 0 or more.
 
@@ -137,8 +149,9 @@ def shard_groups(groups: DataFrame, key: str, size: str, shards: int | None = No
     """
     if (shards is None) == (capacity is None):
         raise ValueError("give either the number of shards or their capacity")
-    sized = groups.select(F.col(key).alias("_key"), size_class(F.coalesce(F.col(size), F.lit(0)).cast("long")).alias("_class"))
-    histogram = [(r[0], r[1]) for r in sized.groupBy("_class").count().collect()]
+    sized = groups.select(F.col(key).alias("_key"), F.coalesce(F.col(size), F.lit(0)).cast("long").alias("_size"))
+    bits, histogram = size_histogram(sized, "_size")
+    sized = sized.select("_key", size_class(F.col("_size"), bits).alias("_class"))
     runs = equal_shards(histogram, shards) if shards else best_fit_decreasing(histogram, capacity)
     plan = groups.sparkSession.createDataFrame(runs, "_class long, _first long, _end long, shard int")
     numbered = number_rows(sized, ["_class"], ["_key"], "_rank")

@@ -2,7 +2,8 @@ import random
 import zlib
 
 import pytest
-from strandlake.llm.sharding import CapacityTree, best_fit_decreasing, equal_shards, shard_documents, shard_groups
+from pyspark.sql import functions as F
+from strandlake.llm.sharding import CapacityTree, best_fit_decreasing, equal_shards, shard_documents, shard_groups, size_histogram
 
 SCHEMA = "doc_id long, text string, shard string, _class long, size string"
 
@@ -84,3 +85,25 @@ def test_edges(spark):
     assert shard_groups(groups, "g", "s", capacity=10).select("shard").distinct().count() == 50
     with pytest.raises(ValueError):
         shard_groups(groups, "g", "s")
+
+
+def test_large_groups_count_exactly(spark):
+    sizes = [9001 + 7 * i for i in range(48)]
+    groups = spark.createDataFrame(list(enumerate(sizes)), "g long, s long")
+    total = [0] * 24
+    for r in shard_groups(groups, "g", "s", shards=24).collect():
+        total[r.shard] += sizes[r.g]
+    assert set(total) == {9001 + 9001 + 7 * 47}
+
+
+def test_histogram_is_bounded(spark):
+    groups = spark.range(1, 60_001).select(F.col("id").alias("g"), (F.col("id") * 1009).alias("s"))
+    bits, exact = size_histogram(groups, "s")
+    assert bits == 63 and len(exact) == 60_000
+    bits, classes = size_histogram(groups, "s", most=20_000)
+    assert 13 <= bits < 63 and len(classes) <= 20_000 and sum(n for _, n in classes) == 60_000
+    assert size_histogram(groups, "s", most=1)[0] == 13
+    total = [0] * 24
+    for r in shard_groups(groups, "g", "s", shards=24).collect():
+        total[r.shard] += 1009 * r.g
+    assert sum(total) == 1009 * 30_000 * 60_001 and max(total) - min(total) <= 1009
