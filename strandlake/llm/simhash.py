@@ -27,6 +27,8 @@ from .common import bounded, chunks, columns_of, connected_components, materiali
 WORDS, RADIUS, SEED = 4, 4, 42
 #: (lowest bit, bits, allowance) of each segment: allowances sum to RADIUS - 2, one less than segments need to miss a pair.
 SEGMENTS = ((42, 22, 1), (21, 21, 1), (0, 21, 0))
+#: The same for over MANY fingerprints, which would meet under the keys above by over 1400 a key: 564 rows a fingerprint for 48.
+WIDE_SEGMENTS, MANY = ((32, 32, 2), (0, 32, 1)), 1 << 27
 BUCKET, BALL = 4096, RADIUS // 2
 #: For similarity: a sketch has SKETCH fingerprints; its first bits are PARTS segments of PART_BITS, looked up with up to FLIPS
 #: of their WEAK least certain bits changed.
@@ -204,12 +206,13 @@ def bucket_links(batches: Iterator[pa.RecordBatch], bucket: int, pairs) -> Itera
 
 def probes(nodes: DataFrame, segments: tuple = SEGMENTS) -> DataFrame:
     """(key, fp, node, home): a row for each segment of a fingerprint and each point of the ball around it."""
-    rows = []
-    for number, (low, bits, allowance) in enumerate(segments):
-        part = F.call_function("shiftrightunsigned", F.col("fp"), F.lit(low)).bitwiseAND(F.lit((1 << bits) - 1))
-        masks = [0, *(sum(1 << b for b in flips) for k in range(1, allowance + 1) for flips in combinations(range(bits), k))]
-        rows.append(F.array(*[F.struct(part.bitwiseXOR(F.lit(m)).bitwiseOR(F.lit(number << 56)).alias("key"), F.lit(m == 0).alias("home")) for m in masks]))
-    return nodes.select("fp", "node", F.explode(F.concat(*rows)).alias("p")).select("p.key", "fp", "node", "p.home")
+    points = [
+        F.struct(F.lit(low).alias("low"), F.lit((1 << bits) - 1).cast("long").alias("ones"), F.lit(sum(1 << b for b in flips)).cast("long").alias("mask"), F.lit(number << 56).cast("long").alias("tag"))
+        for number, (low, bits, allowance) in enumerate(segments) for k in range(allowance + 1) for flips in combinations(range(bits), k)
+    ]
+    part = F.expr("shiftrightunsigned(fp, p.low)").bitwiseAND(F.col("p.ones"))
+    filed = nodes.select("fp", "node", F.explode(F.array(*points)).alias("p"))
+    return filed.select(part.bitwiseXOR(F.col("p.mask")).bitwiseOR(F.col("p.tag")).alias("key"), "fp", "node", (F.col("p.mask") == 0).alias("home"))
 
 
 def dense_links(nodes: DataFrame, ball: int = BALL) -> DataFrame:
@@ -246,14 +249,16 @@ def dense_links(nodes: DataFrame, ball: int = BALL) -> DataFrame:
     return filed.repartition("key").sortWithinPartitions("key", "node").mapInArrow(firsts, "a long, b long").distinct()
 
 
-def hamming_components(prints: DataFrame, segments: tuple = SEGMENTS, radius: int = RADIUS, bucket: int = BUCKET) -> DataFrame:
+def hamming_components(prints: DataFrame, segments: tuple | None = None, radius: int = RADIUS, bucket: int = BUCKET) -> DataFrame:
     """(fp, component): components of fingerprints linked at ``radius`` or fewer bits, named by their smallest id.
 
-    ``prints`` is (doc_id, fp) with ids that aren't null.
+    ``prints`` is (doc_id, fp) with ids that aren't null. Without ``segments``, their number of fingerprints decides between
+    three short ones and two long ones; both miss no pair.
     """
+    nodes = materialize(prints.groupBy("fp").agg(F.min("doc_id").alias("node")))
+    segments = segments or (WIDE_SEGMENTS if nodes.count() > MANY else SEGMENTS)
     if sum(s[2] + 1 for s in segments) <= radius or 2 * (radius // 2) < radius:
         raise ValueError("the segments' allowances would miss pairs within the radius, or the radius is odd")
-    nodes = materialize(prints.groupBy("fp").agg(F.min("doc_id").alias("node")))
     filed = probes(nodes, segments).repartition("key").sortWithinPartitions("key", "fp")
     links = materialize(filed.mapInArrow(lambda batches: bucket_links(batches, bucket, lambda key, fp, home: forest_links(key, fp, home, radius)), "a long, b long"))
     hot = links.where("b IS NULL").select(F.col("a").alias("node")).distinct()

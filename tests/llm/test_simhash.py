@@ -4,7 +4,7 @@ import re
 import numpy as np
 import pytest
 import xxhash
-from strandlake.llm.simhash import SEGMENTS, deduplicate, fingerprints, hamming_components, near_duplicates
+from strandlake.llm.simhash import SEGMENTS, WIDE_SEGMENTS, deduplicate, fingerprints, hamming_components, near_duplicates
 
 SCHEMA = "doc_id long, text string, fp string, node long, component string"
 
@@ -73,8 +73,8 @@ def test_documents(spark):
     assert near_duplicates(df.limit(0)).collect() == []
 
 
-@pytest.mark.parametrize("bucket", [4096, 60, 5])
-def test_components_equal_brute_force(spark, bucket):
+@pytest.mark.parametrize(("bucket", "segments"), [(4096, None), (60, None), (5, None), (4096, WIDE_SEGMENTS), (5, WIDE_SEGMENTS)])
+def test_components_equal_brute_force(spark, bucket, segments):
     rng = random.Random(12)
     fps = {}
     for c in range(12):
@@ -87,7 +87,7 @@ def test_components_equal_brute_force(spark, bucket):
     fps |= {1: 0, 2: (1 << 64) - 1, 3: 1, 4: 0, 5: 0b11111, 6: 0b111110000}
     df = spark.createDataFrame([(i, signed(x)) for i, x in fps.items()], "doc_id long, fp long")
     want = brute_components(fps)
-    got = {r.fp: r.component for r in hamming_components(df, bucket=bucket).collect()}
+    got = {r.fp: r.component for r in hamming_components(df, segments, bucket=bucket).collect()}
     assert {i: got[signed(x)] for i, x in fps.items()} == want
 
 
@@ -96,7 +96,8 @@ def test_segments_miss_nothing():
     for _ in range(2000):
         flips = rng.choice(64, rng.integers(0, 5), replace=False)
         x = sum(1 << int(b) for b in flips)
-        assert any(bin(x >> low & ((1 << bits) - 1)).count("1") <= allowance for low, bits, allowance in SEGMENTS)
+        for segments in (SEGMENTS, WIDE_SEGMENTS):
+            assert any(bin(x >> low & ((1 << bits) - 1)).count("1") <= allowance for low, bits, allowance in segments)
 
 
 def jaccard(a, b, k=5):
