@@ -172,12 +172,16 @@ def align_pairs(pairs: DataFrame, query: str = "query", target: str = "target",
     """
     run = aligner(**scores)
     found = pairs.withColumn("_a", run(S.aligner_letters(F.coalesce(query, F.lit(""))), S.aligner_letters(F.coalesce(target, F.lit("")))))
+    return describe(found.select(*pairs.columns, "_a.*"))
+
+
+def describe(found: DataFrame) -> DataFrame:
+    """Rows with aligned_query and aligned_target, with alignment_length, identity_percent, gaps, mismatches, cigar."""
     q, t = F.col("aligned_query"), F.col("aligned_target")
     same = lambda f: F.size(F.filter(columns_of(q, t), f))
     length = F.length(q)
     return (
-        found.select(*pairs.columns, "_a.*")
-        .withColumn("alignment_length", length)
+        found.withColumn("alignment_length", length)
         .withColumn("identity_percent", F.when(length > 0, same(lambda c: (c["q"] == c["t"]) & (c["q"] != "-")) / length * 100).otherwise(0.0))
         .withColumn("gaps", (S.count_of(q, "-") + S.count_of(t, "-")).cast("int"))
         .withColumn("mismatches", same(lambda c: (c["q"] != c["t"]) & (c["q"] != "-") & (c["t"] != "-")))
