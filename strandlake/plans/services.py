@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from strandlake.functions import seq as S
 from strandlake.functions import sql, tables
-from strandlake.operators import align, envelopes, kmers, markers, prep, qc, quant
+from strandlake.operators import align, envelopes, kmers, markers, prep, qc, quant, wavefront
 from strandlake.plans import derive as D
 from strandlake.plans import registry as R
 from strandlake.plans.catalog import ORACLES, query
@@ -313,6 +313,11 @@ def kmer_merge(spark, sf):
 # ------------------------------------------------------------------------------ alignment and models
 
 
+@query(ORACLES["align_pairs"])
+def align_long(spark, sf):
+    return wavefront.align_long(R._pairs(spark, sf), block=128).drop("query", "target").withColumn("identity_percent", F.round("identity_percent", 6))
+
+
 @query(ORACLES["align_pairs"].replace("SELECT pair, score", "SELECT pair AS idx, score"))
 def align_lists(spark, sf):
     pairs = R._pairs(spark, sf)
