@@ -14,6 +14,7 @@ under a common point of the balls around them, so that the work stays linear in
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 from itertools import combinations, islice
 
 import numpy as np
@@ -36,11 +37,12 @@ SKETCH, PARTS, PART_BITS, WEAK, FLIPS = 16, 12, 21, 6, 2
 #: Two texts are similar from a Jaccard similarity of 4 / 5, by exact sets of shingles.
 SIMILAR = (4, 5)
 #: At 0.8, 15.15 % of a sketch's bits differ (the angle between the sets), 155 of 1024, standard deviation 11.5: the guard is 4
-#: deviations above. Of sets of 4 and 5 shingles it is 18.75 %, for which sets of FEW or less have their own. In the 64 bits of
-#: the sieve 9.7 differ, so 19 keep all but one in a thousand.
-SIEVE, GUARD, FEW, GUARD_FEW = 19, 201, 8, 242
-#: Within so many of the sieve's bits, a text is compared at once with the first text that has a segment in common with it.
-STAR = 14
+#: deviations above. Of sets of 4 and 5 shingles it is 18.75 %, for which sets of FEW or less have their own. In the 128 bits of
+#: the sieve 19.4 differ, so 34 keep all but one in three thousand, of the smallest sets all but one in ninety.
+SIEVE, GUARD, FEW, GUARD_FEW = 34, 201, 8, 242
+#: Within so many of the sieve's first 64 bits, a text is compared at once with the first text that has a segment in common with
+#: it, or its sketch with that one's and with the text's before.
+STAR, CLOSE = 14, 19
 #: Rows of a few numbers each that may be broadcast, at most about 16 MB.
 FEW_ROWS = 1 << 18
 #: A task compares two blocks of texts: of so many texts, or so many shingles on average.
@@ -350,48 +352,63 @@ def part_keys(prints: np.ndarray, weak: np.ndarray) -> np.ndarray:
     return (own[:, :, None] ^ np.stack(masks, axis=2)) | (np.arange(PARTS, dtype=np.int64) << 40)[None, :, None]
 
 
-def meeting(key: np.ndarray, fp: np.ndarray, home: np.ndarray, component: np.ndarray) -> np.ndarray:
-    """Which rows are, under equal keys (sorted), within SIEVE bits of a row of another component, one of the two at home."""
+def meeting(key: np.ndarray, fp: np.ndarray, home: np.ndarray, component: np.ndarray, group: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Which rows are, under equal keys (sorted), within SIEVE bits of a row of another component, one of the two at home; and
+    which of one of another group. ``fp`` has a column for each 64 bits; a component is in one group."""
     n = len(key)
     first = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
     number = np.repeat(np.arange(len(first)), np.diff(np.append(first, n)))
-    met, active, shift = np.zeros(n, bool), np.arange(n - 1), 1
+    alone = (np.minimum.reduceat(group, first) == np.maximum.reduceat(group, first))[number]
+    met, apart, active, shift = np.zeros(n, bool), np.zeros(n, bool), np.arange(n - 1), 1
     while len(active):
         active = active[active + shift < n]
         active = active[key[active] == key[active + shift]]
         other = active + shift
-        near = (home[active] | home[other]) & (component[active] != component[other]) & ~(met[active] & met[other])
-        a, b = active[near], other[near]
-        close = np.bitwise_count(fp[a] ^ fp[b]) <= SIEVE
+        told = group[active] != group[other]
+        open_ = np.where(told, ~(apart[active] & apart[other]), (component[active] != component[other]) & ~(met[active] & met[other]))
+        near = (home[active] | home[other]) & open_
+        a, b, told = active[near], other[near], told[near]
+        close = np.bitwise_count(fp[a] ^ fp[b]).sum(axis=1) <= SIEVE
         met[a[close]] = met[b[close]] = True
+        apart[a[close & told]] = apart[b[close & told]] = True
         if shift % 64 == 0:
-            active = active[~np.logical_and.reduceat(met, first)[number[active]]]
+            active = active[~np.logical_and.reduceat(apart | (met & alone), first)[number[active]]]
         shift += 1
-    return met
+    return met, apart
 
 
 def meetings(batches: Iterator[pa.RecordBatch], bucket: int) -> Iterator[pa.RecordBatch]:
-    """(meet, node, hot) over rows (key, fp, node, home, component) sorted by key: who meets, under a number for each set of
-    nodes, so that keys with the same nodes are one; and all rows of a key with more than ``bucket``, by that key, as hot."""
+    """(meet, node, hot) over rows (key, fp, more, node, home, component, group) sorted by key: who meets another group, under
+    a number for each set of nodes, so that keys with the same nodes are one; without a number, who meets but its own group;
+    and all rows of a key with more than ``bucket``, by that key, as hot."""
 
-    def rows_of(meet: np.ndarray, node: np.ndarray, hot: bool) -> pa.RecordBatch:
-        return pa.RecordBatch.from_arrays([pa.array(meet), pa.array(node), pa.array(np.full(len(node), hot))], ["meet", "node", "hot"])
+    def rows_of(meet: np.ndarray, node: np.ndarray, hot: bool, own: np.ndarray) -> pa.RecordBatch:
+        meets = pa.concat_arrays([pa.array(meet, pa.int64()), pa.nulls(len(own), pa.int64())])
+        return pa.RecordBatch.from_arrays([meets, pa.array(np.concatenate([node, own])), pa.array(np.full(len(meets), hot))], ["meet", "node", "hot"])
 
     def compared(rows: list[np.ndarray]) -> pa.RecordBatch:
-        met = meeting(rows[0], rows[1].view(np.uint64), rows[3].astype(bool), rows[4])
-        key, node = rows[0][met], rows[2][met]
+        met, apart = meeting(rows[0], np.stack(rows[1:3], axis=1).view(np.uint64), rows[4].astype(bool), rows[5], rows[6])
+        key, node, own = rows[0][apart], rows[3][apart], np.unique(rows[3][met & ~apart])
         if not len(key):
-            return rows_of(key, node, False)
+            return rows_of(key, node, False, own)
         first = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
         sums = np.add.reduceat(remixed(node.view(np.uint64), 1), first)
-        return rows_of(np.repeat(sums, np.diff(np.append(first, len(key)))).view(np.int64), node, False)
+        return rows_of(np.repeat(sums, np.diff(np.append(first, len(key)))).view(np.int64), node, False, own)
+
+    yield from by_bucket(batches, bucket, compared, lambda rows: rows_of(rows[0], rows[3], True, rows[3][:0]))
 
-    yield from by_bucket(batches, bucket, compared, lambda rows: rows_of(rows[0], rows[2], True))
 
+def within_guard(sketch: np.ndarray, n: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Which pairs of positions may be similar by their sizes and the distance of whole sketches."""
+    least, most = np.minimum(n[a], n[b]), np.maximum(n[a], n[b])
+    fits = least * SIMILAR[1] >= most * SIMILAR[0]
+    fits[fits] = np.bitwise_count(sketch[a[fits]] ^ sketch[b[fits]]).sum(axis=1) <= np.where(least[fits] <= FEW, GUARD_FEW, GUARD)
+    return fits
 
-def guard_links(key: np.ndarray, sketch: np.ndarray, n: np.ndarray, component: np.ndarray) -> list[tuple[int, int]]:
+
+def guard_links(key: np.ndarray, sketch: np.ndarray, n: np.ndarray, group: np.ndarray) -> list[tuple[int, int]]:
     """Positions of links that span what may be similar under equal keys (sorted), by the distance of whole sketches."""
-    label = np.unique(component, return_inverse=True)[1]
+    label = np.unique(group, return_inverse=True)[1]
     forest = Forest(int(label.max()) + 1)
     links, active, shift = [], np.arange(len(key) - 1), 1
     while len(active):
@@ -400,10 +417,7 @@ def guard_links(key: np.ndarray, sketch: np.ndarray, n: np.ndarray, component: n
         other = active + shift
         apart = forest.root[label[active]] != forest.root[label[other]]
         a, b = active[apart], other[apart]
-        least, most = np.minimum(n[a], n[b]), np.maximum(n[a], n[b])
-        fits = least * SIMILAR[1] >= most * SIMILAR[0]
-        a, b, least = a[fits], b[fits], least[fits]
-        close = np.bitwise_count(sketch[a] ^ sketch[b]).sum(axis=1) <= np.where(least <= FEW, GUARD_FEW, GUARD)
+        close = within_guard(sketch, n, a, b)
         if close.any():
             links += forest.join(a[close], b[close], label)
         shift += 1
@@ -411,17 +425,21 @@ def guard_links(key: np.ndarray, sketch: np.ndarray, n: np.ndarray, component: n
 
 
 def stars(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(node, center) over rows (key, fp, node) sorted: rows within STAR bits of the first row of their key."""
-    key, fp, first = None, np.uint64(0), 0
+    """(node, center, star) over rows (key, fp, node) sorted: rows within CLOSE bits of the first row of their key, as a star if
+    within STAR, and of the row before."""
+    key, fp, first, last_fp, last = None, np.uint64(0), 0, np.uint64(0), 0
     for batch in filter(lambda b: b.num_rows, batches):
         keys, node, own = batch.column("key").to_numpy(), batch.column("node").to_numpy(), batch.column("fp").to_numpy().view(np.uint64)
         new = np.concatenate([[key is None or keys[0] != key], keys[1:] != keys[:-1]])
         run, heads = np.cumsum(new), np.flatnonzero(new)
-        center = np.concatenate([[first], node[heads]])[run]
+        center, before = np.concatenate([[first], node[heads]])[run], np.concatenate([[last], node[:-1]])
         far = np.bitwise_count(own ^ np.concatenate([[fp], own[heads]])[run])
-        key, fp, first = keys[-1], (own[heads[-1]] if len(heads) else fp), center[-1]
-        if (near := (node != center) & (far <= STAR)).any():
-            yield pa.RecordBatch.from_arrays([pa.array(node[near]), pa.array(center[near])], ["node", "center"])
+        near = (node != center) & (far <= CLOSE)
+        beside = ~new & (before != center) & (np.bitwise_count(own ^ np.concatenate([[last_fp], own[:-1]])) <= CLOSE)
+        key, fp, first, last_fp, last = keys[-1], (own[heads[-1]] if len(heads) else fp), center[-1], own[-1], node[-1]
+        star = np.concatenate([far[near] <= STAR, np.zeros(beside.sum(), bool)])
+        if len(star):
+            yield pa.RecordBatch.from_arrays([pa.array(x) for x in (np.concatenate([node[near], node[beside]]), np.concatenate([center[near], before[beside]]), star)], ["node", "center", "star"])
 
 
 def star_links(texts: Iterator[tuple[int, bool, str]], words: int) -> Iterator[tuple[int, int]]:
@@ -497,7 +515,8 @@ def block_pairs(rows: DataFrame, group: str, k: str, *others: str) -> DataFrame:
 
 
 def filed_parts(rows: DataFrame, balls: bool) -> DataFrame:
-    """(key, fp, node, home, component): a row for each segment of a sketch and, with ``balls``, each point of the ball."""
+    """(key, fp, more, node, home, component, group): a row for each segment of a sketch and, with ``balls``, each point of the
+    ball; fp and more are the sieve."""
 
     def filed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -510,10 +529,11 @@ def filed_parts(rows: DataFrame, balls: bool) -> DataFrame:
                 each = keys.shape[1] * keys.shape[2]
                 home = np.zeros(keys.shape, bool)
                 home[:, :, 0] = True
-                sieve, node, component = (np.repeat(x, each) for x in (sketch[:, -1].astype(np.uint64).view(np.int64), part.column("node").to_numpy(), part.column("component").to_numpy()))
-                yield pa.RecordBatch.from_arrays([pa.array(c) for c in (keys.ravel(), sieve, node, home.ravel(), component)], ["key", "fp", "node", "home", "component"])
+                sieve = [sketch[:, k].astype(np.uint64).view(np.int64) for k in (-1, -2)]
+                fp, more, node, component, group = (np.repeat(x, each) for x in (*sieve, *(part.column(c).to_numpy() for c in ("node", "component", "group"))))
+                yield pa.RecordBatch.from_arrays([pa.array(c) for c in (keys.ravel(), fp, more, node, home.ravel(), component, group)], ["key", "fp", "more", "node", "home", "component", "group"])
 
-    return rows.select("node", "component", "sketch", "weak").mapInArrow(filed, "key long, fp long, node long, home boolean, component long")
+    return rows.select("node", "component", "group", "sketch", "weak").mapInArrow(filed, "key long, fp long, more long, node long, home boolean, component long, group long")
 
 
 def with_texts(rows: DataFrame, nodes: DataFrame, texts: DataFrame) -> DataFrame:
@@ -522,14 +542,34 @@ def with_texts(rows: DataFrame, nodes: DataFrame, texts: DataFrame) -> DataFrame
     return texts.join(F.broadcast(named) if rows.count() <= FEW_ROWS else named, ["doc_id", "digest"])
 
 
-def star_components(nodes: DataFrame, texts: DataFrame, words: int, block: int) -> DataFrame:
-    """(node, component) of texts that are similar, by their sets, to the first text with a segment in common.
+def close_pairs(nodes: DataFrame) -> DataFrame:
+    """(node, center, star) of ``stars`` over the segments of all sketches: at most two a segment of a text."""
+    homes = filed_parts(nodes.select("*", F.col("node").alias("component"), F.col("node").alias("group")), balls=False).select("key", "fp", "node")
+    return homes.repartition("key").sortWithinPartitions("key", "node").mapInArrow(stars, "node long, center long, star boolean").distinct()
+
+
+def guarded_pairs(pairs: DataFrame, nodes: DataFrame) -> DataFrame:
+    """(a, b) of those ``close_pairs`` that may be similar by their complete sketches."""
+
+    def within(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            sketch = np.frombuffer(b"".join([*batch.column("sketch").to_pylist(), *batch.column("held").to_pylist()]), "<u8").reshape(-1, SKETCH)
+            n = np.concatenate([batch.column(c).to_numpy() for c in ("n", "m")]).astype(np.int64)
+            a = np.arange(batch.num_rows)
+            near = within_guard(sketch, n, a, a + batch.num_rows)
+            yield pa.RecordBatch.from_arrays([pa.array(batch.column(c).to_numpy()[near]) for c in ("node", "center")], ["a", "b"])
+
+    own = nodes.select("node", "n", "sketch")
+    both = pairs.select("node", "center").distinct().join(own, "node").join(own.toDF("center", "m", "held"), "center")
+    return both.select("node", "center", "n", "m", "sketch", "held").mapInArrow(within, "a long, b long")
+
+
+def star_components(met: DataFrame, nodes: DataFrame, texts: DataFrame, words: int, block: int) -> DataFrame:
+    """(node, component) of texts that are similar, by their sets, to the first text with a segment in common, of (node, center).
 
     Each text is compared with one other, so that the work is linear however large a group is: this unites most of a large
     group before any search. A center with more than ``block`` texts has a copy for each part of them.
     """
-    homes = filed_parts(nodes.withColumn("component", F.col("node")), balls=False).select("key", "fp", "node")
-    met = homes.repartition("key").sortWithinPartitions("key", "node").mapInArrow(stars, "node long, center long")
     edges = materialize(met.groupBy("node").agg(F.min("center").alias("center")))
     parts = edges.groupBy("center").agg(F.ceil(F.count("*") / block).cast("int").alias("k"))
     dealt = edges.join(parts, "center").select("center", F.pmod(F.xxhash64("node"), F.col("k")).cast("int").alias("part"), "node", F.lit(False).alias("first"))
@@ -556,44 +596,66 @@ def distinct_sets(prints: DataFrame) -> DataFrame:
     return sets.repartitionByRange("doc_id", "digest").sortWithinPartitions("doc_id", "digest").withColumn("node", F.monotonically_increasing_id())
 
 
+def near_groups(nodes: DataFrame, near: DataFrame, stars_: DataFrame) -> DataFrame:
+    """(node, n, component, group, sketch, weak): each node's component of ``stars_``, and its group, which the pairs ``near``
+    join to others. Every text has a few such pairs, so that most of a large group is one in linear work."""
+    groups = settle(lambda: connected_components(near.unionByName(stars_.select(F.col("node").alias("a"), F.col("component").alias("b")))))
+    labels = groups.withColumnRenamed("component", "group").join(stars_, "node", "left")
+    return nodes.join(labels, "node", "left").select("node", "n", F.coalesce("component", "node").alias("component"), F.coalesce("group", "node").alias("group"), "sketch", "weak")
+
+
+def met_rows(united: DataFrame, bucket: int) -> DataFrame:
+    """(meet, node, hot) of ``meetings`` over the segments and balls of all sketches."""
+    dealt = filed_parts(united, balls=True).repartition("key").sortWithinPartitions("key", "fp")
+    return dealt.mapInArrow(lambda batches: meetings(batches, bucket), "meet long, node long, hot boolean").distinct()
+
+
 def similar_components(nodes: DataFrame, texts: DataFrame, words: int = 5, bucket: int = BUCKET, block: int = BLOCK) -> DataFrame:
     """(node, component) of ``distinct_sets``: components of those whose sets of shingles have a Jaccard similarity of SIMILAR
     or more, by their smallest node. ``texts`` has (doc_id, digest, text), one row for each name of a row.
 
     First ``star_components`` unites most of what is similar. Nodes of different components then
     meet under a segment of the sketch, where one side is looked up in the small Hamming ball over the bits it is least
-    sure of, and another 64 bits sieve them. Those within the guard by their complete sketches are candidates; only the
-    components that they form are kept, never all pairs. In each of these the candidates that aren't linked yet are
-    compared by the sets themselves, and only these links count. Keys and components that are too large for a task are
+    sure of, and another 128 bits sieve them. Those within the guard by their complete sketches are candidates; only the
+    groups that they form are kept, never all pairs, so nodes of a group that ``near_groups`` has formed before need not meet
+    again to form it. In each of these the candidates that aren't linked yet are
+    compared by the sets themselves, and only these links count. Keys and groups that are too large for a task are
     compared in pairs of blocks.
     """
-    stars_ = settle(lambda: star_components(nodes, texts, words, block))
-    united = nodes.join(stars_, "node", "left").select("node", "n", F.coalesce("component", "node").alias("component"), "sketch", "weak")
-    dealt = filed_parts(united, balls=True).repartition("key").sortWithinPartitions("key", "fp")
-    met = materialize(dealt.mapInArrow(lambda batches: meetings(batches, bucket), "meet long, node long, hot boolean").distinct())
-    groups, hot = met.where("NOT hot").select("meet", "node"), met.where("hot")
+    pairs = materialize(close_pairs(nodes))
+    stars_ = settle(lambda: star_components(pairs.where("star"), nodes, texts, words, block))
+    near = materialize(guarded_pairs(pairs, nodes))
+    united = near_groups(nodes, near, stars_)
+    met = materialize(met_rows(united, bucket))
+    hot = met.where("hot")
+    some = [met.where("NOT hot").select("meet", "node"), *(near.select(F.lit(None).cast("long").alias("meet"), F.col(c).alias("node")) for c in ("a", "b"))]
     if not hot.isEmpty():
-        sizes = hot.groupBy("meet").agg(F.ceil(F.count("*") / bucket).alias("k"))
-        groups = groups.unionByName(block_pairs(hot.join(sizes, "meet"), "meet", "k").select(F.xxhash64("meet", "i", "j").alias("meet"), "node"))
+        sizes = hot.join(united.select("node", "group"), "node").groupBy("meet").agg(F.ceil(F.count("*") / bucket).alias("k"), F.min("group").alias("low"), F.max("group").alias("high"))
+        blocks = block_pairs(hot.join(sizes.where("low < high"), "meet"), "meet", "k").select(F.xxhash64("meet", "i", "j").alias("meet"), "node")
+        some += [blocks, hot.select(F.lit(None).cast("long").alias("meet"), "node")]
+    groups = reduce(DataFrame.unionByName, some)
 
     def guarded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for found, _ in whole_keys(batches, ["meet"]):
             sketch = np.frombuffer(b"".join(found.column("sketch").to_pylist()), "<u8").reshape(-1, SKETCH)
-            meet, node, n, component = (found.column(c).to_numpy() for c in ("meet", "node", "n", "component"))
-            links = guard_links(meet, sketch, n.astype(np.int64), component)
-            # of a batch's links between components, those that join trees of it
-            label = np.unique(component, return_inverse=True)[1]
+            meet, n, group = (found.column(c).to_numpy() for c in ("meet", "n", "group"))
+            links = guard_links(meet, sketch, n.astype(np.int64), group)
+            # of a batch's links between groups, those that join trees of it
+            label = np.unique(group, return_inverse=True)[1]
             pairs = np.array(links, np.int64).reshape(-1, 2)
             kept = np.array(Forest(int(label.max()) + 1).join(pairs[:, 0], pairs[:, 1], label), np.int64).reshape(-1, 2)
-            yield pa.RecordBatch.from_arrays([pa.array(component[kept[:, k]]) for k in (0, 1)], ["a", "b"])
+            yield pa.RecordBatch.from_arrays([pa.array(group[kept[:, k]]) for k in (0, 1)], ["a", "b"])
 
     # a node's meetings, at most as many as its keys and their pairs of blocks, are one row while its sketch is joined
-    listed = materialize(groups.groupBy("node").agg(F.collect_list("meet").alias("meets")).join(united.select("node", "n", "component", "sketch"), "node"))
-    sorted_groups = listed.select(F.explode("meets").alias("meet"), "node", "n", "component", "sketch").repartition("meet").sortWithinPartitions("meet")
+    listed = materialize(groups.groupBy("node").agg(F.collect_list("meet").alias("meets")).join(united.select("node", "n", "component", "group", "sketch"), "node"))
+    sorted_groups = listed.select(F.explode("meets").alias("meet"), "n", "group", "sketch").repartition("meet").sortWithinPartitions("meet")
     maybe = connected_components(sorted_groups.mapInArrow(guarded, "a long, b long"))
-    # of the components that may be linked, the nodes that met any other's; those that met none have no similar text there
-    members = materialize(listed.select("node", "n", F.col("component").alias("a")).join(maybe.select(F.col("node").alias("a"), F.col("component").alias("group")), "a").select("group", "node", "n", F.col("a").alias("component")))
-    sizes = members.groupBy("group").agg(F.ceil(F.greatest(F.count("*") / block, F.sum("n") / BLOCK_SHINGLES, F.lit(1))).alias("k"))
+    # of the groups that may be linked, the nodes that met any other component's; those that met none have no similar text there
+    named = listed.select("node", "n", "component", F.col("group").alias("a")).join(maybe.select(F.col("node").alias("a"), F.col("component").alias("b")), "a", "left")
+    members = materialize(named.select(F.coalesce("b", "a").alias("group"), "node", "n", "component"))
+    sizes = members.groupBy("group").agg(
+        F.ceil(F.greatest(F.count("*") / block, F.sum("n") / BLOCK_SHINGLES, F.lit(1))).alias("k"), F.min("component").alias("low"), F.max("component").alias("high")
+    ).where("low < high").select("group", "k")
     placed = block_pairs(members.join(sizes, "group"), "group", "k", "component")
 
     def verified(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

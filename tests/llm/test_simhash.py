@@ -4,7 +4,10 @@ import re
 import numpy as np
 import pytest
 import xxhash
-from strandlake.llm.simhash import SEGMENTS, WIDE_SEGMENTS, deduplicate, fingerprints, hamming_components, near_duplicates
+from pyspark.sql import functions as F
+from strandlake.llm.simhash import (
+    SEGMENTS, WIDE_SEGMENTS, close_pairs, deduplicate, distinct_sets, fingerprints, guarded_pairs, hamming_components, meeting, met_rows, near_duplicates, near_groups, sketch_table,
+)
 
 SCHEMA = "doc_id long, text string, fp string, node long, component string"
 
@@ -224,3 +227,24 @@ def test_a_very_long_text(spark):
     texts = [" ".join(words), " ".join([*words[:-3], "x", "y", "z"]), "short", "a " * 30_000]
     got = {r.doc_id: r for r in near_duplicates(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()}
     assert [got[i].component_id for i in range(4)] == [0, 0, 2, 3] and kept_of(spark, texts) == {0, 2, 3}
+
+
+def test_who_is_in_one_group_already_meets_no_more():
+    key, home = np.zeros(5, np.int64), np.ones(5, bool)
+    fp, component, group = np.zeros((5, 2), np.uint64), np.arange(5), np.array([0, 0, 0, 3, 4])
+    fp[3:] = np.uint64(2**64 - 1)
+    fp[4, 0] ^= np.uint64(1)
+    met, apart = meeting(key, fp, home, component, group)
+    assert met.tolist() == [True] * 5 and apart.tolist() == [False] * 3 + [True] * 2
+    met, apart = meeting(key, fp, home, component, component)
+    assert apart.tolist() == [True] * 5
+
+
+def test_meetings_of_a_crowd_stay_few(spark):
+    n = 400
+    df = spark.createDataFrame([(i, t, "c", 1, "d") for i, t in enumerate(crowd(n, 170, 36))], SCHEMA)
+    nodes = distinct_sets(sketch_table(df, 5)).drop("same").localCheckpoint()
+    alone = nodes.select("node", "n", F.col("node").alias("component"), F.col("node").alias("group"), "sketch", "weak")
+    near = guarded_pairs(close_pairs(nodes), nodes)
+    numbered = [met_rows(u, 4096).where("meet IS NOT NULL").count() for u in (alone, near_groups(nodes, near, spark.createDataFrame([], "node long, component long")))]
+    assert numbered[0] > 10 * n and numbered[1] < numbered[0] / 2
