@@ -348,7 +348,8 @@ ONEWAY_STEPS = R.ONEWAY[: R.ONEWAY.index("\nSELECT level")]
 
 @query(f"""{ONEWAY_STEPS} SELECT individual, round(beta + n * CAST(1.2 AS DOUBLE) / (n * CAST(1.2 AS DOUBLE) + CAST(0.64 AS DOUBLE)) * (m - beta), 6) AS fitted FROM pheno JOIN w ON label = level, b""")
 def model_predictions(spark, sf):
-    return _fits(spark, sf).select(F.explode("fitted").alias("f")).select("f.individual", F.round("f.value", 6).alias("fitted"))
+    found = quant.fitted(R._oneway(spark, sf)[0], _fits(spark, sf))
+    return found.select("individual", F.round("value", 6).alias("fitted"))
 
 
 @query(f"{ONEWAY_STEPS} SELECT round(avg(sqrt(CAST(1.2 AS DOUBLE) * (w - w * w / s))), 6) AS mean_accuracy, round(CAST(1.2 AS DOUBLE) / CAST(1.84 AS DOUBLE), 6) AS heritability FROM w, b")
