@@ -440,9 +440,9 @@ def _oneway(spark, sf, level="label"):
 
 @query(ONEWAY)
 def gblup_oneway_fixed(spark, sf):
-    """One analysis is one task, cubic in its individuals: a grouped map, not a distributed solver."""
+    """Individuals are added up by level in the cluster; the task of an analysis is cubic in its levels."""
     fits = quant.fit_groups(*_oneway(spark, sf), genetic_variance=1.2, residual_variance=0.64)
-    rows = quant.blup_table(fits).join(fits.select("group", F.element_at("fixed_effects", 1).alias("beta")), "group")
+    rows = fits.select(F.element_at("fixed_effects", 1).alias("beta"), F.explode("blup").alias("b")).select("b.*", "beta")
     return rows.select(F.col("individual").cast("int").alias("level"), F.round("value", 6).alias("value"), F.round("reliability", 6).alias("reliability"), F.round("beta", 6).alias("beta"))
 
 

@@ -1,7 +1,13 @@
+import os
+
 import numpy as np
 import pytest
+from oracle import TABLES, agree
 from pyspark.sql import functions as F
 from strandlake.operators import quant
+from strandlake.plans import registry
+
+SF = "/root/testdata/sf0.001"
 
 
 def made(n, levels, seed):
@@ -69,3 +75,18 @@ def test_what_cannot_be_solved(spark):
         quant.fit_groups(people.withColumn("level", F.nullif("level", F.lit(5))), related).collect()
     with pytest.raises(Exception, match="fixed effects"):
         quant.fit_groups(people.limit(2), related).collect()
+
+
+def embeddings_in(tmp_path, frame):
+    for name in TABLES:
+        if name != "embeddings":
+            os.symlink(f"{SF}/{name}.parquet", tmp_path / f"{name}.parquet")
+    frame.toPandas().to_parquet(tmp_path / "embeddings.parquet")
+    return str(tmp_path)
+
+
+def test_oneway_of_many_individuals(spark, tmp_path):
+    """A covariance of all individuals would be 20 GB."""
+    rows = spark.range(50_000).select(F.col("id").alias("vec_id"), F.array((F.col("id") % 97 / 100).cast("float")).alias("embedding"), (F.col("id") % 10).cast("int").alias("label"))
+    sf = embeddings_in(tmp_path, rows)
+    agree(registry.queries()["gblup_oneway_fixed"](spark, sf), registry.oracle_sql()["gblup_oneway_fixed"], sf)
