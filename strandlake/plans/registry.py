@@ -448,8 +448,10 @@ def gblup_oneway_fixed(spark, sf):
 
 @query(f"SELECT row_number() OVER (ORDER BY value DESC, level) AS place, level, value FROM ({ONEWAY40}) ORDER BY value DESC, level LIMIT 15")
 def blup_top15(spark, sf):
-    best = quant.top_blup(quant.fit_groups(*_oneway(spark, sf, "individual % 40"), genetic_variance=1.2, residual_variance=0.64), 15)
-    return best.selectExpr("row_number() OVER (ORDER BY value DESC, individual) AS place", "cast(individual AS int) AS level", "round(value, 6) AS value").withColumn("place", F.col("place").cast("long"))
+    """Values are rounded before they are ordered, as in the SQL: of equal ones the smaller level is first."""
+    fits = quant.fit_groups(*_oneway(spark, sf, "individual % 40"), genetic_variance=1.2, residual_variance=0.64)
+    best = quant.top_blup(fits.withColumn("blup", F.transform("blup", lambda b: b.withField("value", F.round(b["value"], 6)))), 15)
+    return best.selectExpr("row_number() OVER (ORDER BY value DESC, individual) AS place", "cast(individual AS int) AS level", "value").withColumn("place", F.col("place").cast("long"))
 
 
 @query("""WITH base AS (SELECT n_regionkey AS grp, n_nationkey % 5 * CAST(1 AS DOUBLE) + n_regionkey * CAST(4 AS DOUBLE) + (n_nationkey * 7 % 11) * CAST(0.3 AS DOUBLE) AS y FROM nation),

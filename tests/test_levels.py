@@ -90,3 +90,13 @@ def test_oneway_of_many_individuals(spark, tmp_path):
     rows = spark.range(50_000).select(F.col("id").alias("vec_id"), F.array((F.col("id") % 97 / 100).cast("float")).alias("embedding"), (F.col("id") % 10).cast("int").alias("label"))
     sf = embeddings_in(tmp_path, rows)
     agree(registry.queries()["gblup_oneway_fixed"](spark, sf), registry.oracle_sql()["gblup_oneway_fixed"], sf)
+
+
+def test_best_levels_that_are_equal_when_rounded(spark, tmp_path):
+    """Levels 3 and 20 differ by less than what rounding leaves."""
+    first = F.when(F.col("id") % 40 == 3, 0.5).when(F.col("id") % 40 == 20, 0.5000001).otherwise(F.col("id") % 40 * 0.01)
+    rows = spark.range(200).select(F.col("id").alias("vec_id"), F.array(first.cast("float"), F.lit(1).cast("float")).alias("embedding"), F.lit(3).alias("label"))
+    sf = embeddings_in(tmp_path, rows)
+    found = registry.queries()["blup_top15"](spark, sf)
+    assert [r.level for r in found.orderBy("place").head(2)] == [3, 20]
+    agree(found, registry.oracle_sql()["blup_top15"], sf)
