@@ -100,3 +100,9 @@ def test_best_levels_that_are_equal_when_rounded(spark, tmp_path):
     found = registry.queries()["blup_top15"](spark, sf)
     assert [r.level for r in found.orderBy("place").head(2)] == [3, 20]
     agree(found, registry.oracle_sql()["blup_top15"], sf)
+
+
+def test_predictions_for_many_individuals(spark, tmp_path):
+    rows = spark.range(50_000).select(F.col("id").alias("vec_id"), F.array((F.col("id") % 89 / 100).cast("float")).alias("embedding"), (F.col("id") % 10).cast("int").alias("label"))
+    sf = embeddings_in(tmp_path, rows)
+    agree(registry.queries()["model_predictions"](spark, sf), registry.oracle_sql()["model_predictions"], sf)
