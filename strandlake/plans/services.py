@@ -56,11 +56,11 @@ def fastq_files(spark, sf):
 
 @query(f"WITH {D.READS} SELECT CAST(doc_id AS VARCHAR) AS read_id, sequence, quality, '+' AS plus FROM reads WHERE length(sequence) > 0")
 def fastq_ranges(spark, sf):
-    """The same through the sink and the data source, in many ranges of each file."""
+    """The same through the sink and the data source, a file for each task and in many ranges of it."""
     path = uploads.new_path(spark)
     fasta.register(spark)
     reads = D.reads(spark, sf).where(F.length("sequence") > 0).select(F.col("doc_id").cast("string").alias("read_id"), "sequence", "quality")
-    reads.coalesce(2).write.format("fastq").mode("append").save(path)
+    reads.write.format("fastq").mode("append").save(path)
     return spark.read.format("fastq").option("splitBytes", 1 << 16).load(path).select("read_id", "sequence", "quality", "plus")
 
 

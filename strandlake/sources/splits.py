@@ -29,6 +29,8 @@ from pyspark.sql.datasource import InputPartition
 FIELDS = {"fasta": ("record_id", "description", "sequence"), "fastq": ("read_id", "sequence", "quality", "plus")}
 #: Bytes of a file that a data source's partition begins in, by default.
 SPLIT_BYTES = 64 << 20
+#: Ranges above which these become longer than was asked for.
+MOST_RANGES = 1 << 10
 #: What begins each member of a file packed by blocks; the member's length follows.
 BLOCK_MAGIC = b"\x1f\x8b\x08\x04\x00\x00\x00\x00\x00\xff\x06\x00BC\x02\x00"
 BLOCKED = (".bgz", ".bgzf")
@@ -166,8 +168,10 @@ def files_of(path: str) -> list[tuple[str, int, int]]:
 
 
 def ranges_of(files: list[tuple[str, int, int]], split_bytes: int = SPLIT_BYTES) -> list[FileRange]:
-    """Ranges of about ``split_bytes``; packed files are whole."""
+    """Ranges of about ``split_bytes``, or of as many as keep them to about ``MOST_RANGES``, though not more than ``SPLIT_BYTES``
+    for that; packed files are whole. A range is a task, which has its cost however short it is."""
     found = []
+    split_bytes = max(split_bytes, min(SPLIT_BYTES, -(-sum(size for _, size, _ in files) // MOST_RANGES)))
     for path, size, _ in files:
         if path.endswith((".gz", *BLOCKED)):
             found.append(FileRange(path, 0, -1))
